@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, html_text, pii, quality, token_counts, toxicity, url_filter
+from plumbline.llm import bpe, html_text, pii, quality, substrings, token_counts, toxicity, url_filter
 from plumbline.llm.common import small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,11 @@ def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 256)
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), RANKS)
@@ -51,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_html_text": op8_html_text,
