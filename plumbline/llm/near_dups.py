@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import durable, text_of
@@ -222,3 +222,13 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     count = ids.groupBy("class_id").agg(F.count("*").alias("class_size"))
     own = lambda name: F.when(F.col(name) != _NULL_ID, F.col(name))
     return ids.join(count, "class_id").select(own("node").alias("doc_id"), own("class_id").alias("class_id"), "class_size")
+
+
+def without_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row of each class of `documents`, that of its least doc_id, with all columns; of several rows with that id the one with the least text."""
+    keep = classes(documents, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("__node")).distinct()
+    if {"__node", "__turn"} & set(documents.columns):
+        raise ValueError("the column names __node and __turn are taken")
+    named = documents.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).join(keep, "__node", "left_semi")
+    first = Window.partitionBy("__node").orderBy("text", F.xxhash64(*documents.columns))
+    return named.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").select(*(f"`{c}`" for c in documents.columns))
