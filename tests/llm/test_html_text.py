@@ -1,0 +1,34 @@
+import pytest
+
+from plumbline.llm import html_text
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/x">menu menu menu menu menu</a></nav>
+<!-- ad --><div class="ad">buy &amp; buy</div><article class="post-%d"><h1>Head &amp;c</h1><p><b>One  two.<br><p>Th<i>re</i>e &lt;b&gt; &amp</p><div class="share">tweet</div><form>mail</form><aside>side</aside>%s
+<section id="comments"><p>first!</p></section></article><footer>&copy; foot</footer></body></html>"""
+
+
+def test_main_text_of_pages(spark):
+    rows = [(i, "http://Ex.org/%d" % i, PAGE % (i, "<p>body %d</p>" % i)) for i in range(4)] + [(9, None, None), (None, "x", ""), (5, "http://ex.org/5", "<body><div>only text here</div>"), (6, "http://ex.org/6", "no markup &eacute; <")]
+    got = {(r["page_id"]): r for r in html_text.extract(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, winner int")).collect()}
+    assert got[2]["text"] == "Head &c One two. Three <b> & body 2" and got[2]["n_chars"] == len(got[2]["text"])
+    assert got[9]["text"] == "" and got[9]["n_chars"] == 0 and got[None]["text"] == ""
+    assert got[5]["text"] == "only text here"
+    assert len(got) == len(rows)
+
+
+def test_join_without_broadcast_gives_the_same(spark):
+    frame = spark.createDataFrame([(i, f"http://h{i % 3}/", PAGE % (i, "")) for i in range(9)], "page_id long, url string, html string")
+    assert sorted(map(tuple, html_text.extract(frame, 0).collect())) == sorted(map(tuple, html_text.extract(frame).collect()))
+    assert html_text.extract(frame.limit(0)).count() == 0
+
+
+def test_the_host_outvotes_a_page(spark):
+    odd = "<html><body><article><p>short</p></article><section><p>%s</p></section></body></html>" % ("noise " * 50)
+    pages = [(i, "http://a/", PAGE.replace(' class="post-%d"', "").replace("%s", "text " * 30)) for i in range(5)] + [(7, "http://a/", odd)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[7] == "short"
+
+
+@pytest.mark.parametrize("page, text", [("<p>a<p>b<li>c</li>", "a b c"), ("<div>a&nbsp; b</div>", "a b"), ("<DIV>A</DIV><script>x", "A"), ("<div hidden>x</div><div>y</div>", "y"), ("<p>1 < 2</p>", "1 < 2"), ("<div>x <em>y</em>z</div>", "x yz")])
+def test_pieces(page, text):
+    assert html_text.text_at(f"<html><body>{page}</body></html>", "/html/body") == text
