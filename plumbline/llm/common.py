@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.tables import durable
+
+__all__ = ["durable", "small_batches", "table", "text_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
@@ -19,20 +20,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` by writing it as a table to the cluster's shared checkpoint folder.
-
-    The folder is the one that the session names in spark.checkpoint.dir; only where that is
-    unset (tests on one machine) a temporary folder stands in. The table is read back with the
-    written schema, so a lost executor costs no more than reading it again.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hand long texts to Python in batches of few rows, which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
