@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import unit
+from plumbline.tables import durable
 
 #: Rows of one side of a tile; a tile is one task's matrix product.
 TILE_ROWS = 2_000
@@ -59,7 +60,9 @@ def near_pairs_lsh(frame: DataFrame, key: str, vector: str, threshold: float = 0
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = frame.select(F.col(key).alias("id"), unit(F.col(vector).cast("array<double>")).alias("v")).filter("v is not null").select("id", array_to_vector("v").alias("features"))
+    # written first, as the filter could otherwise run after the conversion, which can't take nulls
+    directed = durable(frame.select(F.col(key).alias("id"), unit(F.col(vector).cast("array<double>")).alias("v")).filter("v is not null"))
+    rows = directed.select("id", array_to_vector("v").alias("features"))
     reach = (2 - 2 * threshold) ** 0.5
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="buckets", bucketLength=max(4 * reach, 0.2), numHashTables=tables, seed=7).fit(rows)
     joined = model.approxSimilarityJoin(rows, rows, reach + 1e-9, "distance").filter("datasetA.id < datasetB.id")

@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.vectors import norm, squared_distance
+from plumbline.functions.vectors import norm, squared_distance, z_scores
 from plumbline.operators.duplicates import nearest
 from plumbline.operators.profile import folds
 
 
+#: Vectors from this length on are compared by direction, shorter ones by z-scores.
+LONG = 64
+
+
 @dataclass(frozen=True)
 class Config:
     """Gates of find()."""
@@ -22,7 +26,7 @@ class Config:
     n_splits: int = 5
     seed: int = 42
     n_neighbors: int = 5
-    filter_by: str = "both"
+    filter_by: str = "predicted_neq_given"
     min_confidence_gap: float = 0.10
     min_alt_prob: float = 0.20
     min_odds_ratio: float = 1.2
@@ -121,8 +125,14 @@ def confident_mask(probabilities: DataFrame, labels: DataFrame, filter_by: str)
 def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = Config()) -> DataFrame:
     """(id, given_label, predicted_label, p_given, p_top, gap, odds, centroid_ratio, given_agree, top_agree, score) of likely flips."""
     rows = frame.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    size = norm(F.col("v"))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x / F.when(size > 0, size).otherwise(1.0)))
+    if (rows.agg(F.max(F.size("v"))).first()[0] or 0) >= LONG:
+        size = norm(F.col("v"))
+        rows = rows.withColumn("v", F.transform("v", lambda x: x / F.when(size > 0, size).otherwise(1.0)))
+    else:
+        stats = rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+        held = F.array_sort(F.collect_list(F.struct("pos", "m", "s")))
+        scale = stats.agg(held["m"].alias("__m"), held["s"].alias("__s"))  # one row, as long as a vector
+        rows = rows.crossJoin(F.broadcast(scale)).withColumn("v", z_scores(F.col("v"), F.col("__m"), F.col("__s"))).drop("__m", "__s")
     least = rows.groupBy("label").count().agg(F.min("count")).first()[0] or 0
     dealt = folds(rows, "label", "id", max(2, min(config.n_splits, least)), config.seed)
     p = (knn_probabilities if config.classifier == "knn" else ridge_probabilities)(dealt, config.n_neighbors)
