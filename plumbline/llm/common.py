@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.tables import durable
 
-__all__ = ["durable", "small_batches", "table", "text_of"]
+__all__ = ["durable", "small_batches", "table", "text_of", "whole_groups"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,3 +27,24 @@ def text_of(column: str) -> Column:
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hand long texts to Python in batches of few rows, which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, enough: int, weight=lambda rows: rows.num_rows) -> Iterator[pa.Table]:
+    """Sorted rows in portions that never part rows with equal keys."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        held.append(rows)
+        total += weight(rows)
+        if total >= enough:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table[key].to_numpy()
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+            if cut:
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+                total = sum(map(weight, held))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -11,8 +11,8 @@ which all components are most likely to have one, so that long documents draw ab
 2. Signatures are banded: nodes that agree in all ROWS components of one of the bands meet in a bucket.
 3. A bucket's centre is the node whose buckets are largest altogether. Every other node is verified with
    it by the exact multiset overlap, so that groups of any size take linear work.
-4. Nodes of a bucket that aren't linked to its centre are then verified with each node of the bucket that
-   is not in their class yet, where the signatures don't rule the pair out (over five standard errors).
+4. Nodes that aren't in the class of a centre of theirs are then held against all nodes that share the
+   centre, block by block, by exact overlaps from inverted lists, and what joins two classes is a link.
 5. Links of LEAST similarity or more make classes by connected components.
 
 Defined results: a text of fewer than SHINGLE words is one shingle, texts without words (null, empty or
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable, text_of
+from plumbline.llm.common import durable, text_of, whole_groups
 from plumbline.llm.polyhash import Prefixes, U, mixed
 from plumbline.operators.graph import components
 
@@ -38,6 +38,8 @@ SHINGLE = 5
 LEAST = 0.8
 SIZE = 128
 ROWS = 4
+BLOCK_NODES = 4_000
+BLOCK_BYTES = 8 << 20
 
 _BASE = 0xA24BAED4963EE407
 _STEP, _OTHER, _BLOCK = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -124,15 +126,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        keys, others, bands, short = [], [], [], []
+        keys, others, bands = [], [], []
         for text in rows["raw"]:
             items, counts = shingles(text.as_py())
             keys.append(int((mixed(items + _STEP) * counts.astype(U)).sum(dtype=U).view(np.int64)))
             others.append(int((mixed(items ^ _OTHER) * counts.astype(U)).sum(dtype=U).view(np.int64)))
-            found = signature(items, counts)
-            bands.append(band_hashes(found))
-            short.append((found & U(0xFFFF)).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([rows["node"], pa.array(keys), pa.array(others), pa.array(bands, pa.list_(pa.int64())), pa.array(short, pa.binary())], ["node", "key", "other", "bands", "short"])
+            bands.append(band_hashes(signature(items, counts)))
+        yield pa.RecordBatch.from_arrays([rows["node"], pa.array(keys), pa.array(others), pa.array(bands, pa.list_(pa.int64()))], ["node", "key", "other", "bands"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -153,18 +153,77 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return named.select("a", "b", "raw_a", "raw_b").mapInArrow(lambda batches: _verify(batches, least), "a long, b long")
 
 
-def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures, cut to 16 bits a component, agree about as often as those of similar ones must."""
-    enough = int(SIZE * least - 5 * (SIZE * least * (1 - least)) ** 0.5)
-    for rows in batches:
-        x, y = (np.frombuffer(b"".join(rows[name].to_pylist()), np.uint16).reshape(-1, SIZE) for name in ("x", "y"))
-        yield rows.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= enough))
+def _elements(text: bytes) -> np.ndarray:
+    """A shingle's first occurrence, its second, and so on, as elements of a set: multisets overlap as these sets do."""
+    items, counts = shingles(text)
+    turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mixed(np.repeat(items, counts) + turn.astype(U) * _BLOCK)
+
+
+def _missing_links(node: np.ndarray, own: np.ndarray, queries: np.ndarray, base: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of `queries` to `base` that join two classes, a spanning few of them, by counting overlaps over inverted lists."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(base)), sizes[base])
+    values, inverse, lengths = np.unique(np.concatenate([sets[i] for i in base]), return_inverse=True, return_counts=True)
+    holders = owner[np.argsort(inverse, kind="stable")]
+    begins = np.cumsum(lengths) - lengths
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    links = []
+    for x in queries:
+        place = np.searchsorted(values, sets[x])
+        place[place == len(values)] = 0
+        place = place[values[place] == sets[x]]
+        n = lengths[place]
+        at = np.repeat(begins[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(holders[at], minlength=len(base))
+        union = sizes[x] + sizes[base] - shared
+        for y in base[(own[base] != own[x]) & (shared >= least * union) & (union > 0)]:
+            if root(int(own[x])) != root(int(own[y])):
+                parent[root(int(own[y]))] = root(int(own[x]))
+                links.append((int(node[x]), int(node[y])))
+    return links
+
+
+def _link_rows(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for table in whole_groups(batches, "unit", 1):
+        unit, node, own, query = (table[name].to_numpy() for name in ("unit", "node", "own", "query"))
+        sets = [_elements(raw) for raw in table["raw"].to_pylist()]
+        links = []
+        for one in np.unique(unit):
+            queries, base = np.flatnonzero((unit == one) & query), np.flatnonzero((unit == one) & ~query)
+            if len(queries) and len(base):
+                links += _missing_links(node, own, queries, base, sets, least)
+        a, b = zip(*links) if links else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def rest_links(members: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b) that link what the centres left apart; `members` is (centre, node, own, open).
+
+    Each open node is held against all nodes of its centre that aren't in its class. A centre's nodes are
+    dealt to blocks of at most BLOCK_NODES nodes or BLOCK_BYTES on average, and a task holds two blocks;
+    what leaves it is at most a link for each class that it joins to another.
+    """
+    full = members.join(members.filter("open").select("centre").distinct(), "centre").join(texts, "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.length("raw")) / BLOCK_BYTES)).cast("int")
+    dealt = full.join(full.groupBy("centre").agg(blocks.alias("blocks")), "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    columns = ["node", "own", "raw"]
+    queries = dealt.filter("open").select("centre", *columns, "block", other).select(F.xxhash64("centre", "block", "other").alias("unit"), *columns, F.lit(True).alias("query"))
+    base = dealt.select("centre", *columns, "block", other).select(F.xxhash64("centre", "other", "block").alias("unit"), *columns, F.lit(False).alias("query"))
+    return queries.unionByName(base).repartition("unit").sortWithinPartitions("unit").mapInArrow(lambda batches: _link_rows(batches, least), "a long, b long")
 
 
 def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class) and class_size."""
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("node"), text_of("text").cast("binary").alias("raw"))
-    signed = durable(texts.mapInArrow(_sign, "node long, key long, other long, bands array<long>, short binary"))
+    signed = durable(texts.mapInArrow(_sign, "node long, key long, other long, bands array<long>"))
     heads = signed.groupBy("key", "other").agg(F.min("node").alias("head"))
     named = durable(signed.select("node", "key", "other").join(heads, ["key", "other"]).select("node", "head").distinct())
     # one row for each distinct text: the row of the least id
@@ -183,17 +242,10 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
     found = durable(components(links))
 
     # what a bucket's centre did not settle
-    in_class = stars.join(found, "node", "left").withColumn("own", F.coalesce("class_id", "node")).select("band", "node", "centre", "own")
-    in_class = in_class.join(found.select(F.col("node").alias("centre"), F.col("class_id").alias("of_centre")), "centre", "left").withColumn("of_centre", F.coalesce("of_centre", "centre"))
-    open_ = in_class.filter("own <> of_centre")
-    rest = durable(open_.select("band", "node", "own"))
-    if not rest.isEmpty():
-        members = in_class.join(rest.select("band").distinct(), "band").select("band", F.col("node").alias("b"), F.col("own").alias("own_b"))
-        pairs = rest.withColumnRenamed("node", "a").join(members, "band").filter("own <> own_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        short = single.select("node", "short")
-        pairs = pairs.join(short.select(F.col("node").alias("a"), F.col("short").alias("x")), "a").join(short.select(F.col("node").alias("b"), F.col("short").alias("y")), "b")
-        more = verified(pairs.select("a", "b", "x", "y").mapInArrow(lambda batches: _likely(batches, least), "a long, b long"), chosen, least)
-        links = durable(links.unionByName(more))
+    in_class = stars.select("centre", "node").distinct().join(found, "node", "left").select("node", "centre", F.coalesce("class_id", "node").alias("own"))
+    in_class = in_class.join(found.select(F.col("node").alias("centre"), F.col("class_id").alias("of_centre")), "centre", "left")
+    members = durable(in_class.select("centre", "node", "own", (F.col("own") != F.coalesce("of_centre", "centre")).alias("open")))
+    links = durable(links.unionByName(rest_links(members, chosen, least)))
 
     # one id may stand for several texts, which then are linked
     links = links.unionByName(named.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))

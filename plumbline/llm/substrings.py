@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable, text_of
+from plumbline.llm.common import durable, text_of, whole_groups
 from plumbline.llm.polyhash import Prefixes, U, mixed
 
 LENGTH = 100
@@ -115,31 +115,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
         yield _joined(parts)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, enough: int, weight=lambda rows: rows.num_rows) -> Iterator[pa.Table]:
-    """Sorted rows in portions that never part rows with equal keys."""
-    held: list[pa.RecordBatch] = []
-    total = 0
-    for rows in batches:
-        if not rows.num_rows:
-            continue
-        held.append(rows)
-        total += weight(rows)
-        if total >= enough:
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = table[key].to_numpy()
-            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-            if cut:
-                yield table.slice(0, cut)
-                held = table.slice(cut).to_batches()
-                total = sum(map(weight, held))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def _flag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is known of each anchor once those with its hash are together; anchors that are done are left out."""
     names = ["uid", "ver", "lo", "span", "off", "kind", "h"]
-    for table in _whole_groups(batches, "h", ANCHORS):
+    for table in whole_groups(batches, "h", ANCHORS):
         h, context, uid, lo, kind = (table[name].to_numpy() for name in ("h", "context", "uid", "lo", "kind"))
         order = np.lexsort((lo, uid, context, h, kind != _SINGLE))
         h, context, uid, lo, kind = (c[order] for c in (h, context, uid, lo, kind))
@@ -273,7 +252,7 @@ def _runs(owner: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _sorted_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for table in _whole_groups(batches, "h", SORTED_BYTES, lambda rows: rows["context"].nbytes):
+    for table in whole_groups(batches, "h", SORTED_BYTES, lambda rows: rows["context"].nbytes):
         uid, ver, lo = (table[name].to_numpy() for name in ("uid", "ver", "lo"))
         owner, within = repeated_windows(table["context"].to_pylist(), table["h"].to_numpy(), table["off"].to_numpy(), uid, lo, length)
         if len(owner):
