@@ -258,9 +258,10 @@ def classes(documents: DataFrame, least: float = LEAST) -> DataFrame:
 
 def without_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of each class of `documents`, that of its least doc_id, with all columns; of several rows with that id the one with the least text."""
-    keep = classes(documents, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("__node")).distinct()
-    if {"__node", "__turn"} & set(documents.columns):
-        raise ValueError("the column names __node and __turn are taken")
-    named = documents.withColumn("__node", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).join(keep, "__node", "left_semi")
-    first = Window.partitionBy("__node").orderBy("text", F.xxhash64(*documents.columns))
-    return named.withColumn("__turn", F.row_number().over(first)).filter("__turn = 1").select(*(f"`{c}`" for c in documents.columns))
+    node, turn = "__node", "__turn"
+    while {node, turn} & set(documents.columns):
+        node, turn = node + "_", turn + "_"
+    keep = classes(documents, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias(node)).distinct()
+    named = documents.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).join(keep, node, "left_semi")
+    first = Window.partitionBy(node).orderBy("text", F.xxhash64(*(f"`{c}`" for c in documents.columns)))
+    return named.withColumn(turn, F.row_number().over(first)).filter(F.col(turn) == 1).select(*(f"`{c}`" for c in documents.columns))

@@ -221,13 +221,14 @@ def _replace_rows(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) ->
 
 
 def pseudonymise(documents: DataFrame, key: bytes = KEY, back: bool = False, found: str | None = "found") -> DataFrame:
-    """`documents` with pseudonyms in text; a struct column `found` counts them by kind, unless it is None."""
-    if "__found" in documents.columns:
-        raise ValueError("the column name __found is taken")
+    """`documents` with pseudonyms in text; a struct column `found`, in place of any of that name, counts them by kind, unless it is None."""
+    name = "__found"
+    while name in documents.columns:
+        name += "_"
     kinds = ", ".join(f"{kind}: int" for kind in KINDS)
-    fields = ", ".join([*(f"`{name.replace('`', '``')}` {kind}" for name, kind in documents.dtypes), f"__found struct<{kinds}>"])
+    fields = ", ".join([*(f"`{name.replace('`', '``')}` {kind}" for name, kind in documents.dtypes), f"{name} struct<{kinds}>"])
     got = documents.mapInArrow(lambda batches: _replace_rows(batches, key, back), fields)
-    return got.drop("__found") if found is None else got.withColumnRenamed("__found", found)
+    return got.drop(name) if found is None else got.drop(found).withColumnRenamed(name, found)
 
 
 def report(documents: DataFrame, key: bytes = KEY) -> DataFrame:
