@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import squared_distance
 from plumbline.operators.profile import folds, robust_scale, threshold_from, trimmed
+from plumbline.tables import durable
 
 LEAST_FIT, LEAST_CALIBRATE, LEAST_CLASS = 16, 32, 8
 
@@ -64,20 +65,39 @@ def _moments(frame: DataFrame, means: dict[str, np.ndarray]) -> dict[str, tuple[
     return out
 
 
-def fit(frame: DataFrame, key: str, vector: str, label: str, trim: float = 0.10) -> Reference:
-    """A reference from each class's rows nearest its coordinate-wise median; classes under 8 rows pool all."""
-    rows = frame.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    if sum(sizes.values()) < LEAST_FIT:
-        raise ValueError(f"{sum(sizes.values())} rows, at least {LEAST_FIT} needed")
-    if min(sizes.values()) < LEAST_CLASS:
-        rows = rows.withColumn("label", F.lit("all"))
+def _fit_parts(rows: DataFrame, trim: float) -> dict[str, Reference]:
+    """A reference for each `part` of rows (part, label, id, v), all parts in the same few passes."""
+    sizes: dict[str, dict[str, int]] = {}
+    for r in rows.groupBy("part", "label").count().collect():  # one row a part and class
+        sizes.setdefault(r["part"], {})[r["label"]] = r["count"]
+    for part, own in sizes.items():
+        if sum(own.values()) < LEAST_FIT:
+            raise ValueError(f"{sum(own.values())} rows, at least {LEAST_FIT} needed")
+    pooled = [part for part, own in sizes.items() if min(own.values()) < LEAST_CLASS]
+    named = F.when(F.col("part").isin(pooled), F.lit("all")).otherwise(F.col("label")) if pooled else F.col("label")
+    rows = rows.withColumn("label", F.concat_ws("\x01", "part", named))
     medians = rows.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.median("x").alias("m"))
     medians = medians.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m")))["m"].alias("centre"))
-    kept = trimmed(rows.join(F.broadcast(medians), "label").withColumn("d0", F.sqrt(squared_distance(F.col("v"), F.col("centre")))), "d0", "label", "id", trim)
+    kept = durable(trimmed(rows.join(F.broadcast(medians), "label").withColumn("d0", F.sqrt(squared_distance(F.col("v"), F.col("centre")))), "d0", "label", "id", trim).select("label", "v"))
     means = kept.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
     means = {r["label"]: np.array([x["m"] for x in sorted(r["s"], key=lambda x: x["pos"])]) for r in means.groupBy("label").agg(F.collect_list(F.struct("pos", "m")).alias("s")).collect()}
-    return Reference({k: (means[k], np.linalg.inv(shrunk(n, means[k], s, f))) for k, (n, s, f) in _moments(kept, means).items()})
+    classes: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]] = {}
+    for name, (n, s, f) in _moments(kept, means).items():
+        part, _, label = name.partition("\x01")
+        classes.setdefault(part, {})[label] = means[name], np.linalg.inv(shrunk(n, means[name], s, f))
+    return {part: Reference(own) for part, own in classes.items()}
+
+
+def _rows(frame: DataFrame, key: str, vector: str, label: str, *more: str) -> DataFrame:
+    return frame.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"), *more)
+
+
+def fit(frame: DataFrame, key: str, vector: str, label: str, trim: float = 0.10) -> Reference:
+    """A reference from each class's rows nearest its coordinate-wise median; classes under 8 rows pool all."""
+    found = _fit_parts(_rows(frame, key, vector, label).withColumn("part", F.lit("0")), trim)
+    if not found:
+        raise ValueError(f"0 rows, at least {LEAST_FIT} needed")
+    return found["0"]
 
 
 def score(frame: DataFrame, key: str, vector: str, reference: Reference) -> DataFrame:
@@ -97,11 +117,16 @@ def calibrate(frame: DataFrame, key: str, vector: str, label: str, trim: float =
     if (counts[0] or 0) < LEAST_CALIBRATE:
         raise ValueError(f"{counts[0]} rows, at least {LEAST_CALIBRATE} needed")
     k = max(2, min(n_splits, counts[1]))
-    dealt = folds(frame, label, key, k, seed)
-    held_out = None
-    for fold in range(k):
-        part = score(dealt.filter(F.col("fold") == fold), key, vector, fit(dealt.filter(F.col("fold") != fold), key, vector, label, trim))
-        held_out = part if held_out is None else held_out.unionByName(part)
+    dealt = durable(_rows(folds(frame, label, key, k, seed), key, vector, label, "fold"))
+    others = F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda part: part != F.col("fold")), lambda part: part.cast("string"))).alias("part")
+    references = _fit_parts(dealt.select("id", "label", "v", others), trim)
+
+    def distances(batches):
+        for part in batches:
+            for fold, rows in part.groupby("fold"):
+                yield pd.DataFrame({"distance": references[str(fold)].distances(np.stack(rows["v"]))})
+
+    held_out = dealt.select("fold", "v").mapInPandas(distances, "distance double")
     return threshold_from(robust_scale(held_out, "distance"), mad_k).first()["threshold"]
 
 
