@@ -149,7 +149,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "select a.vec_id as id_a, b.vec_id as id_b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on a.vec_id < b.vec_id"
 
 
-@query(f"select id_a, id_b, round(s, 4) as similarity from ({_PAIRS}) where s >= 0.35")
+@query(f"select id_a, id_b, round(round(s, 6), 4) as similarity from ({_PAIRS}) where s >= 0.35")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35).withColumn("similarity", F.round("similarity", 4))
 
