@@ -78,3 +78,8 @@ def found_in(needle: str, *columns: str) -> Column:
 
 def is_true(value: Column) -> Column:
     return value.isin("1", "true", "True")
+
+
+def model_key(name: Column) -> Column:
+    """The `id-` number in a model's name, else the name in lower case without extension."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, r"id-\d{8}", 0), F.lit("")), F.lower(F.regexp_replace(name, r"\.[^.]*$", "")))

@@ -66,3 +66,15 @@ def event_rates(truth: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
     marked = truth.join(flagged.select(key).distinct().withColumn("d", F.lit(True)), key, "left")
     events = marked.groupBy("corruption", "event_id").agg(F.max(F.coalesce("d", F.lit(False))).alias("hit"))
     return events.groupBy("corruption").agg(F.count("*").alias("events"), F.count_if("hit").alias("detected")).withColumn("rate", _share(F.col("detected"), F.col("events")))
+
+
+def inventory(counts: DataFrame, expected: DataFrame) -> DataFrame:
+    """(item, expected, actual, matches) of counted items (item, n) against expectations (item, expected); what is missing counts 0."""
+    both = expected.join(counts, "item", "left").withColumn("actual", F.coalesce("n", F.lit(0)))
+    return both.select("item", "expected", "actual", (F.col("expected") == F.col("actual")).alias("matches"))
+
+
+def both_directions(windows: DataFrame) -> DataFrame:
+    """(proved): whether the windows (kind, alert) of kind normal raise no alert and those of kind shifted all do."""
+    expected = F.col("alert") == (F.col("kind") == "shifted")
+    return windows.agg((F.coalesce(F.bool_and(expected), F.lit(False)) & (F.count_distinct("kind") == 2)).alias("proved"))

@@ -294,6 +294,18 @@ def event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.event_rates(orders.drop("o_totalprice"), orders.filter("o_totalprice > 200000"), "k")
 
 
+@query("""with c as (select lang as item, count(*) as n from documents group by 1), e as (select * from (values ('en', 100), ('de', 30), ('pl', 1)) e(item, expected)) select item, expected, coalesce(n, 0) as actual, expected = coalesce(n, 0) as matches from e left join c using (item)""")
+def inventory_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = spark.createDataFrame([("en", 100), ("de", 30), ("pl", 1)], "item string, expected int")
+    return evaluate.inventory(table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("item")).agg(F.count("*").alias("n")), expected)
+
+
+@query(f"with {_FLAGS}, m as (select doc_id, min(flag) as kind from flags group by 1) select coalesce(kind, 'clean') as kind, count(*) as n from documents left join m using (doc_id) group by 1")
+def first_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "documents").select("doc_id").join(detector_merge(spark, sf_dir).select("doc_id", "flags"), "doc_id", "left")
+    return reports.first_flags(marked.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))), "flags")
+
+
 # ---- windows and drift
 
 

@@ -81,6 +81,12 @@ def test_rates(spark):
     assert (row[1]["precision"], row[1]["f1"], row[1]["fpr"]) == (0, 0, 0)
 
 
+def test_both_directions(spark):
+    proved = lambda *rows: evaluate.both_directions(spark.createDataFrame(list(rows), "kind string, alert boolean")).first()["proved"]
+    assert proved(("normal", False), ("shifted", True)) and not proved(("normal", True), ("shifted", True)) and not proved(("normal", False))
+    assert value(spark, text.model_key(F.lit("x/id-00000123_a.pt"))) == "id-00000123" and value(spark, text.model_key(F.lit("Net.PT"))) == "net"
+
+
 def test_model_verdicts(spark):
     norms = spark.createDataFrame([("m", c, v) for c, v in enumerate([10.0, 11.0, 10.5, 2.0, 10.2])] + [("k", c, 5.0) for c in range(5)], "model_id string, class int, x double")
     mad = models.mad_index(norms, "model_id", "class", "x")

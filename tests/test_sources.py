@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.drift import Windows
-from plumbline.sources import annotations, files, images
+from plumbline.sources import annotations, files, images, reference
 from plumbline.streaming import operators as streams
 
 
@@ -122,3 +122,15 @@ def test_stream_windows_equal_batch_and_ledger_is_first_wins(spark, tmp_path):
     assert kept.count() == 5 == kept.select("hash").distinct().count()
     counts = streams.activity(stream(), "ts", "asset", "10 seconds", "1 second")
     assert streams.drained(counts, str(tmp_path / "act")).agg(F.sum("n")).first()[0] > 0
+
+
+def test_reference_refuses_what_its_manifest_does_not_say(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), f"h{i}", [float(i), 1.0]) for i in range(5)], "sample_id string, sha256 string, embedding array<double>")
+    reference.build(rows, str(tmp_path), "b")
+    loaded, manifest = reference.load(spark, str(tmp_path))
+    assert loaded.count() == 5 and manifest.first()["dim"] == 2
+    with pytest.raises(ValueError, match="dim"):
+        reference.load(spark, str(tmp_path), 3)
+    rows.limit(4).write.mode("overwrite").parquet(str(tmp_path / "embeddings"))
+    with pytest.raises(ValueError, match="rows"):
+        reference.load(spark, str(tmp_path))
