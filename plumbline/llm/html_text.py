@@ -3,7 +3,7 @@
 Each page's containers are scored: a block of text counts for the container it stands in and half for
 the one around that, text in links counts against it, and menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments count for nothing. A container is named by its path of tags
-and classes, with digits generalised. Spark adds the scores up by host and path, and the path with the
+and classes, with digits generalised; what stands within an article is part of it. Spark adds the scores up by host and path, and the path with the
 greatest sum wins the host. The text of each page is then taken from the containers on its host's winning
 path, without the unwanted parts inside; a page that lacks the path uses its own best container.
 
@@ -85,6 +85,7 @@ def texts_of(page: str) -> Iterator[tuple[str | None, bool, str]]:
             while stack.pop().tag not in CLOSED_BY:
                 pass
         top = stack[-1]
+        within = top.path.rpartition("/")[2].partition(".")[0]
         label, unwanted = name, top.unwanted or name in UNWANTED_TAGS
         if rest and not rest.isspace():
             for match in _ATTRIBUTE.finditer(rest):
@@ -93,16 +94,21 @@ def texts_of(page: str) -> Iterator[tuple[str | None, bool, str]]:
                     unwanted = True
                 elif kind == "role":
                     unwanted = unwanted or value in UNWANTED_ROLES
-                elif name not in ("html", "body", "article", "main"):
+                elif name not in ("html", "body", "main") and (name != "article" or within == "article"):
                     unwanted = unwanted or not UNWANTED_WORDS.isdisjoint(_WORDS.findall(value))
                 if kind == "class":
                     label += "".join("." + re.sub(r"\d+", "N", part) for part in sorted(value.split()))
-        path = f"{top.path}/{label}" if name in CONTAINERS else top.path
+        path = f"{top.path}/{label}" if name in CONTAINERS and not _is_whole(within, name) else top.path
         if not rest.endswith("/"):
             stack.append(_Open(name, path, unwanted, top.link or name == "a"))
     return
 
 
+def _is_whole(within: str, name: str) -> bool:
+    """Whether a container is no more than a part of the one around it: all of an article's, and of a main part all but articles."""
+    return within == "article" or within == "main" and name != "article"
+
+
 def _block(stack: list[_Open]) -> str:
     """The innermost open element that a following tag may close, past inline ones."""
     for element in reversed(stack):

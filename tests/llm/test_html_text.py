@@ -32,3 +32,9 @@ def test_the_host_outvotes_a_page(spark):
 @pytest.mark.parametrize("page, text", [("<p>a<p>b<li>c</li>", "a b c"), ("<div>a&nbsp; b</div>", "a b"), ("<DIV>A</DIV><script>x", "A"), ("<div hidden>x</div><div>y</div>", "y"), ("<p>1 < 2</p>", "1 < 2"), ("<div>x <em>y</em>z</div>", "x yz")])
 def test_pieces(page, text):
     assert html_text.text_at(f"<html><body>{page}</body></html>", "/html/body") == text
+
+
+def test_parts_of_an_article_stay_together(spark):
+    page = "<html><body><div class='x'>aside text</div><main><article class='has-sidebar'><h1>Head</h1><div class='body'><section><p>%s</p></section></div><div class='comments'><p>bad</p></div><article class='comment'>worse</article></article></main></body></html>" % ("text " * 40)
+    frame = spark.createDataFrame([(i, "http://a/", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extract(frame).collect()} == {"Head " + "text " * 39 + "text"}
