@@ -45,9 +45,9 @@ LOCAL_CONTEXTS = 64
 HOT = 30_000
 #: Window starts that are anchored at a time, and anchors that a task joins at a time.
 BLOCK = 1 << 18
-ANCHORS = 1 << 20
+ANCHORS = 1 << 19
 #: Bytes of candidates that are sorted at a time, but for a group that is larger on its own.
-SORTED_BYTES = 4 << 20
+SORTED_BYTES = 1 << 20
 
 _ROOM = BLOCK + 4 * LENGTH
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
