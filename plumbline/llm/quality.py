@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import text_of
 
 #: (from this many bytes on, least ratio, greatest ratio).
-BANDS = ((200, 0.40, 1.00), (500, 0.36, 0.85), (1_000, 0.34, 0.75), (2_000, 0.32, 0.70), (4_000, 0.30, 0.66), (10_000, 0.28, 0.64), (30_000, 0.26, 0.62))
+BANDS = ((200, 0.42, 1.00), (500, 0.41, 0.85), (1_000, 0.40, 0.75), (2_000, 0.40, 0.70), (4_000, 0.38, 0.66), (10_000, 0.365, 0.64), (30_000, 0.35, 0.62))
 CHUNK_BYTES = 4_096
 CHUNK_BAND = (0.25, 0.70)
 CHUNK_SHARE = 0.5
