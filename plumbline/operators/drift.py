@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.tables import durable
+
+#: Rows of one side of a tile; a tile is one task's kernel matrix.
+TILE_ROWS = 2_000
+
 
 @dataclass(frozen=True)
 class Windows:
@@ -30,9 +35,10 @@ class Windows:
 def indexed(frame: DataFrame, order: list[str], index: str = "row_index") -> DataFrame:
     """A 0-based global index in `order`, without one task seeing all rows: a range partitioning, then offsets.
 
-    The offsets are one number a partition.
+    The offsets are one number a partition. The parts are written first: run again with fewer columns they
+    could be cut elsewhere, and the offsets would not be theirs.
     """
-    parted = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    parted = durable(frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     named = parted.withColumn("__part", part).withColumn("__within", within)
     counts = sorted((r["__part"], r["count"]) for r in named.groupBy("__part").count().collect())
@@ -74,9 +80,13 @@ def bandwidth(rows: np.ndarray) -> float:
     return float(np.sqrt(np.median(d2))) or 1.0
 
 
+def _kernel(a: np.ndarray, b: np.ndarray, sigma: float) -> np.ndarray:
+    return np.exp(-np.minimum(_d2(a, b) / (2 * sigma**2), 700))
+
+
 def mmd2(reference: np.ndarray, live: np.ndarray, sigma: float) -> float:
     """The biased V-statistic of the kernel two-sample test, at least 0."""
-    k = lambda a, b: float(np.exp(-np.minimum(_d2(a, b) / (2 * sigma**2), 700)).mean())
+    k = lambda a, b: float(_kernel(a, b, sigma).mean())
     return max(0.0, k(reference, reference) + k(live, live) - 2 * k(reference, live))
 
 
@@ -97,28 +107,109 @@ def permutation_p(reference: np.ndarray, live: np.ndarray, sigma: float, permuta
 
 
 def _sample(frame: DataFrame, key: str, vector: str, seed: int, most: int) -> np.ndarray:
-    """A bounded reference: the rows of least seeded hash. All rows while there are no more than `most`."""
+    """A bounded sample for the bandwidth: the rows of least seeded hash. All rows while there are no more than `most`."""
     rows = frame.select(F.col(vector).cast("array<double>").alias("v"), F.col(key).alias("k")).orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(most)
     return np.array([r["v"] for r in rows.select("v").collect()])
 
 
-def window_mmd(reference: DataFrame, members: DataFrame, key: str, vector: str, seed: int = 42, most: int = 512, permutations: int = 0, sigma: float | None = None) -> DataFrame:
-    """(window_no, n, mmd, sigma, p_value) of each window against a reference of at most `most` rows.
+def _kernel_sums(rows: DataFrame, reference: DataFrame, sigma: float) -> DataFrame:
+    """(window_no, live, id, total, pairs): of each of `rows` the kernel's sum with all reference rows, in parts, a tile each.
 
-    A window is one group and bounded by its size; the reference goes to all tasks.
+    Rows that aren't finite or of the reference's dimensions have no parts.
     """
-    base = _sample(reference, key, vector, seed, most)
-    width = sigma or bandwidth(base)
+    n_rows, n_reference = (max(1, -(-frame.count() // TILE_ROWS)) for frame in (rows, reference))
+
+    def spread(frame: DataFrame, own: str, n_own: int, other: str, n_other: int, is_row: bool) -> DataFrame:
+        block = F.pmod(F.xxhash64("live", "id"), F.lit(n_own)).cast("int").alias(own)
+        return frame.select("window_no", "live", "id", "v", block, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other), F.lit(is_row).alias("is_row"))
+
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = part[part["is_row"]], part[~part["is_row"]]
+        if len(right):
+            base = np.stack(right["v"])
+            if not np.isfinite(base).all():
+                raise ValueError("reference vectors are not finite")
+            left = left[[len(v) == base.shape[1] and bool(np.isfinite(v).all()) for v in left["v"]]]
+        totals = _kernel(np.stack(left["v"]), base, sigma).sum(1) if len(left) and len(right) else 0.0
+        return left[["window_no", "live", "id"]].assign(total=totals, pairs=len(right))
+
+    both = spread(rows, "i", n_rows, "j", n_reference, True).unionByName(spread(reference, "j", n_reference, "i", n_rows, False))
+    return both.groupBy("i", "j").applyInPandas(tile, "window_no long, live boolean, id long, total double, pairs long")
 
-    def test(part: pd.DataFrame) -> pd.DataFrame:
-        live = np.stack(part["v"])
-        if not len(base) or live.shape[1] != base.shape[1] or not np.isfinite(live).all():
-            return pd.DataFrame([(part["window_no"].iat[0], len(part), None, width, None)], columns=["window_no", "n", "mmd", "sigma", "p_value"])
-        p = permutation_p(base, live, width, permutations, seed)[0] if permutations else None
-        return pd.DataFrame([(part["window_no"].iat[0], len(part), mmd2(base, live, width), width, p)], columns=["window_no", "n", "mmd", "sigma", "p_value"])
 
-    rows = members.select("window_no", F.col(vector).cast("array<double>").alias("v"))
-    return rows.groupBy("window_no").applyInPandas(test, "window_no long, n long, mmd double, sigma double, p_value double")
+def _permuted(base: DataFrame, live: DataFrame, sums: DataFrame, n: int, sigma: float, permutations: int, seed: int) -> DataFrame:
+    """(window_no, p_value) over the pooled rows of all the reference and a window, a group for each permutation.
+
+    A permutation deals as many pooled rows as the window has to the live side. Its statistic follows from the
+    kernel's sums of those rows with all others, so no group holds the reference.
+    """
+    by_row = durable(sums.groupBy("window_no", "live", "id").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs")))
+    inner = by_row.filter("not live").agg(F.sum("total")).first()[0]
+    near = live.join(by_row.filter("live").filter(F.col("pairs") == n).select("id", "total"), "id")
+    pool = base.join(by_row.filter("not live").select("id", "total"), "id").select(F.col("id").alias("at"), F.col("v").alias("far"), F.col("total").alias("rest"))
+
+    def deal(batches):
+        for part in batches:
+            for window, size in zip(part["window_no"], part["n"]):
+                for turn in range(permutations):
+                    at = np.random.default_rng([seed, abs(int(window)), turn]).choice(n + size, size, replace=False)
+                    yield pd.DataFrame({"window_no": window, "turn": turn, "at": np.sort(at)})
+
+    dealt = live.groupBy("window_no").agg(F.count("*").alias("n")).mapInPandas(deal, "window_no long, turn int, at long")
+    picks = dealt.join(pool, "at", "left")
+    spread = near.select("window_no", "id", "v", "total", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("turn"))
+
+    def test(picked: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
+        if not len(window) or len(window) != len(picked):
+            return pd.DataFrame({"window_no": [], "hit": []})
+        window, size = window.sort_values("id"), len(window)
+        rows, across = np.stack(window["v"]), window["total"].to_numpy()
+        own = _kernel(rows, rows, sigma)
+        far = picked[picked["at"] < n]
+        moved = picked["at"][picked["at"] >= n].to_numpy() - n
+        reference = np.stack(far["far"]) if len(far) else rows[:0]
+        drawn = np.vstack([reference, rows[moved]])
+        with_all = far["rest"].sum() + _kernel(reference, rows, sigma).sum() + across[moved].sum() + own[moved].sum()
+        whole, inside = inner + 2 * across.sum() + own.sum(), _kernel(drawn, drawn, sigma).sum()
+        seen = max(0.0, inner / n**2 + own.sum() / size**2 - 2 * across.sum() / (n * size))
+        value = max(0.0, (whole - 2 * with_all + inside) / n**2 + inside / size**2 - 2 * (with_all - inside) / (n * size))
+        return pd.DataFrame({"window_no": [window["window_no"].iat[0]], "hit": [float(value >= seen)]})
+
+    tested = picks.groupBy("window_no", "turn").cogroup(spread.groupBy("window_no", "turn")).applyInPandas(test, "window_no long, hit double")
+    return tested.groupBy("window_no").agg(F.avg("hit").alias("p_value"))
+
+
+def window_mmd(reference: DataFrame, members: DataFrame, key: str, vector: str, seed: int = 42, most: int = 512, permutations: int = 0, sigma: float | None = None) -> DataFrame:
+    """(window_no, n, mmd, sigma, p_value) of each window against all reference rows; `most` bounds the rows that set the bandwidth.
+
+    The kernel's sums are those of all pairs, in tiles of at most about 2 * TILE_ROWS rows; a window by itself is one group and bounded by its size.
+    """
+    width = sigma or bandwidth(_sample(reference, key, vector, seed, most))
+    v = F.col(vector).cast("array<double>").alias("v")
+    base = indexed(reference.select(F.lit(0).cast("long").alias("window_no"), F.lit(False).alias("live"), v, F.col(key).alias("k")), ["k"], "id").drop("k")
+    live = durable(members.select("window_no", F.lit(True).alias("live"), v).withColumn("id", F.monotonically_increasing_id()))
+    n = base.count()
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        good = part["v"].map(len).nunique() == 1 and np.isfinite(np.stack(part["v"])).all()
+        rows = np.stack(part["v"]) if good else None
+        total = sum(_kernel(rows[at : at + TILE_ROWS], rows, width).sum() for at in range(0, len(rows), TILE_ROWS)) if good else None
+        return pd.DataFrame([(part["window_no"].iat[0], len(part), total)], columns=["window_no", "n", "own"])
+
+    sums = _kernel_sums(base.unionByName(live), base, width)
+    if permutations:
+        sums = durable(sums)
+    by_window = durable(sums.groupBy("live", "window_no").agg(F.sum("total").alias("across"), F.sum("pairs").alias("pairs")))
+    inner = by_window.filter("not live").select(F.col("across").alias("inner"))
+    own = live.groupBy("window_no").applyInPandas(within, "window_no long, n long, own double")
+    joined = own.join(by_window.filter("live").drop("live"), "window_no", "left").join(F.broadcast(inner), how="left")
+    value = F.greatest(F.lit(0.0), F.col("inner") / n**2 + F.col("own") / F.col("n") ** 2 - 2 * F.col("across") / (n * F.col("n"))) if n else F.lit(None).cast("double")
+    tested = joined.withColumn("mmd", F.when(F.col("pairs") == F.col("n") * n, value))
+    if permutations and n:
+        tested = tested.join(_permuted(base, live, sums, n, width, permutations, seed), "window_no", "left").withColumn("p_value", F.when(F.col("mmd").isNotNull(), F.col("p_value")))
+    else:
+        tested = tested.withColumn("p_value", F.lit(None).cast("double"))
+    return tested.select("window_no", "n", "mmd", F.lit(width).alias("sigma"), "p_value")
 
 
 def calibrated(reference: DataFrame, key: str, vector: str, draws: int = 200, split: int = 0, quantile: float = 0.99, seed: int = 42, most: int = 512) -> DataFrame:

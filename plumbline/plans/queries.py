@@ -324,7 +324,7 @@ rl as (select window_no, avg(exp(-least(pow(list_distance(a.v, b.v), 2) / 2, 700
 def _window_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     members = drift.assigned(drift.indexed(rows.filter("label > 0"), ["vec_id"]), drift.Windows(50, 50))
-    return drift.window_mmd(rows.filter("label = 0"), members, "vec_id", "embedding", sigma=1.0, most=1_000)
+    return drift.window_mmd(rows.filter("label = 0"), members, "vec_id", "embedding", sigma=1.0)
 
 
 @query(f"with {_MMD} select window_no, n, round(mmd, 6) as mmd from m")

@@ -109,6 +109,26 @@ def test_windows_mmd_and_calibration(spark):
     assert drift.bandwidth(np.ones((5, 2))) == 1.0 and drift.mmd2(np.ones((5, 2)), np.ones((5, 2)), 1.0) == 0
 
 
+def test_mmd_takes_all_reference_rows_over_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(drift, "TILE_ROWS", 500)
+    rng = np.random.default_rng(9)
+    base = np.vstack([rng.normal(0, 1, (700, 4)), rng.normal(3, 1, (500, 4))])
+    live = np.vstack([rng.normal(1, 1, (40, 4)), base[::30]])
+    members = frame(spark, live).withColumn("window_no", (F.col("id") / 40).cast("long")).unionByName(frame(spark, [[0.0, 1.0]]).withColumn("window_no", F.lit(2).cast("long")))
+    got = {r["window_no"]: r for r in drift.window_mmd(frame(spark, base), members, "id", "embedding", sigma=1.5, permutations=20).collect()}
+    for window in (0, 1):
+        part = live[40 * window : 40 * window + 40]
+        assert got[window]["mmd"] == pytest.approx(drift.mmd2(base, part, 1.5), abs=1e-9) and got[window]["n"] == 40
+        assert abs(got[window]["p_value"] - drift.permutation_p(base, part, 1.5, 60, 1)[0]) < 0.3
+    assert got[0]["p_value"] == 0 and got[1]["p_value"] > 0.5
+    assert got[2]["mmd"] is None and got[2]["p_value"] is None
+
+
+def test_an_index_has_no_gaps_when_its_parts_are_joined(spark):
+    wide = spark.range(20_000).withColumn("text", F.concat(*(F.sha2(F.concat("id", F.lit(i)), 256) for i in range(20))))
+    assert drift.indexed(wide, ["id"]).filter("row_index = id and text is not null").count() == 20_000
+
+
 @pytest.mark.parametrize("n, windows", [(9, 0), (10, 1), (15, 2)])
 def test_count_windows(spark, n, windows):
     members = drift.assigned(drift.indexed(spark.range(n), ["id"]), drift.Windows(10, 5))
