@@ -1,5 +1,9 @@
 import random
 
+import pyarrow.parquet as pq
+import pytest
+import zstandard
+
 from plumbline.llm import quality
 
 
@@ -27,3 +31,23 @@ def test_overlapping_windows_count_words_once():
     assert quality.repeat_words(words) == 6
     assert quality.repeat_words(b"x x x x".split()) == 4
     assert quality.repeat_words(b"a b".split()) == 0
+
+
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_clean_prose_is_kept_at_any_length(lang):
+    folder = "/root/testdata/sf0.1"
+    clean = {r["doc_id"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist() if r["quality"] == 1}
+    texts = sorted({r["text"] for r in pq.read_table(f"{folder}/documents.parquet").to_pylist() if r["doc_id"] in clean and r["lang"] == lang})
+    random.Random(3).shuffle(texts)
+    raw, compress = "\n".join(texts).encode(), zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    assert all(quality.bands(raw[:size], compress)[0] for size in (50_000, 100_000, 300_000, 1_000_000, 1_300_000, len(raw)))
+
+
+def test_every_byte_lies_in_a_chunk():
+    rng, compress = random.Random(1), zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(words) for _ in range(6000)).encode()
+    assert quality.bands(prose[:12_288], compress)[2] == 0
+    assert quality.bands(prose[:8_192] + b"ab " * 1_360, compress)[2] == 1
+    assert quality.bands(b"ab " * 1_400, compress)[2] == 2
+    assert not quality.bands(prose[:24_576] + (prose[:60] * 300)[:12_288], compress)[0]
