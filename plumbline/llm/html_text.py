@@ -1,7 +1,8 @@
 """Main text of web pages, by the container path that a host's pages agree on.
 
 Each page's containers are scored: a block of text counts for the container it stands in and half for
-the one around that, text in links counts against it, and menus, headers, footers, sidebars, notices,
+the one around that (in full, and so on upwards, if that adds unlinked text of its own: a heading or a
+lead around the body belongs to the text), text in links counts against it, and menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments count for nothing. A container is named by its path of tags
 and classes, with digits generalised; what stands within an article is part of it. Spark adds the scores up by host and path, and the path with the
 greatest sum wins the host. The text of each page is then taken from the containers on its host's winning
@@ -37,11 +38,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CONTAINERS = frozenset("html body main article section div td center blockquote".split())
 UNWANTED_TAGS = frozenset("head nav header footer aside form button select menu dialog noscript template iframe object svg canvas".split())
 UNWANTED_WORDS = frozenset("ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toc toolbar widget widgets".split())
+#: Words that may stand beside an unwanted one in a class or id: site-footer is a footer, social-impact is a subject.
+LAYOUT_WORDS = frozenset("area bar block bottom box container content foot form global head inner item left link links list main outer page panel post primary right row secondary section site sub top unit wrap wrapper".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figure figcaption".split())
+WIDE = frozenset(["html", "body", "main"])
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CLOSED_BY = {"p": frozenset("p div article section ul ol li table h1 h2 h3 h4 h5 h6 blockquote pre form hr main aside nav header footer dl figure".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile("[a-z0-9]+")
 
 
@@ -90,12 +95,13 @@ def texts_of(page: str) -> Iterator[tuple[str | None, bool, str]]:
         if rest and not rest.isspace():
             for match in _ATTRIBUTE.finditer(rest):
                 kind, value = match.group(1).lower(), (match.group(2) or match.group(3) or match.group(4) or "").lower()
-                if kind == "hidden" and '"' not in rest[: match.start()][-1:]:
+                if kind == "hidden" or kind == "aria-hidden" and value == "true":
                     unwanted = True
                 elif kind == "role":
                     unwanted = unwanted or value in UNWANTED_ROLES
-                elif name not in ("html", "body", "main") and (name != "article" or within == "article"):
-                    unwanted = unwanted or not UNWANTED_WORDS.isdisjoint(_WORDS.findall(value))
+                elif kind == "class" or kind == "id" and not (within == "article" and name in TEXT_TAGS):
+                    if name not in WIDE and (name != "article" or within == "article"):
+                        unwanted = unwanted or any(map(_names_unwanted, value.split()))
                 if kind == "class":
                     label += "".join("." + re.sub(r"\d+", "N", part) for part in sorted(value.split()))
         path = f"{top.path}/{label}" if name in CONTAINERS and not _is_whole(within, name) else top.path
@@ -104,6 +110,12 @@ def texts_of(page: str) -> Iterator[tuple[str | None, bool, str]]:
     return
 
 
+def _names_unwanted(token: str) -> bool:
+    """Whether a class or an id is an unwanted word, alone or beside words of layout."""
+    words = _WORDS.findall(token)
+    return not UNWANTED_WORDS.isdisjoint(words) and all(word in UNWANTED_WORDS or word in LAYOUT_WORDS or word.isdigit() for word in words)
+
+
 def _is_whole(within: str, name: str) -> bool:
     """Whether a container is no more than a part of the one around it: all of an article's, and of a main part all but articles."""
     return within == "article" or within == "main" and name != "article"
@@ -120,12 +132,19 @@ def _block(stack: list[_Open]) -> str:
 def container_scores(page: str) -> dict[str, int]:
     """Score of each container path of a page."""
     scores: dict[str, int] = defaultdict(int)
+    plain: dict[str, int] = defaultdict(int)
     for path, link, text in texts_of(page):
         if path and (size := len(text.strip())):
             scores[path] += -2 * size if link else 2 * size
-            parent = path.rpartition("/")[0]
-            if parent and not link:
-                scores[parent] += size
+            if not link:
+                plain[path] += size
+    adds = {path for path, score in scores.items() if score > 0 and path.rpartition("/")[2].partition(".")[0] not in WIDE}
+    for path, size in plain.items():
+        while parent := path.rpartition("/")[0]:
+            scores[parent] += 2 * size if parent in adds else size
+            if parent not in adds:
+                break
+            path = parent
     return {path: score for path, score in scores.items() if score > 0}
 
 

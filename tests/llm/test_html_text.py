@@ -38,3 +38,24 @@ def test_parts_of_an_article_stay_together(spark):
     page = "<html><body><div class='x'>aside text</div><main><article class='has-sidebar'><h1>Head</h1><div class='body'><section><p>%s</p></section></div><div class='comments'><p>bad</p></div><article class='comment'>worse</article></article></main></body></html>" % ("text " * 40)
     frame = spark.createDataFrame([(i, "http://a/", page) for i in range(3)], "page_id long, url string, html string")
     assert {r["text"] for r in html_text.extract(frame).collect()} == {"Head " + "text " * 39 + "text"}
+
+
+@pytest.mark.parametrize("attribute", ['style="overflow: hidden"', 'aria-hidden="false"', 'title="A hidden gem"', 'data-href="/the-hidden-lake"', 'data-x="/p?id=ad"', "data-x='class=ad'", 'class="social-impact"', "id=sharing-data"])
+def test_words_inside_values_hide_nothing(attribute):
+    assert html_text.text_at(f"<html><body><div {attribute}>a <b>b</b></div></body></html>", "/html/body") == "a b"
+
+
+@pytest.mark.parametrize("attribute", ["hidden", 'data-a="x" hidden', 'hidden=""', 'aria-hidden="true"', 'class="x ad"', "class=site-footer", "id=comments", "role=navigation"])
+def test_hidden_and_unwanted_parts_are_left_out(attribute):
+    assert html_text.text_at(f"<html><body><div {attribute}>a</div><p>b</p></body></html>", "/html/body") == "b"
+
+
+def test_headings_keep_their_ids():
+    page = "<html><body><article><h2 id='sharing-data'>A</h2><h2 id='comments'>B</h2><section id='social-impact'>C</section><section id='comments'>D</section></article></body></html>"
+    assert html_text.text_at(page, "/html/body/article") == "A B C"
+
+
+def test_a_heading_and_a_lead_around_the_body_belong_to_it(spark):
+    page = "<html><body><div class='top'>name of the site</div><div class='post'><h1>Head</h1><p>lead</p><div class='body'><p>%s</p></div></div><p>foot</p></body></html>" % ("text " * 40)
+    frame = spark.createDataFrame([(i, "http://a/", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extract(frame).collect()} == {"Head lead " + "text " * 39 + "text"}
