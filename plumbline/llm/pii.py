@@ -7,6 +7,11 @@ network under a secret key, and the value of the permuted number takes its place
 card of as many digits, a date a date. The same value gets the same pseudonym in every document, whatever
 its separators, and the key's owner can undo it.
 
+Where the longest reading of a card or account number fails its rule, the other readings of the same run of
+groups are tried, from each start the longest first; card groups within a run have three digits at least. A
+pseudonym in such a run is permuted on until no earlier reading is valid, so that it is found again there;
+in such a place it can differ from the value's pseudonym elsewhere.
+
 Numbers that fail their rule are left alone, as is all other text. Defined results: a null text stays
 null; an empty text stays empty; long texts are searched in full; repeated rows are treated alike; an
 empty table gives an empty result. All other columns are returned as they are.
@@ -30,7 +35,7 @@ KINDS = ("card", "phone", "ssn", "ip", "iban", "date", "email", "secret")
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[0-9a-f]{8,}(?![A-Za-z0-9])|(?<=token = \")[0-9a-f]{16,}(?=\"))"
+    r"|(?P<secret>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"'&;,<>]{4,}|(?<=token = \")[0-9a-f]{16,}(?=\"))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w/-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
@@ -38,6 +43,11 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9](?:[ .-]?[0-9]){7,14}(?![\w]))"
     r"|(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9]))"
 )
+_HEX = re.compile("[0-9a-f]{8,}")
+#: Of kinds that stand in groups: the run of groups, how a reading starts, its least and greatest length, the least length of a group.
+_RUNS = {"card": (re.compile("[0-9]+(?:[ -][0-9]+)*"), re.compile("[0-9]"), 13, 19, 3), "iban": (re.compile("[A-Z0-9]+(?: [A-Z0-9]+)*"), re.compile("[A-Z]{2}[0-9]{2}"), 15, 34, 1)}
+#: A walk to a pseudonym that is found again ends after so many steps; about one reading in ten is valid by chance.
+MOST_STEPS = 1_000
 _MAYBE = re.compile("[0-9@]|AKIA|password=|token = ")
 
 
@@ -183,27 +193,80 @@ def email(value: str, key: bytes, back: bool) -> str | None:
 def secret(value: str, key: bytes, back: bool) -> str | None:
     if value.startswith("AKIA"):
         return "AKIA" + _by_class(value[4:], key, b"key", back)
-    return _hex(value, key, b"hex", back)
+    if _HEX.fullmatch(value):
+        return _hex(value, key, b"hex", back)
+    if not re.search("[A-Za-z0-9]", value):
+        return None
+    while True:
+        value = _by_class(value, key, b"word", back)
+        if not _HEX.fullmatch(value) and not value.startswith("AKIA"):  # else it would be read as another sort
+            return value
 
 
 RULES: dict[str, Callable[[str, bytes, bool], str | None]] = {"card": card, "phone": phone, "ssn": ssn, "ip": ip, "iban": iban, "date": date, "email": email, "secret": secret}
 
 
+def _readings(kind: str, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The readings of the run of groups at `start` that begin before `end`, by start, the longest first."""
+    run, opening, least, most, group = _RUNS[kind]
+    found = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", text[start : run.match(text, start, end + 2 * most).end()])]
+    for first, (at, _) in enumerate(found):
+        if start + at >= end:
+            return
+        if not opening.match(text, start + at):
+            continue
+        stops, size = [], 0
+        for left, right in found[first:]:
+            size += right - left
+            if size > most or right - left < group:
+                break
+            after = text[start + right : start + right + 2]
+            if size >= least and not re.match(r"\w|[.][0-9]", after):
+                stops.append(start + right)
+        for stop in reversed(stops):
+            yield start + at, stop
+
+
+def _within(kind: str, text: str, start: int, end: int, key: bytes, back: bool) -> tuple[int, int, str] | None:
+    """The first valid reading within a match that is not valid as a whole, and its pseudonym."""
+    rule, earlier = RULES[kind], [(start, end)]
+    for at, stop in _readings(kind, text, start, start + 1 if kind == "iban" else end):  # the search goes on at an iban's next group
+        new = rule(text[at:stop], key, back)
+        if new is None:
+            earlier.append((at, stop))
+            continue
+        for _ in range(MOST_STEPS):
+            low, high = min(a for a, _ in earlier), max(stop, *(b for _, b in earlier))
+            seen = text[low:at] + new + text[stop:high]
+            if all(b <= at or rule(seen[a - low : b - low], key, back) is None for a, b in earlier):
+                break
+            new = rule(new, key, back)
+        return at, stop, new
+    return None
+
+
 def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """`text` with pseudonyms, and how many of each kind it now has."""
     counts = dict.fromkeys(KINDS, 0)
     if not _MAYBE.search(text):
         return text, counts
 
-    def one(match: re.Match) -> str:
-        kind = match.lastgroup
-        new = RULES[kind](match.group(), key, back)
+    pieces, done, at = [], 0, 0
+    while match := PATTERN.search(text, at):
+        kind, (start, at) = match.lastgroup, match.span()
+        new, stop = RULES[kind](match.group(), key, back), at
         if new is None:
-            return match.group()
+            part = _within(kind, text, start, at, key, back) if kind in _RUNS else None
+            if part is None:
+                if kind == "iban":  # a card can stand behind what only looks like a country's code
+                    at = start + re.match("[A-Z0-9]+", match.group()).end()
+                continue
+            start, stop, new = part
+            at = stop
         counts[kind] += 1
-        return new
-
-    return PATTERN.sub(one, text), counts
+        pieces += text[done:start], new
+        done = stop
+    return "".join(pieces) + text[done:], counts
 
 
 def _replace_rows(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) -> Iterator[pa.RecordBatch]:

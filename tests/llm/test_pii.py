@@ -52,3 +52,29 @@ def test_table(spark):
     assert got[3]["kinds"]["ip"] == 1 and len(got[3]["text"]) > 250_000
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pii.report(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("n_found > 0").count() == 3
+
+
+CARD, IBAN = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+
+
+@pytest.mark.parametrize("text, kind", [(f"pay {CARD} 12/27", "card"), ("4111111111111111 123", "card"), ("3 4111111111111111", "card"), ("4111-1111-1111-1111 123 x", "card"), (f"ID42 {CARD}", "card"), (f"{IBAN} BIC COBADEFF", "iban"), (f"{IBAN} 2021", "iban"), ("DE89370400440532013000 BIC COBADEFFXXX end", "iban")])
+def test_neighbours_hide_no_valid_number(text, kind):
+    new, counts = pii.replace(text)
+    assert counts == dict.fromkeys(pii.KINDS, 0) | {kind: 1}
+    plain = lambda t: re.sub("[ -]", "", t)
+    assert plain(CARD) not in plain(new) and plain(IBAN) not in plain(new) and len(new) == len(text)
+    assert pii.replace(new, back=True)[0] == text
+
+
+def test_cards_with_neighbours_come_back():
+    for n in range(300):
+        body = f"4{n * 7919:014d}"
+        text = f"{n % 10} {body + pii.luhn_digit(body)} {100 + n}"
+        new, counts = pii.replace(text)
+        assert counts["card"] == 1 and new != text and pii.replace(new, back=True)[0] == text
+
+
+@pytest.mark.parametrize("value", ["Hunter2xyz", "s3cr3t!Pass", "correcthorse", "E3B3ED3CC8548923D6", "tr0ub4dor"])
+def test_any_password_is_replaced_and_comes_back(value):
+    new, counts = pii.replace(f"login password={value} end")
+    assert counts["secret"] == 1 and value not in new and pii.replace(new, back=True)[0] == f"login password={value} end"
