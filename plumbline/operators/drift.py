@@ -212,31 +212,52 @@ def window_mmd(reference: DataFrame, members: DataFrame, key: str, vector: str,
     return tested.select("window_no", "n", "mmd", F.lit(width).alias("sigma"), "p_value")
 
 
-def calibrated(reference: DataFrame, key: str, vector: str, draws: int = 200, split: int = 0, quantile: float = 0.99, seed: int = 42, most: int = 512) -> DataFrame:
-    """(calibration_id, threshold, sigma, draws, n, digest): the quantile of the statistic between disjoint random halves, a task a draw."""
-    base = _sample(reference, key, vector, seed, most)
-    if len(base) < 4:
-        raise ValueError(f"{len(base)} reference rows, at least 4 needed")
-    size, width = split or min(60, len(base) // 2), bandwidth(base)
+def _digest(frame: DataFrame, key: str, vector: str) -> DataFrame:
+    return frame.agg(F.sha2(F.concat_ws("|", F.count("*"), F.sum(F.xxhash64(key, vector).cast("decimal(38,0)"))), 256).alias("digest"))
+
+
+def _drawn(rows: DataFrame, n: int, draws: int, size: int, seed: int) -> DataFrame:
+    """(draw, place, v): for each draw `size` different rows of all `n`, by their numbers; the numbers go to all tasks."""
 
-    def null(batches):
+    def pick(batches):
         for part in batches:
-            values = []
-            for draw in part["id"]:
-                order = np.random.default_rng([seed, int(draw)]).permutation(len(base))
-                values.append(mmd2(base[order[:size]], base[order[size : 2 * size]], width))
-            yield pd.DataFrame({"value": values})
-
-    spark = reference.sparkSession
-    digest = reference.agg(F.sha2(F.concat_ws("|", F.count("*"), F.sum(F.xxhash64(key, vector).cast("decimal(38,0)"))), 256).alias("digest"))
-    drawn = spark.range(draws).mapInPandas(null, "value double").agg(F.percentile("value", quantile).alias("threshold"))
-    named = drawn.crossJoin(digest).withColumns({"sigma": F.lit(width), "draws": F.lit(draws), "n": F.lit(size)})
+            for draw in part["draw"]:
+                at = np.random.default_rng([seed, int(draw)]).choice(n, size, replace=False)
+                yield pd.DataFrame({"draw": draw, "place": range(size), "row_index": at})
+
+    numbers = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").mapInPandas(pick, "draw long, place int, row_index long")
+    return rows.join(F.broadcast(numbers), "row_index").select("draw", "place", "v")
+
+
+def _numbered(frame: DataFrame, key: str, vector: str) -> DataFrame:
+    return indexed(frame.select(F.col(vector).cast("array<double>").alias("v"), F.col(key).alias("k")), ["k"])
+
+
+def calibrated(reference: DataFrame, key: str, vector: str, draws: int = 200, split: int = 0, quantile: float = 0.99, seed: int = 42, most: int = 512) -> DataFrame:
+    """(calibration_id, threshold, sigma, draws, n, digest): the quantile of the statistic between disjoint random halves, a group a draw.
+
+    The halves are drawn from all rows; `most` bounds only the rows that set the bandwidth.
+    """
+    rows = _numbered(reference, key, vector)
+    total = rows.count()
+    if total < 4:
+        raise ValueError(f"{total} reference rows, at least 4 needed")
+    size, width = split or min(60, total // 2), bandwidth(_sample(reference, key, vector, seed, most))
+    if 2 * size > total:
+        raise ValueError(f"{total} reference rows, {2 * size} needed for two halves")
+
+    def null(part: pd.DataFrame) -> pd.DataFrame:
+        drawn = np.stack(part.sort_values("place")["v"])
+        return pd.DataFrame({"value": [mmd2(drawn[:size], drawn[size:], width)]})
+
+    values = _drawn(rows, total, draws, 2 * size, seed).groupBy("draw").applyInPandas(null, "value double")
+    named = values.agg(F.percentile("value", quantile).alias("threshold")).crossJoin(_digest(reference, key, vector)).withColumns({"sigma": F.lit(width), "draws": F.lit(draws), "n": F.lit(size)})
     return named.withColumn("calibration_id", F.concat(F.lit("cal-"), F.substring(F.sha2(F.concat_ws("|", "digest", F.lit(seed), F.lit(quantile), "draws", "n"), 256), 1, 12)))
 
 
 def require_same_reference(calibration: DataFrame, reference: DataFrame, key: str, vector: str) -> None:
     """Refuse a calibration of another reference."""
-    own = reference.agg(F.sha2(F.concat_ws("|", F.count("*"), F.sum(F.xxhash64(key, vector).cast("decimal(38,0)"))), 256).alias("digest")).first()["digest"]
+    own = _digest(reference, key, vector).first()["digest"]
     if calibration.first()["digest"] != own:
         raise ValueError("the calibration belongs to another reference")
 

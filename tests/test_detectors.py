@@ -124,6 +124,14 @@ def test_mmd_takes_all_reference_rows_over_several_tiles(spark, monkeypatch):
     assert got[2]["mmd"] is None and got[2]["p_value"] is None
 
 
+def test_calibration_draws_from_all_rows(spark, monkeypatch):
+    rows = drift._numbered(frame(spark, [[float(i)] for i in range(900)]), "id", "embedding")
+    drawn = drift._drawn(rows, 900, 40, 120, 1).collect()
+    assert len(drawn) == 4800 and len({r["v"][0] for r in drawn}) > 880 and len({(r["draw"], r["v"][0]) for r in drawn}) == 4800
+    monkeypatch.setattr(drift, "_sample", lambda *_: np.array([[0.0], [1.0]]))
+    assert drift.calibrated(frame(spark, [[float(i % 2)] for i in range(900)]), "id", "embedding", draws=5).first()["threshold"] > 0
+
+
 def test_an_index_has_no_gaps_when_its_parts_are_joined(spark):
     wide = spark.range(20_000).withColumn("text", F.concat(*(F.sha2(F.concat("id", F.lit(i)), 256) for i in range(20))))
     assert drift.indexed(wide, ["id"]).filter("row_index = id and text is not null").count() == 20_000
