@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from plumbline.tables import durable
 
-__all__ = ["durable", "small_batches", "table", "text_of", "whole_groups"]
+__all__ = ["durable", "mapped", "small_batches", "table", "text_of", "whole_groups"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,16 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def mapped(documents: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str | None = None, kind: DataType | None = None) -> DataFrame:
+    """`documents` through an Arrow function that keeps the columns, and may put one named `added` behind them.
+
+    The function sees doc_id and text by name and all others by neutral names, as column names may hold dots, backticks or clash.
+    """
+    plain = documents.toDF(*(name if name in ("doc_id", "text") else f"column{i}" for i, name in enumerate(documents.columns)))
+    schema = StructType([*plain.schema.fields, *([] if added is None else [StructField("added", kind)])])
+    return plain.mapInArrow(rows, schema).toDF(*documents.columns, *([] if added is None else [added]))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Hand long texts to Python in batches of few rows, which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import durable, text_of
+from plumbline.llm.common import durable, mapped, text_of
 from plumbline.llm.polyhash import Prefixes, U, mixed
 
 SEED = 5
@@ -219,7 +219,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, seed: int = SEED,
     items = _items(benchmark)
     index = _bounded_index(items, seed, most_seeds)
     if index is not None:
-        return documents.mapInArrow(lambda batches: _clean_rows(batches, index, seed, least), documents.schema)
+        return mapped(documents, lambda batches: _clean_rows(batches, index, seed, least))
     # rows are told apart by their text, as equal texts share their fate
     texts = documents.select(text_of("text").cast("binary").alias("raw")).distinct().withColumn("key", F.xxhash64("raw"))
     named = _pairs(texts, items, seed).select(F.col("key").alias("doc_id"), "item_id", "raw", "item")

@@ -263,5 +263,7 @@ def without_duplicates(documents: DataFrame, least: float = LEAST) -> DataFrame:
         node, turn = node + "_", turn + "_"
     keep = classes(documents, least).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias(node)).distinct()
     named = documents.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).join(keep, node, "left_semi")
-    first = Window.partitionBy(node).orderBy("text", F.xxhash64(*(f"`{c}`" for c in documents.columns)))
-    return named.withColumn(turn, F.row_number().over(first)).filter(F.col(turn) == 1).select(*(f"`{c}`" for c in documents.columns))
+    columns = ["`" + name.replace("`", "``") + "`" for name in documents.columns]
+    rest = [column for column in columns if column not in ("`doc_id`", "`text`")]
+    first = Window.partitionBy(node).orderBy("text", *([F.to_json(F.struct(*rest))] if rest else []))
+    return named.withColumn(turn, F.row_number().over(first)).filter(F.col(turn) == 1).select(*columns)

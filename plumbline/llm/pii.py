@@ -5,7 +5,8 @@ found by pattern and, where their kind has one, by a validity rule (Luhn, mod 97
 A valid value is numbered within the set of valid values of its kind, the number is permuted by a Feistel
 network under a secret key, and the value of the permuted number takes its place: a card stays a Luhn
 card of as many digits, a date a date. The same value gets the same pseudonym in every document, whatever
-its separators, and the key's owner can undo it.
+its separators and notation, and the key's owner can undo it: a phone number is read with its country code
+(without one it is a number of +1), a date by its day, a mail address without regard to case.
 
 Where the longest reading of a card or account number fails its rule, the other readings of the same run of
 groups are tried, from each start the longest first; card groups within a run have three digits at least. A
@@ -27,6 +28,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from plumbline.llm.common import mapped
 
 #: Stands in for the owner's secret; pass another in production.
 KEY = b"pseudonym key for tests"
@@ -35,7 +39,9 @@ KINDS = ("card", "phone", "ssn", "ip", "iban", "date", "email", "secret")
 
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9]))"
-    r"|(?P<secret>(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[^\s\"'&;,<>]{4,}|(?<=token = \")[0-9a-f]{16,}(?=\"))"
+    r"|(?P<secret>(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9]))"
+    r"|password=(?P<word>[^\s\"'&;,<>]{4,})"
+    r"|(?i:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|auth|private)[_-]?key)[\"']?[ \t]?[=:][ \t]?[\"']?(?P<keyed>(?=[^\s\"'&;,<>]*[0-9])(?=[^\s\"'&;,<>]*[A-Za-z])[^\s\"'&;,<>]{8,}|[0-9]{16,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
     r"|(?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w/-]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
@@ -43,12 +49,18 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w])|(?<![\w+.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])|(?<![\w+])\+[0-9](?:[ .-]?[0-9]){7,14}(?![\w]))"
     r"|(?P<card>(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|[.-][0-9]))"
 )
-_HEX = re.compile("[0-9a-f]{8,}")
+#: Hexadecimal strings with letters and digits stay such; others are permuted letter by letter.
+_HEX = re.compile("(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{8,}")
+_PREFIXED = re.compile("(A[KS]IA(?=[A-Z0-9]{16}$)|gh[oprsu]_(?=[A-Za-z0-9]{36}$)|sk-(?=[A-Za-z0-9]{20,}$)|xox[abprs]-(?=[A-Za-z0-9-]{10,}$))")
+#: Groups of PATTERN that find credentials by what stands before them.
+_KIND_OF = {"word": "secret", "keyed": "secret"}
+# Country codes of two digits; 1 and 7 have one digit and all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Of kinds that stand in groups: the run of groups, how a reading starts, its least and greatest length, the least length of a group.
 _RUNS = {"card": (re.compile("[0-9]+(?:[ -][0-9]+)*"), re.compile("[0-9]"), 13, 19, 3), "iban": (re.compile("[A-Z0-9]+(?: [A-Z0-9]+)*"), re.compile("[A-Z]{2}[0-9]{2}"), 15, 34, 1)}
 #: A walk to a pseudonym that is found again ends after so many steps; about one reading in ten is valid by chance.
 MOST_STEPS = 1_000
-_MAYBE = re.compile("[0-9@]|AKIA|password=|token = ")
+_MAYBE = re.compile("[0-9@]|[AS]KIA|password=|gh[oprsu]_|sk-|xox")
 
 
 def permute(number: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -127,11 +139,12 @@ def card(value: str, key: bytes, back: bool) -> str | None:
 
 
 def phone(value: str, key: bytes, back: bool) -> str | None:
-    """The country code stays where it stands apart, the rest is permuted."""
-    code = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-    prefix = code.group() if code else ""
-    digits = re.sub("[^0-9]", "", value[len(prefix) :])
-    return prefix + _in_place(value[len(prefix) :], f"{permute(int(digits), 10 ** len(digits), key, b'phone%d' % len(digits), back):0{len(digits)}d}")
+    """The country code stays, the national number is permuted; without a code it is one of +1."""
+    digits = re.sub("[^0-9]", "", value)
+    kept = 0 if value[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+    code, number = digits[:kept] or "1", digits[kept:]
+    new = f"{permute(int(number), 10 ** len(number), key, f'phone{code}-{len(number)}'.encode(), back):0{len(number)}d}"
+    return _in_place(value, digits[:kept] + new)
 
 
 def ssn(value: str, key: bytes, back: bool) -> str | None:
@@ -160,7 +173,10 @@ def iban(value: str, key: bytes, back: bool) -> str | None:
 
 
 def date(value: str, key: bytes, back: bool) -> str | None:
-    """A valid date of 1900 to 2099 becomes another such date in the same notation."""
+    """A valid date of 1900 to 2099 becomes another such date in the same notation.
+
+    Days over 12 and others are permuted among themselves, so that a month before the day is read as such again.
+    """
     parts = re.split("[./-]", value)
     mark = value[4] if len(parts[0]) == 4 else value[2]
     year, month, day = parts if len(parts[0]) == 4 else parts[::-1]
@@ -177,7 +193,7 @@ def date(value: str, key: bytes, back: bool) -> str | None:
     while True:
         number = permute(number, last - first + 1, key, b"date", back)
         new = datetime.date.fromordinal(first + number)
-        if not swapped or new.day > 12:  # else it would be read the other way round: walk on
+        if (new.day > 12) == (int(day) > 12):
             break
     if len(parts[0]) == 4:
         return new.isoformat()
@@ -185,21 +201,21 @@ def date(value: str, key: bytes, back: bool) -> str | None:
 
 
 def email(value: str, key: bytes, back: bool) -> str | None:
-    """The part before the @ is permuted; hosts, which are no person's, stay."""
+    """The part before the @ is permuted in lower case and takes its capitals again; hosts, which are no person's, stay."""
     local, _, host = value.partition("@")
-    return f"{_by_class(local, key, b'email' + host.lower().encode(), back)}@{host}"
+    new = _by_class(local.lower(), key, b"email" + host.lower().encode(), back)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, local)) + "@" + host
 
 
 def secret(value: str, key: bytes, back: bool) -> str | None:
-    if value.startswith("AKIA"):
-        return "AKIA" + _by_class(value[4:], key, b"key", back)
-    if _HEX.fullmatch(value):
-        return _hex(value, key, b"hex", back)
+    if known := _PREFIXED.match(value):
+        return known.group() + _by_class(value[known.end() :], key, b"key" + known.group().encode(), back)
     if not re.search("[A-Za-z0-9]", value):
         return None
+    is_hex = bool(_HEX.fullmatch(value))
     while True:
-        value = _by_class(value, key, b"word", back)
-        if not _HEX.fullmatch(value) and not value.startswith("AKIA"):  # else it would be read as another sort
+        value = _hex(value, key, b"hex", back) if is_hex else _by_class(value, key, b"word", back)
+        if bool(_HEX.fullmatch(value)) == is_hex and not _PREFIXED.match(value):  # else it would be read as another sort
             return value
 
 
@@ -253,8 +269,8 @@ def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[
 
     pieces, done, at = [], 0, 0
     while match := PATTERN.search(text, at):
-        kind, (start, at) = match.lastgroup, match.span()
-        new, stop = RULES[kind](match.group(), key, back), at
+        kind, (start, at) = _KIND_OF.get(match.lastgroup, match.lastgroup), match.span(match.lastgroup)
+        new, stop = RULES[kind](text[start:at], key, back), at
         if new is None:
             part = _within(kind, text, start, at, key, back) if kind in _RUNS else None
             if part is None:
@@ -269,7 +285,7 @@ def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[
     return "".join(pieces) + text[done:], counts
 
 
-def _replace_rows(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) -> Iterator[pa.RecordBatch]:
+def _replace_rows(batches: Iterator[pa.RecordBatch], key: bytes, back: bool, counted: bool) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         at = rows.schema.get_field_index("text")
         texts, totals = [], {kind: [] for kind in KINDS}
@@ -279,19 +295,14 @@ def _replace_rows(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) ->
             for kind, total in totals.items():
                 total.append(counts[kind])
         columns = [pa.array(texts, pa.string()) if i == at else column for i, column in enumerate(rows.columns)]
-        found = pa.StructArray.from_arrays([pa.array(total, pa.int32()) for total in totals.values()], list(KINDS))
-        yield pa.RecordBatch.from_arrays([*columns, found], [*rows.schema.names, "__found"])
+        found = [pa.StructArray.from_arrays([pa.array(total, pa.int32()) for total in totals.values()], list(KINDS))] if counted else []
+        yield pa.RecordBatch.from_arrays([*columns, *found], [*rows.schema.names, *(["added"] if counted else [])])
 
 
 def pseudonymise(documents: DataFrame, key: bytes = KEY, back: bool = False, found: str | None = "found") -> DataFrame:
     """`documents` with pseudonyms in text; a struct column `found`, in place of any of that name, counts them by kind, unless it is None."""
-    name = "__found"
-    while name in documents.columns:
-        name += "_"
-    kinds = ", ".join(f"{kind}: int" for kind in KINDS)
-    fields = ", ".join([*(f"`{name.replace('`', '``')}` {kind}" for name, kind in documents.dtypes), f"{name} struct<{kinds}>"])
-    got = documents.mapInArrow(lambda batches: _replace_rows(batches, key, back), fields)
-    return got.drop(name) if found is None else got.drop(found).withColumnRenamed(name, found)
+    kinds = StructType([StructField(kind, IntegerType()) for kind in KINDS])
+    return mapped(documents.drop(found) if found else documents, lambda batches: _replace_rows(batches, key, back, bool(found)), found, kinds)
 
 
 def report(documents: DataFrame, key: bytes = KEY) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_of
+from plumbline.llm.common import mapped, text_of
 
 SAMPLE = 20_000
 FEATURES = 20_000
@@ -191,4 +191,4 @@ def _keep(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 
 def without_toxic(documents: DataFrame, model: Model) -> DataFrame:
     """The rows of `documents` that are not toxic, with all their columns."""
-    return documents.mapInArrow(lambda batches: _keep(batches, model), documents.schema)
+    return mapped(documents, lambda batches: _keep(batches, model))

@@ -73,3 +73,8 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(map(tuple, near_dups.components(links).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_one_row_stays_beside_any_columns(spark):
+    frame = spark.createDataFrame([(1, "a b", 2, {"x": 1}), (1, "a b", 1, {"x": 2}), (2, "a b", 3, None), (3, "c", 4, None)], "doc_id long, text string, `a``b.c` int, m map<string,int>")
+    assert sorted((r[0], r[2]) for r in near_dups.without_duplicates(frame).collect()) == [(1, 1), (3, 4)]

@@ -4,6 +4,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from plumbline.llm import pii
 
@@ -78,3 +79,83 @@ def test_cards_with_neighbours_come_back():
 def test_any_password_is_replaced_and_comes_back(value):
     new, counts = pii.replace(f"login password={value} end")
     assert counts["secret"] == 1 and value not in new and pii.replace(new, back=True)[0] == f"login password={value} end"
+
+
+DATES = [datetime.date(1900, 1, 1) + datetime.timedelta(days=n) for n in range(0, 73_000, 229)]
+
+
+@pytest.mark.parametrize("day", DATES)
+def test_a_date_is_linked_in_all_notations(day):
+    new = re.findall(r"[0-9./-]+", pii.replace(f"{day.isoformat()} {day:%d.%m.%Y} {day:%d/%m/%Y}" + (f" {day:%m/%d/%Y}" if day.day > 12 else ""))[0])
+    at = datetime.date.fromisoformat(new[0])
+    assert new == [at.isoformat(), f"{at:%d.%m.%Y}", f"{at:%d/%m/%Y}", *([f"{at:%m/%d/%Y}"] if day.day > 12 else [])] and at != day
+
+
+def test_phones_and_addresses_are_linked_in_all_notations():
+    phones = "+1 (366) 555-9807, +13665559807, (366) 555-9807, 366-555-9807, +1.366.555.9807, +1-366-555-9807"
+    new, counts = pii.replace(phones)
+    assert counts["phone"] == 6 and pii.replace(new, back=True)[0] == phones
+    assert {re.sub("[^0-9]", "", n)[-10:] for n in new.split(", ")} == {re.sub("[^0-9]", "", new.split(", ")[1])[1:]} and "3665559807" not in new
+    for number, code in (("+493012345678", "+49"), ("+351211234567", "+351"), ("+79161234567", "+7")):
+        assert pii.replace(number)[0].startswith(code) and pii.replace(number)[0] != number
+    one, two, three = (pii.replace(f"{a} end")[0].split()[0] for a in ("John.Doe@Mail.example", "john.doe@mail.example", "JOHN.DOE@MAIL.EXAMPLE"))
+    assert one.lower() == two == three.lower() and one[0].isupper() and one[5].isupper()
+
+
+@pytest.mark.parametrize("text", ['api_key: "abcDEF123456"', "passwd = hunter2hunter", "sk-abcdefghij0123456789", 'token = "e3b3ed3cc8548923d6"', "ghp_" + "aB3" * 12, "secret='deadbeef1'", 'token = "1234567890123456"'])
+def test_credentials_of_many_sorts(text):
+    new, counts = pii.replace(text)
+    assert counts["secret"] == 1 and new != text and len(new) == len(text) and pii.replace(new, back=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["the secret: nobody knows", "token = next(stream)", "password reset", "api_key = get_key()"])
+def test_words_about_credentials_are_no_credentials(text):
+    assert pii.replace(text)[0] == text
+
+
+def test_any_column_names(spark):
+    frame = spark.createDataFrame([(TEXT, 1, 2, 3)], "text string, __found int, `a``b` int, found int").withColumn("x.y", F.create_map(F.lit("k"), F.lit(1)))
+    got = pii.pseudonymise(frame).first()
+    assert got["text"] == pii.replace(TEXT)[0] and got["__found"] == 1 and got["a`b"] == 2 and got["x.y"] == {"k": 1} and got["found"]["card"] == 1
+    assert pii.pseudonymise(frame, found=None).columns == frame.columns
+
+
+def valid_numbers(text):
+    """Every valid card and social security number of a text that stands alone, digit by digit, without the operator's patterns."""
+    found, tokens = [], re.split(r"[^0-9A-Za-z-]+", text)
+    for token in tokens:
+        if token.isdigit() and 13 <= len(token) <= 19 and len(set(token)) > 1:
+            digits = [int(d) for d in reversed(token)]
+            if sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0:
+                found.append(("card", token))
+        parts = token.split("-")
+        if [len(p) for p in parts] == [3, 2, 4] and all(p.isdigit() for p in parts) and 0 < int(parts[0]) < 900 and parts[0] != "666" and int(parts[1]) and int(parts[2]):
+            found.append(("ssn", token))
+    return found
+
+
+def test_whole_table_by_brute_force(spark):
+    """Of the whole table: nothing valid stays, equal numbers stay equal over all documents, the rest of the text stays, and it can be undone."""
+    from plumbline.llm.queries import op2_pii_pseudonyms
+
+    folder = "/root/testdata/sf0.01"
+    old = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    new = {r["doc_id"]: r for r in op2_pii_pseudonyms(spark, folder).collect()}
+    assert new.keys() == old.keys()
+    links, seen = {}, 0
+    for doc_id, text in old.items():
+        got = new[doc_id]["text"]
+        assert pii.replace(got, back=True)[0] == text
+        if new[doc_id]["n_found"] == 0:
+            assert got == text and not valid_numbers(text)
+            continue
+        words, changed = re.split(r"(\s+)", text), re.split(r"(\s+)", got)
+        assert len(words) == len(changed)
+        for before, after in zip(words, changed):
+            assert before == after or re.search("[0-9@]|password=", before)
+        before, after = valid_numbers(text), valid_numbers(got)
+        assert len(before) == len(after)
+        for a, b in zip(before, after):
+            seen += 1
+            assert a[0] == b[0] and a != b and links.setdefault(a, b) == b
+    assert seen > 10 and len(set(links.values())) == len(links)
