@@ -55,7 +55,8 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.hosts_with(pages))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

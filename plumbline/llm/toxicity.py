@@ -2,18 +2,19 @@
 
 P(grade <= k) = sigmoid(threshold_k - score): one weight vector for all grades, ordered thresholds. The
 score adds up the weights of a text's sparse features: its distinct words and their prefixes of PREFIXES
-letters, each as often as distinct chunks of non-space text hold it. The labels only tell toxic texts from
-others, so the grades to learn are 0 for a text that isn't labelled toxic, 1 for one that is, and 2 for a
-toxic text in which HEAVY or more distinct chunks hold a telling feature.
+letters, each as often as distinct chunks of non-space text hold it. Grades come from the labels alone: 0
+for a text labelled not toxic, 1 for a toxic one, 2 for a toxic one that is also labelled of low quality
+(where `labels` has a column quality). A text's severity is the CAUTION quantile of its grade: it is above
+0, and the text toxic, when a toxic grade has a probability of more than 1 - CAUTION.
 
 The model is fitted on at most SAMPLE labelled rows, those with the smallest hash of their id (a
-documented bound; every other figure here covers all rows). Features are counted by Spark, and of those
-the at most FEATURES ones that speak most for a toxic text, at a z score of LEAST_Z or more, are kept.
-All texts are scored in full.
+documented bound; every other figure here covers all rows). Features are counted by Spark; those whose
+count among toxic texts is LEAST_Z or more standard deviations away from what chance gives, on either
+side, are kept, the at most FEATURES farthest ones. All texts are scored in full.
 
 Defined results: a null or empty text has no features and thus the base odds; unlabelled, repeated and
-very long texts are scored like any other; without labelled rows nothing is toxic; an empty table gives
-an empty result. Other columns are not read.
+very long texts are scored like any other; of several labels of a document the gravest counts; without
+labelled rows nothing is toxic; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,23 +23,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mapped, text_of
+from plumbline.llm.common import durable, mapped, text_of
 
 SAMPLE = 20_000
 FEATURES = 20_000
 LEAST_COUNT = 5
-LEAST_Z = 6.0
+LEAST_Z = 4.0
 PREFIXES = (4, 5, 6)
-RIDGE = 0.1
-HEAVY = 6
-REJECT_FROM = 0.5
+RIDGE = 1.0
+CAUTION = 0.8
 GRADES = 3
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,24 +77,23 @@ class _Scores(dict):
 
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, documents, summed grades, summed squares) over each batch."""
+    """(feature, documents, toxic documents) over each batch."""
     for rows in batches:
-        seen, graded = Counter(), Counter()
+        seen, toxic = Counter(), Counter()
         for text, grade in zip(rows["text"].to_pylist(), rows["grade"].to_pylist()):
             found = {f for chunk in set(text.lower().split()) for f in features_of(chunk)}
             seen.update(found)
             if grade:
-                graded.update(dict.fromkeys(found, grade))
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64()), pa.array([graded[f] for f in seen], pa.int64())], ["feature", "n", "grades"])
+                toxic.update(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array(seen.values(), pa.int64()), pa.array([toxic[f] for f in seen], pa.int64())], ["feature", "n", "toxic"])
 
 
 def _design(batches: Iterator[pa.RecordBatch], known: dict[str, int]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         indices, values, grades = [], [], []
         for text, grade in zip(rows["text"].to_pylist(), rows["grade"].to_pylist()):
-            chunks = [[known[f] for f in features_of(chunk) if f in known] for chunk in set(text.lower().split())]
-            found = Counter(chain.from_iterable(chunks))
-            grades.append(2 if grade and sum(map(bool, chunks)) >= HEAVY else grade)
+            found = Counter(known[f] for chunk in set(text.lower().split()) for f in features_of(chunk) if f in known)
+            grades.append(grade)
             indices.append(sorted(found))
             values.append([found[i] for i in sorted(found)])
         yield pa.RecordBatch.from_arrays([pa.array(grades, pa.int32()), pa.array(indices, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.int32()))], ["grade", "indices", "counts"])
@@ -142,17 +140,23 @@ def _fit_weights(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grad
     return at[:-2], np.array([at[-2], at[-2] + np.exp(min(at[-1], 3.0))])
 
 
+def graded(labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, grade) of at most `sample` labelled documents."""
+    heavy = (F.col("quality") == 0) if "quality" in labels.columns else F.lit(False)
+    grade = F.when(F.col("toxic") == 0, 0).when(heavy, 2).otherwise(1)
+    known = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), grade.alias("grade"))
+    return known.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the labelled documents; `labels` has doc_id and toxic."""
-    graded = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), F.when(F.col("toxic") == 0, 0).otherwise(1).alias("grade"))
-    graded = graded.groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most `sample` ids, each with one number
-    texts = documents.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).join(F.broadcast(graded), "doc_id").select("text", "grade")
-    counted = texts.mapInArrow(_count_features, "feature string, n long, grades long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("grades").alias("grades"))
-    total = texts.agg(F.count("*").alias("n"), F.avg("grade").alias("mean"), F.var_pop("grade").alias("var")).first()
-    if not total["n"] or not total["var"]:
+    """A model of the labelled documents; `labels` has doc_id, toxic and, for the gravest grade, quality."""
+    # at most `sample` ids, each with one number; the labelled texts are written once and read from there
+    texts = durable(documents.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).join(F.broadcast(graded(labels, sample)), "doc_id").select("text", "grade"))
+    counted = texts.mapInArrow(_count_features, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    total = texts.agg(F.count("*").alias("n"), F.avg((F.col("grade") > 0).cast("int")).alias("share")).first()
+    if not total["n"] or not 0 < total["share"] < 1:
         return Model({}, (20.0, 25.0))
-    z = (F.col("grades") - F.col("n") * total["mean"]) / F.sqrt(F.col("n") * total["var"])
+    z = F.abs(F.col("toxic") - F.col("n") * total["share"]) / F.sqrt(F.col("n") * (total["share"] * (1 - total["share"])))
     best = counted.filter(F.col("n") >= LEAST_COUNT).withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
     known = {row["feature"]: i for i, row in enumerate(best.select("feature").collect())}
     if not known:
@@ -172,11 +176,12 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         p = model.probabilities(raw)
         expected = p @ np.arange(GRADES)
         names = ["doc_id", "severity", "expected_severity", "toxic"]
-        yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(p.argmax(axis=1), pa.int32()), pa.array(expected), pa.array(expected >= REJECT_FROM)], names)
+        severity = (p.cumsum(axis=1)[:, :-1] < CAUTION).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(severity, pa.int32()), pa.array(expected), pa.array(severity > 0)], names)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, severity (the likeliest grade), expected_severity and toxic (expected_severity of REJECT_FROM or more)."""
+    """Per document: doc_id, severity (the CAUTION quantile of its grade), expected_severity and toxic (severity above 0)."""
     texts = documents.select(F.col("doc_id").cast("long"), text_of("text").alias("text"))
     return texts.mapInArrow(lambda batches: _score(batches, model), "doc_id long, severity int, expected_severity double, toxic boolean")
 
@@ -186,7 +191,7 @@ def _keep(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
     for rows in batches:
         at = rows.schema.get_field_index("text")
         raw = np.array([sum(map(scores.__getitem__, set((text.as_py() or "").lower().split()))) for text in rows.column(at)], dtype=float)
-        yield rows.filter(pa.array(model.probabilities(raw) @ np.arange(GRADES) < REJECT_FROM))
+        yield rows.filter(pa.array(model.probabilities(raw)[:, 0] >= CAUTION))
 
 
 def without_toxic(documents: DataFrame, model: Model) -> DataFrame:

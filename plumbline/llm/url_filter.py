@@ -5,28 +5,31 @@ other hosts of the corpus that level 0 lets through, level 2 the listed hosts th
 and so on until no level errs. Over the corpus's complete set of hosts, for which it is built, the first
 level that lacks a host tells exactly on which side it stands, so that urls are judged without a join.
 
-A host is listed when one of its labels is in BLOCKED_LABELS. Levels are built by Spark (a bitwise or of
-64-bit words, by word number) and sized to the keys they hold. They are handed to all tasks only while
-they stay below MOST_BYTES altogether; larger lists are looked up by a join instead, with equal results.
+The list is a table of hosts of any size; `hosts_with` draws one from the corpus, of the hosts that have one
+of some labels. Levels are built by Spark (a bitwise or of 64-bit words, by word number) and sized to the
+keys they hold. They are handed to all tasks only while they stay below MOST_BYTES altogether; larger lists
+are looked up by a join instead, with equal results.
 
 Defined results: a null url or one without :// has an empty host and path, no rule, and is allowed unless
-listed; repeated rows are judged each; an empty table gives an empty result. Other columns are not read.
+the empty host is listed; listed hosts that no url has, nulls and repeated ones change nothing; repeated rows are judged each; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import durable
 
-# The rules (verdict, host, path prefix) and the labels whose hosts are listed.
+# The rules (verdict, host, path prefix) and the labels whose hosts the query lists.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 BLOCKED_LABELS = ("adult-x", "casino-win", "free-bets", "spam-farm")
 
 BITS_A_KEY = 12
 HASHES = 6
-MOST_BYTES = 64 << 20
+MOST_BYTES = 16 << 20
 MOST_LEVELS = 24
 
 
@@ -47,8 +50,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return fits
 
 
-def is_listed(host: Column, labels=BLOCKED_LABELS) -> Column:
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, labels)))
+def hosts_with(pages: DataFrame, labels=BLOCKED_LABELS) -> DataFrame:
+    """(host): the distinct hosts of `pages` that have one of `labels` between their dots."""
+    return with_parts(pages).select("host").filter(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, labels)))).distinct()
 
 
 def _places(key: Column, level: int, n_bits: int) -> list[Column]:
@@ -56,14 +60,13 @@ def _places(key: Column, level: int, n_bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level * HASHES + i)), F.lit(n_bits).cast("long")) for i in range(HASHES)]
 
 
-def _filter_of(keys: DataFrame, level: int, n_bits: int) -> list[int]:
-    """The level's bits as 64-bit words. One row a word leaves the cluster: BITS_A_KEY bits a key."""
+def _filter_of(keys: DataFrame, level: int, n_bits: int) -> DataFrame:
+    """The level's bits as one row of 64-bit words. BITS_A_KEY bits a key leave the cluster, at most MOST_BYTES."""
     bits = keys.select(F.explode(F.array(*_places(F.col("host"), level, n_bits))).alias("bit"))
-    words = bits.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-    out = [0] * (n_bits // 64)
-    for word, mask in words.collect():
-        out[word] = mask
-    return out
+    words = bits.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
+    packed = np.zeros(n_bits // 64, np.int64)
+    packed[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return keys.sparkSession.createDataFrame(pa.table({f"level{level}": pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), pa.array(packed))}))
 
 
 def _passes(key: Column, level: int, words: Column, n_bits: int) -> Column:
@@ -89,8 +92,7 @@ class Cascade:
                 self.whole = False
                 return
             level = len(self.levels)
-            words = _filter_of(members, level, n_bits)
-            frame = hosts.sparkSession.createDataFrame([(words,)], f"level{level} array<long>")
+            frame = _filter_of(members, level, n_bits)
             self.levels.append((n_bits, frame))
             wrong = durable(others.crossJoin(F.broadcast(frame)).filter(_passes(F.col("host"), level, F.col(f"level{level}"), n_bits)).select("host"))
             members, others, n = wrong, members, wrong.count()
@@ -106,10 +108,11 @@ class Cascade:
         return frame.withColumn("listed", answer).drop(*(f"level{level}" for level in range(len(self.levels))))
 
 
-def judge(pages: DataFrame, rules=RULES, labels=BLOCKED_LABELS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Per page: page_id, host, path, the rule that fits (else null) and the verdict."""
+def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Per page: page_id, host, path, the rule that fits (else null) and the verdict; hosts of `listed` (host) are blocked."""
     parts = with_parts(pages)
-    hosts = durable(parts.select("host").distinct().withColumn("listed", is_listed(F.col("host"), labels)))
+    known = listed.select("host").filter("host is not null").distinct().withColumn("listed", F.lit(True))
+    hosts = durable(parts.select("host").distinct().join(known, "host", "left").select("host", F.coalesce("listed", F.lit(False)).alias("listed")))
     cascade = Cascade(hosts, most_bytes)
     if cascade.whole:
         known = cascade.listed(parts)

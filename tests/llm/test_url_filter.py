@@ -14,9 +14,9 @@ def test_like_sql_by_cascade_and_by_join(spark):
     con = duckdb.connect()
     con.register("pages", pages.toArrow())
     expected = sorted(con.execute(url_filter.ORACLE_SQL).fetchall(), key=str)
-    assert rows(url_filter.judge(pages)) == expected
-    assert rows(url_filter.judge(pages, most_bytes=0)) == expected
-    assert url_filter.judge(pages.limit(0)).count() == 0
+    assert rows(url_filter.judge(pages, url_filter.hosts_with(pages))) == expected
+    assert rows(url_filter.judge(pages, url_filter.hosts_with(pages), most_bytes=0)) == expected
+    assert url_filter.judge(pages.limit(0), url_filter.hosts_with(pages)).count() == 0
 
 
 def test_cascade_is_exact_though_its_filters_err(spark, monkeypatch):
@@ -26,3 +26,12 @@ def test_cascade_is_exact_though_its_filters_err(spark, monkeypatch):
     assert cascade.whole and len(cascade.levels) > 2
     got = cascade.listed(hosts.withColumnRenamed("listed", "truth"))
     assert got.filter("truth <> listed").count() == 0
+
+
+def test_a_list_of_any_hosts(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.net/") for i in range(200)] + [(200, None)], "page_id long, url string")
+    listed = spark.createDataFrame([(f"h{i}.net", 1) for i in range(0, 400, 2)] + [("h0.net", 1), (None, 1)], "host string, listed int")
+    for most in (url_filter.MOST_BYTES, 0):
+        got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, listed, most_bytes=most).collect()}
+        assert got == {i: "block" if i < 200 and i % 2 == 0 else "allow" for i in range(201)}
+    assert {r["verdict"] for r in url_filter.judge(pages, listed.limit(0)).collect()} == {"allow"}
