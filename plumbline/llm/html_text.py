@@ -4,8 +4,9 @@ Each page's containers are scored: a block of text counts for the container it s
 the one around that (in full, and so on upwards, if that adds unlinked text of its own: a heading or a
 lead around the body belongs to the text), text in links counts against it, and menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments count for nothing. A container is named by its path of tags
-and classes, with digits generalised; what stands within an article is part of it. Spark adds the scores up by host and path, and the path with the
-greatest sum wins the host. The text of each page is then taken from the containers on its host's winning
+and classes, with digits generalised, and known by a key, a digest of its parent's key and its own name, so
+that deep nesting costs no more than its depth; what stands within an article is part of it. Spark adds the
+scores up by host and path, and the path with the greatest sum (of several the deepest) wins the host. The text of each page is then taken from the containers on its host's winning
 path, without the unwanted parts inside; a page that lacks the path uses its own best container.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined
@@ -18,9 +19,11 @@ read whole; an empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import durable, text_of
 
-#: Winning paths are handed to all tasks while there are no more hosts than this; else they are joined.
-MOST_BROADCAST_HOSTS = 200_000
+#: Winning paths are handed to all tasks while hosts and keys take no more bytes than this; else they are joined.
+MOST_BROADCAST_BYTES = 16 << 20
+KEY_BYTES = 16
 
 # Kinds of tags and words that name unwanted parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,43 +58,74 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^/?#]*://([^/?#]*)", 1))
 
 
+class Containers:
+    """The containers of a page by number, in the order in which they open; 0 is the page itself."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.key, self.depth = [0], [""], [b""], [0]
+
+    def add(self, parent: int, tag: str, name: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.key.append(_key(self.key[parent], name))
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.parent) - 1
+
+
+def _key(parent: bytes, name: str) -> bytes:
+    return hashlib.blake2b(parent + name.encode("utf-8", "replace"), digest_size=KEY_BYTES).digest()
+
+
+def path_key(path: str) -> bytes:
+    """The key of a path of names, like /html/body/div.post."""
+    return functools.reduce(_key, path.strip("/").split("/"), b"")
+
+
 class _Open:
-    """An element that is not yet closed."""
+    """An element that is not yet closed; block is the innermost tag here that a following tag may close, past inline ones."""
+
+    __slots__ = ("tag", "container", "unwanted", "link", "block")
 
-    __slots__ = ("tag", "path", "unwanted", "link")
+    def __init__(self, tag: str, container: int, unwanted: bool, link: bool, block: str) -> None:
+        self.tag, self.container, self.unwanted, self.link, self.block = tag, container, unwanted, link, block
 
-    def __init__(self, tag: str, path: str, unwanted: bool, link: bool) -> None:
-        self.tag, self.path, self.unwanted, self.link = tag, path, unwanted, link
 
+def texts_of(page: str) -> tuple[Containers, list[tuple[int | None, bool, str]]]:
+    """The containers, and (the innermost container, whether in a link, text) in page order; (None, False, "") between blocks."""
+    found, pieces = Containers(), []
+    stack, n_open = [_Open("", 0, False, False, "")], Counter()
+    between = (None, False, "")
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        n_open[tag] -= 1
+        return tag
 
-def texts_of(page: str) -> Iterator[tuple[str | None, bool, str]]:
-    """(path of the innermost container, whether in a link, text) in page order; (None, False, "") between blocks."""
-    stack = [_Open("", "", False, False)]
     for token in _TOKEN.finditer(page):
         name = token.group(3)
         if name is None:
             if token.group(1):
-                yield None, False, ""
+                pieces.append(between)
             elif (text := token.group())[0] != "<" or text == "<":
                 top = stack[-1]
                 if not top.unwanted:
-                    yield top.path, top.link, text
+                    pieces.append((top.container, top.link, text))
             continue
         name, closing, rest = name.lower(), token.group(2), token.group(4)
         if name not in INLINE:
-            yield None, False, ""
+            pieces.append(between)
         if closing:
-            if any(element.tag == name for element in stack):
-                while stack.pop().tag != name:
+            if n_open[name]:
+                while pop() != name:
                     pass
             continue
         if name in VOID:
             continue
-        while len(stack) > 1 and name in CLOSED_BY.get(_block(stack), ()):
-            while stack.pop().tag not in CLOSED_BY:
+        while len(stack) > 1 and name in CLOSED_BY.get(stack[-1].block, ()):
+            while pop() not in CLOSED_BY:
                 pass
         top = stack[-1]
-        within = top.path.rpartition("/")[2].partition(".")[0]
+        within = found.tag[top.container]
         label, unwanted = name, top.unwanted or name in UNWANTED_TAGS
         if rest and not rest.isspace():
             for match in _ATTRIBUTE.finditer(rest):
@@ -104,10 +139,11 @@ def texts_of(page: str) -> Iterator[tuple[str | None, bool, str]]:
                         unwanted = unwanted or any(map(_names_unwanted, value.split()))
                 if kind == "class":
                     label += "".join("." + re.sub(r"\d+", "N", part) for part in sorted(value.split()))
-        path = f"{top.path}/{label}" if name in CONTAINERS and not _is_whole(within, name) else top.path
         if not rest.endswith("/"):
-            stack.append(_Open(name, path, unwanted, top.link or name == "a"))
-    return
+            own = found.add(top.container, name, label) if name in CONTAINERS and not _is_whole(within, name) else top.container
+            stack.append(_Open(name, own, unwanted, top.link or name == "a", top.block if name in INLINE else name))
+            n_open[name] += 1
+    return found, pieces
 
 
 def _names_unwanted(token: str) -> bool:
@@ -121,61 +157,66 @@ def _is_whole(within: str, name: str) -> bool:
     return within == "article" or within == "main" and name != "article"
 
 
-def _block(stack: list[_Open]) -> str:
-    """The innermost open element that a following tag may close, past inline ones."""
-    for element in reversed(stack):
-        if element.tag not in INLINE:
-            return element.tag
-    return ""
-
-
-def container_scores(page: str) -> dict[str, int]:
-    """Score of each container path of a page."""
-    scores: dict[str, int] = defaultdict(int)
-    plain: dict[str, int] = defaultdict(int)
-    for path, link, text in texts_of(page):
-        if path and (size := len(text.strip())):
-            scores[path] += -2 * size if link else 2 * size
+def container_scores(found: Containers, pieces: list[tuple[int | None, bool, str]]) -> dict[int, int]:
+    """Score of each container of a page."""
+    # containers on one path count together
+    first: dict[bytes, int] = {}
+    same = [first.setdefault(key, number) for number, key in enumerate(found.key)]
+    scores: dict[int, int] = defaultdict(int)
+    plain: dict[int, int] = defaultdict(int)
+    for container, link, text in pieces:
+        if container and (size := len(text.strip())):
+            scores[same[container]] += -2 * size if link else 2 * size
             if not link:
-                plain[path] += size
-    adds = {path for path, score in scores.items() if score > 0 and path.rpartition("/")[2].partition(".")[0] not in WIDE}
-    for path, size in plain.items():
-        while parent := path.rpartition("/")[0]:
-            scores[parent] += 2 * size if parent in adds else size
-            if parent not in adds:
-                break
-            path = parent
-    return {path: score for path, score in scores.items() if score > 0}
-
-
-def text_at(page: str, winner: str | None) -> str:
-    """The text in a page's containers on path `winner`, or in its own best container if it has none there."""
-    pieces = list(texts_of(page))
-    inside = [p for p in pieces if p[0] is None or winner and (p[0] == winner or p[0].startswith(winner + "/"))]
-    if not any(path for path, _, text in inside if text.strip()):
-        scores = container_scores(page)
-        if not scores:
-            return ""
-        best = min(scores, key=lambda path: (-scores[path], path))
-        inside = [p for p in pieces if p[0] is None or p[0] == best or p[0].startswith(best + "/")]
-    joined = "".join("\n" if path is None else html.unescape(text) for path, _, text in inside)
+                plain[same[container]] += size
+    adds = {one for one, score in scores.items() if score > 0 and found.tag[one] not in WIDE}
+    # a container opens after the one around it, so that what it carries on is complete by its turn
+    for one in range(len(found.key) - 1, 0, -1):
+        size, around = plain.get(one, 0), same[found.parent[one]]
+        if size and around:
+            scores[around] += 2 * size if around in adds else size
+            if around in adds:
+                plain[around] += size
+    return {one: score for one, score in scores.items() if score > 0}
+
+
+def text_at(page: str, winner: bytes | None) -> str:
+    """The text in a page's containers on the path of key `winner`, or in its own best container if it has none there."""
+    found, pieces = texts_of(page)
+    text = _text_in(found, pieces, winner)
+    if not text:
+        scores = container_scores(found, pieces)
+        if scores:
+            best = min(scores, key=lambda one: (-scores[one], found.depth[one], found.key[one]))
+            text = _text_in(found, pieces, found.key[best])
+    return text
+
+
+def _text_in(found: Containers, pieces: list[tuple[int | None, bool, str]], winner: bytes | None) -> str:
+    inside = [False]
+    for parent, key in zip(found.parent[1:], found.key[1:]):
+        inside.append(inside[parent] or key == winner)
+    joined = "".join("\n" if container is None else html.unescape(text) for container, _, text in pieces if container is None or inside[container])
     return " ".join(joined.split())
 
 
 def _score_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        totals: dict[tuple[str, str], int] = defaultdict(int)
+        totals: dict[tuple[str, int, bytes], int] = defaultdict(int)
         for host, page in zip(rows["host"].to_pylist(), rows["html"]):
-            for path, score in container_scores(page.as_py()).items():
-                totals[host, path] += score
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in totals], pa.string()), pa.array([k[1] for k in totals], pa.string()), pa.array(totals.values(), pa.int64())], ["host", "path", "score"])
+            found, pieces = texts_of(page.as_py())
+            for one, score in container_scores(found, pieces).items():
+                totals[host, found.depth[one], found.key[one]] += score
+        columns = [*zip(*totals)] or [()] * 3
+        kinds = pa.string(), pa.int32(), pa.binary()
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), pa.array(totals.values(), pa.int64())], ["host", "depth", "path", "score"])
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, winner): for each host the path with the greatest sum of scores."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), text_of("html").alias("html")).mapInArrow(_score_pages, "host string, path string, score long")
-    by_path = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
-    return by_path.groupBy("host").agg(F.max(F.struct("score", "path")).getField("path").alias("winner"))
+    """(host, winner): for each host the key of the path with the greatest sum of scores."""
+    votes = pages.select(host_of(F.col("url")).alias("host"), text_of("html").alias("html")).mapInArrow(_score_pages, "host string, depth int, path binary, score long")
+    by_path = votes.groupBy("host", "depth", "path").agg(F.sum("score").alias("score"))
+    return by_path.groupBy("host").agg(F.max(F.struct("score", "depth", "path")).getField("path").alias("winner"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +225,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows["page_id"], rows["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, most_broadcast_hosts: int = MOST_BROADCAST_HOSTS) -> DataFrame:
+def extract(pages: DataFrame, most_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
     """Per page: page_id, url, text and n_chars (see the module's docstring)."""
     winners = durable(winning_paths(pages))
-    small = winners.limit(most_broadcast_hosts + 1).count() <= most_broadcast_hosts
+    small = (winners.agg(F.sum(F.octet_length("host") + KEY_BYTES)).first()[0] or 0) <= most_bytes
     named = pages.select(F.col("page_id").cast("long"), "url", text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
     joined = named.join(F.broadcast(winners) if small else winners, "host", "left")
     return joined.select("page_id", "url", "html", "winner").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

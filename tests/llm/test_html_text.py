@@ -31,7 +31,7 @@ def test_the_host_outvotes_a_page(spark):
 
 @pytest.mark.parametrize("page, text", [("<p>a<p>b<li>c</li>", "a b c"), ("<div>a&nbsp; b</div>", "a b"), ("<DIV>A</DIV><script>x", "A"), ("<div hidden>x</div><div>y</div>", "y"), ("<p>1 < 2</p>", "1 < 2"), ("<div>x <em>y</em>z</div>", "x yz")])
 def test_pieces(page, text):
-    assert html_text.text_at(f"<html><body>{page}</body></html>", "/html/body") == text
+    assert html_text.text_at(f"<html><body>{page}</body></html>", html_text.path_key("/html/body")) == text
 
 
 def test_parts_of_an_article_stay_together(spark):
@@ -42,20 +42,38 @@ def test_parts_of_an_article_stay_together(spark):
 
 @pytest.mark.parametrize("attribute", ['style="overflow: hidden"', 'aria-hidden="false"', 'title="A hidden gem"', 'data-href="/the-hidden-lake"', 'data-x="/p?id=ad"', "data-x='class=ad'", 'class="social-impact"', "id=sharing-data"])
 def test_words_inside_values_hide_nothing(attribute):
-    assert html_text.text_at(f"<html><body><div {attribute}>a <b>b</b></div></body></html>", "/html/body") == "a b"
+    assert html_text.text_at(f"<html><body><div {attribute}>a <b>b</b></div></body></html>", html_text.path_key("/html/body")) == "a b"
 
 
 @pytest.mark.parametrize("attribute", ["hidden", 'data-a="x" hidden', 'hidden=""', 'aria-hidden="true"', 'class="x ad"', "class=site-footer", "id=comments", "role=navigation"])
 def test_hidden_and_unwanted_parts_are_left_out(attribute):
-    assert html_text.text_at(f"<html><body><div {attribute}>a</div><p>b</p></body></html>", "/html/body") == "b"
+    assert html_text.text_at(f"<html><body><div {attribute}>a</div><p>b</p></body></html>", html_text.path_key("/html/body")) == "b"
 
 
 def test_headings_keep_their_ids():
     page = "<html><body><article><h2 id='sharing-data'>A</h2><h2 id='comments'>B</h2><section id='social-impact'>C</section><section id='comments'>D</section></article></body></html>"
-    assert html_text.text_at(page, "/html/body/article") == "A B C"
+    assert html_text.text_at(page, html_text.path_key("/html/body/article")) == "A B C"
 
 
 def test_a_heading_and_a_lead_around_the_body_belong_to_it(spark):
     page = "<html><body><div class='top'>name of the site</div><div class='post'><h1>Head</h1><p>lead</p><div class='body'><p>%s</p></div></div><p>foot</p></body></html>" % ("text " * 40)
     frame = spark.createDataFrame([(i, "http://a/", page) for i in range(3)], "page_id long, url string, html string")
     assert {r["text"] for r in html_text.extract(frame).collect()} == {"Head lead " + "text " * 39 + "text"}
+
+
+def test_nesting_costs_no_more_than_its_depth():
+    import time
+    import tracemalloc
+
+    page = "<html><body>" + "<div class='deep'>x " * 20_000 + "<b>" * 20_000 + "</i>" * 20_000 + "</body>"
+    tracemalloc.start()
+    begin = time.time()
+    assert html_text.text_at(page, None).count("x") == 20_000
+    assert time.time() - begin < 20 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_a_very_long_page(spark):
+    frame = spark.createDataFrame([(1, "http://a/", "<body><article>" + "<p>word &amp; word</p>" * 60_000 + "</article>")], "page_id long, url string, html string")
+    got = html_text.extract(frame).first()
+    assert got["text"] == " ".join(["word & word"] * 60_000) and got["n_chars"] == 12 * 60_000 - 1
