@@ -148,14 +148,29 @@ def _chunk_boundaries(batches: Iterator[pa.RecordBatch], chunk: int, overlap: in
         yield pa.RecordBatch.from_arrays([rows["uid"], rows["at"], pa.array(heads, places), pa.array(tails, places)], ["uid", "at", "head", "tail"])
 
 
+def _cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """The overlapping chunks of each text, cut in one pass."""
+    for rows in batches:
+        for uid, text in zip(rows["uid"], rows["piece"].to_pylist()):
+            at = [*range(0, max(1, len(text) - overlap), chunk)]
+            yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()] * len(at)), pa.array(at, pa.int32()), pa.array([text[start : start + chunk + overlap] for start in at])], ["uid", "at", "piece"])
+
+
+def _cut_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text between its seams, cut in one pass."""
+    for rows in batches:
+        for uid, text, starts in zip(rows["uid"], rows["piece"].to_pylist(), rows["starts"].to_pylist()):
+            pieces = [text[start:stop] for start, stop in zip(starts, [*starts[1:], len(text)])]
+            yield pa.RecordBatch.from_arrays([pa.array([uid.as_py()] * len(pieces)), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces)], ["uid", "no", "piece"])
+
+
 def seams(long: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(uid, starts): for each text of `long` (uid string, piece) the places where pieces begin, 0 first.
 
     Where two chunks share no boundary in their overlap (a run without a boundary that is longer than
     the overlap) nothing vouches for the later chunks, so the text is not cut from there on.
     """
-    chunks = long.select("uid", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("piece") - overlap - 1), F.lit(chunk))).alias("at"), "piece")
-    chunks = chunks.select("uid", "at", F.expr(f"substring(piece, at + 1, {chunk + overlap})").alias("piece")).repartition("uid", "at")
+    chunks = long.select("uid", "piece").mapInArrow(lambda batches: _cut(batches, chunk, overlap), "uid string, at int, piece string").repartition("uid", "at")
     found = chunks.mapInArrow(lambda batches: _chunk_boundaries(batches, chunk, overlap), "uid string, at int, head array<int>, tail array<int>")
     order = Window.partitionBy("uid").orderBy("at")
     shared = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
@@ -169,8 +184,7 @@ def encode_pieces(long: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
 
     ids holds the piece's token ids in decimal, joined by commas; decoded the bytes they stand for.
     """
-    parted = long.join(seams(long, chunk, overlap), "uid").select("uid", "piece", "starts", F.posexplode("starts").alias("no", "start"))
-    parted = parted.select("uid", "no", F.expr("substring(piece, start + 1, coalesce(try_element_at(starts, no + 2), length(piece)) - start)").alias("piece"))
+    parted = long.join(seams(long, chunk, overlap), "uid").select("uid", "piece", "starts").mapInArrow(_cut_at, "uid string, no int, piece string")
     return parted.repartition("uid", "no").mapInArrow(lambda batches: _encode_texts(batches, path), "uid string, no int, ids string, decoded binary")
 
 

@@ -35,9 +35,10 @@ def mapped(documents: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iter
     return plain.mapInArrow(rows, schema).toDF(*documents.columns, *([] if added is None else [added]))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Hand long texts to Python in batches of few rows, which bounds a worker's memory."""
+def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 8) -> None:
+    """Hand texts to Python in batches of few rows and few bytes (a longer text is a batch of its own), which bounds a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, enough: int, weight=lambda rows: rows.num_rows) -> Iterator[pa.Table]:

@@ -52,3 +52,11 @@ def test_empty_and_extra_columns(spark):
     assert bpe.encode_digests(spark.createDataFrame([], SCHEMA + ", uid int, piece int, ids int"), RANKS).count() == 0
     frame = spark.createDataFrame([(1, "a", 3, 4)], SCHEMA + ", uid int, piece int")
     assert bpe.encode_digests(frame, RANKS).first()["n_tokens"] == 1
+
+
+def test_a_very_long_text_takes_time_in_proportion(spark):
+    text = "it's a long text, isn't it? 1234 \n" * 60_000
+    got = bpe.encode_digests(spark.createDataFrame([(1, text)], SCHEMA), RANKS).first()
+    ids = library().encode_ordinary(text)
+    assert (got["n_tokens"], got["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert got["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
