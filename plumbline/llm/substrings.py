@@ -9,8 +9,10 @@ equal over LENGTH bytes are first brought together:
 1. Every window of LENGTH bytes picks an anchor, the least hash of its GRAM-byte strings. Equal windows
    pick equal anchors at the same offset. Windows next to each other mostly share one, so a document
    becomes a few anchors, each with the bytes (its context) of the windows that picked it.
-2. Anchors meet by hash. Contexts that are equal as a whole repeat as a whole. Anchors with different
-   contexts go on as candidates, all others are done.
+2. Anchors meet by hash. Contexts that are equal as a whole by their hashes repeat as a whole; runs of them
+   that repeat one passage of another document make a segment, and a segment counts only if its bytes and
+   those of its first occurrence have one SHA-256. If any have not, all their anchors are sorted like the
+   next. Anchors with different contexts go on as candidates, all others are done.
 3. The candidates' windows are suffix sorted, class by class (same anchor, same offset): a mergesort whose
    comparisons find common extensions by binary search on prefix polynomial hashes, so each takes a
    logarithmic number of steps. Neighbours that the hashes call equal are compared byte by byte.
@@ -18,7 +20,10 @@ equal over LENGTH bytes are first brought together:
 
 Hot strings: equal contexts are joined within each task before the shuffle, and a task sends at most
 LOCAL_CONTEXTS contexts an anchor to where anchors meet, as more than one already proves it a candidate.
-Anchors with over HOT candidates are settled by aggregating window hashes instead of in one task.
+An anchor with over HOT candidates is sorted in two steps: each task sorts its share and keeps the first of
+equal windows; these are cut into pieces of a few windows, dealt by the bytes that all windows of a piece
+share (equal windows share them), and the pieces are sorted again. Pieces are cut down to single windows
+where they are still too many, of which each task has but one of a kind.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes lose nothing; a null id counts as
 the smallest; rows with the same id count as one document, so that among them only an earlier start
@@ -42,7 +47,11 @@ from plumbline.llm.polyhash import Prefixes, U, mixed
 LENGTH = 100
 GRAM = 20
 LOCAL_CONTEXTS = 64
-HOT = 30_000
+HOT = 2_000
+#: Windows of a piece of a hot candidate, at each turn.
+WIDTHS = (8, 1)
+#: A segment lies within a block of so many bytes of the text that has it first.
+SEGMENT = 4_096
 #: Window starts that are anchored at a time, and anchors that a task joins at a time.
 BLOCK = 1 << 18
 ANCHORS = 1 << 19
@@ -52,7 +61,10 @@ SORTED_BYTES = 1 << 20
 _ROOM = BLOCK + 4 * LENGTH
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _REPEAT, _CANDIDATE, _SINGLE = 1, 2, 0
-_FLAGS = "uid long, ver int, lo int, span int, off int, kind int, h long"
+_ANCHORS = "part long, kind int, h long, context long, uid long, ver int, lo int, span int, off int, head_uid long, head_ver int, head_lo int"
+_FLAGS = "uid long, ver int, lo int, span int, off int, kind int, h long, head_uid long, head_ver int, head_lo int"
+_CONTEXTS = "h long, uid long, ver int, lo int, size int, off int, context binary"
+_RUNS = "uid long, ver int, start int, end int"
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -63,8 +75,8 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(hash, context hash, first window, last window - first, anchor - first window) of each anchor."""
+def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, bits: int = 64) -> tuple[np.ndarray, ...]:
+    """(hash, context hash of `bits` bits, first window, last window - first, anchor - first window) of each anchor."""
     found: list[tuple[np.ndarray, ...]] = []
     for start in range(0, len(raw) - length + 1, BLOCK):
         part = raw[start : start + BLOCK + length - 1]
@@ -77,7 +89,7 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
         anchor = at[first]
         size = last - first + length
-        context = mixed(others.of(first, size) + mixed((size << 8 | anchor - first).astype(U)))
+        context = mixed(others.of(first, size) + mixed((size << 8 | anchor - first).astype(U))) >> U(64 - bits)
         found.append((grams[anchor].view(np.int64), context.view(np.int64), first + start, last - first, anchor - first))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
 
@@ -95,15 +107,16 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     kind = np.where(repeats, _REPEAT, np.where(contexts_before >= LOCAL_CONTEXTS, _CANDIDATE, _SINGLE))
     keep = repeats | new
     spread = mixed(uid.view(U) * U(_BASES[0]) + lo.astype(U)).view(np.int64)
-    columns = np.where(kind == _SINGLE, h, spread), kind.astype(np.int32), h, context, uid, ver.astype(np.int32), lo.astype(np.int32), span.astype(np.int32), off.astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["part", "kind", "h", "context", "uid", "ver", "lo", "span", "off"])
+    ver, lo = ver.astype(np.int32), lo.astype(np.int32)
+    columns = np.where(kind == _SINGLE, h, spread), kind.astype(np.int32), h, context, uid, ver, lo, span.astype(np.int32), off.astype(np.int32), uid[head], ver[head], lo[head]
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["part", "kind", "h", "context", "uid", "ver", "lo", "span", "off", "head_uid", "head_ver", "head_lo"])
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
     for rows in batches:
         for uid, ver, raw in zip(rows["uid"].to_pylist(), rows["ver"].to_pylist(), rows["raw"]):
-            found = anchors(np.frombuffer(raw.as_buffer(), np.uint8), length, gram)
+            found = anchors(np.frombuffer(raw.as_buffer(), np.uint8), length, gram, bits)
             n = len(found[0])
             if n:
                 parts.append((*found[:2], np.full(n, uid), np.full(n, ver), *found[2:]))
@@ -117,31 +130,38 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
 
 def _flag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is known of each anchor once those with its hash are together; anchors that are done are left out."""
-    names = ["uid", "ver", "lo", "span", "off", "kind", "h"]
+    names = [field.split()[0] for field in _FLAGS.split(", ")]
+    heads = ["head_uid", "head_ver", "head_lo"]
     for table in whole_groups(batches, "h", ANCHORS):
         h, context, uid, lo, kind = (table[name].to_numpy() for name in ("h", "context", "uid", "lo", "kind"))
         order = np.lexsort((lo, uid, context, h, kind != _SINGLE))
-        h, context, uid, lo, kind = (c[order] for c in (h, context, uid, lo, kind))
+        table = table.take(pa.array(order))
+        h, context, uid, ver, lo, kind = (table[name].to_numpy() for name in ("h", "context", "uid", "ver", "lo", "kind"))
         new_h = np.concatenate([[True], (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])])
         new = new_h | np.concatenate([[True], context[1:] != context[:-1]])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, new)[group] > 1
         own = np.where((uid != uid[head]) | (lo != lo[head]), _REPEAT, np.where(several, _CANDIDATE, _SINGLE))
-        kind = np.where(kind == _SINGLE, own, kind).astype(np.int32)
-        rows = table.take(pa.array(order)).set_column(table.schema.get_field_index("kind"), "kind", pa.array(kind))
-        yield from rows.select(names).filter(pa.array(kind != _SINGLE)).to_batches()
+        met = kind == _SINGLE
+        for name, values in zip(heads, (uid, ver, lo)):
+            table = table.set_column(table.schema.get_field_index(name), name, pa.array(np.where(met, values[head], table[name].to_numpy())))
+        kind = np.where(met, own, kind).astype(np.int32)
+        table = table.set_column(table.schema.get_field_index("kind"), "kind", pa.array(kind))
+        yield from table.select(names).filter(pa.array(kind != _SINGLE)).to_batches()
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of each candidate."""
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each candidate, and the SHA-256 of each segment (off -1)."""
     for rows in batches:
         out: list[tuple] = []
         for uid, ver, raw, places in zip(rows["uid"].to_pylist(), rows["ver"].to_pylist(), rows["raw"].to_pylist(), rows["places"].to_pylist()):
-            out += [(p["h"], uid, ver, p["lo"], p["off"], raw[p["lo"] : p["lo"] + p["span"] + length]) for p in places]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            for p in places:
+                part = raw[p["lo"] : p["lo"] + p["size"]]
+                out.append((p["h"], uid, ver, p["lo"], p["size"], p["off"], part if p["off"] >= 0 else hashlib.sha256(part).digest()))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         columns = list(zip(*out)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "uid", "ver", "lo", "off", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "uid", "ver", "lo", "size", "off", "context"])
 
 
 class Suffixes:
@@ -260,14 +280,47 @@ def _sorted_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(uid[owner]), pa.array(ver[owner]), pa.array((lo[owner] + first).astype(np.int32)), pa.array((lo[owner] + last + length).astype(np.int32))], ["uid", "ver", "start", "end"])
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of hot candidates."""
+def _piece_rows(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Of each portion of hot candidates the runs of windows that repeat within it (context null), and pieces with the others.
+
+    A piece has windows of one block of `width` shifts, counted from the anchor; its h is a hash of the
+    anchor, the block and the bytes that all windows of the block have in common.
+    """
+    names = ["h", "uid", "ver", "lo", "size", "off", "context"]
+    for rows in _portions(batches):
+        h, uid, ver, lo, size, off = (rows[name].to_numpy() for name in names[:-1])
+        contexts = rows["context"].to_pylist()
+        owner, within = repeated_windows(contexts, h, off, uid, lo, length)
+        out: list[tuple] = []
+        for one, first, last in zip(*_runs(owner, within)) if len(owner) else ():
+            out.append((0, uid[one], ver[one], lo[one] + first, last - first + length, 0, None))
+        gone = set(zip(owner.tolist(), within.tolist()))
+        for one, raw in enumerate(contexts):
+            blocks: dict[int, list[int]] = {}
+            for window in range(len(raw) - length + 1):
+                if (one, window) not in gone:
+                    blocks.setdefault((window - off[one]) // width, []).append(window)
+            for block, windows in blocks.items():
+                first, start = windows[0], off[one] + block * width
+                common = raw[start + width - 1 : start + length]
+                name = hashlib.blake2b(b"%d %d " % (h[one], block) + common, digest_size=8).digest()
+                piece = raw[first : windows[-1] + length]
+                out.append((int.from_bytes(name, "big", signed=True), uid[one], ver[one], lo[one] + first, len(piece), off[one] - first, piece))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        columns = list(zip(*out)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
     for rows in batches:
-        for h, uid, ver, lo, raw in zip(*(rows[name].to_pylist() for name in ("h", "uid", "ver", "lo", "context"))):
-            part = np.frombuffer(raw, np.uint8)
-            pair = [mixed(Prefixes(part, base, seed, _ROOM).all(length)).view(np.int64) for seed, base in enumerate(_BASES, 11)]
-            n = len(pair[0])
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(n, uid)), pa.array(np.full(n, ver, np.int32)), pa.array(np.arange(lo, lo + n, dtype=np.int32))], ["a", "b", "uid", "ver", "start"])
+        if rows.num_rows:
+            held.append(rows)
+        if sum(part["context"].nbytes for part in held) >= SORTED_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,30 +355,65 @@ def _identified(documents: DataFrame) -> DataFrame:
     return named.withColumn("hash", F.xxhash64("text")).join(versions, ["uid", "hash"]).select("uid", "ver", F.col("text").cast("binary").alias("raw"))
 
 
-def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(uid, ver, start, end) of removed runs, which may overlap, for `texts` (uid, ver, raw)."""
-    rows = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram), "part long, kind int, h long, context long, uid long, ver int, lo int, span int, off int")
-    flags = durable(rows.repartition("part").sortWithinPartitions("h").mapInArrow(_flag_rows, _FLAGS))
-    whole = flags.filter(F.col("kind") == _REPEAT).select("uid", "ver", F.col("lo").alias("start"), (F.col("lo") + F.col("span") + length).alias("end"))
-    candidates = flags.filter(F.col("kind") == _CANDIDATE)
-    places = candidates.groupBy("uid", "ver").agg(F.collect_list(F.struct("h", "lo", "span", "off")).alias("places"))
-    contexts = texts.join(places, ["uid", "ver"]).mapInArrow(lambda b: _context_rows(b, length), "h long, uid long, ver int, lo int, off int, context binary")
-    many = candidates.groupBy("h").count().filter(F.col("count") > hot).select("h")
-    runs = "uid long, ver int, start int, end int"
+def segments(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(uid, ver, start, size, head_uid, head_ver, head_start): neighbouring repeats that repeat one passage."""
+    order = Window.partitionBy("uid", "ver").orderBy("lo")
+    place = lambda at: F.struct(at.alias("at"), "head_uid", "head_ver", (F.col("head_lo") - F.col("lo")).alias("by"), (F.col("head_lo") / SEGMENT).cast("int").alias("block"))
+    here, due = place(F.col("lo")), F.lag(place(F.col("lo") + F.col("span") + 1)).over(order)
+    numbered = repeats.withColumn("number", F.sum((~here.eqNullSafe(due)).cast("int")).over(order))
+    ends = F.max(F.col("lo") + F.col("span")) + length
+    return numbered.groupBy("uid", "ver", "number", "head_uid", "head_ver").agg(F.min("lo").alias("start"), (ends - F.min("lo")).cast("int").alias("size"), F.min("head_lo").alias("head_start")).drop("number").distinct()
+
+
+def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    places = wanted.groupBy("uid", "ver").agg(F.collect_list(F.struct("h", "lo", "size", "off")).alias("places"))
+    return texts.join(places, ["uid", "ver"]).mapInArrow(_context_rows, _CONTEXTS)
+
+
+def _sorted_runs(contexts: DataFrame, length: int, hot: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(uid, ver, start, end) of windows that also start earlier, by sorting; hot anchors in pieces."""
+    sort = lambda rows: rows.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _sorted_rows(b, length), _RUNS)
+    if not widths:
+        return sort(contexts)
+    many = contexts.groupBy("h").count().filter(F.col("count") > hot).select("h")
     if many.isEmpty():
-        found = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _sorted_rows(b, length), runs)
-        return whole.unionByName(found)
-    contexts = durable(contexts)
-    found = contexts.join(many, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _sorted_rows(b, length), runs)
-    windows = contexts.join(many, "h", "left_semi").mapInArrow(lambda b: _window_rows(b, length), "a long, b long, uid long, ver int, start int")
-    firsts = windows.groupBy("a", "b").agg(F.min(F.struct("uid", "start")).alias("first"))
-    later = windows.join(firsts, ["a", "b"]).filter(F.struct("uid", "start") > F.col("first"))
-    return whole.unionByName(found).unionByName(later.select("uid", "ver", "start", (F.col("start") + length).alias("end")))
+        return sort(contexts)
+    many = durable(many)
+    split = durable(contexts.join(many, "h", "left_semi").mapInArrow(lambda b: _piece_rows(b, length, widths[0]), _CONTEXTS))
+    done = split.filter("context is null").select("uid", "ver", F.col("lo").alias("start"), (F.col("lo") + F.col("size")).alias("end"))
+    rest = _sorted_runs(split.filter("context is not null"), length, hot, widths[1:])
+    return sort(contexts.join(many, "h", "left_anti")).unionByName(done).unionByName(rest)
 
 
-def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bits: int = 64) -> DataFrame:
+    """(uid, ver, start, end) of removed runs, which may overlap, for `texts` (uid, ver, raw); fewer `bits` make contexts collide."""
+    rows = texts.mapInArrow(lambda b: _anchor_rows(b, length, gram, bits), _ANCHORS)
+    flags = durable(rows.repartition("part").sortWithinPartitions("h").mapInArrow(_flag_rows, _FLAGS))
+    repeats = flags.filter(F.col("kind") == _REPEAT)
+    parts = durable(segments(repeats, length))
+    sides = parts.select("uid", "ver", "start", "size").union(parts.select("head_uid", "head_ver", "head_start", "size")).distinct()
+    candidate = lambda uid, ver, lo: ("h", F.col(uid).alias("uid"), F.col(ver).alias("ver"), F.col(lo).alias("lo"), (F.col("span") + length).alias("size"), "off")
+    wanted = flags.filter(F.col("kind") == _CANDIDATE).select(*candidate("uid", "ver", "lo"))
+    contexts = durable(_contexts(texts, wanted.unionByName(sides.select(F.lit(0).cast("long").alias("h"), "uid", "ver", F.col("start").alias("lo"), "size", F.lit(-1).alias("off")))))
+
+    digests = contexts.filter("off < 0").select("uid", "ver", F.col("lo").alias("start"), "size", F.col("context").alias("digest"))
+    head = ["head_uid", "head_ver", "head_start", "size"]
+    seen = parts.join(digests, ["uid", "ver", "start", "size"]).groupBy(*head).agg(F.min("digest").alias("least"), F.max("digest").alias("greatest"))
+    wrong = durable(seen.join(digests.toDF(*head, "digest"), head).filter("least <> digest or greatest <> digest").select(*head))
+    found = _sorted_runs(contexts.filter("off >= 0"), length, hot)
+    if not wrong.isEmpty():  # hashes collided: sort all contexts of these anchors
+        false = parts.join(wrong, head).select("uid", "ver", "start", (F.col("start") + F.col("size")).alias("end"))
+        parts = parts.join(wrong, head, "left_anti")
+        keys = repeats.join(false, ["uid", "ver"]).filter("lo >= start and lo < end").select("h").distinct()
+        again = flags.join(keys, "h")
+        both = again.select(*candidate("uid", "ver", "lo")).union(again.filter(F.col("kind") == _REPEAT).select(*candidate("head_uid", "head_ver", "head_lo"))).distinct()
+        found = found.unionByName(_sorted_runs(durable(_contexts(texts, both)), length, hot))
+    return parts.select("uid", "ver", "start", (F.col("start") + F.col("size")).alias("end")).unionByName(found)
+
+
+def deduplicate(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (see the module's docstring)."""
     texts = _identified(documents)
-    runs = removed_runs(texts, length, gram, hot).groupBy("uid", "ver").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    runs = removed_runs(texts, length, gram, hot, bits).groupBy("uid", "ver").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     done = texts.join(runs, ["uid", "ver"], "left").mapInArrow(_kept_rows, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done.select(F.when(F.col("uid") != _NULL_ID, F.col("uid")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -33,10 +33,11 @@ def fixture():
     return docs + [(100, None), (101, ""), (None, passages[0]), (7, passages[1]), (7, passages[1]), (3, docs[3][1]), (200, "a" * 1000), (201, "ab" * 500), (202, docs[10][1])]
 
 
-@pytest.mark.parametrize("length, gram, hot", [(100, 20, substrings.HOT), (30, 8, substrings.HOT), (30, 8, 2)])
-def test_like_brute_force(spark, length, gram, hot):
+@pytest.mark.parametrize("length, gram, hot, bits", [(100, 20, substrings.HOT, 64), (30, 8, substrings.HOT, 64), (30, 8, 2, 64), (30, 8, 0, 64), (30, 8, substrings.HOT, 1), (100, 20, 1, 2)])
+def test_like_brute_force(spark, length, gram, hot, bits):
+    """Few `bits` make contexts collide; a low `hot` sends all anchors through pieces."""
     docs = fixture()
-    got = substrings.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), length, gram, hot).drop("kept")
+    got = substrings.deduplicate(spark.createDataFrame(docs, "doc_id long, text string"), length, gram, hot, bits).drop("kept")
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs, length)
 
 
@@ -70,3 +71,14 @@ def test_collisions_are_settled_by_bytes(monkeypatch):
     contexts = [b"a" * 30, b"b" * 30, b"a" * 30]
     owner, within = substrings.repeated_windows(contexts, np.zeros(3, int), np.zeros(3, int), np.arange(3), np.zeros(3, int), 30)
     assert owner.tolist() == [2] and within.tolist() == [0]
+
+
+def test_long_texts_and_a_hot_passage(spark):
+    """Texts over BLOCK bytes, and a passage in so many documents that its edges make hot anchors."""
+    random.seed(4)
+    letters = lambda n: "".join(random.choices("abcdefghij klmno", k=n))
+    long, passage = letters(2 * substrings.BLOCK + 5_000), letters(160)
+    docs = [(0, long), (1, letters(700) + long[substrings.BLOCK - 300 : substrings.BLOCK + 400] + letters(50)), (2, long[1:])]
+    docs += [(10 + i, letters(20) + passage + letters(20)) for i in range(substrings.HOT + 300)]
+    got = substrings.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).drop("kept")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs, 100)
