@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def given(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is computed once, however often `f` or its lambdas use it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -14,6 +21,15 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def mean(values: Column) -> Column:
+    return total(values) / F.nullif(F.size(values), F.lit(0))
+
+
+def std(values: Column) -> Column:
+    """The population's deviation."""
+    return given(mean(values), lambda m: F.sqrt(mean(F.transform(values, lambda x: (x - m) * (x - m)))))
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
@@ -24,8 +40,7 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector at length 1; null for a zero vector, which has no direction."""
-    size = norm(vector)
-    return F.when(size > 0, F.transform(vector, lambda x: x / size))
+    return given(norm(vector), lambda size: F.when(size > 0, F.transform(vector, lambda x: x / size)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,9 +61,8 @@ def rbf(d2: Column, sigma: Column) -> Column:
 
 
 def softmax(scores: Column) -> Column:
-    peak = F.array_max(scores)
-    raised = F.transform(scores, lambda x: F.exp(x - peak))
-    return F.transform(raised, lambda x: x / total(raised))
+    raised = given(F.array_max(scores), lambda peak: F.transform(scores, lambda x: F.exp(x - peak)))
+    return given(raised, lambda r: given(total(r), lambda whole: F.transform(r, lambda x: x / whole)))
 
 
 def argmax(values: Column) -> Column:
@@ -69,6 +83,6 @@ def noisy_or(confidences: Column) -> Column:
 
 def normalised_correlation(a: Column, b: Column) -> Column:
     """Cosine of the mean-centred vectors, 0 where either is flat."""
-    centred = lambda v: F.transform(v, lambda x: x - total(v) / F.size(v))
-    x, y = centred(a), centred(b)
-    return F.when((norm(x) < 1e-9) | (norm(y) < 1e-9), 0.0).otherwise(dot(x, y) / (norm(x) * norm(y)))
+    centred = lambda v: given(mean(v), lambda m: F.transform(v, lambda x: x - m))
+    sizes = lambda x, y: given(norm(x), lambda n: given(norm(y), lambda k: F.when((n < 1e-9) | (k < 1e-9), 0.0).otherwise(dot(x, y) / (n * k))))
+    return given(centred(a), lambda x: given(centred(b), lambda y: sizes(x, y)))

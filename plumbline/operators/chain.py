@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,26 +16,54 @@ def link(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit("|"), payload), 256)
 
 
-def build(events: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:
-    """(chain, seq, payload, previous_hash, event_hash). A chain is a fold over its own events, in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(payload).alias("payload"))))
-    kind = "array<struct<seq:bigint,payload:string,previous_hash:string,event_hash:string>>"
-    start = F.array().cast(kind)
+def _folded(events: DataFrame, chain: str, seq: str, payload: str, heads: bool) -> DataFrame:
+    """Chains as a stream of their events in order: what a task holds is one batch and the last hash. An event without payload has no hash."""
+    names = (chain, seq, payload)
+    kinds = [events.schema[name].dataType.simpleString() for name in names]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, n = None, GENESIS, 0
+        for rows in batches:
+            out: list[tuple] = []
+            for key, text in zip(rows["chain"].to_pylist(), rows["payload"].to_pylist()):
+                if n and key != at:
+                    if heads:
+                        out.append((at, n, last))
+                    n = 0
+                if not n:
+                    at, last = key, GENESIS
+                hashed = None if text is None else hashlib.sha256(f"{last or GENESIS}|{text}".encode()).hexdigest()
+                if not heads:
+                    out.append((last or GENESIS, hashed))
+                n, last = n + 1, hashed
+            if heads:
+                yield _batch(out, rows.schema.field("chain").type)
+            else:
+                before, after = zip(*out) if out else ((), ())
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*rows.schema.names, "previous_hash", "event_hash"])
+        if heads and n:
+            yield _batch([(at, n, last)], pa.array([at]).type)
+
+    plain = events.select(F.col(chain).alias("chain"), F.col(seq).alias("seq"), F.col(payload).cast("string").alias("payload"))
+    ordered = plain.repartition("chain").sortWithinPartitions("chain", "seq")
+    if heads:
+        return ordered.mapInArrow(fold, f"chain {kinds[0]}, n long, head string").withColumnRenamed("chain", chain)
+    return ordered.mapInArrow(fold, f"chain {kinds[0]}, seq {kinds[1]}, payload string, previous_hash string, event_hash string").toDF(*names, "previous_hash", "event_hash")
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    chain, n, head = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(chain, kind), pa.array(n, pa.int64()), pa.array(head, pa.string())], ["chain", "n", "head"])
 
-    def step(done: Column, event: Column) -> Column:
-        previous = F.coalesce(F.try_element_at(done, F.lit(-1))["event_hash"], F.lit(GENESIS))
-        entry = F.struct(event["seq"].cast("bigint").alias("seq"), event["payload"].alias("payload"), previous.alias("previous_hash"), link(previous, event["payload"]).alias("event_hash"))
-        return F.concat(done, F.array(entry)).cast(kind)
 
-    folded = events.groupBy(chain).agg(ordered.alias("e")).select(chain, F.explode(F.aggregate("e", start, step)).alias("x"))
-    return folded.select(chain, F.col("x.seq").alias(seq), F.col("x.payload").alias(payload), "x.previous_hash", "x.event_hash")
+def build(events: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:
+    """(chain, seq, payload, previous_hash, event_hash). A chain is a fold over its own events, in order."""
+    return _folded(events, chain, seq, payload, False)
 
 
 def head_hash(events: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:
     """(chain, n, head): the last hash of each chain."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(payload).alias("payload"))))
-    head = F.aggregate(ordered, F.lit(GENESIS), lambda acc, x: link(acc, x["payload"]))
-    return events.groupBy(chain).agg(F.count("*").alias("n"), head.alias("head"))
+    return _folded(events, chain, seq, payload, True)
 
 
 def verify(events: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:

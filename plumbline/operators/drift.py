@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.rules import drift_assessment, drift_policy
 from plumbline.tables import durable
 
 #: Rows of one side of a tile; a tile is one task's kernel matrix.
@@ -264,3 +265,49 @@ def require_same_reference(calibration: DataFrame, reference: DataFrame, key: st
 
 def alerts(statistic: Column, threshold: Column) -> Column:
     return statistic > threshold
+
+
+def checked(described: DataFrame, tested: DataFrame, threshold: float | None, levels: DataFrame | None = None, declared: DataFrame | None = None, size: int | None = None) -> DataFrame:
+    """One row a window: its description, test, assessment and policy. The same in batches and in foreachBatch.
+
+    `described` has window_no and what describes it, `tested` is window_mmd's result, `levels` and `declared` have
+    (window_no, levels), arrays of levels of measured statistics and of declared metadata. Windows without a
+    calibrated threshold, a test or levels have INSUFFICIENT_EVIDENCE; a window of another size than the
+    calibration's is refused, as the statistic's bias depends on it.
+    """
+    if size is not None and (other := tested.filter(F.col("n") != size).select("n").first()):
+        raise ValueError(f"a window of {other['n']} rows does not match the calibrated size {size}")
+    none = F.array().cast("array<string>")
+    joined = described.join(tested.select("window_no", "mmd", "sigma", "p_value"), "window_no", "left")
+    for name, frame in (("measured", levels), ("declared", declared)):
+        joined = joined.withColumn(name, none) if frame is None else joined.join(frame.select("window_no", F.col("levels").alias(name)), "window_no", "left").withColumn(name, F.coalesce(name, none))
+    limit = F.lit(threshold).cast("double")
+    judged = joined.withColumns({"threshold": limit, "assessment": drift_assessment(alerts(F.col("mmd"), limit), F.col("measured"), F.col("declared"))})
+    policy = drift_policy(F.col("assessment"), F.col("mmd"), F.col("threshold"), F.col("p_value"))
+    return judged.withColumn("__policy", policy).select("*", "__policy.*").drop("__policy")
+
+
+def pooled_bandwidth(reference: DataFrame, live: DataFrame, key: str, vector: str, seed: int = 42, most: int = 512) -> float:
+    """The bandwidth of reference and live rows together, from a sample of at most `most` of them."""
+    both = reference.select(F.col(key).cast("string").alias("k"), F.col(vector).alias("v")).unionByName(live.select(F.concat(F.lit("live|"), F.col(key).cast("string")).alias("k"), F.col(vector).alias("v")))
+    return bandwidth(_sample(both, "k", "v", seed, most))
+
+
+def size_matched_null(reference: DataFrame, pool: DataFrame, key: str, vector: str, size: int, draws: int = 500, quantile: float = 0.99, seed: int = 42, most: int = 512) -> DataFrame:
+    """(calibration_id, threshold, sigma, draws, n, m, digest, null): the quantile of the statistic of `draws` windows of `size` rows of a pool against all reference rows.
+
+    Each draw takes different rows of the whole pool, and the kernel's sums with the reference are taken in
+    tiles as for live windows.
+    """
+    rows = _numbered(pool, key, vector)
+    total = rows.count()
+    if total < size:
+        raise ValueError(f"{total} pool rows, {size} needed for a window")
+    drawn = _drawn(rows, total, draws, size, seed).select(F.col("draw").alias("window_no"), F.concat_ws("-", "draw", "place").alias("k"), "v")
+    base = reference.select(F.col(key).cast("string").alias("k"), F.col(vector).alias("v"))
+    tested = window_mmd(base, drawn, "k", "v", seed, most, sigma=bandwidth(_sample(reference, key, vector, seed, most)))
+    q = F.percentile("mmd", F.array(*map(F.lit, (0.5, 0.95, 0.99))))
+    null = F.struct(F.avg("mmd").alias("mean"), F.stddev_pop("mmd").alias("std"), F.min("mmd").alias("min"), q[0].alias("median"), q[1].alias("p95"), q[2].alias("p99"), F.max("mmd").alias("max"))
+    summed = tested.agg(F.percentile("mmd", quantile).alias("threshold"), F.first("sigma").alias("sigma"), null.alias("null"))
+    named = summed.crossJoin(_digest(reference, key, vector)).withColumns({"draws": F.lit(draws), "n": F.lit(reference.count()), "m": F.lit(size)})
+    return named.withColumn("calibration_id", F.concat(F.lit("threshold-"), F.substring(F.sha2(F.concat_ws("|", "digest", F.lit("size_matched_null"), F.lit(seed), F.lit(quantile), "draws", "n", "m", "sigma"), 256), 1, 12)))

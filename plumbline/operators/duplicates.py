@@ -82,7 +82,7 @@ def best_partner(pairs: DataFrame) -> DataFrame:
 def nearest(frame: DataFrame, key: str, vector: str, k: int, within: str | None = None) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest other rows by Euclidean distance, ties by id.
 
-    Each tile keeps k candidates a query and the candidates of all tiles meet by query, so a row's
+    Each tile keeps of its rows the k nearest and all as near as the k-th, and these meet by query, so a row's
     neighbours take k rows a tile. With `within`, only rows of another value of that column count
     (training rows for a fold).
     """
@@ -102,13 +102,12 @@ def nearest(frame: DataFrame, key: str, vector: str, k: int, within: str | None
         if within:
             barred |= queries["fold"].to_numpy()[:, None] == base["fold"].to_numpy()[None, :]
         d2 = np.where(barred, np.inf, np.maximum(d2, 0))
-        take = min(k + 4, len(base))
-        order = np.argsort(d2, axis=1, kind="stable")[:, :take]
-        a = np.repeat(np.arange(len(qi)), take)
-        c = order.ravel()
-        exact = np.sqrt(((q[a] - b[c]) ** 2).sum(1))
-        good = np.isfinite(d2[a, c])
-        return pd.DataFrame({"id": qi[a][good], "neighbour": bi[c][good], "distance": exact[good]})
+        last = np.partition(d2, min(k, len(base)) - 1, axis=1)[:, min(k, len(base)) - 1]
+        scale = (q**2).sum(1) + (b**2).sum(1).max()
+        # the products round differently from the exact distances, so that near ties stay until these are known
+        a, c = np.nonzero(np.isfinite(d2) & (d2 <= np.where(np.isfinite(last), last + 1e-9 * scale, np.inf)[:, None]))
+        found = pd.DataFrame({"id": qi[a], "neighbour": bi[c], "distance": np.sqrt(((q[a] - b[c]) ** 2).sum(1))})
+        return found.sort_values(["id", "distance", "neighbour"]).groupby("id", sort=False).head(k)
 
     tiles = _tiles(rows, "id", "block", False).groupBy("i", "j").applyInPandas(candidates, f"id {kind}, neighbour {kind}, distance double")
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)

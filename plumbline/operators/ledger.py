@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import components
+from plumbline.tables import durable
 
 
 def first_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -36,7 +37,8 @@ def first_wins(submissions: DataFrame, committed: DataFrame | None = None) -> Da
     """
     fields = submissions.select("seq", "asset", "hash")
     if committed is not None:
-        fields = fields.unionByName(committed.select(F.expr("cast(null as bigint)").alias("seq"), "asset", "hash").withColumn("seq", -F.xxhash64("asset", "hash").bitwiseOR(F.lit(1)) % F.lit(1 << 40) - (1 << 41)))
+        # a number of its own for each, before those of all submissions; written, as it would be given anew at each reading
+        fields = fields.unionByName(durable(committed.select((F.monotonically_increasing_id() - F.lit((1 << 63) - 1)).alias("seq"), "asset", "hash")))
     kind = fields.schema["seq"].dataType.simpleString()
     together = _classes(fields).repartition("component").sortWithinPartitions("component", "seq")
     done = together.select("component", "seq", "asset", "hash").mapInPandas(_fold, f"seq {kind}, status string")

@@ -39,25 +39,58 @@ def top_deficit(deficits: DataFrame) -> DataFrame:
     return deficits.groupBy("model_id").agg(best.alias("b")).select("model_id", F.col("b.class").alias("deficit_class"), (-F.col("b.m")).alias("max_deficit"))
 
 
-def verdicts(mad: DataFrame, deficits: DataFrame) -> DataFrame:
-    """(model_id, verdict, severity, confidence) of models in both tables (model_id, max_index, top_class, flagged; model_id, deficit_class).
+def verdicts(mad: DataFrame, deficits: DataFrame, calibration: DataFrame | None = None) -> DataFrame:
+    """(model_id, verdict, severity, confidence) of the models (model_id, max_index, top_class, flagged; model_id, deficit_class).
 
     Unflagged models are accepted; where both methods name the same class a model is quarantined, else reviewed.
+    A model that a table lacks has not been assessed: its verdict is ERROR, without severity and confidence.
     """
-    both = mad.join(deficits, "model_id")
+    both = mad.join(deficits.withColumn("__d", F.lit(True)), "model_id", "full_outer")
+    both = both.withColumn("__c", F.lit(True)) if calibration is None else both.join(calibration.select("model_id").distinct().withColumn("__c", F.lit(True)), "model_id", "full_outer")
+    missing = F.col("flagged").isNull() | F.col("__d").isNull() | F.col("__c").isNull()
     agree = F.col("top_class") == F.col("deficit_class")
-    verdict = chain((~F.col("flagged"), "ACCEPT"), (agree, "QUARANTINE"), otherwise="REVIEW")
-    severity = chain((~F.col("flagged"), "LOW"), (agree, "CRITICAL"), otherwise="MEDIUM")
+    verdict = chain((missing, "ERROR"), (~F.col("flagged"), "ACCEPT"), (agree, "QUARANTINE"), otherwise="REVIEW")
+    severity = chain((missing, F.lit(None).cast("string")), (~F.col("flagged"), "LOW"), (agree, "CRITICAL"), otherwise="MEDIUM")
     scaled = F.least(F.lit(1.0), F.col("max_index") / 5)
-    confidence = F.when(~F.col("flagged"), F.least(F.lit(0.5), F.col("max_index") / 2)).when(agree, F.greatest(scaled, F.lit(0.85))).otherwise(scaled * 0.6)
+    confidence = F.when(missing, F.lit(None).cast("double")).when(~F.col("flagged"), F.least(F.lit(0.5), F.col("max_index") / 2)).when(agree, F.greatest(scaled, F.lit(0.85))).otherwise(scaled * 0.6)
     return both.select("model_id", verdict.alias("verdict"), severity.alias("severity"), F.round(confidence, 4).alias("confidence"))
 
 
-def channel_order(log: DataFrame) -> DataFrame:
-    """(model_id, chosen, accuracy, mean_entropy, classes, status) from a prediction log (model_id, order, predicted, truth, entropy).
+def require_assessed(verdicts: DataFrame) -> None:
+    """Fail closed: no model lacks one of its results."""
+    lacking = [row["model_id"] for row in verdicts.filter("verdict = 'ERROR'").orderBy("model_id").limit(20).collect()]
+    if lacking:
+        raise ValueError(f"results missing for {', '.join(map(str, lacking))}")
 
-    The order of greater accuracy wins; 70 % and more is CALIBRATED.
+
+def channel_order(log: DataFrame, models: DataFrame | None = None, least: float = 70.0) -> DataFrame:
+    """(model_id, tier, rgb, bgr, classes_rgb, classes_bgr, chosen, status) from a prediction log (model_id, order, predicted, truth, entropy).
+
+    With labels (TIER_A, or the log's column tier) rgb and bgr are percentages of right predictions: the greater
+    one is chosen, RGB of equals, and below `least` for both the calibration failed, with equals UNCERTAIN.
+    Without labels (TIER_C) they are mean entropies: an order with one predicted class only is no choice,
+    else the smaller entropy wins. A model of `models` without log can't be calibrated (TIER_D).
     """
-    each = log.groupBy("model_id", "order").agg((F.avg((F.col("predicted") == F.col("truth")).cast("double")) * 100).alias("accuracy"), F.avg("entropy").alias("mean_entropy"), F.count_distinct("predicted").alias("classes"))
-    best = F.max(F.struct("accuracy", (-F.col("mean_entropy")).alias("m"), "order", "mean_entropy", "classes"))
-    return each.groupBy("model_id").agg(best.alias("b")).select("model_id", F.col("b.order").alias("chosen"), "b.accuracy", "b.mean_entropy", "b.classes", F.when(F.col("b.accuracy") >= 70, "CALIBRATED").otherwise("UNCERTAIN").alias("status"))
+    right, order = (F.col("predicted") == F.col("truth")).cast("double"), F.col("order")
+    of = lambda name, f, value: f(F.when(order == name, value))
+    summed = log.groupBy("model_id").agg(
+        F.count("truth").alias("labelled"),
+        (F.max("tier") if "tier" in log.columns else F.lit(None).cast("string")).alias("given"),
+        *((of(name, F.avg, right) * 100).alias(f"accuracy_{name}") for name in ("RGB", "BGR")),
+        *(of(name, F.avg, F.col("entropy")).alias(f"entropy_{name}") for name in ("RGB", "BGR")),
+        *(of(name, F.count_distinct, F.col("predicted")).alias(f"classes_{name}") for name in ("RGB", "BGR")),
+    )
+    if models is not None:
+        summed = models.select("model_id").distinct().join(summed, "model_id", "left")
+    c = F.col
+    a_rgb, a_bgr, none = F.coalesce(c("accuracy_RGB"), F.lit(-1.0)), F.coalesce(c("accuracy_BGR"), F.lit(-1.0)), c("labelled").isNull()
+    by_label = F.coalesce(c("given") != "TIER_C", c("labelled") > 0)
+    failed = F.greatest(a_rgb, a_bgr) < least
+    several = {name: F.coalesce(c(f"classes_{name}"), F.lit(0)) > 1 for name in ("RGB", "BGR")}
+    uncertain = ~several["RGB"] & ~several["BGR"]
+    by_entropy = chain((uncertain, "UNCERTAIN"), (~several["BGR"], "RGB"), (~several["RGB"], "BGR"), (c("entropy_BGR") < c("entropy_RGB"), "BGR"), otherwise="RGB")
+    chosen = chain((none, "N/A"), (~by_label, by_entropy), (a_bgr > a_rgb, "BGR"), (failed & (a_bgr == a_rgb), "UNCERTAIN"), otherwise="RGB")
+    status = chain((none, "CALIBRATION_IMPOSSIBLE"), (by_label & failed, "CALIBRATION_FAILED"), (~by_label & uncertain, "CALIBRATION_UNCERTAIN"), otherwise="OK")
+    tier = chain((none, "TIER_D"), (c("given").isNotNull(), c("given")), (by_label, "TIER_A"), otherwise="TIER_C")
+    metric = lambda name: F.when(by_label, c(f"accuracy_{name}")).otherwise(c(f"entropy_{name}"))
+    return summed.select("model_id", tier.alias("tier"), metric("RGB").alias("rgb"), metric("BGR").alias("bgr"), c("classes_RGB").alias("classes_rgb"), c("classes_BGR").alias("classes_bgr"), chosen.alias("chosen"), status.alias("status"))

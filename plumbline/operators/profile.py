@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.rules import change_level, relative_change
+from plumbline.functions.rules import LEVELS, change_level, relative_change, worst
+
+
+#: Rows of a digest's group.
+GROUP_ROWS = 1 << 16
 
 
 def distribution(frame: DataFrame, *keys: str) -> DataFrame:
@@ -15,12 +19,19 @@ def distribution(frame: DataFrame, *keys: str) -> DataFrame:
 def digest(frame: DataFrame, *columns: str) -> DataFrame:
     """(n, digest): an order-insensitive hash of a table of any size.
 
-    Rows are hashed and dealt to groups by hash; a group's digest is that of its sorted hashes, and the
-    table's digest that of its sorted groups', so that no task needs all rows.
+    Rows are hashed and dealt to groups by a prefix of the hash that grows with the number of rows, so that a
+    group has at most about GROUP_ROWS of them; a group's digest is that of its sorted hashes. Groups are
+    joined 256 at a time in the same way until one is left.
     """
     hashed = frame.select(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256).alias("h"))
-    groups = hashed.groupBy(F.substring("h", 1, 2).alias("g")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("d"))
-    return groups.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
+    size, total = 2, hashed.count()
+    while total > GROUP_ROWS * 16**size:
+        size += 2
+    level = hashed.groupBy(F.substring("h", 1, size).alias("g")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("d"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ","), 256)
+    for left in range(size - 2, 0, -2):
+        level = level.groupBy(F.substring("g", 1, left).alias("p")).agg(F.sum("n").alias("n"), joined.alias("d")).withColumnRenamed("p", "g")
+    return level.agg(F.sum("n").alias("n"), joined.alias("digest"))
 
 
 def dimension_stats(frame: DataFrame, vector: str, *keys: str) -> DataFrame:
@@ -84,3 +95,20 @@ def set_change(reference: DataFrame, live: DataFrame, column: str) -> DataFrame:
     old, new = (f.select(F.col(column).alias("v")).filter("v is not null").distinct() for f in (reference, live))
     both = old.withColumn("o", F.lit(1)).join(new.withColumn("n", F.lit(1)), "v", "full_outer")
     return both.agg(F.when(F.count("*") == 0, "NOT_AVAILABLE").when(F.count_if(F.col("o").isNull() | F.col("n").isNull()) > 0, "HIGH").otherwise("LOW").alias("level"))
+
+
+def window_levels(reference: DataFrame, members: DataFrame, groups: dict[str, list[str]], sets: tuple[str, ...] = (), level: str = "MEDIUM") -> DataFrame:
+    """(window_no, names, levels) of the windows of `members` against `reference`, a row of a few numbers that goes to all tasks.
+
+    A group of columns has the worst level of the changes of their means, a set column `level` if its distinct
+    values differ, and NOT_AVAILABLE if it has none on both sides.
+    """
+    columns = [c for group in groups.values() for c in group]
+    means = [F.avg(c).alias(f"mean_{c}") for c in columns]
+    held = [F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"set_{c}") for c in sets]
+    base = reference.agg(*means, *held).toDF(*(f"ref_{name}" for name in [f"mean_{c}" for c in columns] + [f"set_{c}" for c in sets]))
+    both = members.groupBy("window_no").agg(*means, *held).crossJoin(F.broadcast(base))
+    moved = lambda c: change_level(relative_change(F.col(f"mean_{c}"), F.col(f"ref_mean_{c}")))
+    found = [F.when(F.coalesce(*(F.col(f"mean_{c}") for c in group)).isNull(), "NOT_AVAILABLE").otherwise(worst(F.array(*map(moved, group)), LEVELS)) for group in groups.values()]
+    differs = lambda c: F.when((F.size(f"set_{c}") == 0) & (F.size(f"ref_set_{c}") == 0), "NOT_AVAILABLE").when(F.col(f"set_{c}") != F.col(f"ref_set_{c}"), level).otherwise("LOW")
+    return both.select("window_no", F.array(*map(F.lit, [*groups, *sets])).alias("names"), F.array(*found, *map(differs, sets)).alias("levels"))

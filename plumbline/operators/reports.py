@@ -13,7 +13,19 @@ def threats_by_module(findings: DataFrame, module: str, severity: str) -> DataFr
 
 
 def overview(findings: DataFrame) -> DataFrame:
-    return findings.agg(F.count("*").alias("total"), F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).alias("grave"), F.count_if(F.col("disposition") == "QUARANTINE").alias("quarantined"), F.count_distinct("asset_id").alias("assets"), F.round(F.coalesce(F.try_divide(F.count_if(F.col("disposition") != "ACCEPT").cast("double"), F.count("*")), F.lit(0.0)), 4).alias("anomaly_rate"))
+    """One row of counts: all, grave, quarantined and of drift, alerts of the data and model modules, and what the ledger holds, if `findings` has ledger_status."""
+    grave = F.col("severity").isin("HIGH", "CRITICAL")
+    committed = F.count_if(F.col("ledger_status") == "COMMITTED") if "ledger_status" in findings.columns else F.lit(0).cast("long")
+    return findings.agg(
+        F.count("*").alias("total"),
+        F.count_if(grave).alias("grave"),
+        F.count_if(F.col("disposition") == "QUARANTINE").alias("quarantined"),
+        F.count_distinct("asset_id").alias("assets"),
+        F.count_if(F.col("module_name") == "DistributionShift").alias("drift_events"),
+        F.count_if(F.col("module_name").isin("DataIntegrity", "ModelIntegrity") & grave).alias("integrity_alerts"),
+        committed.alias("committed"),
+        F.round(F.coalesce(F.try_divide(F.count_if(F.col("disposition") != "ACCEPT").cast("double"), F.count("*")), F.lit(0.0)), 4).alias("anomaly_rate"),
+    )
 
 
 def activity_series(events: DataFrame, ts: str, module: str, as_of: str, buckets: int, seconds: int) -> DataFrame:
@@ -33,10 +45,34 @@ def contributor_counts(contributors: DataFrame, assets: DataFrame, key: str, kin
     return counted.unionByName(idle)
 
 
-def module_trust(findings: DataFrame, module: str) -> DataFrame:
-    """(module, status, disposition): what a module's findings amount to."""
-    grave = F.count_if(F.col("severity").isin("HIGH", "CRITICAL"))
-    return findings.groupBy(module).agg(F.when(grave > 0, "COMPROMISED").when(F.count_if(F.col("severity") == "MEDIUM") > 0, "DEGRADED").otherwise("TRUSTED").alias("status"), F.when(F.count_if(F.col("disposition") == "QUARANTINE") > 0, "QUARANTINE").when(F.count_if(F.col("disposition") == "REVIEW") > 0, "REVIEW").otherwise("ACCEPT").alias("disposition"))
+def module_trust(findings: DataFrame) -> DataFrame:
+    """(module_name, n, status, disposition) of the three scanning modules, with or without findings.
+
+    Findings on data and windows that are not STABLE make a WARNING; models FAIL by HIGH and CRITICAL ones.
+    """
+    counted = findings.groupBy("module_name").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("HIGH", "CRITICAL")).alias("grave"))
+    modules = findings.sparkSession.createDataFrame([("DataIntegrity",), ("ModelIntegrity",), ("DistributionShift",)], "module_name string")
+    known = modules.join(counted, "module_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    status = F.when((F.col("module_name") == "ModelIntegrity") & (F.col("grave") > 0), "FAIL").when(F.col("n") > 0, "WARNING").otherwise("PASS")
+    decided = F.when(F.col("status") == "FAIL", "QUARANTINE").when(F.col("status") == "WARNING", "REVIEW").otherwise("ACCEPT")
+    return known.withColumn("status", status).select("module_name", "n", "status", decided.alias("disposition"))
+
+
+def model_summary(findings: DataFrame) -> DataFrame:
+    """One row (asset_id, status, risk, n, quarantined): the first quarantined model by time and id, else the first finding; without findings NO_MODEL_SCAN."""
+    first = F.min_by("asset_id", F.struct((F.col("disposition") != "QUARANTINE").alias("o"), "ts", "finding_id"))
+    summed = findings.agg(first.alias("asset_id"), F.count("*").alias("n"), F.count_if(F.col("disposition") == "QUARANTINE").alias("quarantined"))
+    status = F.when(F.col("quarantined") > 0, "QUARANTINE_RECOMMENDED").when(F.col("n") > 0, "REVIEW").otherwise("NO_MODEL_SCAN")
+    risk = F.when(F.col("quarantined") > 0, "CRITICAL").when(F.col("n") > 0, "UNKNOWN").otherwise("NOT_ASSESSED")
+    return summed.select("asset_id", status.alias("status"), risk.alias("risk"), "n", "quarantined")
+
+
+def drift_series(windows: DataFrame) -> DataFrame:
+    """(window_id, drift, threshold, confidence, status, anomaly) of checked windows (window_id, mmd, threshold, confidence, assessment)."""
+    drift = F.round(F.coalesce("mmd", F.lit(0.0)), 6)
+    anomaly = drift > F.col("threshold")
+    status = F.coalesce("assessment", F.when(anomaly, "ALERT").otherwise("OK"))
+    return windows.select("window_id", drift.alias("drift"), "threshold", F.coalesce("confidence", F.when(F.col("assessment") == "STABLE", 0.95).otherwise(0.85)).alias("confidence"), status.alias("status"), F.coalesce(anomaly, F.lit(False)).alias("anomaly"))
 
 
 def first_flags(samples: DataFrame, flags: str) -> DataFrame:

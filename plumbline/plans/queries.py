@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import rules, text, vectors
 from plumbline.operators import chain, drift, duplicates, evaluate, findings, fusion, governance, groups, label_noise, ledger, models, outliers, patterns, profile, reports, validate
 from plumbline.streaming import operators as streams
+from plumbline.tables import durable, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,20 +191,20 @@ def mahalanobis_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = table(spark, sf_dir, "labels").filter("toxic = 1 or quality = 0")
-    return marked.select("doc_id", F.when(F.col("toxic") == 1, "label_flip").otherwise("duplicate").alias("anomaly_type"), F.concat(F.lit("q"), "quality").alias("original_label"), F.concat(F.lit("t"), "toxic").alias("predicted_label"))
+    return marked.select("doc_id", F.when(F.col("toxic") == 1, "label_flip").otherwise("duplicate").alias("anomaly_type"), F.concat(F.lit("q"), "quality").alias("original_label"), F.concat(F.lit("q"), F.col("doc_id") % 3).alias("predicted_label"), F.concat(F.lit("e"), "doc_id").alias("evidence"))
 
 
-_MEMBERS = "u as (select doc_id, 'source' as group_type, source as group_id from documents union all select doc_id, 'lang', lang from documents), f as (select doc_id, case when toxic = 1 then 'label_flip' else 'duplicate' end as t, 'q' || quality || ' -> t' || toxic as c from labels where toxic = 1 or quality = 0)"
+_MEMBERS = "u as (select doc_id, 'source' as group_type, source as group_id from documents union all select doc_id, 'lang', lang from documents), f as (select doc_id, case when toxic = 1 then 'label_anomaly' else 'duplicate_anomaly' end as t, case when toxic = 1 and quality <> doc_id % 3 then 'q' || quality || ' -> q' || doc_id % 3 end as c, 'e' || doc_id as evidence from labels where toxic = 1 or quality = 0)"
 
 
 @query(f"""with {_MEMBERS}, b as (select (select count(distinct doc_id) from f) / count(*) as p from documents), s as (select group_type, group_id, count(*) as size, count(f.doc_id) as affected from u left join f using (doc_id) group by all),
 z as (select *, affected / size as f, case when size < 5 or p <= 0 then 0.0 else (affected / size - p) / (case when p >= 1 then 0.001 else sqrt(p * (1 - p) / size) end) end as z from s, b), k as (select *, size >= 5 and affected >= 3 and (f >= 0.1 or z >= 2.5) as flagged from z)
-select group_type, group_id, size, affected, affected as n_findings, round(f, 4) as fraction, round(z, 2) as z, round(least(greatest(0.65 + least(0.3, 0.05 * greatest(0, z)), 0.6), 0.95), 4) as confidence, case when not flagged then 'LOW' when f >= 0.25 then 'HIGH' when f >= 0.15 then 'MEDIUM' else 'LOW' end as severity, flagged from k""")
+select group_type, group_id, size, affected, affected as n_findings, round(f, 4) as fraction, round(z, 2) as z, round(least(greatest(0.65 + least(0.3, 0.05 * greatest(0, z)), 0.6), 0.95), 2) as confidence, case when not flagged then 'LOW' when f >= 0.25 then 'HIGH' when f >= 0.15 then 'MEDIUM' else 'LOW' end as severity, flagged from k""")
 def group_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.risk(_doc_findings(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id", ["source", "lang"])
 
 
-@query(f"with {_MEMBERS} select group_type, group_id, arg_min(c, (-n, c)) as confusion, max(n) as n from (select group_type, group_id, c, count(*) as n from u join f using (doc_id) group by all) group by all")
+@query(f"with {_MEMBERS} select group_type, group_id, arg_min(c, (-n, c)) as confusion, max(n) as n from (select group_type, group_id, c, count(*) as n from u join f using (doc_id) where c is not null group by all) group by all")
 def dominant_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.dominant_confusion(_doc_findings(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id", ["source", "lang"])
 
@@ -216,6 +216,19 @@ def group_finding_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.select("group_type", "group_id", F.array_join(entries, ",").alias("types"))
 
 
+@query(f"""with {_MEMBERS}, b as (select (select count(distinct doc_id) from f) as k, count(*) as total, (select count(distinct doc_id) from f) / count(*) as p from documents), s as (select group_type, group_id, count(*) as size, count(f.doc_id) as affected, count(*) filter (where t = 'label_anomaly') as labels, count(*) filter (where t = 'duplicate_anomaly') as dups from u left join f using (doc_id) group by all),
+z as (select *, affected / size as share, (affected / size - p) / sqrt(p * (1 - p) / size) as z from s, b), k as (select * from z where size >= 5 and affected >= 3 and (share >= 0.1 or z >= 2.5)),
+c as (select group_type, group_id, arg_min(c, (-n, c)) as confusion, max(n) as times from (select group_type, group_id, c, count(*) as n from u join f using (doc_id) where c is not null group by all) group by all),
+r as (select group_type, group_id, list(evidence order by doc_id)[1:10] as refs from u join f using (doc_id) group by all)
+select 'group_' || group_type || '_' || group_id as finding_id, affected as affected_samples, case when share >= 0.25 then 'HIGH' when share >= 0.15 then 'MEDIUM' else 'LOW' end as severity, case when labels > 0 then 'Elevated systematic annotation anomaly' else 'Elevated integrity risk' end as finding,
+case when confusion is not null then confusion || ' (' || times || 'x)' end as dominant_confusion, array_to_string(refs, ',') as evidence_refs,
+concat_ws('; ', case when times >= 3 then 'Systematic mislabelling anomaly: dominant confusion ' || confusion || ' (' || times || '/' || affected || ' label anomalies)' when labels >= 3 then printf('Elevated label anomaly rate: %d anomalies (%.1f%% vs %.1f%% baseline)', labels, share * 100, p * 100) end, case when dups >= 3 then 'Near-duplicate concentration: ' || dups || ' duplicate pairs in group' end) as reason
+from k left join c using (group_type, group_id) left join r using (group_type, group_id)""")
+def group_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groups.findings(_doc_findings(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id", ["source", "lang"], "evidence")
+    return found.select("finding_id", "affected_samples", "severity", "finding", "dominant_confusion", F.array_join("evidence_refs", ",").alias("evidence_refs"), "reason")
+
+
 @query("""with f as (select user_id, case event_type when 'click' then 'trigger' else event_type end as detector, least(greatest(0.05 + round(value, 2) / 1000, 0.01), 0.99) as c, case when value > 150 then 3 when value > 80 then 2 else 1 end as p from events),
 e as (select user_id, list_sort(list(distinct detector)) as detectors, round(least(greatest(1 - exp(sum(ln(1 - c))), 0.5), 0.98), 2) as confidence, max(p) as p from f group by 1),
 r as (select *, case when list_contains(detectors, 'trigger') and confidence >= 0.88 then 4 when list_contains(detectors, 'trigger') or len(detectors) >= 2 then greatest(p, 3) else p end as q from e)
@@ -332,13 +345,44 @@ def window_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window_mmd(spark, sf_dir).select("window_no", "n", F.round("mmd", 6).alias("mmd"))
 
 
-@query(f"""with {_MMD}, a as (select window_no, round(mmd, 6) as mmd, case when round(mmd, 6) <= 0.02 then 'NO_SIGNIFICANT_SHIFT' when window_no % 2 = 0 then 'OPERATIONAL_SHIFT' else 'UNEXPLAINED_SHIFT' end as assessment from m)
-select window_no, assessment, round(case assessment when 'NO_SIGNIFICANT_SHIFT' then 0.9 else least(0.6 + 0.25 * least(greatest((mmd - 0.02) / 0.02, 0), 1), 0.85) end, 4) as confidence, case assessment when 'NO_SIGNIFICANT_SHIFT' then 'INFO' when 'UNEXPLAINED_SHIFT' then 'HIGH' else 'MEDIUM' end as severity, case assessment when 'NO_SIGNIFICANT_SHIFT' then 'ACCEPT' else 'REVIEW' end as disposition from a""")
+_IMAGE = "list_avg(embedding::double[]) as brightness, list_stddev_pop(embedding::double[]) as contrast"
+_MOVED = lambda c: f"case when abs(r.{c}) < 1e-12 then 'NOT_AVAILABLE' when abs(l.{c} - r.{c}) / abs(r.{c}) >= 0.2 then 'HIGH' when abs(l.{c} - r.{c}) / abs(r.{c}) >= 0.08 then 'MEDIUM' else 'LOW' end"
+_LEVELS = f"""lv as (select window_no, {_MOVED('brightness')} as b, {_MOVED('contrast')} as c from (select window_no, avg(brightness) as brightness, avg(contrast) as contrast from (select (row_number() over (order by vec_id) - 1) // 50 as window_no, {_IMAGE} from embeddings where label > 0) group by 1) l, (select avg(brightness) as brightness, avg(contrast) as contrast from (select {_IMAGE} from embeddings where label = 0)) r),
+ds as (select window_no, 'LOW' as s from lv)"""
+_CHECKED = f"""with {_MMD}, {_LEVELS}, a as (select window_no, mmd, case when round(mmd, 9) <= 0.02 then 'NO_SIGNIFICANT_SHIFT' when b = 'NOT_AVAILABLE' and c = 'NOT_AVAILABLE' then 'INSUFFICIENT_EVIDENCE' when b in ('MEDIUM', 'HIGH') or c in ('MEDIUM', 'HIGH') then 'OPERATIONAL_SHIFT_LIKELY' else 'UNEXPLAINED_SHIFT' end as assessment from m join lv using (window_no)),
+checked as (select window_no, mmd, assessment, round(case assessment when 'NO_SIGNIFICANT_SHIFT' then 0.6 + 0.3 * least(greatest((0.02 - mmd) / 0.02, 0), 1) when 'OPERATIONAL_SHIFT_LIKELY' then 0.65 when 'UNEXPLAINED_SHIFT' then 0.7 else 0.2 end, 2) as confidence,
+case assessment when 'OPERATIONAL_SHIFT_LIKELY' then 'MEDIUM' when 'UNEXPLAINED_SHIFT' then 'HIGH' else 'LOW' end as severity, case assessment when 'NO_SIGNIFICANT_SHIFT' then 'ACCEPT' else 'REVIEW' end as disposition from a)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every window of labelled vectors against those of label 0, with the means and deviations of the vectors as measured statistics."""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").withColumn("brightness", vectors.mean(x)).withColumn("contrast", vectors.std(x))
+    reference, live = rows.filter("label = 0"), rows.filter("label > 0")
+    members = durable(drift.assigned(drift.indexed(live, ["vec_id"]), drift.Windows(50, 50)))
+    described = drift.described(members, "vec_id", "label", "vec_id").withColumn("window_id", text.window_id("window_no", "digest"))
+    tested = drift.window_mmd(reference, members, "vec_id", "embedding", sigma=1.0).withColumn("mmd", F.round("mmd", 9))
+    levels = profile.window_levels(reference, members, {"brightness": ["brightness"], "contrast": ["contrast"]})
+    return drift.checked(described, tested, 0.02, levels, size=50)
+
+
+@query(f"{_CHECKED} select window_no, assessment, confidence, severity, disposition from checked")
 def drift_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tested = window_mmd(spark, sf_dir)
-    judged = tested.withColumn("assessment", rules.drift_assessment(drift.alerts(F.col("mmd"), F.lit(0.02)), F.col("window_no") % 2 == 0, F.lit(False)))
-    policy = rules.drift_policy(F.col("assessment"), F.col("mmd"), F.lit(0.02), F.lit(None).cast("double"))
-    return judged.select("window_no", "assessment", policy.alias("p")).select("window_no", "assessment", "p.confidence", "p.severity", "p.disposition")
+    return _checked(spark, sf_dir).select("window_no", "assessment", "confidence", "severity", "disposition")
+
+
+@query(f"{_CHECKED} select window_no, round(mmd, 6) as drift, 0.02::double as threshold, confidence, assessment as status, round(mmd, 6) > 0.02 as anomaly from checked")
+def drift_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = _checked(spark, sf_dir)
+    series = reports.drift_series(checked.select(F.col("window_no").alias("window_id"), "mmd", "threshold", "confidence", "assessment"))
+    return series.withColumnRenamed("window_id", "window_no")
+
+
+@query()
+def drift_size_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    done = drift.size_matched_null(rows.filter("label = 0"), rows.filter("label > 0"), "vec_id", "embedding", 50, draws=50)
+    return done.select("calibration_id", "threshold", "sigma", "draws", "n", "m", "digest", "null.mean", "null.median", "null.max")
 
 
 @query()
@@ -437,24 +481,31 @@ def quarantine_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of four modules: labelled documents, suppliers as models, customers as sealed records, events as windows."""
     docs = table(spark, sf_dir, "labels").filter("toxic = 1 or quality = 0").join(table(spark, sf_dir, "documents"), "doc_id")
-    toxic = F.col("toxic") == 1
-    a = findings.canonical(docs, "DI-", "DATA_INTEGRITY", "data-integrity", F.col("doc_id"), F.when(toxic, "HIGH").otherwise("MEDIUM"), F.lit("REVIEW"), F.when(toxic, 0.9).otherwise(0.6), F.lit("sample"), F.when(toxic, "label flip suspected").otherwise("duplicate or ood content"), F.lit("2024-01-01"), F.sha2("text", 256))
-    supplier = table(spark, sf_dir, "supplier").filter("s_acctbal < 3000")
-    deep = F.col("s_acctbal") < 0
-    b = findings.canonical(supplier, "MI-", "MODEL_INTEGRITY", "model-integrity", F.col("s_suppkey"), F.when(deep, "CRITICAL").otherwise("LOW"), F.when(deep, "QUARANTINE").otherwise("ACCEPT"), F.lit(0.8), F.lit("model"), F.when(deep, "trojan trigger").otherwise("clean"), F.lit("2024-01-02"), F.sha2("s_name", 256))
-    events = table(spark, sf_dir, "events").filter("value > 150")
-    c = findings.canonical(events, "DR-", "DRIFT", "drift-monitor", F.col("event_id"), F.lit("MEDIUM"), F.lit("REVIEW"), F.lit(0.7), F.lit("window"), F.lit("shift in window"), F.date_format("ts", "yyyy-MM-dd"), F.sha2("props", 256))
-    return findings.union(a, b, c)
-
-
-_FINDINGS = """raw as (select doc_id::varchar as asset_id, case when toxic = 1 then 'HIGH' else 'MEDIUM' end as severity, 'REVIEW' as own, case when toxic = 1 then 0.9 else 0.6 end::double as confidence, 'sample' as title, case when toxic = 1 then 'label flip suspected' else 'duplicate or ood content' end as reason, '2024-01-01' as ts, sha256(text) as evidence_hash, 'DATA_INTEGRITY' as category, 'data-integrity' as module_name, 'DI-' as prefix from labels join documents using (doc_id) where toxic = 1 or quality = 0
-union all select s_suppkey::varchar, case when s_acctbal < 0 then 'CRITICAL' else 'LOW' end, case when s_acctbal < 0 then 'QUARANTINE' else 'ACCEPT' end, 0.8, 'model', case when s_acctbal < 0 then 'trojan trigger' else 'clean' end, '2024-01-02', sha256(s_name), 'MODEL_INTEGRITY', 'model-integrity', 'MI-' from supplier where s_acctbal < 3000
-union all select event_id::varchar, 'MEDIUM', 'REVIEW', 0.7, 'window', 'shift in window', strftime(ts, '%Y-%m-%d'), sha256(props), 'DRIFT', 'drift-monitor', 'DR-' from events where value > 150),
-st as (select *, case when own = 'ACCEPT' then 'PASS' when own = 'QUARANTINE' or severity in ('HIGH', 'CRITICAL') then 'FAIL' when severity in ('MEDIUM', 'LOW') then 'WARNING' else 'INFO' end as status from raw),
-findings as (select prefix || substr(sha256(module_name || '|' || asset_id || '|' || evidence_hash), 1, 12) as finding_id, category, asset_id, status, severity, confidence, title, reason, ts, module_name, evidence_hash,
-case when own = 'QUARANTINE' or (status = 'FAIL' and (severity = 'CRITICAL' or (severity = 'HIGH' and category = 'MODEL_INTEGRITY'))) then 'QUARANTINE' when own = 'REVIEW' or status in ('FAIL', 'WARNING') then 'REVIEW' else 'ACCEPT' end as disposition,
-case when status = 'FAIL' and severity = 'CRITICAL' then 'IMMEDIATE' when severity = 'HIGH' then 'HIGH' when status in ('FAIL', 'WARNING') then 'MEDIUM' else 'LOW' end as priority from st)"""
+    toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
+    data = docs.select(F.col("doc_id").cast("string").alias("assetID"), F.when(toxic & poor, "CRITICAL").when(toxic, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(toxic, 0.9).otherwise(0.6).alias("confidence"), F.when(toxic, "label flip suspected").otherwise("duplicate or ood content").alias("reason"), F.lit("2024-01-01").alias("timestamp"), F.sha2("text", 256).alias("evidenceHash"))
+    balance = F.col("s_acctbal")
+    models_ = table(spark, sf_dir, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").cast("string").alias("assetID"), F.when(balance < 0, "CRITICAL").when(balance < 1500, "MEDIUM").otherwise("LOW").alias("severity"), F.lit(0.8).alias("confidence"), F.when(balance < 0, "trojan trigger").otherwise("clean").alias("reason"), F.lit("2024-01-02").alias("timestamp"), F.sha2("s_name", 256).alias("evidenceHash"))
+    good = F.col("c_custkey") % 7 != 0
+    seals = table(spark, sf_dir, "customer").filter("c_acctbal < 1000").select(F.concat(F.lit("seal-"), "c_custkey").alias("sealID"), F.concat(F.lit("d"), F.col("c_nationkey") % 2).alias("modelDigest"), good.alias("contentHashMatches"), F.lit(True).alias("signatureValid"), F.when(good, "VALID").otherwise("TAMPERED").alias("verdict"), F.sha2("c_name", 256).alias("contentHash"), F.lit("2024-01-03").alias("timestamp"))
+    mmd = F.round("value", 2) / 1000
+    word = F.when(F.col("event_id") % 11 == 0, "INSUFFICIENT_EVIDENCE").when(mmd <= 0.16, "NO_SIGNIFICANT_SHIFT").when(F.col("user_id") % 2 == 0, "OPERATIONAL_SHIFT_LIKELY").otherwise("UNEXPLAINED_SHIFT")
+    windows = table(spark, sf_dir, "events").filter("value > 150").select(F.concat(F.lit("w"), "event_id").alias("window_id"), word.alias("assessment"), mmd.alias("mmd"), F.lit(0.16).alias("threshold"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), F.sha2("props", 256).alias("evidence_hash"))
+    return findings.union(findings.from_data(data), findings.from_models(models_), findings.from_seals(seals, "d0"), findings.from_drift(windows))
+
+
+_FINDINGS = """raw as (select 'DATA_INTEGRITY' as category, 'DataIntegrity' as module_name, 'find-di-' as prefix, doc_id::varchar as asset_id, case when toxic = 1 and quality = 0 then 'CRITICAL' when toxic = 1 then 'HIGH' else 'MEDIUM' end as severity, case when toxic = 1 and quality = 0 then 'FAIL' else 'REVIEW' end as status, case when toxic = 1 then 0.9 else 0.6 end::double as confidence, 'Data Integrity Anomaly: ' || doc_id as title, case when toxic = 1 then 'label flip suspected' else 'duplicate or ood content' end as reason, '2024-01-01' as ts, sha256(text) as evidence_hash from labels join documents using (doc_id) where toxic = 1 or quality = 0
+union all select 'MODEL_INTEGRITY', 'ModelIntegrity', 'find-mi-', s_suppkey::varchar, case when s_acctbal < 0 then 'CRITICAL' when s_acctbal < 1500 then 'MEDIUM' else 'LOW' end, case when s_acctbal < 0 then 'FAIL' when s_acctbal < 1500 then 'REVIEW' else 'PASS' end, 0.8, 'Model Integrity Assessment: ' || s_suppkey, case when s_acctbal < 0 then 'trojan trigger' else 'clean' end, '2024-01-02', sha256(s_name) from supplier where s_acctbal < 3000
+union all select 'INFERENCE_PROVENANCE', 'InferenceProvenance', 'find-inf-', 'seal-' || c_custkey, case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'LOW' else 'CRITICAL' end, case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'PASS' else 'FAIL' end, 1.0, case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'Inference Output Authenticity Verified: seal-' || c_custkey else 'Inference Tampering Detected: seal-' || c_custkey end,
+ case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'Cryptographic seal seal-' || c_custkey || ' verified. Model digest, input tensor hash, config, and output binding are authentic.' else 'Integrity violation on inference record seal-' || c_custkey || ': ' || concat_ws('; ', case when c_custkey % 7 = 0 then 'RFC-8785 canonical content hash mismatch (payload modified post-signing)' end, case when c_nationkey % 2 = 1 then 'Model digest substitution detected: d1 != expected d0' end) end, '2024-01-03', sha256(c_name) from customer where c_acctbal < 1000
+union all select 'DISTRIBUTION_SHIFT', 'DistributionShift', 'find-drift-', w, case a when 'OPERATIONAL_SHIFT_LIKELY' then 'MEDIUM' when 'UNEXPLAINED_SHIFT' then 'HIGH' else 'LOW' end, case a when 'NO_SIGNIFICANT_SHIFT' then 'PASS' when 'OPERATIONAL_SHIFT_LIKELY' then 'WARNING' when 'UNEXPLAINED_SHIFT' then 'REVIEW' else 'NOT_ASSESSED' end, case a when 'NO_SIGNIFICANT_SHIFT' then 0.9 else 0.75 end, 'Distribution Shift Assessment: ' || w || ' (' || a || ')',
+ case a when 'NO_SIGNIFICANT_SHIFT' then printf('MMD statistic (%.6f) is within calibrated reference variation (threshold %.6f).', m, 0.16::double) when 'OPERATIONAL_SHIFT_LIKELY' then printf('Statistically significant distribution shift detected (MMD %.6f > %.6f), correlated with operational lighting/sensor change.', m, 0.16::double) when 'UNEXPLAINED_SHIFT' then printf('Statistically significant distribution shift detected (MMD %.6f > %.6f) without clear operational sensor explanation.', m, 0.16::double) else 'Insufficient samples or calibration metadata to assess distribution drift.' end, strftime(ts, '%Y-%m-%d'), sha256(props)
+ from (select *, 'w' || event_id as w, round(value, 2) / 1000 as m, case when event_id % 11 = 0 then 'INSUFFICIENT_EVIDENCE' when round(value, 2) / 1000 <= 0.16 then 'NO_SIGNIFICANT_SHIFT' when user_id % 2 = 0 then 'OPERATIONAL_SHIFT_LIKELY' else 'UNEXPLAINED_SHIFT' end as a from events where value > 150)),
+findings as (select prefix || substr(sha256(asset_id), 1, 12) as finding_id, category, asset_id, status, severity, confidence, case when confidence >= 0.8 then 'HIGH' when confidence >= 0.5 then 'MEDIUM' else 'LOW' end as interpretation, title, reason, ts, module_name, evidence_hash, null::varchar as signature,
+case when status = 'FAIL' or severity = 'CRITICAL' then 'QUARANTINE' when status in ('REVIEW', 'WARNING', 'NOT_ASSESSED') or severity in ('HIGH', 'MEDIUM') then 'REVIEW' else 'ACCEPT' end as disposition,
+case when status = 'FAIL' or severity = 'CRITICAL' then 'URGENT' when status in ('REVIEW', 'WARNING') or severity in ('HIGH', 'MEDIUM') then 'ELEVATED' else 'ROUTINE' end as priority from raw),
+placed as (select *, case when disposition = 'QUARANTINE' or status = 'FAIL' or severity = 'CRITICAL' then 'critical' when status = 'WARNING' then 'warning' when status = 'REVIEW' then 'review' when status = 'NOT_ASSESSED' then 'not_assessed' else 'pass' end as place from findings)"""
 
 
 @query(f"with {_FINDINGS} select * from findings")
@@ -467,32 +518,37 @@ def finding_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.search(_findings(spark, sf_dir), "FLIP", "HIGH").select("finding_id", "severity")
 
 
-@query(f"""with {_FINDINGS}, o as (select category, count(*) as findings, count(*) filter (where status = 'FAIL' and severity in ('HIGH', 'CRITICAL')) as failed, count(*) filter (where disposition <> 'ACCEPT' and not (status = 'FAIL' and severity in ('HIGH', 'CRITICAL'))) as review, 0::bigint as limited from findings group by 1)
-select *, case when failed > 0 then 'FAIL' when review > 0 then 'REVIEW' else 'PASS' end as verdict from o""")
+@query(f"""with {_FINDINGS}, o as (select category, count(*) filter (where place = 'critical') as critical, count(*) filter (where place = 'warning') as warning, count(*) filter (where place = 'review') as review, count(*) filter (where place = 'pass') as pass, count(*) filter (where place = 'not_assessed') as not_assessed from placed group by 1)
+select *, case when critical > 0 then 'FAIL' when review + warning > 0 then 'REVIEW' when not_assessed > 0 then 'PASS_WITH_LIMITATIONS' else 'PASS' end as overall_status, case when critical > 0 then 'QUARANTINE' when review + warning > 0 then 'REVIEW' else 'ACCEPT' end as disposition from o""")
 def overall_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.overall(_findings(spark, sf_dir), "category")
 
 
-@query(f"with {_FINDINGS} select category, list_sort(list(distinct finding_id))[1:15] as basis from findings where status = 'FAIL' or disposition <> 'ACCEPT' group by 1")
+@query(f"with {_FINDINGS}, t as (select category, finding_id, case place when 'critical' then 'CRITICAL integrity failure on ' || asset_id || ': ' || title when 'warning' then 'Warning on ' || asset_id || ': ' || title when 'review' then 'Review required on ' || asset_id || ': ' || title when 'not_assessed' then 'Unassessed check: ' || title end as t from placed) select category, array_to_string(list(t order by finding_id, t)[1:15], '|') as basis from t where t is not null group by 1")
 def verdict_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return governance.verdict_basis(_findings(spark, sf_dir), "category")
+    return governance.verdict_basis(_findings(spark, sf_dir), "category").withColumn("basis", F.array_join("basis", "|"))
 
 
-_CAPS = ", ".join(f"('{a}', '{b}')" for a, b in governance.CAPABILITIES)
-_WORDS = ", ".join(f"('{a}', '{b}')" for a, b in governance.ATTACK_WORDS)
+_COVERED = """covered as (select 'capability' as kind, name, finding_id from findings, (values ('Label Anomaly & Flip Detection', 'DATA_INTEGRITY'), ('Near-Duplicate Flooding Detection', 'DATA_INTEGRITY'), ('Out-of-Distribution Insertion Detection', 'DATA_INTEGRITY'), ('Distribution Shift & Drift Monitoring', 'DATA_INTEGRITY'), ('Model Trojan & Backdoor Inversion', 'MODEL_INTEGRITY'), ('Model Substitution & Tamper Detection', 'MODEL_INTEGRITY'), ('Inference Output Sealing & Provenance', 'INFERENCE_PROVENANCE'), ('Inference Replay Detection', 'INFERENCE_PROVENANCE'), ('Distribution Shift & Drift Monitoring', 'DISTRIBUTION_SHIFT')) c(name, cat) where category = cat
+union all select 'attack', name, finding_id from findings, (values ('DUPLICATE_FLOODING', 'duplicate'), ('LABEL_FLIPPING', 'flip'), ('OUT_OF_DISTRIBUTION_INSERTION', 'ood'), ('TRIGGER_INJECTION', 'trigger'), ('BACKDOOR_BEHAVIOUR', 'trojan'), ('INFERENCE_TAMPERING', 'tamper|seal'), ('DISTRIBUTION_SHIFT', 'shift')) a(name, word) where regexp_matches(lower(reason), word)),
+known as (select * from (values ('capability', 'Label Anomaly & Flip Detection', 'PARTIALLY_SUPPORTED'), ('capability', 'Near-Duplicate Flooding Detection', 'PARTIALLY_SUPPORTED'), ('capability', 'Out-of-Distribution Insertion Detection', 'PARTIALLY_SUPPORTED'), ('capability', 'Training Data Trigger Patch Detection', 'PARTIALLY_SUPPORTED'), ('capability', 'Model Trojan & Backdoor Inversion', 'PARTIALLY_SUPPORTED'), ('capability', 'Model Substitution & Tamper Detection', 'SUPPORTED'), ('capability', 'Inference Output Sealing & Provenance', 'SUPPORTED'), ('capability', 'Inference Replay Detection', 'SUPPORTED'), ('capability', 'Distribution Shift & Drift Monitoring', 'SUPPORTED'), ('capability', 'Contributor & Provenance Risk Aggregation', 'PARTIALLY_SUPPORTED'),
+('attack', 'LABEL_FLIPPING', 'PARTIALLY_SUPPORTED'), ('attack', 'SYSTEMATIC_MISLABELING', 'PARTIALLY_SUPPORTED'), ('attack', 'DUPLICATE_FLOODING', 'PARTIALLY_SUPPORTED'), ('attack', 'OUT_OF_DISTRIBUTION_INSERTION', 'PARTIALLY_SUPPORTED'), ('attack', 'TRIGGER_INJECTION', 'PARTIALLY_SUPPORTED'), ('attack', 'BACKDOOR_BEHAVIOUR', 'PARTIALLY_SUPPORTED'), ('attack', 'MODEL_SUBSTITUTION', 'SUPPORTED'), ('attack', 'MODEL_MODIFICATION', 'SUPPORTED'), ('attack', 'INFERENCE_TAMPERING', 'SUPPORTED'), ('attack', 'INFERENCE_REPLAY', 'SUPPORTED'), ('attack', 'DISTRIBUTION_SHIFT', 'SUPPORTED'), ('attack', 'CONTRIBUTOR_RISK_AGGREGATION', 'PARTIALLY_SUPPORTED'), ('attack', 'ADVERSARIAL_EVASION_PATCH', 'UNSUPPORTED'), ('attack', 'MODEL_EXTRACTION_STEALING', 'UNSUPPORTED')) k(kind, name, support_status))"""
 
 
-@query(f"with {_FINDINGS} select 'capability' as kind, c.n1 as name, count(finding_id) as n from (values {_CAPS}) c(n1, cat) left join findings f on f.category = c.cat group by all union all select 'attack', w.n1, count(finding_id) from (values {_WORDS}) w(n1, word) left join findings f on contains(lower(f.reason), w.word) group by all")
+@query(f"with {_FINDINGS}, {_COVERED} select kind, name, support_status, count(finding_id) as n, coalesce(array_to_string(list_sort(list(finding_id) filter (where finding_id is not null))[1:100], ','), '') as finding_ids from known left join covered using (kind, name) group by all")
 def coverage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ = _findings(spark, sf_dir)
-    a = governance.capability_coverage(all_).select(F.lit("capability").alias("kind"), F.col("capability").alias("name"), "n")
-    return a.unionByName(governance.attack_coverage(all_).select(F.lit("attack").alias("kind"), F.col("attack").alias("name"), "n"))
+    return governance.coverage(_findings(spark, sf_dir)).withColumn("finding_ids", F.array_join("finding_ids", ","))
 
 
-@query(f"with {_FINDINGS} select c.n1 as capability, 'NOT_ASSESSED' as status from (values {_CAPS}) c(n1, cat) where cat not in (select category from findings)")
+@query(f"with {_FINDINGS}, {_COVERED} select 'find-unassessed-' || substr(sha256(kind || '|' || name), 1, 8) as finding_id, kind as category, 'NOT_ASSESSED' as status, 'Assessment Not Performed: ' || name as title, 'REVIEW' as disposition from known where (kind, name) not in (select kind, name from covered)")
 def unassessed_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    executed = governance.capability_coverage(_findings(spark, sf_dir)).filter("n > 0")
-    return governance.unassessed(executed)
+    skipped = governance.coverage(_findings(spark, sf_dir)).filter("n = 0").select(F.col("kind").alias("category"), F.col("name").alias("capability"), F.lit("no finding").alias("reason"), F.lit("an executed check").alias("required_access"))
+    return governance.unassessed(skipped).select("finding_id", "category", "status", "title", "disposition")
+
+
+@query(f"with {_FINDINGS} select finding_id, asset_id, disposition, priority from findings where disposition <> 'ACCEPT'")
+def open_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.open_recommendations(_findings(spark, sf_dir))
 
 
 @query(f"with {_FINDINGS} select module_name, count(*) as n, ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][max(list_position(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity))] as max_severity from findings group by 1")
@@ -500,14 +556,39 @@ def threats_by_module(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.threats_by_module(_findings(spark, sf_dir), "module_name", "severity")
 
 
-@query(f"with {_FINDINGS} select count(*) as total, count(*) filter (where severity in ('HIGH', 'CRITICAL')) as grave, count(*) filter (where disposition = 'QUARANTINE') as quarantined, count(distinct asset_id) as assets, round(count(*) filter (where disposition <> 'ACCEPT') / count(*), 4) as anomaly_rate from findings")
+@query(f"with {_FINDINGS} select count(*) as total, count(*) filter (where severity in ('HIGH', 'CRITICAL')) as grave, count(*) filter (where disposition = 'QUARANTINE') as quarantined, count(distinct asset_id) as assets, count(*) filter (where module_name = 'DistributionShift') as drift_events, count(*) filter (where module_name in ('DataIntegrity', 'ModelIntegrity') and severity in ('HIGH', 'CRITICAL')) as integrity_alerts, 0::bigint as committed, round(count(*) filter (where disposition <> 'ACCEPT') / count(*), 4) as anomaly_rate from findings")
 def findings_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.overview(_findings(spark, sf_dir))
 
 
-@query(f"with {_FINDINGS} select module_name, case when count(*) filter (where severity in ('HIGH', 'CRITICAL')) > 0 then 'COMPROMISED' when count(*) filter (where severity = 'MEDIUM') > 0 then 'DEGRADED' else 'TRUSTED' end as status, case when bool_or(disposition = 'QUARANTINE') then 'QUARANTINE' when bool_or(disposition = 'REVIEW') then 'REVIEW' else 'ACCEPT' end as disposition from findings group by 1")
+@query(f"with {_FINDINGS}, c as (select m.module_name, count(f.finding_id) as n, count(*) filter (where severity in ('HIGH', 'CRITICAL')) as grave from (values ('DataIntegrity'), ('ModelIntegrity'), ('DistributionShift')) m(module_name) left join findings f using (module_name) group by 1), t as (select module_name, n, case when module_name = 'ModelIntegrity' and grave > 0 then 'FAIL' when n > 0 then 'WARNING' else 'PASS' end as status from c) select *, case status when 'FAIL' then 'QUARANTINE' when 'WARNING' then 'REVIEW' else 'ACCEPT' end as disposition from t")
 def module_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.module_trust(_findings(spark, sf_dir), "module_name")
+    return reports.module_trust(_findings(spark, sf_dir))
+
+
+@query(f"with {_FINDINGS}, m as (select * from findings where module_name = 'ModelIntegrity') select arg_min(asset_id, (disposition <> 'QUARANTINE', ts, finding_id)) as asset_id, case when count(*) filter (where disposition = 'QUARANTINE') > 0 then 'QUARANTINE_RECOMMENDED' when count(*) > 0 then 'REVIEW' else 'NO_MODEL_SCAN' end as status, case when count(*) filter (where disposition = 'QUARANTINE') > 0 then 'CRITICAL' when count(*) > 0 then 'UNKNOWN' else 'NOT_ASSESSED' end as risk, count(*) as n, count(*) filter (where disposition = 'QUARANTINE') as quarantined from m")
+def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.model_summary(_findings(spark, sf_dir).filter("module_name = 'ModelIntegrity'"))
+
+
+@query(f"""with {_FINDINGS}, f as (select *, 'c' || length(title) % 5 as contributor_id from findings), h as (select evidence_hash as k, min((finding_id, asset_id, contributor_id)) as f from f where evidence_hash <> '' group by 1), a as (select asset_id as k, min((finding_id, asset_id, contributor_id)) as f from f group by 1),
+e as (select o_orderkey as tx_id, case when o_orderkey % 3 = 0 then (select sha256(s_name) from supplier where s_suppkey = o_custkey % 10 + 1) end as evidence_hash, 'w' || o_custkey as ledger_key, case when o_orderkey % 5 = 0 then 'own' end as contributor_id from orders)
+select tx_id, coalesce(h.f[1], a.f[1]) as finding_id, coalesce(h.f[2], a.f[2], ledger_key) as asset_id, coalesce(e.contributor_id, h.f[3], a.f[3]) as contributor_id from e left join h on h.k = e.evidence_hash left join a on a.k = e.ledger_key""")
+def ledger_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _findings(spark, sf_dir).withColumn("contributor_id", F.concat(F.lit("c"), F.length("title") % 5))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.sha2("s_name", 256).alias("h"))
+    orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 10 + 1).join(suppliers, "k", "left")
+    entries = orders.select(F.col("o_orderkey").alias("tx_id"), F.when(F.col("o_orderkey") % 3 == 0, F.col("h")).alias("evidence_hash"), F.concat(F.lit("w"), "o_custkey").alias("ledger_key"), F.lit(None).cast("string").alias("finding_id"), F.lit(None).cast("string").alias("asset_id"), F.when(F.col("o_orderkey") % 5 == 0, "own").alias("contributor_id"))
+    return findings.journal(entries, found).select("tx_id", "finding_id", "asset_id", "contributor_id")
+
+
+@query("""with j as (select l_orderkey * 10 + l_linenumber as job_id, l_suppkey as d, l_partkey as m, case when l_linenumber = 1 then 'n1' end as named from lineitem), k as (select job_id, named, case when s_nationkey = 0 then null else 'n' || s_nationkey end as a, 'n' || p_size % 25 as b from j left join supplier on s_suppkey = d left join part on p_partkey = m)
+select case when a <> b then 'assets of different contributors' when named <> coalesce(a, b) then 'not the contributor of the assets' end as conflict, count(*) as n, count(distinct coalesce(named, a, b, 'unassigned')) as contributors from k group by 1""")
+def attribution_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("job_id"), F.concat(F.lit("d"), "l_suppkey").alias("dataset_id"), F.concat(F.lit("m"), "l_partkey").alias("model_id"), F.when(F.col("l_linenumber") == 1, "n1").alias("contributor_id"))
+    datasets = table(spark, sf_dir, "supplier").select(F.concat(F.lit("d"), "s_suppkey").alias("asset_id"), F.when(F.col("s_nationkey") == 0, "unassigned").otherwise(F.concat(F.lit("n"), "s_nationkey")).alias("contributor_id"))
+    owned = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), "p_partkey").alias("asset_id"), F.concat(F.lit("n"), F.col("p_size") % 25).alias("contributor_id"))
+    return findings.attribution_conflicts(jobs, datasets.unionByName(owned)).groupBy("conflict").agg(F.count("*").alias("n"), F.count_distinct("contributor_id").alias("contributors"))
 
 
 @query("""with e as (select event_type, 29 - floor((epoch(timestamp '2024-01-31 00:00:00') - epoch(ts)) / 86400)::int as bucket from events where ts <= timestamp '2024-01-31 00:00:00'), s as (select event_type, unnest(range(0, 30))::int as bucket from (select distinct event_type from events))
@@ -547,12 +628,12 @@ def mad_index_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mad(spark, sf_dir).withColumn("max_index", F.round("max_index", 3))
 
 
-_ENTROPY = """q as (select vec_id % 3 as class, label as model_id, vec_id % 5 as donor, case vec_id % 2 when 0 then 'real' else 'control' end as condition, list_transform(embedding[1:8]::double[], lambda x: exp(4 * x)) as e from embeddings), p as (select *, list_transform(e, lambda x: x / list_sum(e)) as p from q),
-u as (select model_id, class, donor, condition, unnest(p) as p, unnest(range(8)) as pos from p), m as (select model_id, class, donor, condition, pos, avg(p) as p from u group by all), h as (select model_id, class, donor, condition, -sum(greatest(p, 1e-12) * ln(greatest(p, 1e-12))) as h from m group by all)"""
+_ENTROPY = """q as (select vec_id % 3 as class, label as model_id, vec_id % 5 as donor, case vec_id % 2 when 0 then 'real' else 'control' end as condition, list_transform(embedding::double[], lambda x: exp(4 * x)) as e from embeddings), p as (select *, list_transform(e, lambda x: x / list_sum(e)) as p from q),
+u as (select model_id, class, donor, condition, unnest(p) as p, unnest(range(len(p))) as pos from p), m as (select model_id, class, donor, condition, pos, avg(p) as p from u group by all), h as (select model_id, class, donor, condition, -sum(greatest(p, 1e-12) * ln(greatest(p, 1e-12))) as h from m group by all)"""
 
 
 def _deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scaled = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 8), lambda x: 4 * x)
+    scaled = F.transform(F.col("embedding").cast("array<double>"), lambda x: 4 * x)
     queries = table(spark, sf_dir, "embeddings").select(F.col("label").alias("model_id"), (F.col("vec_id") % 3).alias("class"), (F.col("vec_id") % 5).alias("donor"), F.when(F.col("vec_id") % 2 == 0, "real").otherwise("control").alias("condition"), vectors.softmax(scaled).alias("probs"))
     return models.entropy_deficit(queries)
 
@@ -569,12 +650,19 @@ def model_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.verdicts(_mad(spark, sf_dir), other).withColumn("confidence", F.round("confidence", 3))
 
 
-@query("""with e as (select 'm' || l_suppkey % 7 as model_id, case l_linestatus when 'O' then 'BGR' else 'RGB' end as o, (l_quantity > 25)::int as predicted, (l_discount > 0.03)::int as truth, l_tax as entropy from lineitem),
-g as (select model_id, o, avg(case when predicted = truth then 1.0 else 0.0 end) * 100 as accuracy, avg(entropy) as mean_entropy, count(distinct predicted) as classes from e group by all)
-select model_id, arg_max(o, accuracy) as chosen, round(max(accuracy), 4) as accuracy, round(arg_max(mean_entropy, accuracy), 6) as mean_entropy, arg_max(classes, accuracy) as classes, case when max(accuracy) >= 70 then 'CALIBRATED' else 'UNCERTAIN' end as status from g group by 1""")
+@query("""with e as (select 'm' || l_suppkey % 7 as model_id, case l_linestatus when 'O' then 'BGR' else 'RGB' end as o, (l_quantity > 25)::int as predicted, case when l_suppkey % 7 < 5 then (case when l_suppkey % 7 < 3 then l_quantity > 22 else l_discount > 0.03 end)::int end as truth, l_tax as entropy from lineitem),
+g as (select model_id, count(truth) as labelled, avg((predicted = truth)::int) filter (where o = 'RGB') * 100 as ar, avg((predicted = truth)::int) filter (where o = 'BGR') * 100 as ab, avg(entropy) filter (where o = 'RGB') as er, avg(entropy) filter (where o = 'BGR') as eb, count(distinct predicted) filter (where o = 'RGB') as kr, count(distinct predicted) filter (where o = 'BGR') as kb from e group by 1),
+m as (select distinct 'm' || s_suppkey % 9 as model_id from supplier)
+select model_id, case when labelled is null then 'TIER_D' when labelled > 0 then 'TIER_A' else 'TIER_C' end as tier, round(case when labelled > 0 then ar when labelled = 0 then er end, 4) as rgb, round(case when labelled > 0 then ab when labelled = 0 then eb end, 4) as bgr, kr as classes_rgb, kb as classes_bgr,
+case when labelled is null then 'N/A' when labelled = 0 then (case when kr <= 1 and kb <= 1 then 'UNCERTAIN' when kb <= 1 then 'RGB' when kr <= 1 then 'BGR' when eb < er then 'BGR' else 'RGB' end) when ab > ar then 'BGR' when ar > ab or greatest(ar, ab) >= 70 then 'RGB' else 'UNCERTAIN' end as chosen,
+case when labelled is null then 'CALIBRATION_IMPOSSIBLE' when labelled > 0 and greatest(ar, ab) < 70 then 'CALIBRATION_FAILED' when labelled = 0 and kr <= 1 and kb <= 1 then 'CALIBRATION_UNCERTAIN' else 'OK' end as status from m left join g using (model_id)""")
 def channel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("m"), F.col("l_suppkey") % 7).alias("model_id"), F.when(F.col("l_linestatus") == "O", "BGR").otherwise("RGB").alias("order"), (F.col("l_quantity") > 25).cast("int").alias("predicted"), (F.col("l_discount") > 0.03).cast("int").alias("truth"), F.col("l_tax").alias("entropy"))
-    return models.channel_order(log).withColumn("accuracy", F.round("accuracy", 4)).withColumn("mean_entropy", F.round("mean_entropy", 6))
+    """Models with a good, a poor and no labelled log, and without any log."""
+    number = F.col("l_suppkey") % 7
+    truth = F.when(number < 3, F.col("l_quantity") > 22).when(number < 5, F.col("l_discount") > 0.03)
+    log = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("m"), number).alias("model_id"), F.when(F.col("l_linestatus") == "O", "BGR").otherwise("RGB").alias("order"), (F.col("l_quantity") > 25).cast("int").alias("predicted"), truth.cast("int").alias("truth"), F.col("l_tax").alias("entropy"))
+    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("m"), F.col("s_suppkey") % 9).alias("model_id"))
+    return models.channel_order(log, known).withColumns({"rgb": F.round("rgb", 4), "bgr": F.round("bgr", 4)})
 
 
 # ---- recurring patterns and streams
@@ -586,21 +674,17 @@ def recurring_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.find(patterns.segments(rows, "vec_id", "label", "embedding", 4), 0.8, 2)
 
 
-def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-
-
 @query("""with e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) as n from events), w as (select *, unnest(range(greatest(0, ceil((i - 9) / 5))::bigint, least(floor(i / 5), floor((n - 10) / 5))::bigint + 1)) as window_no from e)
 select user_id::varchar as key, window_no, string_agg(event_id::varchar, ',' order by i) as items from w group by all""")
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = streams.count_windows(streams.read_stream(spark, sf_dir, "events"), "user_id", "event_id", "ts", drift.Windows(10, 5))
-    return streams.drained(done, _folder(spark)).select("key", "window_no", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+    return streams.drained(done, shared_folder(spark)).select("key", "window_no", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
 @query("select user_id || '-' || props as nonce, event_id as item from events qualify row_number() over (partition by user_id || '-' || props order by ts, event_id) > 1")
 def streaming_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = streams.read_stream(spark, sf_dir, "events").withColumn("nonce", F.concat_ws("-", F.col("user_id").cast("string"), "props"))
-    return streams.drained(streams.replays(events, "nonce", "event_id", "ts", "400 days"), _folder(spark)).select("nonce", "item")
+    return streams.drained(streams.replays(events, "nonce", "event_id", "ts", "400 days"), shared_folder(spark)).select("nonce", "item")
 
 
 # ---- text functions

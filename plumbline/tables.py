@@ -5,18 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset a temporary folder stands in, but only on a local master: the executors of a cluster
+    would each write to a disk of their own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` by writing it as a table to the cluster's shared checkpoint folder.
+    """Cut the lineage of `df` by writing it as a table to the shared folder.
 
-    The folder is the one that the session names in spark.checkpoint.dir; only where that is
-    unset (tests on one machine) a temporary folder stands in. The table is read back with the
-    written schema, so a lost executor costs no more than reading it again.
+    The table is read back with the written schema, so a lost executor costs no more than reading it again.
+    It stays until the folder's owner clears it, like a checkpoint, as results may be read at any time.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text, vectors
-from plumbline.operators import chain, evaluate, fusion, groups, ledger, models, validate
+from plumbline.operators import chain, evaluate, findings, fusion, governance, groups, ledger, models, validate
 
 
 def value(spark, column):
@@ -94,7 +94,15 @@ def test_model_verdicts(spark):
     assert got["m"]["flagged"] and got["m"]["top_class"] == 3 and got["m"]["max_index"] == round(8.2 / (1.4826 * 0.3), 4)
     assert got["k"]["max_index"] == 0 and got["k"]["top_class"] == 0
     deficits = spark.createDataFrame([("m", 3), ("k", 1)], "model_id string, deficit_class int")
-    assert {r["model_id"]: r["verdict"] for r in models.verdicts(mad, deficits).collect()} == {"m": "QUARANTINE", "k": "ACCEPT"}
+    done = models.verdicts(mad, deficits)
+    assert {r["model_id"]: r["verdict"] for r in done.collect()} == {"m": "QUARANTINE", "k": "ACCEPT"}
+    models.require_assessed(done)
+    lacking = models.verdicts(mad, deficits.filter("model_id = 'm'"), spark.createDataFrame([("m",), ("z",)], "model_id string"))
+    assert {r["model_id"]: (r["verdict"], r["confidence"] is None) for r in lacking.collect()} == {"m": ("QUARANTINE", False), "k": ("ERROR", True), "z": ("ERROR", True)}
+    with pytest.raises(ValueError, match="k, z"):
+        models.require_assessed(lacking)
+    top = models.top_deficit(spark.createDataFrame([("m", 1, 0.2), ("m", 0, 0.2), ("m", 2, 0.1)], "model_id string, class int, deficit double")).first()
+    assert (top["deficit_class"], top["max_deficit"]) == (0, 0.2)
 
 
 @pytest.mark.parametrize("raw, key", [("a b/c", "a-b-c"), ("--", "unknown"), (None, "unknown"), (".x.", "x"), ("y" * 99, "y" * 64)])
@@ -110,12 +118,12 @@ def test_text_functions(spark):
 
 def test_rules(spark):
     assert [value(spark, rules.interpretation(F.lit(c))) for c in ("0.8", "0.5", "0.1", "n/a")] == ["HIGH", "MEDIUM", "LOW", "UNKNOWN"]
-    assert value(spark, rules.finding_type(F.lit("Duplicate of a flipped label"))) == "label_flip"
+    assert value(spark, rules.finding_type(F.lit("Duplicate of a flipped label"))) == "label_anomaly"
+    assert [value(spark, rules.finding_type(F.lit(t))) for t in ("Duplicates", "distribution", "Backdoor", "other")] == ["duplicate_anomaly", "ood_anomaly", "trigger_anomaly", "other"]
     assert value(spark, rules.evidence_tags(F.lit("duplicate and OOD"))) == ["duplicate", "ood"]
     assert value(spark, rules.worst(F.array(F.lit("LOW"), F.lit("CRITICAL"), F.lit("HIGH")))) == "CRITICAL"
     assert value(spark, rules.change_level(rules.relative_change(F.lit(1.1), F.lit(1.0)))) == "MEDIUM"
     assert value(spark, rules.change_level(rules.relative_change(F.lit(1.1), F.lit(0.0)))) == "NOT_AVAILABLE"
-    assert value(spark, rules.drift_assessment(F.lit(None).cast("boolean"), F.lit(True), F.lit(False))) == "INSUFFICIENT_EVIDENCE"
 
 
 def test_vector_functions(spark):
@@ -130,3 +138,106 @@ def test_finding_violations(spark):
     rows = [good, ("", "m", "r", "0" * 63, "1.5", "HUGE", "REVIEW", "t", None)]
     got = [r[0] for r in spark.createDataFrame(rows, "assetID string, moduleName string, reason string, evidenceHash string, confidence string, severity string, disposition string, timestamp string, signature string").select(validate.finding_violations()).collect()]
     assert got[0] == [] and set(got[1]) == {"assetID_required", "signature_required", "confidence_range", "severity_unknown", "evidence_hash_form", "signature_form"}
+
+
+@pytest.mark.parametrize(
+    "status, severity, expected",
+    [("FAIL", "LOW", ("QUARANTINE", "URGENT")), ("PASS", "CRITICAL", ("QUARANTINE", "URGENT")), ("REVIEW", "LOW", ("REVIEW", "ELEVATED")), ("WARNING", "LOW", ("REVIEW", "ELEVATED")), ("PASS", "HIGH", ("REVIEW", "ELEVATED")), ("INFO", "MEDIUM", ("REVIEW", "ELEVATED")), ("NOT_ASSESSED", "LOW", ("REVIEW", "ROUTINE")), ("PASS", "LOW", ("ACCEPT", "ROUTINE"))],
+)
+def test_dispositions(spark, status, severity, expected):
+    assert tuple(value(spark, rules.disposition(F.lit(status), F.lit(severity)))) == expected
+
+
+def test_statuses(spark):
+    data = lambda s, d: value(spark, rules.data_status(F.lit(s), F.lit(d)))
+    assert [data("CRITICAL", "ACCEPT"), data("LOW", "ACCEPT"), data("LOW", "REVIEW"), data("HIGH", "ACCEPT")] == ["FAIL", "PASS", "REVIEW", "REVIEW"]
+    assert [value(spark, rules.model_status(F.lit(s))) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")] == ["FAIL", "REVIEW", "REVIEW", "PASS"]
+    drift = lambda a: tuple(value(spark, rules.drift_status(F.lit(a))))
+    assert [drift(a) for a in ("NO_SIGNIFICANT_SHIFT", "OPERATIONAL_SHIFT_LIKELY", "UNEXPLAINED_SHIFT", "INSUFFICIENT_EVIDENCE")] == [("PASS", "LOW"), ("WARNING", "MEDIUM"), ("REVIEW", "HIGH"), ("NOT_ASSESSED", "LOW")]
+
+
+@pytest.mark.parametrize(
+    "significant, measured, declared, expected",
+    [(False, ["HIGH"], [], "NO_SIGNIFICANT_SHIFT"), (True, ["LOW", "MEDIUM"], [], "OPERATIONAL_SHIFT_LIKELY"), (True, ["LOW"], ["HIGH"], "OPERATIONAL_SHIFT_LIKELY"), (True, ["LOW"], ["MEDIUM"], "UNEXPLAINED_SHIFT"), (True, ["LOW"], [], "UNEXPLAINED_SHIFT"), (True, ["NOT_AVAILABLE"], ["NOT_AVAILABLE"], "INSUFFICIENT_EVIDENCE"), (True, [], [], "INSUFFICIENT_EVIDENCE"), (None, ["HIGH"], [], "INSUFFICIENT_EVIDENCE")],
+)
+def test_drift_assessments(spark, significant, measured, declared, expected):
+    words = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    assert value(spark, rules.drift_assessment(F.lit(significant).cast("boolean"), words(measured), words(declared))) == expected
+
+
+@pytest.mark.parametrize(
+    "assessment, mmd, threshold, p, expected",
+    [
+        ("NO_SIGNIFICANT_SHIFT", 0.01, 0.02, None, (0.75, "LOW", "ACCEPT")),
+        ("NO_SIGNIFICANT_SHIFT", 0.0, 0.02, 0.01, (0.55, "LOW", "ACCEPT")),
+        ("NO_SIGNIFICANT_SHIFT", 0.0, 0.0, None, (0.6, "LOW", "ACCEPT")),
+        ("OPERATIONAL_SHIFT_LIKELY", 1.0, 0.02, None, (0.65, "MEDIUM", "REVIEW")),
+        ("OPERATIONAL_SHIFT_LIKELY", 1.0, 0.02, 0.2, (0.75, "MEDIUM", "REVIEW")),
+        ("OPERATIONAL_SHIFT_LIKELY", 1.0, 0.02, 0.01, (0.85, "MEDIUM", "REVIEW")),
+        ("UNEXPLAINED_SHIFT", 1.0, 0.02, None, (0.7, "HIGH", "REVIEW")),
+        ("UNEXPLAINED_SHIFT", 1.0, 0.02, 0.01, (0.9, "HIGH", "REVIEW")),
+        ("INSUFFICIENT_EVIDENCE", None, None, None, (0.2, "LOW", "REVIEW")),
+    ],
+)
+def test_drift_policies(spark, assessment, mmd, threshold, p, expected):
+    number = lambda x: F.lit(x).cast("double")
+    assert tuple(value(spark, rules.drift_policy(F.lit(assessment), number(mmd), number(threshold), number(p)))) == expected
+
+
+def test_confidence_notes(spark):
+    notes = value(spark, rules.data_confidence(F.array(F.lit("ood"), F.lit("trigger"))))
+    assert len(notes["basis"]) == 2 and notes["basis"][0].startswith("High residual") and len(notes["limitations"]) == 1
+    assert len(value(spark, rules.data_confidence(F.array().cast("array<string>")))["basis"]) == 1
+    assert len(value(spark, rules.model_confidence(F.lit(3.5), F.lit(False)))["limitations"]) == 2
+    assert value(spark, rules.drift_confidence(F.lit(0.5), F.lit(0.01)))["basis"][1].endswith("0.0100.")
+
+
+def test_overall_verdicts(spark):
+    schema = "finding_id string, asset_id string, title string, status string, severity string, disposition string"
+    row = lambda *x: ("f", "a", "t", *x)
+    verdict = lambda *rows: tuple(governance.overall(spark.createDataFrame(list(rows), schema)).first())[-2:]
+    passed, skipped = row("PASS", "LOW", "ACCEPT"), row("NOT_ASSESSED", "LOW", "REVIEW")
+    assert verdict(passed, row("REVIEW", "LOW", "QUARANTINE")) == verdict(row("FAIL", "LOW", "REVIEW")) == verdict(row("PASS", "CRITICAL", "ACCEPT")) == ("FAIL", "QUARANTINE")
+    assert verdict(passed, row("WARNING", "HIGH", "REVIEW")) == verdict(row("REVIEW", "LOW", "REVIEW"), skipped) == ("REVIEW", "REVIEW")
+    assert verdict(passed, skipped) == ("PASS_WITH_LIMITATIONS", "ACCEPT") and verdict(passed) == ("PASS", "ACCEPT")
+    assert tuple(governance.overall(spark.createDataFrame([], schema)).first())[-2:] == ("NOT_ASSESSED", "REVIEW")
+    many = spark.createDataFrame([(f"f{i:02}", "a", "t", "FAIL", "LOW", "REVIEW") for i in range(30)], schema)
+    assert len(governance.verdict_basis(many).first()["basis"]) == 15
+
+
+def test_normalised_findings_with_missing_fields(spark):
+    bare = findings.from_data(spark.createDataFrame([("i1", None), (None, "x")], "image_id string, reason string")).orderBy("asset_id").collect()
+    assert [r["confidence"] for r in bare] == [0.65, 0.65] and bare[0]["asset_id"] == "i1" and bare[1]["asset_id"].startswith("image-")
+    assert (bare[0]["severity"], bare[0]["status"], bare[0]["disposition"], bare[0]["reason"]) == ("MEDIUM", "REVIEW", "REVIEW", "Data integrity anomaly flagged.")
+    assert findings.from_models(spark.createDataFrame([("m",)], "assetID string")).first()["status"] == "PASS"
+    assert findings.from_seals(spark.createDataFrame([("s", "TAMPERED")], "sealID string, verdict string")).first()["reason"].count(";") == 1
+    drifted = findings.from_drift(spark.createDataFrame([("w", "UNEXPLAINED_SHIFT", 0.5)], "window_id string, assessment string, mmd double")).first()
+    assert (drifted["status"], drifted["severity"], drifted["confidence"]) == ("REVIEW", "HIGH", 0.75) and "0.500000 > 0.010000" in drifted["reason"]
+    assert findings.lookup(findings.from_data(spark.createDataFrame([("i1",)], "image_id string")), "i1").count() == 1
+    limits = spark.createDataFrame([(["a", "b"],), (["b", None],)], "limitations array<string>")
+    assert sorted(r[0] for r in findings.distinct_limitations(limits).collect()) == ["a", "b"]
+
+
+def test_quarantine_takes_what_it_lacks_from_the_job(spark):
+    rows = spark.createDataFrame([("q1", "t1", None, "own", None, None), ("q2", "t9", None, None, None, None)], "id string, test_id string, dataset_id string, dataset_name string, model_id string, model_name string")
+    jobs = spark.createDataFrame([("t1", "d", "dn", "m", "mn")], "test_id string, dataset_id string, dataset_name string, model_id string, model_name string")
+    got = {r["id"]: (r["dataset_id"], r["dataset_name"], r["model_name"]) for r in findings.with_job(rows, jobs).collect()}
+    assert got == {"q1": ("d", "own", "mn"), "q2": (None, None, None)}
+
+
+def test_channel_orders(spark):
+    schema = "model_id string, order string, predicted int, truth int, entropy double"
+    log = [("good", "RGB", 1, 1, 0.1), ("good", "BGR", 1, 0, 0.1), ("tie", "RGB", 1, 0, 0.1), ("tie", "BGR", 1, 0, 0.1)] + [("flat", o, 1, None, 0.1) for o in ("RGB", "BGR")] + [("free", o, i, None, e) for o, e in (("RGB", 0.5), ("BGR", 0.2)) for i in (0, 1)]
+    got = {r["model_id"]: (r["tier"], r["chosen"], r["status"]) for r in models.channel_order(spark.createDataFrame(log, schema), spark.createDataFrame([(m,) for m in ("good", "tie", "flat", "free", "gone")], "model_id string")).collect()}
+    assert got == {"good": ("TIER_A", "RGB", "OK"), "tie": ("TIER_A", "UNCERTAIN", "CALIBRATION_FAILED"), "flat": ("TIER_C", "UNCERTAIN", "CALIBRATION_UNCERTAIN"), "free": ("TIER_C", "BGR", "OK"), "gone": ("TIER_D", "N/A", "CALIBRATION_IMPOSSIBLE")}
+
+
+def test_digest_does_not_depend_on_order_and_uses_more_levels_for_more_rows(spark, monkeypatch):
+    from plumbline.operators import profile
+
+    rows = spark.range(2_000).withColumn("x", F.col("id") * 7)
+    whole = profile.digest(rows, "id", "x").first()
+    assert profile.digest(rows.orderBy(F.desc("id")).repartition(7), "id", "x").first() == whole and profile.digest(rows.filter("id > 0"), "id", "x").first() != whole
+    monkeypatch.setattr(profile, "GROUP_ROWS", 1)
+    deep = profile.digest(rows, "id", "x").first()
+    assert deep["n"] == 2_000 and deep["digest"] != whole["digest"] and profile.digest(rows.repartition(5), "id", "x").first() == deep

@@ -30,6 +30,12 @@ def test_images(spark, tmp_path):
     decoded = images.decoded(spark, str(tmp_path))
     assert {len(r["embedding"]) for r in images.embeddings(decoded).collect()} == {734}
     assert all(0 < r["brightness"] < 1 and (r["width"], r["height"]) == (30, 24) for r in images.statistics(decoded).collect())
+    doubled = images.embeddings(decoded, post_process=lambda batch: batch * 2)
+    assert np.allclose(np.array(doubled.orderBy("path").first()["embedding"]), 2 * np.array(images.embeddings(decoded).orderBy("path").first()["embedding"]))
+    with pytest.raises(Exception, match="finite"):
+        images.embeddings(decoded, post_process=lambda batch: batch * np.nan).collect()
+    summed = images.set_statistics(images.statistics(decoded)).first()
+    assert summed["image_count"] == 3 and summed["widths"] == [30] and summed["heights"] == [24]
     current = found.select("image_id", "sha256")
     cache = current.limit(2).select("image_id", "sha256", F.lit("b").alias("backbone"), F.array(F.lit(1.0)).alias("embedding"))
     fresh = images.stale(current, cache, "b")
@@ -84,17 +90,56 @@ def test_splits_take_the_first(spark, tmp_path):
     assert dict(map(tuple, annotations.splits(spark, str(tmp_path)).collect())) == {"a": "train", "b": "train", "c": "val", "d": "trainval"}
 
 
-def test_file_gate_and_bundles(spark, tmp_path):
-    for name, content in {"a.txt": b"plain text", "b.txt": b"\x89PNG....", "c.sh": b"echo", "d.txt": b"", "e.txt": b"x\0y", "f.png": b"\x89PNG"}.items():
-        (tmp_path / name).write_bytes(content)
-    got = {r["path"].rsplit("/", 1)[1]: r["verdict"] for r in files.gate(files.contents(spark, str(tmp_path))).collect()}
-    # Spark's file readers pass over empty files, so only other listings can tell of them
-    assert got == {"a.txt": "ACCEPTED", "b.txt": "MISMATCH", "c.sh": "BLOCKED", "e.txt": "MISMATCH", "f.png": "ACCEPTED"}
-    assert files.gate(spark.createDataFrame([("d.txt", 0, b"")], "path string, length long, content binary")).first()["verdict"] == "EMPTY"
-    rows = spark.createDataFrame([("x", "p", 1, "s", "ACCEPTED"), ("x", "p", 1, "s", "ACCEPTED"), ("y", "q", 0, "s", "EMPTY")], "bundle string, path string, length long, sha256 string, verdict string")
-    assert {r["bundle"]: r["status"] for r in files.bundle_status(rows, "bundle").collect()} == {"x": "invalid", "y": "warning"}
-    kinds = spark.createDataFrame([("x", "a.json"), ("y", "labels/1.txt"), ("z", "r.md"), ("w", "a.json"), ("w", "labels/1.txt")], "bundle string, path string")
-    assert dict(map(tuple, files.bundle_kind(kinds, "bundle", "yolo").collect())) == {"x": "coco", "y": "yolo", "z": "unknown", "w": "yolo"}
+def test_file_gate(spark):
+    good = json.dumps({"images": [{"id": 1}], "annotations": [], "categories": []}).encode()
+    contents = {"a.json": good, "b.json": b"\x89PNG\r\n\x1a\n....", "c.py": b"print()", "d.json": b"x\0y", "e.json": b'{"images": 5}', "f.json": b"{", "g.json": b'{"images": []}', "h.JPG": b"text", "i.json": b"\x80\x02......", "j.json": b"7z\xbc\xaf'\x1c.."}
+    rows = spark.createDataFrame([(n, bytearray(c)) for n, c in contents.items()], "path string, content binary")
+    got = {r["path"]: r for r in files.gate(rows, "coco").collect()}
+    assert {n: r["status"] for n, r in got.items()} == {"a.json": "valid", "b.json": "rejected", "c.py": "rejected", "d.json": "rejected", "e.json": "invalid", "f.json": "invalid", "g.json": "warning", "h.JPG": "rejected", "i.json": "rejected", "j.json": "rejected"}
+    assert got["b.json"]["errors"] == ["Content is binary (png); renamed files cannot bypass validation"] and got["a.json"]["image_count"] == 1 and len(got["g.json"]["warnings"]) == 3
+    lines = spark.createDataFrame([("x.txt", bytearray(b"0 .1 .1 .1 .1\n\n1 2 3\n"))], "path string, content binary")
+    found = files.gate(lines, "yolo").first()
+    assert (found["status"], found["annotation_count"], found["errors"]) == ("invalid", 2, ["Line 2: expected at least 5 values (class x y w h), found 3"])
+
+
+def test_bundles(spark):
+    rows = spark.createDataFrame([("x", "p", 1, "s", "valid"), ("x", "p", 1, "s", "valid"), ("y", "q", 0, "s", "valid"), ("z", "q", 3, "s", "rejected")], "bundle string, path string, length long, sha256 string, status string")
+    assert {r["bundle"]: r["status"] for r in files.bundle_status(rows, "bundle").collect()} == {"x": "invalid", "y": "warning", "z": "invalid"}
+    kinds = spark.createDataFrame([("x", "a.json"), ("y", "any/1.txt"), ("z", "r.md"), ("w", "a.json"), ("w", "1.txt"), ("v", "data.yaml"), ("u", "classes.txt"), ("t", "a.JSON")], "bundle string, path string")
+    kind = lambda wanted: dict(map(tuple, files.bundle_kind(kinds, "bundle", wanted).collect()))
+    assert kind(None) == {"x": "coco", "y": "yolo", "z": "unknown", "w": "coco", "v": "yolo", "u": "unknown", "t": "coco"}
+    assert kind("yolo") == kind(None) | {"z": "yolo", "w": "yolo", "u": "yolo"}
+
+
+def test_assets_are_found_by_file_and_by_folder(spark):
+    listed = spark.createDataFrame([("a/b/c.pt", 5, "h"), ("a/d/e", 0, "g")], "path string, length long, sha256 string")
+    registry = spark.createDataFrame([(1, "a/b/c.pt"), (2, "a/b"), (3, "a/d"), (4, "a/bx"), (5, "a")], "asset_id int, path string")
+    assert {r["asset_id"]: r["reason"] for r in files.availability(registry, listed).collect()} == {1: "present", 2: "present", 3: "empty", 4: "not found", 5: "present"}
+    models = spark.createDataFrame([("a/b/c.pt", "h", "c1", "c1"), ("a/b/c.pt", "x", "c1", "c1"), ("a/b/c.pt", None, "c1", "c1"), ("q", "h", "c1", "c1"), ("a/b/c.pt", "h", "c1", "c2")], "path string, registered_sha256 string, contributor_id string, claimed_contributor string")
+    assert sorted(r["status"] for r in files.model_assets(models, listed).collect()) == ["INVALID", "INVALID", "VALID", "WARNING", "WARNING"]
+
+
+def test_listings_keys_examples_and_sinks(spark, tmp_path):
+    store = tmp_path / "store"
+    store.mkdir()
+    for name, body in (("h1", {"timestamp": "2024-01-01", "assetID": "x", "moduleName": "M"}), ("h2", {"generatedAt": "2024-02-01"})):
+        (store / f"{name}.json").write_text(json.dumps(body))
+    listed = files.evidence_listing(spark, str(store))
+    assert [r["evidence_id"] for r in listed.collect()] == ["h2", "h1"] and listed.collect()[0]["related"] == "asset-h2"
+    found = files.evidence_by_hash(spark.createDataFrame([("h1",), ("h9",)], "evidence_hash string"), listed)
+    assert {r["evidence_hash"]: r["evidence"] is None for r in found.collect()} == {"h1": False, "h9": True}
+    (tmp_path / "reports").mkdir()
+    for i in (1, 2):
+        (tmp_path / "reports" / f"{i}.json").write_text(json.dumps({"assessment_id": f"a{i}", "assessment_timestamp": f"2024-0{i}-01", "findings": [{}] * i, "overall_assessment": {"overall_status": "PASS"}}))
+    assert [(r["assessment_id"], r["findings"], r["overall_status"]) for r in files.reports(spark, str(tmp_path / "reports")).collect()] == [("a2", 2, "PASS"), ("a1", 1, "PASS")]
+    (tmp_path / "key.json").write_text(json.dumps({"labels": {"s1": {"label": "dog", "original_label": "cat", "corruption": "flip"}, "s2": {"label": "dog"}}}))
+    assert {r["sample_id"]: (r["label"], r["original_label"], r["corruption"]) for r in files.answer_key(spark, str(tmp_path / "key.json")).collect()} == {"s1": ("dog", "cat", "flip"), "s2": ("dog", None, None)}
+    (tmp_path / "ex.csv").write_text("file,true_label\na.png,3\n,1\nb.png,x\n")
+    assert [tuple(r) for r in files.examples(spark, str(tmp_path / "ex.csv")).collect()] == [("a.png", 3)]
+    rows = spark.createDataFrame([("t1", "x"), ("t1", "x"), ("t2", "y")], "tx_id string, status string")
+    assert [files.append_journal(str(tmp_path / "journal"), rows) for _ in range(2)] == [2, 0]
+    files.write_results(str(tmp_path / "out"), rows, summary=rows.groupBy("status").count())
+    assert spark.read.json(str(tmp_path / "out" / "findings")).count() == 3 and spark.read.json(str(tmp_path / "out" / "summary")).count() == 2
 
 
 def test_results_in_all_shapes_and_evidence(spark, tmp_path):
@@ -103,7 +148,7 @@ def test_results_in_all_shapes_and_evidence(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps(body))
     assert sorted(r["asset_id"] for r in files.results(spark, str(tmp_path)).collect()) == ["1", "2", "3", "4", "5"]
     (tmp_path / "bad.json").write_text("{")
-    assert files.evidence_listing(spark, str(tmp_path)).count() == 4
+    assert files.evidence_listing(spark, str(tmp_path)).filter("file not like '%bad.json'").count() == 4 == files.evidence_listing(spark, str(tmp_path)).count()
     rows = spark.createDataFrame([("h1", "x"), ("h1", "x"), ("h2", "y")], "evidence_hash string, payload string")
     target = str(tmp_path / "store")
     assert files.store_evidence(target, rows) == 2 and files.store_evidence(target, rows) == 0
@@ -134,3 +179,31 @@ def test_reference_refuses_what_its_manifest_does_not_say(spark, tmp_path):
     rows.limit(4).write.mode("overwrite").parquet(str(tmp_path / "embeddings"))
     with pytest.raises(ValueError, match="rows"):
         reference.load(spark, str(tmp_path))
+
+
+def test_image_descriptor_by_hand():
+    """An image of the target's size is not resized, so that every number follows from its pixels one by one."""
+    import pandas as pd
+
+    bgr = np.random.default_rng(3).integers(0, 256, (64, 64, 3)).astype(np.uint8)
+    row = {"height": 64, "width": 64, "channels": 3, "data": bgr.tobytes()}
+    rgb = bgr[:, :, ::-1] / 255
+    got = images.grid_statistics(pd.DataFrame([row, row]))
+    assert got.shape == (2, 734) and np.array_equal(got[0], got[1])
+    cell = rgb[8:16, 16:24, 1]
+    assert np.allclose(got[0][(64 + 8 + 2) * 3 : (64 + 8 + 2) * 3 + 3], [cell.mean(), cell.std(), np.percentile(cell, 90)])
+    plane = rgb[:, :, 2]
+    slope = np.sqrt(sum(g**2 for g in np.gradient(plane)))
+    centred = plane - plane.mean()
+    by_hand = [plane.mean(), plane.std(), np.percentile(plane, 90), np.percentile(plane, 10), (centred**3).mean() / plane.std() ** 3, (centred**4).mean() / plane.std() ** 4, slope.mean(), np.percentile(slope, 90), plane.max()]
+    assert np.allclose(got[0][576 + 18 : 576 + 27], by_hand)
+    grey = 0.299 * rgb[:, :, 0] + 0.587 * rgb[:, :, 1] + 0.114 * rgb[:, :, 2]
+    assert np.allclose(got[0][603 : 603 + 2], [grey[:8, :8].mean(), grey[:8, 8:16].mean()]) and np.allclose(got[0][667], grey[:8, :8].std())
+    edges = np.sqrt(sum(g**2 for g in np.gradient(grey))) > 0.08
+    assert np.allclose(got[0][731:], [np.percentile(grey, 10), grey.std(), edges.mean()])
+
+
+def test_box_resize_averages_whole_pixels():
+    image = np.zeros((128, 128, 3))
+    image[::2] = 100
+    assert np.all(images.resized(image, 64) == 50) and images.resized(np.full((10, 7, 3), 9), 64).shape == (64, 64, 3)
