@@ -10,8 +10,8 @@ equal over LENGTH bytes are first brought together:
    pick equal anchors at the same offset. Windows next to each other mostly share one, so a document
    becomes a few anchors, each with the bytes (its context) of the windows that picked it.
 2. Anchors meet by hash. Contexts that are equal as a whole by their hashes repeat as a whole; runs of them
-   that repeat one passage of another document make a segment, and a segment counts only if its bytes and
-   those of its first occurrence have one SHA-256. If any have not, all their anchors are sorted like the
+   that repeat one passage as it last stood before make a segment, and a segment counts only if its bytes
+   and those of that earlier place have one SHA-256. If any have not, all their anchors are sorted like the
    next. Anchors with different contexts go on as candidates, all others are done.
 3. The candidates' windows are suffix sorted, class by class (same anchor, same offset): a mergesort whose
    comparisons find common extensions by binary search on prefix polynomial hashes, so each takes a
@@ -50,8 +50,6 @@ LOCAL_CONTEXTS = 64
 HOT = 2_000
 #: Windows of a piece of a hot candidate, at each turn.
 WIDTHS = (8, 1)
-#: A segment lies within a block of so many bytes of the text that has it first.
-SEGMENT = 4_096
 #: Window starts that are anchored at a time, and anchors that a task joins at a time.
 BLOCK = 1 << 18
 ANCHORS = 1 << 19
@@ -61,8 +59,8 @@ SORTED_BYTES = 1 << 20
 _ROOM = BLOCK + 4 * LENGTH
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _REPEAT, _CANDIDATE, _SINGLE = 1, 2, 0
-_ANCHORS = "part long, kind int, h long, context long, uid long, ver int, lo int, span int, off int, head_uid long, head_ver int, head_lo int"
-_FLAGS = "uid long, ver int, lo int, span int, off int, kind int, h long, head_uid long, head_ver int, head_lo int"
+_ANCHORS = "part long, kind int, h long, context long, uid long, ver int, lo int, span int, off int, head_uid long, head_ver int, head_lo int, head_shape int"
+_FLAGS = "uid long, ver int, lo int, span int, off int, kind int, h long, head_uid long, head_ver int, head_lo int, head_shape int"
 _CONTEXTS = "h long, uid long, ver int, lo int, size int, off int, context binary"
 _RUNS = "uid long, ver int, start int, end int"
 
@@ -94,6 +92,15 @@ def anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, bits: int =
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
 
 
+def _before(new: np.ndarray, uid: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Of sorted rows, whose runs of equal contexts begin at `new`, the last one before each that starts earlier, or itself if none does."""
+    at = np.arange(len(new))
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    place = new | np.concatenate([[True], (uid[1:] != uid[:-1]) | (lo[1:] != lo[:-1])])
+    first = np.flatnonzero(place)[np.cumsum(place) - 1]
+    return np.where(first > begin, first - 1, at)
+
+
 def _joined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """Rows for the anchors of some documents: equal contexts joined, candidates told apart where that is certain."""
     h, context, uid, ver, lo, span, off = (np.concatenate(c) for c in zip(*parts))
@@ -101,15 +108,16 @@ def _joined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     h, context, uid, ver, lo, span, off = (c[order] for c in (h, context, uid, ver, lo, span, off))
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
     new = new_h | np.concatenate([[True], context[1:] != context[:-1]])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    repeats = (uid != uid[head]) | (lo != lo[head])
+    before = _before(new, uid, lo)
+    repeats = before < np.arange(len(before))
     contexts_before = np.cumsum(new) - np.cumsum(new)[np.flatnonzero(new_h)[np.cumsum(new_h) - 1]]
     kind = np.where(repeats, _REPEAT, np.where(contexts_before >= LOCAL_CONTEXTS, _CANDIDATE, _SINGLE))
     keep = repeats | new
     spread = mixed(uid.view(U) * U(_BASES[0]) + lo.astype(U)).view(np.int64)
     ver, lo = ver.astype(np.int32), lo.astype(np.int32)
-    columns = np.where(kind == _SINGLE, h, spread), kind.astype(np.int32), h, context, uid, ver, lo, span.astype(np.int32), off.astype(np.int32), uid[head], ver[head], lo[head]
-    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["part", "kind", "h", "context", "uid", "ver", "lo", "span", "off", "head_uid", "head_ver", "head_lo"])
+    earlier = (np.where(repeats, c[before], 0) for c in (uid, ver, lo, (span << 16 | off).astype(np.int32)))
+    columns = np.where(kind == _SINGLE, h, spread), kind.astype(np.int32), h, context, uid, ver, lo, span.astype(np.int32), off.astype(np.int32), *earlier
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["part", "kind", "h", "context", "uid", "ver", "lo", "span", "off", "head_uid", "head_ver", "head_lo", "head_shape"])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -131,7 +139,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int, bits
 def _flag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is known of each anchor once those with its hash are together; anchors that are done are left out."""
     names = [field.split()[0] for field in _FLAGS.split(", ")]
-    heads = ["head_uid", "head_ver", "head_lo"]
+    heads = ["head_uid", "head_ver", "head_lo", "head_shape"]
     for table in whole_groups(batches, "h", ANCHORS):
         h, context, uid, lo, kind = (table[name].to_numpy() for name in ("h", "context", "uid", "lo", "kind"))
         order = np.lexsort((lo, uid, context, h, kind != _SINGLE))
@@ -139,13 +147,14 @@ def _flag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, context, uid, ver, lo, kind = (table[name].to_numpy() for name in ("h", "context", "uid", "ver", "lo", "kind"))
         new_h = np.concatenate([[True], (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])])
         new = new_h | np.concatenate([[True], context[1:] != context[:-1]])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        before = _before(new, uid, lo)
         group = np.cumsum(new_h) - 1
         several = np.bincount(group, new)[group] > 1
-        own = np.where((uid != uid[head]) | (lo != lo[head]), _REPEAT, np.where(several, _CANDIDATE, _SINGLE))
+        own = np.where(before < np.arange(len(before)), _REPEAT, np.where(several, _CANDIDATE, _SINGLE))
         met = kind == _SINGLE
-        for name, values in zip(heads, (uid, ver, lo)):
-            table = table.set_column(table.schema.get_field_index(name), name, pa.array(np.where(met, values[head], table[name].to_numpy())))
+        shape = table["span"].to_numpy() << 16 | table["off"].to_numpy()
+        for name, values in zip(heads, (uid, ver, lo, shape)):
+            table = table.set_column(table.schema.get_field_index(name), name, pa.array(np.where(met, values[before], table[name].to_numpy())))
         kind = np.where(met, own, kind).astype(np.int32)
         table = table.set_column(table.schema.get_field_index("kind"), "kind", pa.array(kind))
         yield from table.select(names).filter(pa.array(kind != _SINGLE)).to_batches()
@@ -356,9 +365,9 @@ def _identified(documents: DataFrame) -> DataFrame:
 
 
 def segments(repeats: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(uid, ver, start, size, head_uid, head_ver, head_start): neighbouring repeats that repeat one passage."""
+    """(uid, ver, start, size, head_uid, head_ver, head_start): neighbouring repeats that repeat one passage, where it last stood before."""
     order = Window.partitionBy("uid", "ver").orderBy("lo")
-    place = lambda at: F.struct(at.alias("at"), "head_uid", "head_ver", (F.col("head_lo") - F.col("lo")).alias("by"), (F.col("head_lo") / SEGMENT).cast("int").alias("block"))
+    place = lambda at: F.struct(at.alias("at"), "head_uid", "head_ver", (F.col("head_lo") - F.col("lo")).alias("by"))
     here, due = place(F.col("lo")), F.lag(place(F.col("lo") + F.col("span") + 1)).over(order)
     numbered = repeats.withColumn("number", F.sum((~here.eqNullSafe(due)).cast("int")).over(order))
     ends = F.max(F.col("lo") + F.col("span")) + length
@@ -392,8 +401,10 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     repeats = flags.filter(F.col("kind") == _REPEAT)
     parts = durable(segments(repeats, length))
     sides = parts.select("uid", "ver", "start", "size").union(parts.select("head_uid", "head_ver", "head_start", "size")).distinct()
-    candidate = lambda uid, ver, lo: ("h", F.col(uid).alias("uid"), F.col(ver).alias("ver"), F.col(lo).alias("lo"), (F.col("span") + length).alias("size"), "off")
-    wanted = flags.filter(F.col("kind") == _CANDIDATE).select(*candidate("uid", "ver", "lo"))
+    candidate = lambda uid, ver, lo, span, off: ("h", F.col(uid).alias("uid"), F.col(ver).alias("ver"), F.col(lo).alias("lo"), (span + length).cast("int").alias("size"), off.cast("int").alias("off"))
+    own, shape = ("uid", "ver", "lo", F.col("span"), F.col("off")), F.col("head_shape")
+    earlier = ("head_uid", "head_ver", "head_lo", F.shiftright(shape, 16), shape.bitwiseAND(F.lit(0xFFFF)))
+    wanted = flags.filter(F.col("kind") == _CANDIDATE).select(*candidate(*own))
     contexts = durable(_contexts(texts, wanted.unionByName(sides.select(F.lit(0).cast("long").alias("h"), "uid", "ver", F.col("start").alias("lo"), "size", F.lit(-1).alias("off")))))
 
     digests = contexts.filter("off < 0").select("uid", "ver", F.col("lo").alias("start"), "size", F.col("context").alias("digest"))
@@ -406,7 +417,7 @@ def removed_runs(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         parts = parts.join(wrong, head, "left_anti")
         keys = repeats.join(false, ["uid", "ver"]).filter("lo >= start and lo < end").select("h").distinct()
         again = flags.join(keys, "h")
-        both = again.select(*candidate("uid", "ver", "lo")).union(again.filter(F.col("kind") == _REPEAT).select(*candidate("head_uid", "head_ver", "head_lo"))).distinct()
+        both = again.select(*candidate(*own)).union(again.filter(F.col("kind") == _REPEAT).select(*candidate(*earlier))).distinct()
         found = found.unionByName(_sorted_runs(durable(_contexts(texts, both)), length, hot))
     return parts.select("uid", "ver", "start", (F.col("start") + F.col("size")).alias("end")).unionByName(found)
 
