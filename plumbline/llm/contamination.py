@@ -2,8 +2,11 @@
 
 Texts are read as tokens: runs of ASCII letters, digits and non-ASCII characters, ASCII in lower case. A
 document and an item (a benchmark text) that share a seed, SEED tokens in a row found by their Karp-Rabin
-hash, are tiled: the longest match of tokens that no tile has yet covered on either side becomes a tile,
-again and again, until none of SEED tokens is left. The share of the item's tokens under tiles is its
+hash (a polynomial of the tokens, rolled along by prefix sums), are tiled: the longest match of tokens that
+no tile has yet covered on either side becomes a tile, again and again, until none of SEED tokens is left.
+One run finds all matches; each later turn takes the longest from a heap and cuts what tiles now cover, which
+gives the tiles that another run over the rest would. Tiles that count are compared by their words' bytes,
+and a pair in which hashes collided is tiled again by whole words. The share of the item's tokens under tiles is its
 coverage. As tiles may lie in any order, reordered passages are caught too. A document is contaminated
 by an item that it covers by LEAST or more.
 
@@ -19,6 +22,7 @@ a null id is kept; an empty table gives an empty result. Other columns are not r
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import durable, mapped, text_of
-from plumbline.llm.polyhash import Prefixes, U, mixed
+from plumbline.llm.polyhash import Prefixes, U, mixed, powers
 
 SEED = 5
 LEAST = 0.5
 MOST_SEEDS = 1 << 21
 
 _BASE = 0x8EBC6AF09C88C6E3
+_SEED_BASE = 0xD1342543DE82EF95
 _STEP = U(0x9E3779B97F4A7C15)
+_WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _TOKEN = np.zeros(256, bool)
@@ -59,10 +65,32 @@ def tokens(text: bytes) -> np.ndarray:
 def seeds(own: np.ndarray, seed: int = SEED) -> np.ndarray:
     """The Karp-Rabin hash of each run of `seed` tokens."""
     n = max(0, len(own) - seed + 1)
-    total = np.zeros(n, U)
-    for at in range(seed):
-        total = mixed(total + own[at : at + n] + _STEP)
-    return total
+    up, down = powers(_SEED_BASE, 1 << max(12, len(own).bit_length()))
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(own * up[: len(own)], dtype=U)])
+    return mixed((sums[seed : seed + n] - sums[:n]) * down[:n])
+
+
+def words(text: bytes) -> list[bytes]:
+    return _WORDS.findall(text.translate(bytes(_LOWER)))
+
+
+def same_words(item: list[bytes], doc: list[bytes], tiles: list[tuple[int, int, int]]) -> bool:
+    """Whether the words under the tiles are the same, byte by byte."""
+    return all(item[i : i + n] == doc[d : d + n] for i, d, n in tiles)
+
+
+def tiled_by_words(item: list[bytes], doc: list[bytes], seed: int = SEED) -> list[tuple[int, int, int]]:
+    """Tiles without hashes: words are numbered, and runs of `seed` words looked up as they are."""
+    number: dict[bytes, int] = {}
+    own, other = (np.array([number.setdefault(word, len(number)) for word in text], dtype=U) for text in (item, doc))
+    places: dict[tuple, list[int]] = {}
+    for at in range(len(item) - seed + 1):
+        places.setdefault(tuple(item[at : at + seed]), []).append(at)
+    pairs = [(i, d) for d in range(len(doc) - seed + 1) for i in places.get(tuple(doc[d : d + seed]), ())]
+    if not pairs:
+        return []
+    at_item, at_doc = map(np.array, zip(*pairs))
+    return tile(own, other, at_item, at_doc, seed)
 
 
 def tile(item: np.ndarray, doc: np.ndarray, at_item: np.ndarray, at_doc: np.ndarray, seed: int = SEED) -> list[tuple[int, int, int]]:
@@ -102,6 +130,7 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     sieve: np.ndarray
+    raws: list[bytes]
 
     @classmethod
     def of(cls, rows: list[tuple], seed: int) -> "Index":
@@ -111,15 +140,16 @@ class Index:
         item = np.repeat(np.arange(len(items)), [len(f) for f in found]).astype(np.int64)
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(f)) for f in found)]).astype(np.int64)
         order = np.argsort(hashes, kind="stable")
-        sieve = np.zeros(1 << 24, bool)
-        sieve[(hashes & U((1 << 24) - 1)).astype(np.int64)] = True
-        return cls([row[0] for row in rows], items, hashes[order], item[order], place[order], sieve)
+        # about one place in sixteen is taken, so that a pair's sieve is small
+        sieve = np.zeros(1 << min(24, max(8, (16 * len(hashes)).bit_length())), bool)
+        sieve[(hashes & U(len(sieve) - 1)).astype(np.int64)] = True
+        return cls([row[0] for row in rows], items, hashes[order], item[order], place[order], sieve, [row[1] for row in rows])
 
-    def matches(self, raw: bytes, seed: int) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
-        """(item number, coverage, tiles) of each item that shares a seed."""
+    def matches(self, raw: bytes, seed: int, least: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+        """(item number, coverage, tiles) of each item that shares a seed and is covered by `least` or more."""
         doc = tokens(raw)
         own = seeds(doc, seed)
-        maybe = np.flatnonzero(self.sieve[(own & U((1 << 24) - 1)).astype(np.int64)])
+        maybe = np.flatnonzero(self.sieve[(own & U(len(self.sieve) - 1)).astype(np.int64)])
         if not len(maybe) or not len(self.hashes):
             return
         begin, end = (np.searchsorted(self.hashes, own[maybe], side) for side in ("left", "right"))
@@ -129,7 +159,12 @@ class Index:
         for number in np.unique(self.item[at]):
             here = self.item[at] == number
             tiles = tile(self.items[number], doc, self.place[at[here]], at_doc[here], seed)
-            yield int(number), sum(t[2] for t in tiles) / len(self.items[number]), tiles
+            if sum(t[2] for t in tiles) < least * len(self.items[number]):
+                continue
+            if not same_words(item := words(self.raws[number]), found := words(raw), tiles):
+                tiles = tiled_by_words(item, found, seed)
+            if (coverage := sum(t[2] for t in tiles) / len(item)) >= least:
+                yield int(number), coverage, tiles
 
 
 def _tile_rows(batches: Iterator[pa.RecordBatch], index: Callable[[], Index], seed: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -137,7 +172,7 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], index: Callable[[], Index], se
     for rows in batches:
         out = []
         for doc_id, raw in zip(rows["doc_id"].to_pylist(), rows["raw"]):
-            out += [(doc_id, own.ids[n], coverage, tiles) for n, coverage, tiles in own.matches(raw.as_py(), seed) if coverage >= least]
+            out += [(doc_id, own.ids[n], coverage, tiles) for n, coverage, tiles in own.matches(raw.as_py(), seed, least)]
         yield _result(out)
 
 
@@ -152,7 +187,7 @@ def _clean_rows(batches: Iterator[pa.RecordBatch], index: Callable[[], Index], s
     own = index()
     for rows in batches:
         texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
-        yield rows.filter(pa.array([not any(coverage >= least for _, coverage, _ in own.matches((text or "").encode(), seed)) for text in texts], pa.bool_()))
+        yield rows.filter(pa.array([not any(True for _ in own.matches((text or "").encode(), seed, least)) for text in texts], pa.bool_()))
 
 
 def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -160,7 +195,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], seed: int, least: float) -> It
     for rows in batches:
         out = []
         for doc_id, item_id, raw, item in zip(*(rows[name].to_pylist() for name in ("doc_id", "item_id", "raw", "item"))):
-            out += [(doc_id, item_id, coverage, tiles) for _, coverage, tiles in Index.of([(0, item)], seed).matches(raw, seed) if coverage >= least]
+            out += [(doc_id, item_id, coverage, tiles) for _, coverage, tiles in Index.of([(0, item)], seed).matches(raw, seed, least)]
         yield _result(out)
 
 

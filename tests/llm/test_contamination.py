@@ -61,3 +61,17 @@ def test_like_brute_force_with_and_without_broadcast(spark, most_seeds):
     assert sorted(map(tuple, kept), key=str) == sorted((r for r in docs if r[0] not in bad), key=str)
     assert contamination.find(d.limit(0), b, most_seeds=most_seeds).count() == 0
     assert contamination.find(d, b.limit(0), most_seeds=most_seeds).count() == 0
+
+
+def test_collisions_are_settled_by_words(monkeypatch):
+    items, doc = [(1, b"a b c d e f"), (2, b"v w x y z")], b"one a b c d e f two"
+    monkeypatch.setattr(contamination, "tokens", lambda raw: contamination.np.ones(len(contamination.words(raw)), contamination.U))
+    assert [(n, c) for n, c, _ in contamination.Index.of(items, 5).matches(doc, 5, 0.5)] == [(0, 1.0)]
+
+
+def test_a_very_long_text(spark):
+    random.seed(9)
+    item = [f"i{n}" for n in range(60)]
+    text = " ".join([random.choice("abcdefgh") for _ in range(150_000)] + item[30:] + ["x"] * 50_000 + item[:30])
+    got = contamination.find(spark.createDataFrame([(1, text), (2, text[:200_000])], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["coverage"], len(r["tiles"])) for r in got] == [(1, 1.0, 2)]

@@ -78,3 +78,31 @@ def test_components_of_a_long_chain(spark):
 def test_one_row_stays_beside_any_columns(spark):
     frame = spark.createDataFrame([(1, "a b", 2, {"x": 1}), (1, "a b", 1, {"x": 2}), (2, "a b", 3, None), (3, "c", 4, None)], "doc_id long, text string, `a``b.c` int, m map<string,int>")
     assert sorted((r[0], r[2]) for r in near_dups.without_duplicates(frame).collect()) == [(1, 1), (3, 4)]
+
+
+def test_whole_table_like_all_pairs(spark):
+    """Classes over the whole table without bands or signatures: overlaps of all pairs that share any shingle."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = sorted(map(tuple, docs.collect()))
+    bags, parent = [bag(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    holders = {}
+    for j, own in enumerate(bags):
+        shared = Counter()
+        for shingle, times in own.items():
+            for i, other in holders.get(shingle, ()):
+                shared[i] += min(times, other)
+            holders.setdefault(shingle, []).append((j, times))
+        for i, n in shared.items():
+            if n >= 0.8 * (sum(own.values()) + sum(bags[i].values()) - n):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    expected = {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs).collect()}
+    assert got == expected and len(set(expected.values())) < len(expected)
