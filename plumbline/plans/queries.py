@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text, vectors
-from plumbline.operators import chain, drift, duplicates, evaluate, findings, fusion, governance, groups, label_noise, ledger, models, outliers, patterns, profile, reports, validate
+from plumbline.operators import chain, drift, duplicates, evaluate, evidence, findings, fusion, governance, groups, label_noise, ledger, models, outliers, patterns, profile, reports, validate
 from plumbline.streaming import operators as streams
 from plumbline.tables import durable, shared_folder
 
@@ -258,6 +258,12 @@ def detector_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.merge(_detectors(spark, sf_dir), "doc_id", SEVERITY)
 
 
+@query(f"""with {_FLAGS}, m as (select doc_id, list_sort(list(flag)) as flags, count(*)::int as n, max(p) as p from flags group by 1), j as (select doc_id, '{{"assessment":"FLAGGED_FOR_REVIEW","asset":{{"flags":["' || array_to_string(flags, '","') || '"],"image_id":"' || doc_id || '","n_flags":' || n || '}},"check_context":{{"least":1}},"dataset":{{"name":"documents"}},"finding_fields":{{"confidence":' || round(least(0.6 + 0.15 * (n - 1), 0.95)::double, 2) || ',"disposition":"REVIEW","reason":"' || array_to_string(flags, ', ') || '","severity":"' || ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][least(p + (case when n >= 2 then 1 else 0 end), 4) + 1] || '"}},"limitations":["no proof of intent"],"module":"DataIntegrity","run":{{"mode":"offline","timestamp":"2024-01-01"}}}}' as payload from m) select doc_id, sha256(payload) as evidence_hash, payload from j""")
+def evidence_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = detector_merge(spark, sf_dir).withColumn("reason", F.array_join("flags", ", "))
+    return evidence.documents(flagged, "doc_id", F.struct(F.lit(1).alias("least")), F.struct(F.lit("documents").alias("name")), "2024-01-01", ("no proof of intent",))
+
+
 @query(f"""with {_FLAGS}, m as (select doc_id, count(*) as n, max(p) as p from flags group by 1) select 'check' as kind, flag as name, count(*) as n from flags group by flag
 union all select 'severity', ['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][least(p + (case when n >= 2 then 1 else 0 end), 4) + 1], count(*) from m group by 2""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

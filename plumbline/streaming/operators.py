@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.operators.drift import Windows
+from plumbline.operators.drift import Windows, checked, window_mmd
 from plumbline.operators.ledger import first_wins
+from plumbline.tables import durable
 
 
 def count_windows(stream: DataFrame, key: str, item: str, ts: str, windows: Windows) -> DataFrame:
@@ -83,6 +84,24 @@ def ledger_sink(table: str) -> Callable[[DataFrame, int], None]:
     return append
 
 
+def window_check_sink(reference: DataFrame, vectors: DataFrame, key: str, vector: str, threshold: float, target: str, size: int | None = None, sigma: float | None = None, seed: int = 42) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that checks the complete windows of a micro-batch (count_windows' rows) against a reference, as drift.checked does.
+
+    The vectors of a window's items are looked up by `key`. A micro-batch that runs again replaces its own rows.
+    """
+
+    def check(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        windows = durable(batch.select(F.col("key").alias("stream"), F.col("window_no").alias("number"), F.xxhash64("key", "window_no").alias("window_no"), "items", "first_ts", "last_ts"))
+        members = durable(windows.select("window_no", F.explode("items").alias(key)).join(vectors.select(key, vector), key))
+        described = windows.select("window_no", "stream", "number", "first_ts", "last_ts", F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("digest"))
+        tested = window_mmd(reference, members, key, vector, seed, sigma=sigma)
+        checked(described, tested, threshold, size=size).drop("measured", "declared").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return check
+
+
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream."""
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}.parquet").schema).parquet(f"{sf_dir}/{name}*.parquet")

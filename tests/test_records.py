@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text, vectors
-from plumbline.operators import chain, evaluate, findings, fusion, governance, groups, ledger, models, validate
+from plumbline.operators import chain, evaluate, evidence, findings, fusion, governance, groups, ledger, models, validate
 
 
 def value(spark, column):
@@ -241,3 +241,31 @@ def test_digest_does_not_depend_on_order_and_uses_more_levels_for_more_rows(spar
     monkeypatch.setattr(profile, "GROUP_ROWS", 1)
     deep = profile.digest(rows, "id", "x").first()
     assert deep["n"] == 2_000 and deep["digest"] != whole["digest"] and profile.digest(rows.repartition(5), "id", "x").first() == deep
+
+
+def test_report_forms(spark):
+    import hashlib
+    import json
+
+    good = {name: {} for name in evidence.REPORT_FIELDS} | {"schema_version": "1.0", "overall_assessment": {"overall_status": "PASS", "disposition": "ACCEPT"}, "audit": {"chain_valid": True, "events": []}}
+    finding = {name: "x" for name in evidence.FINDING_FIELDS} | {"category": "AUDIT", "status": "PASS", "severity": "LOW", "confidence": {"value": 0.5}, "evidence": [], "recommendation": {"disposition": "ACCEPT"}}
+    good["findings"] = [finding, finding | {"confidence": {"value": "UNKNOWN"}}]
+    bad = {k: v for k, v in good.items() if k != "system"} | {"schema_version": "one", "overall_assessment": {"overall_status": "GREAT", "disposition": "ACCEPT"}, "audit": {"events": 3}}
+    bad["findings"] = [finding | {"severity": "INFO", "confidence": {"value": 1.5}}, {k: v for k, v in finding.items() if k != "title"} | {"confidence": 0.5, "recommendation": {"disposition": "BURN"}}]
+    found = [r[0] for r in spark.createDataFrame([(json.dumps(good),), (json.dumps(bad),)], "report string").select(evidence.report_violations(F.col("report"))).collect()]
+    assert found[0] == []
+    assert found[1] == [
+        "Missing required top-level field: 'system'",
+        "Invalid schema_version format: 'one'",
+        "Invalid overall_status: 'GREAT'",
+        "audit: missing 'chain_valid'",
+        "audit: missing or invalid 'events' list",
+        "findings[0] (x): invalid severity 'INFO'",
+        "findings[0] (x): confidence value 1.5 out of range [0.0, 1.0]",
+        "findings[1] (x): missing required field 'title'",
+        "findings[1] (x): confidence must be an object with value, interpretation, basis",
+        "findings[1] (x): invalid recommendation disposition 'BURN'",
+    ]
+    text = json.dumps(good)
+    digests = spark.createDataFrame([(text, hashlib.sha256(text.encode()).hexdigest().upper()), (text, "0" * 64), (text, None)], "report string, digest string")
+    assert [r["digest_ok"] for r in evidence.with_report_digest(digests, "report").collect()] == [True, False, False]

@@ -207,3 +207,18 @@ def test_box_resize_averages_whole_pixels():
     image = np.zeros((128, 128, 3))
     image[::2] = 100
     assert np.all(images.resized(image, 64) == 50) and images.resized(np.full((10, 7, 3), 9), 64).shape == (64, 64, 3)
+
+
+def test_windows_of_a_stream_are_checked_as_in_a_batch(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a", float(i), [float(x) for x in rng.normal(0 if i < 20 else 4, 1, 4)]) for i in range(40)]
+    table = spark.createDataFrame(rows, "id long, k string, at double, v array<double>").withColumn("ts", F.timestamp_seconds("at"))
+    reference = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(50)], "id long, v array<double>")
+    table.drop("v", "at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, k string, ts timestamp").parquet(str(tmp_path / "in"))
+    windows = streams.count_windows(stream, "k", "id", "ts", Windows(20, 20))
+    sink = streams.window_check_sink(reference, table, "id", "v", 0.1, str(tmp_path / "out"), size=20, sigma=2.0)
+    windows.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["number"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # without measured statistics a shift has no explanation and no evidence against one
+    assert {n: r["assessment"] for n, r in got.items()} == {0: "NO_SIGNIFICANT_SHIFT", 1: "INSUFFICIENT_EVIDENCE"} and got[1]["mmd"] > 0.1 > got[0]["mmd"]
