@@ -222,7 +222,7 @@ c as (select group_type, group_id, arg_min(c, (-n, c)) as confusion, max(n) as t
 r as (select group_type, group_id, list(evidence order by doc_id)[1:10] as refs from u join f using (doc_id) group by all)
 select 'group_' || group_type || '_' || group_id as finding_id, affected as affected_samples, case when share >= 0.25 then 'HIGH' when share >= 0.15 then 'MEDIUM' else 'LOW' end as severity, case when labels > 0 then 'Elevated systematic annotation anomaly' else 'Elevated integrity risk' end as finding,
 case when confusion is not null then confusion || ' (' || times || 'x)' end as dominant_confusion, array_to_string(refs, ',') as evidence_refs,
-concat_ws('; ', case when times >= 3 then 'Systematic mislabelling anomaly: dominant confusion ' || confusion || ' (' || times || '/' || affected || ' label anomalies)' when labels >= 3 then printf('Elevated label anomaly rate: %d anomalies (%.1f%% vs %.1f%% baseline)', labels, share * 100, p * 100) end, case when dups >= 3 then 'Near-duplicate concentration: ' || dups || ' duplicate pairs in group' end) as reason
+coalesce(nullif(concat_ws('; ', case when times >= 3 then 'Systematic mislabelling anomaly: dominant confusion ' || confusion || ' (' || times || '/' || affected || ' label anomalies)' when labels >= 3 then printf('Elevated label anomaly rate: %d anomalies (%.1f%% vs %.1f%% baseline)', labels, share * 100, p * 100) end, case when dups >= 3 then 'Near-duplicate concentration: ' || dups || ' duplicate pairs in group' end), ''), printf('Elevated aggregate anomaly rate (%.1f%% vs %.1f%% baseline, z=%.1f)', share * 100, p * 100, round(z, 2))) as reason
 from k left join c using (group_type, group_id) left join r using (group_type, group_id)""")
 def group_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups.findings(_doc_findings(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id", ["source", "lang"], "evidence")
