@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from plumbline.operators.graph import components
 from plumbline.tables import durable
 
+#: Rounds of joins before the rows still open are folded.
+ROUNDS = 8
+
 
 def first_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key."""
@@ -32,32 +37,60 @@ def _classes(rows: DataFrame) -> DataFrame:
 def first_wins(submissions: DataFrame, committed: DataFrame | None = None) -> DataFrame:
     """`submissions` (seq, asset, hash, ...) with status COMMITTED, ASSET_EXISTS or DUPLICATE_EVIDENCE.
 
-    In order of seq, a row is turned away if its asset, or else its hash, is already committed; a row that
-    is turned away reserves neither. Rows that share keys are folded together, each component on its own.
+    In order of seq, which must be unique, a row is turned away if its asset, or else its hash, is already
+    committed; a row that is turned away reserves neither. A null asset or hash clashes with nothing.
     """
-    fields = submissions.select("seq", "asset", "hash")
+    fields = submissions.select("seq", F.col("asset").cast("string"), F.col("hash").cast("string"))
     if committed is not None:
         # a number of its own for each, before those of all submissions; written, as it would be given anew at each reading
-        fields = fields.unionByName(durable(committed.select((F.monotonically_increasing_id() - F.lit((1 << 63) - 1)).alias("seq"), "asset", "hash")))
-    kind = fields.schema["seq"].dataType.simpleString()
-    together = _classes(fields).repartition("component").sortWithinPartitions("component", "seq")
-    done = together.select("component", "seq", "asset", "hash").mapInPandas(_fold, f"seq {kind}, status string")
-    return submissions.join(done, "seq")
+        fields = fields.unionByName(durable(committed.select((F.monotonically_increasing_id() - F.lit((1 << 63) - 1)).alias("seq"), F.col("asset").cast("string"), F.col("hash").cast("string"))))
+    fields = durable(fields)
+    won = _winners(fields.filter("asset is not null or hash is not null"))
+    for column in ("asset", "hash"):
+        # at most one winner has a key
+        fields = fields.join(won.filter(F.col(column).isNotNull()).select(column, F.col("seq").alias(f"by_{column}")), column, "left")
+    status = F.when(F.col("by_asset") < F.col("seq"), "ASSET_EXISTS").when(F.col("by_hash") < F.col("seq"), "DUPLICATE_EVIDENCE").otherwise("COMMITTED")
+    return submissions.join(fields.select("seq", status.alias("status")), "seq")
+
+
+def _winners(rows: DataFrame) -> DataFrame:
+    """The rows (seq, asset, hash) that are committed.
+
+    In each round those rows win that are the first open ones of both their asset and their hash, and the
+    rows that share a key with a winner close. A key of any number of rows takes one round, as its least
+    seq is found before the shuffle. What ROUNDS leave open are long chains, in which each row waits for
+    the one before; these are folded, each component on its own.
+    """
+    left, won = rows, []
+    for _ in range(ROUNDS):
+        first = left
+        for column in ("asset", "hash"):
+            least = left.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("seq").alias(f"least_{column}"))
+            first = first.join(least, column, "left")
+        now = durable(first.filter("seq = coalesce(least_asset, seq) and seq = coalesce(least_hash, seq)").select("seq", "asset", "hash"))
+        won.append(now)
+        left = durable(left.join(now.select("asset"), "asset", "left_anti").join(now.select("hash"), "hash", "left_anti").select("seq", "asset", "hash"))
+        if left.isEmpty():
+            break
+    else:
+        together = _classes(left).repartition("component").sortWithinPartitions("component", "seq")
+        won.append(durable(together.select("component", "seq", "asset", "hash").mapInPandas(_fold, left.schema)))
+    return reduce(DataFrame.unionByName, won)
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Statuses of rows that come sorted by component and seq; what is held is one component's keys."""
+    """The winners among rows that come sorted by component and seq; what is held is one component's keys."""
     at, assets, hashes = None, set(), set()
     for part in batches:
-        status = []
-        for component, asset, hash_ in zip(part["component"], part["asset"], part["hash"]):
+        good = np.zeros(len(part), bool)
+        for i, (component, asset, hash_) in enumerate(zip(part["component"], part["asset"], part["hash"])):
             if component != at:
                 at, assets, hashes = component, set(), set()
-            status.append("ASSET_EXISTS" if asset in assets else "DUPLICATE_EVIDENCE" if hash_ in hashes else "COMMITTED")
-            if status[-1] == "COMMITTED":
+            good[i] = (asset is None or asset not in assets) and (hash_ is None or hash_ not in hashes)
+            if good[i]:
                 assets.add(asset)
                 hashes.add(hash_)
-        yield pd.DataFrame({"seq": part["seq"], "status": status})
+        yield part.loc[good, ["seq", "asset", "hash"]]
 
 
 def append_new(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import LEVELS, change_level, relative_change, worst
+from plumbline.operators.drift import indexed
 
 
 #: Rows of a digest's group.
@@ -57,17 +58,26 @@ def threshold_from(scale: DataFrame, k: float = 5.0) -> DataFrame:
     return scale.withColumn("threshold", F.col("median") + k * 1.4826 * F.col("mad"))
 
 
+def _placed(frame: DataFrame, key: str, *order: str) -> DataFrame:
+    """`frame` with __place, a row's 0-based place in its group, and __n, the group's rows.
+
+    Places come from global row numbers, so that a group of any size is sorted by many tasks.
+    """
+    rows = indexed(frame, [key, *order], "__at")
+    groups = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    return rows.join(groups, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__place", F.col("__at") - F.col("__first")).drop("__at", "__key", "__first")
+
+
 def trimmed(frame: DataFrame, distance: str, key: str, tie: str, trim: float = 0.10, least: int = 8) -> DataFrame:
     """Of each group the max(least, ceil(n (1 - trim))) rows nearest by `distance`, ties by `tie`."""
-    size = Window.partitionBy(key)
-    keep = F.greatest(F.lit(least), F.ceil(F.round(F.count("*").over(size) * (1 - trim), 9)))
-    return frame.withColumn("__keep", keep).withColumn("__rank", F.row_number().over(size.orderBy(distance, tie))).filter("__rank <= __keep").drop("__keep", "__rank")
+    keep = F.greatest(F.lit(least), F.ceil(F.round(F.col("__n") * (1 - trim), 9)))
+    return _placed(frame, key, distance, tie).filter(F.col("__place") < keep).drop("__place", "__n")
 
 
 def folds(frame: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """A column `fold`: rows of each label dealt evenly over k folds in the order of a seeded hash."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return frame.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)))
+    placed = _placed(frame.withColumn("__hash", F.xxhash64(F.col(key), F.lit(seed))), label, "__hash", key)
+    return placed.withColumn("fold", F.pmod("__place", F.lit(k)).cast("int")).drop("__hash", "__place", "__n")
 
 
 def null_summary(frame: DataFrame, value: str, *keys: str) -> DataFrame:

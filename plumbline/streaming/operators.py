@@ -24,16 +24,15 @@ def count_windows(stream: DataFrame, key: str, item: str, ts: str, windows: Wind
 
     def fold(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         number, items, times = state.get if state.exists else (0, [], [])
-        items, times, out = list(items), list(times), []
-        for _, row in pd.concat(list(parts)).sort_values(["ts", "item"]).iterrows():
-            items.append(int(row["item"]))
-            times.append(row["ts"].value // 1000)
-            if len(items) == least:
-                out.append((name[0], number, list(items), pd.Timestamp(times[0], unit="us"), pd.Timestamp(times[-1], unit="us")))
-                number, items, times = number + 1, items[hop:], times[hop:]
-        state.update((number, items, times))
-        if out:
-            yield pd.DataFrame(out, columns=["key", "window_no", "items", "first_ts", "last_ts"])
+        rows = pd.concat(list(parts)).sort_values(["ts", "item"])
+        items = [*items, *rows["item"].tolist()]
+        times = [*times, *rows["ts"].astype("datetime64[us]").astype("int64").tolist()]
+        whole = max(0, (len(items) - least) // hop + 1)
+        state.update((number + whole, items[whole * hop :], times[whole * hop :]))
+        if whole:
+            starts = [hop * i for i in range(whole)]
+            first, last = (pd.to_datetime([times[at + shift] for at in starts], unit="us") for shift in (0, least - 1))
+            yield pd.DataFrame({"key": name[0], "window_no": range(number, number + whole), "items": [items[at : at + least] for at in starts], "first_ts": first, "last_ts": last})
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(item).cast("long").alias("item"), F.col(ts).cast("timestamp").alias("ts"))
     return rows.groupBy("key").applyInPandasWithState(fold, "key string, window_no long, items array<long>, first_ts timestamp, last_ts timestamp", "number long, items array<long>, times array<long>", "append", GroupStateTimeout.NoTimeout)
@@ -47,11 +46,17 @@ def replays(stream: DataFrame, nonce: str, item: str, ts: str, keep: str = "2 da
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["ts", "item"])
-        state.update((used + len(rows),))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().value // 1_000_000), state.getCurrentWatermarkMs()) + millis)
-        yield rows if used else rows.iloc[1:]
+        used, latest, first = state.get[0] if state.exists else 0, state.getCurrentWatermarkMs(), None
+        fresh = not used
+        for rows in parts:
+            used, latest = used + len(rows), max(latest, int(rows["ts"].max().value // 1_000_000))
+            if fresh:
+                # all but the first use so far are replays
+                rows = pd.concat([rows] if first is None else [first, rows]).sort_values(["ts", "item"])
+                first, rows = rows.iloc[:1], rows.iloc[1:]
+            yield rows
+        state.update((used,))
+        state.setTimeoutTimestamp(latest + millis)
 
     rows = stream.select(F.col(nonce).alias("nonce"), F.col(item).cast("long").alias("item"), F.col(ts).cast("timestamp").alias("ts")).filter(F.length("nonce") > 0)
     return rows.withWatermark("ts", "1 hour").groupBy("nonce").applyInPandasWithState(fold, "nonce string, item long, ts timestamp", "used long", "append", GroupStateTimeout.EventTimeTimeout)

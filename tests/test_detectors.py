@@ -52,6 +52,21 @@ def test_ties_among_neighbours_go_to_the_smaller_id(spark, monkeypatch):
         assert {(r["id"], r["rank"]): r["neighbour"] for r in got} == {(i, k + 1): [j for j in range(4) if j != i][k] for i in range(40) for k in range(3)}
 
 
+def test_places_in_a_hot_group_come_from_many_tasks(spark):
+    """A third of the rows and more have one label, some have none; ties go by id."""
+    rows = [(i, "hot" if i % 3 else None if i % 5 == 0 else f"l{i % 4}", float(i * 7919 % 50)) for i in range(3_000)]
+    made = spark.createDataFrame(rows, "id long, label string, d double").repartition(13)
+    near = {}
+    for i, label, d in sorted(rows, key=lambda r: (r[2], r[0])):
+        near.setdefault(label, []).append(i)
+    kept = {i for ids in near.values() for i in ids[: max(8, -int(-round(len(ids) * 0.9, 9) // 1))]}
+    assert {r["id"] for r in profile.trimmed(made, "d", "label", "id").collect()} == kept
+    dealt = profile.folds(made, "label", "id", 4, 9)
+    assert dealt.columns == ["id", "label", "d", "fold"] and dealt.count() == 3_000
+    sizes = dealt.groupBy("label", "fold").count().groupBy("label").agg(F.min("count").alias("low"), F.max("count").alias("high"), F.count("*").alias("folds"))
+    assert all(r["high"] - r["low"] <= 1 and r["folds"] == 4 for r in sizes.collect())
+
+
 def test_lsh_finds_pairs_near_the_threshold(spark):
     """Recall over 400 planted pairs with cosines from 0.99 on."""
     rng = np.random.default_rng(11)

@@ -56,6 +56,26 @@ def test_a_rejected_row_reserves_nothing(spark):
     assert [r["status"] for r in ledger.first_wins(spark.createDataFrame(later, "seq long, asset string, hash string"), before).orderBy("seq").collect()] == ["ASSET_EXISTS", "DUPLICATE_EVIDENCE", "COMMITTED"]
 
 
+@pytest.mark.parametrize("rounds", [1, 3, 50])
+def test_chains_of_waiting_rows_and_hot_keys(spark, monkeypatch, rounds):
+    """Each row of the chain waits for the one before; a third of the rest share one hash."""
+    monkeypatch.setattr(ledger, "ROUNDS", rounds)
+    random.seed(rounds)
+    rows = [(i, f"a{(i + 1) // 2}", f"h{i // 2}") for i in range(12)]
+    rows += [(i, f"x{random.randrange(40)}", "hot" if i % 3 == 0 else f"y{random.randrange(40)}") for i in range(12, 150)]
+    got = {r["seq"]: r["status"] for r in ledger.first_wins(spark.createDataFrame(rows, "seq long, asset string, hash string")).collect()}
+    assert got == brute_ledger(rows)
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_null_keys_clash_with_nothing(spark, monkeypatch, rounds):
+    monkeypatch.setattr(ledger, "ROUNDS", rounds)
+    rows = [(1, None, "h"), (2, None, "h"), (3, None, None), (4, None, None), (5, "a", None), (6, "a", "h"), (7, "b", "h"), (8, None, "i")]
+    found = ledger.first_wins(spark.createDataFrame(rows, "seq long, asset string, hash string"))
+    assert [r["status"][0] for r in found.orderBy("seq").collect()] == list("CDCCCADC")
+    assert ledger.first_wins(spark.createDataFrame([], "seq long, asset string, hash string")).count() == 0
+
+
 def test_fusion(spark):
     rows = spark.createDataFrame([(1, "duplicate", 0.6, "LOW"), (2, "duplicate", 0.8, "MEDIUM"), (2, "ood", 0.5, "LOW"), (3, "trigger", 0.95, "LOW")], "id long, detector string, confidence double, severity string")
     got = {r["id"]: r for r in fusion.fuse(rows, "id").collect()}

@@ -169,6 +169,24 @@ def test_stream_windows_equal_batch_and_ledger_is_first_wins(spark, tmp_path):
     assert streams.drained(counts, str(tmp_path / "act")).agg(F.sum("n")).first()[0] > 0
 
 
+def test_replays_of_a_hot_nonce_over_many_batches(spark, tmp_path):
+    """All uses but the first, in time, also where a nonce's rows reach Python in several batches."""
+    source = tmp_path / "in"
+    rows = spark.range(60).selectExpr("if(id % 3 = 0, concat('n', id % 9), 'hot') as nonce", "id", "timestamp_seconds(9000 - 7 * id) as ts")
+    rows.coalesce(1).write.parquet(str(source))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        stream = spark.readStream.schema(rows.schema).parquet(str(source))
+        got = streams.drained(streams.replays(stream, "nonce", "id", "ts"), str(tmp_path / "out")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    last = {}
+    for r in rows.collect():
+        last[r["nonce"]] = max(last.get(r["nonce"], 0), r["id"])
+    assert sorted(r["item"] for r in got) == sorted(set(range(60)) - set(last.values()))
+
+
 def test_reference_refuses_what_its_manifest_does_not_say(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), f"h{i}", [float(i), 1.0]) for i in range(5)], "sample_id string, sha256 string, embedding array<double>")
     reference.build(rows, str(tmp_path), "b")
