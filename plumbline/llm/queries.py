@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, contamination, html_text, near_dups, pii, quality, substrings, token_counts, toxicity, url_filter
+from plumbline.llm import alignment, bpe, contamination, html_text, importance, near_dups, pii, quality, secret_scan, substrings, token_counts, toxicity, url_filter
 from plumbline.llm.common import small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, megabytes=4)
+    return alignment.scores(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_pii_pseudonyms": op2_pii_pseudonyms,
@@ -75,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_url_filter": op9_url_filter,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_secret_scan": op13_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": url_filter.ORACLE_SQL, "op11_importance_resampling": importance.ORACLE_SQL}
