@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, CharType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType, TimestampNTZType, TimestampType, VarcharType
 
 
 def sanitized(value: Column, most: int = 64) -> Column:
@@ -54,13 +57,104 @@ def window_id(sequence: Column, digest: Column) -> Column:
     return F.format_string("window-%06d-%s", sequence, F.substring(digest, 1, 12))
 
 
-def canonical(*columns: str) -> Column:
-    """One JSON text for a row: keys in order, nulls kept. Use strings and integers; format doubles before."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
-
-
-def canonical_hash(*columns: str) -> Column:
-    return F.sha2(canonical(*columns), 256)
+def canonical_string(value: Column) -> Column:
+    """A JSON string in ASCII: quotes, backslashes and controls escaped, all beyond ASCII as lower-case UTF-16 units."""
+    plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+    def escaped(part: Column) -> Column:
+        short = F.when(part == "\n", r"\n").when(part == "\r", r"\r").when(part == "\t", r"\t").when(part == "\b", r"\b").when(part == "\f", r"\f")
+        own = F.regexp_replace(F.lower(F.hex(F.encode(part, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        text = F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        return F.coalesce(short, F.when(part.rlike("^[ -~]+$"), text).otherwise(own))
+
+    parts = F.regexp_extract_all(value, F.lit("[ -~]+|[^ -~]"), F.lit(0))
+    inner = F.when(value.rlike("^[ -~]*$"), plain).otherwise(F.array_join(F.transform(parts, escaped), ""))
+    return F.concat(F.lit('"'), inner, F.lit('"'))
+
+
+def canonical_double(value: Column) -> Column:
+    """The shortest decimal text that reads back as the same double, with an exponent below 1e-4 and from 1e16 on.
+
+    Where several texts of 17 digits read back, it is the one that the JVM gives, which may differ from the nearest in its last digit.
+    """
+    size = F.abs(value)
+    # a double's own text may have a digit too many or round its last one away: the fewest digits that read back are taken
+    part = lambda text, i: F.split_part(text, F.lit("E"), F.lit(i))
+
+    def read_back(text: Column) -> Column:
+        whole, power = F.replace(part(text, 1), F.lit("."), F.lit("")), part(text, 2).try_cast("int")
+        near = F.transform(F.array(*map(F.lit, (0, 1, -1))), lambda d: F.concat((whole.try_cast("long") + d).cast("string"), F.lit("E"), (power + 1 - F.length(whole)).cast("string")))
+        return F.get(F.filter(near, lambda x: x.try_cast("double") == size), F.lit(0))
+
+    rounded = F.array(*(F.format_string(f"%.{digits}E", size) for digits in range(17)))
+    short = F.get(F.filter(F.transform(rounded, read_back), lambda x: x.isNotNull()), F.lit(0))
+    mantissa = part(short, 1)
+    power = part(short, 2).try_cast("int") + F.length(mantissa) - 1
+    # that text of a large whole number is itself rounded: its exact digits are cut where the nearest cut reads back
+    exact = size.try_cast("bigint").cast("decimal(38,0)")
+
+    def cut(unit: Column) -> Column:
+        below = exact - exact % unit
+        reads = F.filter(F.array(below, below + unit), lambda x: x.try_cast("double") == size)
+        return F.array_min(F.transform(reads, lambda x: F.struct(F.abs(x - exact).alias("apart"), x.alias("x"))))["x"]
+
+    units = F.array(*(F.lit("1" + "0" * k).cast("decimal(20,0)") for k in range(18, -1, -1)))
+    whole = F.get(F.filter(F.transform(units, cut), lambda x: x.isNotNull()), F.lit(0))
+    mantissa = F.when((size >= 2.0**53) & (size < 2.0**63), F.coalesce(whole.cast("string"), mantissa)).otherwise(mantissa)
+    digits, point = F.when(size == 0, "0").otherwise(F.regexp_replace(mantissa, "0+$", "")), F.when(size == 0, 1).otherwise(power + 1)
+    n = F.length(digits)
+    fixed = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+    )
+    tail = F.concat(F.when(point > 0, "+").otherwise("-"), F.lpad(F.abs(point - 1).cast("string"), F.greatest(F.lit(2), F.length(F.abs(point - 1).cast("string"))), F.lit("0")))
+    wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), tail)
+    text = F.when((point > -4) & (point <= 16), fixed).otherwise(wide)
+    minus = (value < 0) | (value.cast("string") == "-0.0")
+    return F.when(F.isnan(value), "NaN").otherwise(F.concat(F.when(minus, "-").otherwise(""), F.when(size == float("inf"), "Infinity").otherwise(text)))
+
+
+def canonical_value(value: Column, kind: DataType) -> Column:
+    """JSON text of a column of any type, built from its type: keys sorted at every depth, no white space, nulls kept.
+
+    Structs and maps are objects; a map's keys are sorted as values and written as texts. Decimals are written
+    with their scale, dates and timestamps as ISO texts. Binary columns have no JSON and are refused.
+    """
+    if isinstance(kind, StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name) + ":"), canonical_value(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        text = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
+    elif isinstance(kind, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_value(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, MapType):
+        names = F.array_sort(F.map_keys(value))
+        key = lambda k: canonical_string(k) if isinstance(kind.keyType, StringType) else F.concat(F.lit('"'), canonical_value(k, kind.keyType), F.lit('"'))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(names, lambda k: F.concat(key(k), F.lit(":"), canonical_value(F.element_at(value, k), kind.valueType))), ","), F.lit("}"))
+    elif isinstance(kind, (StringType, VarcharType, CharType)):
+        text = canonical_string(value)
+    elif isinstance(kind, (DoubleType, FloatType)):
+        text = canonical_double(value.cast("double"))
+    elif isinstance(kind, (IntegralType, DecimalType, BooleanType)):
+        text = value.cast("string")
+    elif isinstance(kind, DateType):
+        text = F.concat(F.lit('"'), F.date_format(value, "yyyy-MM-dd"), F.lit('"'))
+    elif isinstance(kind, (TimestampType, TimestampNTZType)):
+        text = F.concat(F.lit('"'), F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"'))
+    elif isinstance(kind, NullType):
+        return F.lit("null")
+    else:
+        raise TypeError(f"{kind.simpleString()} has no JSON")
+    return F.coalesce(text, F.lit("null"))
+
+
+def canonical(frame: DataFrame, *columns: str) -> Column:
+    """One JSON text for each row of `frame`, an object of the named columns or of all of them."""
+    kind = StructType([f for f in frame.schema.fields if not columns or f.name in columns])
+    return canonical_value(F.struct(*(F.col(f"`{name}`") for name in kind.names)), kind)
+
+
+def canonical_hash(frame: DataFrame, *columns: str) -> Column:
+    return F.sha2(canonical(frame, *columns), 256)
 
 
 def is_hash(value: Column) -> Column:

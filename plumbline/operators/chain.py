@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from plumbline.functions.text import canonical_value
+from plumbline.operators.profile import placed
 
 GENESIS = "0" * 64
 
@@ -16,39 +23,68 @@ def link(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, F.lit("|"), payload), 256)
 
 
-def _folded(events: DataFrame, chain: str, seq: str, payload: str, heads: bool) -> DataFrame:
-    """Chains as a stream of their events in order: what a task holds is one batch and the last hash. An event without payload has no hash."""
-    names = (chain, seq, payload)
-    kinds = [events.schema[name].dataType.simpleString() for name in names]
+@dataclass(frozen=True)
+class Form:
+    """How an event is hashed: SHA-256 of `before`, the previous hash and `behind`. An event with a null in either has no hash."""
+
+    before: Column
+    behind: Column
+
+    def hash_after(self, previous: Column) -> Column:
+        return F.sha2(F.concat(self.before, previous, self.behind), 256)
+
+
+def piped(payload: str) -> Form:
+    """The previous hash, a bar and the payload."""
+    return Form(F.lit(""), F.concat(F.lit("|"), F.col(payload).cast("string")))
+
+
+def nested(events: DataFrame, columns: list[str] | None = None, previous: str = "previous_event_hash", own: str = "event_hash") -> Form:
+    """An event as canonical JSON of its columns, nested ones included, with the previous hash among them as `previous` and without its own hash."""
+    kinds = {f.name: f.dataType for f in events.schema.fields if f.name not in (previous, own) and (columns is None or f.name in columns)}
+    part = lambda name: F.concat(F.lit(json.dumps(name) + ":"), canonical_value(F.col(f"`{name}`"), kinds[name]))
+    first, last = sorted(name for name in kinds if name < previous), sorted(name for name in kinds if name > previous)
+    before = F.concat(F.lit("{"), *(x for name in first for x in (part(name), F.lit(","))), F.lit(json.dumps(previous) + ':"'))
+    return Form(before, F.concat(F.lit('"'), *(x for name in last for x in (F.lit(","), part(name))), F.lit("}")))
+
+
+def hash_of(before: str | None, previous: str, behind: str | None) -> str | None:
+    return None if before is None or behind is None else hashlib.sha256(f"{before}{previous}{behind}".encode()).hexdigest()
+
+
+def _folded(events: DataFrame, chain: str, seq: str, form: Form, kept: list[str], heads: bool) -> DataFrame:
+    """Chains as a stream of their events in order: what a task holds is one batch and the last hash."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last, n = None, GENESIS, 0
         for rows in batches:
             out: list[tuple] = []
-            for key, text in zip(rows["chain"].to_pylist(), rows["payload"].to_pylist()):
+            for key, before, behind in zip(*(rows[name].to_pylist() for name in ("chain", "before", "behind"))):
                 if n and key != at:
                     if heads:
                         out.append((at, n, last))
                     n = 0
                 if not n:
                     at, last = key, GENESIS
-                hashed = None if text is None else hashlib.sha256(f"{last or GENESIS}|{text}".encode()).hexdigest()
+                hashed = hash_of(before, last or GENESIS, behind)
                 if not heads:
                     out.append((last or GENESIS, hashed))
                 n, last = n + 1, hashed
             if heads:
                 yield _batch(out, rows.schema.field("chain").type)
             else:
-                before, after = zip(*out) if out else ((), ())
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*rows.schema.names, "previous_hash", "event_hash"])
+                previous, after = zip(*out) if out else ((), ())
+                own = [i for i, name in enumerate(rows.schema.names) if name not in ("before", "behind")]
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in own), pa.array(previous, pa.string()), pa.array(after, pa.string())], [*(rows.schema.names[i] for i in own), "previous_hash", "event_hash"])
         if heads and n:
             yield _batch([(at, n, last)], pa.array([at]).type)
 
-    plain = events.select(F.col(chain).alias("chain"), F.col(seq).alias("seq"), F.col(payload).cast("string").alias("payload"))
+    plain = events.select(F.col(chain).alias("chain"), F.col(seq).alias("seq"), *(F.col(name).alias(f"kept{i}") for i, name in enumerate(kept)), form.before.alias("before"), form.behind.alias("behind"))
     ordered = plain.repartition("chain").sortWithinPartitions("chain", "seq")
     if heads:
-        return ordered.mapInArrow(fold, f"chain {kinds[0]}, n long, head string").withColumnRenamed("chain", chain)
-    return ordered.mapInArrow(fold, f"chain {kinds[0]}, seq {kinds[1]}, payload string, previous_hash string, event_hash string").toDF(*names, "previous_hash", "event_hash")
+        return ordered.mapInArrow(fold, f"chain {plain.schema['chain'].dataType.simpleString()}, n long, head string").withColumnRenamed("chain", chain)
+    schema = StructType([f for f in plain.schema.fields if f.name not in ("before", "behind")]).add("previous_hash", "string").add("event_hash", "string")
+    return ordered.mapInArrow(fold, schema).toDF(chain, seq, *kept, "previous_hash", "event_hash")
 
 
 def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -56,24 +92,74 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(chain, kind), pa.array(n, pa.int64()), pa.array(head, pa.string())], ["chain", "n", "head"])
 
 
-def build(events: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:
-    """(chain, seq, payload, previous_hash, event_hash). A chain is a fold over its own events, in order."""
-    return _folded(events, chain, seq, payload, False)
+def _form(payload: str | Form) -> Form:
+    return piped(payload) if isinstance(payload, str) else payload
+
 
+def build(events: DataFrame, chain: str, seq: str, payload: str | Form, kept: list[str] | None = None) -> DataFrame:
+    """(chain, seq, payload, previous_hash, event_hash). A chain is a fold over its own events, in order.
 
-def head_hash(events: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:
+    With a Form in place of the payload's name, the columns in `kept` stand for the payload.
+    """
+    return _folded(events, chain, seq, _form(payload), kept if kept is not None else [payload] if isinstance(payload, str) else [], False)
+
+
+def head_hash(events: DataFrame, chain: str, seq: str, payload: str | Form) -> DataFrame:
     """(chain, n, head): the last hash of each chain."""
-    return _folded(events, chain, seq, payload, True)
+    return _folded(events, chain, seq, _form(payload), [], True)
 
 
-def verify(events: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:
-    """(chain, n, valid, first_error, at): gaps, broken links and changed events; only the first break counts."""
-    order = Window.partitionBy(chain).orderBy(seq)
-    place, before = F.row_number().over(order) - 1, F.coalesce(F.lag("event_hash").over(order), F.lit(GENESIS))
-    broken = F.when(F.col(seq) != place, "sequence").when(~F.col("previous_hash").eqNullSafe(before), "link").when(~F.col("event_hash").eqNullSafe(link(F.col("previous_hash"), F.col(payload))), "hash")
+def verify(events: DataFrame, chain: str, seq: str, payload: str | Form) -> DataFrame:
+    """(chain, n, valid, first_error, at): gaps, broken links and changed events; only the first break counts.
+
+    Each event's own hash is checked where it lies and only its outcome is shuffled. Events are then dealt by ranges
+    of chain and number, so one chain of any length is checked by many tasks: a task hands on, for each
+    chain that it meets, one row with what its neighbours need (its size, its first number and link, its last
+    hash) and its first break, and these few rows are put together by chain.
+    """
+    form = _form(payload)
+    good = F.coalesce(F.col("event_hash") == form.hash_after(F.col("previous_hash")), F.col("event_hash").isNull() & form.hash_after(F.col("previous_hash")).isNull())
+    kind = events.schema[chain].dataType
+    plain = events.select(F.col(chain).alias("chain"), F.col(seq).cast("long").alias("seq"), F.col("previous_hash").alias("previous"), F.col("event_hash").alias("own"), good.alias("good"))
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = TaskContext.get().partitionId(), None
+        names = ["chain", "part", "n", "first_seq", "first_previous", "last_own", "at", "error"]
+        kinds = None
+
+        def out(rows: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(column, k) for column, k in zip(zip(*rows) if rows else [()] * len(names), kinds)], names)
+
+        for rows in batches:
+            kinds = kinds or [rows.schema.field("chain").type, pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            done = []
+            for key, number, previous, own, fine in zip(*(rows[name].to_pylist() for name in ("chain", "seq", "previous", "own", "good"))):
+                if held is None or key != held[0]:
+                    if held is not None:
+                        done.append(held)
+                    held = [key, part, 0, number, previous, None, None, None]
+                n = held[2]
+                if held[6] is None:
+                    skipped = number is None or held[3] is None or number - n != held[3]
+                    error = "sequence" if skipped else "link" if n and previous != (held[5] or GENESIS) else None if fine else "hash"
+                    if error:
+                        held[6:] = n, error
+                held[2], held[5] = n + 1, own
+            yield out(done)
+        if held is not None:
+            yield out([held])
+
+    schema = StructType([StructField("chain", kind)]).add("part", "integer").add("n", "long").add("first_seq", "long").add("first_previous", "string").add("last_own", "string").add("at", "long").add("error", "string")
+    found = plain.repartitionByRange("chain", "seq").sortWithinPartitions("chain", "seq", "own").mapInArrow(segments, schema)
+    # one row for each chain and task that met it
+    order = Window.partitionBy("chain").orderBy("part")
+    start = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.lag("last_own").over(order), F.lit(GENESIS))
+    edge = F.when(~F.col("first_seq").eqNullSafe(start), "sequence").when(~F.col("first_previous").eqNullSafe(before), "link")
+    joined = found.withColumns({"start": start, "edge": edge}).withColumn("error", F.coalesce("edge", "error")).withColumn("at", F.when(F.col("edge").isNotNull(), F.col("start")).otherwise(F.col("start") + F.col("at")))
     first = F.min(F.when(F.col("error").isNotNull(), F.struct("at", "error")))
-    summed = events.withColumn("error", broken).withColumn("at", place).groupBy(chain).agg(F.count("*").alias("n"), first.alias("f"))
-    return summed.select(chain, "n", F.col("f").isNull().alias("valid"), F.col("f.error").alias("first_error"), F.col("f.at").alias("at"))
+    summed = joined.groupBy("chain").agg(F.sum("n").alias("n"), first.alias("f"))
+    return summed.select(F.col("chain").alias(chain), "n", F.col("f").isNull().alias("valid"), F.col("f.error").alias("first_error"), F.col("f.at").alias("at"))
 
 
 def gaps(rows: DataFrame, chain: str, seq: str) -> DataFrame:
@@ -83,9 +169,12 @@ def gaps(rows: DataFrame, chain: str, seq: str) -> DataFrame:
 
 
 def replays(rows: DataFrame, nonce: str, *order: str) -> DataFrame:
-    """Rows whose nonce an earlier row has used; null and empty nonces count as none."""
-    used = Window.partitionBy(nonce).orderBy(*order)
-    return rows.filter(F.length(nonce) > 0).withColumn("use", F.row_number().over(used)).filter("use > 1")
+    """Rows whose nonce an earlier row has used, with the number of the use; null and empty nonces count as none.
+
+    A use's number is a place among the nonce's rows in a global order, so a nonce of any number of rows is spread over tasks.
+    """
+    used = placed(rows.filter(F.length(nonce) > 0), nonce, *order)
+    return used.withColumn("use", F.col("__place") + 1).filter("use > 1").drop("__place", "__n")
 
 
 def verify_seals(records: DataFrame, content: list[str], expected: DataFrame | None = None, signature_ok: Column | None = None) -> DataFrame:

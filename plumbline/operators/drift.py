@@ -180,10 +180,18 @@ def _permuted(base: DataFrame, live: DataFrame, sums: DataFrame, n: int, sigma:
     return tested.groupBy("window_no").agg(F.avg("hit").alias("p_value"))
 
 
-def window_mmd(reference: DataFrame, members: DataFrame, key: str, vector: str, seed: int = 42, most: int = 512, permutations: int = 0, sigma: float | None = None) -> DataFrame:
+def inner_sum(reference: DataFrame, vector: str, sigma: float) -> float:
+    """The kernel's sum over all pairs of reference rows, to be kept with a calibration and handed to window_mmd."""
+    rows = durable(reference.select(F.lit(0).cast("long").alias("window_no"), F.lit(False).alias("live"), F.col(vector).cast("array<double>").alias("v")).withColumn("id", F.monotonically_increasing_id()))
+    return _kernel_sums(rows, rows, sigma).agg(F.sum("total")).first()[0] or 0.0
+
+
+def window_mmd(reference: DataFrame, members: DataFrame, key: str, vector: str, seed: int = 42, most: int = 512, permutations: int = 0, sigma: float | None = None, inner: float | None = None) -> DataFrame:
     """(window_no, n, mmd, sigma, p_value) of each window against all reference rows; `most` bounds the rows that set the bandwidth.
 
     The kernel's sums are those of all pairs, in tiles of at most about 2 * TILE_ROWS rows; a window by itself is one group and bounded by its size.
+    With `inner`, an inner_sum of the same reference and bandwidth, the pairs within the reference are not visited again
+    (permutations need each row's own sum and take them anew). fourier.window_mmd is the way for references where all pairs are too many.
     """
     width = sigma or bandwidth(_sample(reference, key, vector, seed, most))
     v = F.col(vector).cast("array<double>").alias("v")
@@ -197,14 +205,15 @@ def window_mmd(reference: DataFrame, members: DataFrame, key: str, vector: str,
         total = sum(_kernel(rows[at : at + TILE_ROWS], rows, width).sum() for at in range(0, len(rows), TILE_ROWS)) if good else None
         return pd.DataFrame([(part["window_no"].iat[0], len(part), total)], columns=["window_no", "n", "own"])
 
-    sums = _kernel_sums(base.unionByName(live), base, width)
+    sums = _kernel_sums(live if inner is not None and not permutations else base.unionByName(live), base, width)
     if permutations:
         sums = durable(sums)
     by_window = durable(sums.groupBy("live", "window_no").agg(F.sum("total").alias("across"), F.sum("pairs").alias("pairs")))
-    inner = by_window.filter("not live").select(F.col("across").alias("inner"))
+    if inner is None or permutations:
+        inner = by_window.filter("not live").agg(F.sum("across")).first()[0]
     own = live.groupBy("window_no").applyInPandas(within, "window_no long, n long, own double")
-    joined = own.join(by_window.filter("live").drop("live"), "window_no", "left").join(F.broadcast(inner), how="left")
-    value = F.greatest(F.lit(0.0), F.col("inner") / n**2 + F.col("own") / F.col("n") ** 2 - 2 * F.col("across") / (n * F.col("n"))) if n else F.lit(None).cast("double")
+    joined = own.join(by_window.filter("live").drop("live"), "window_no", "left")
+    value = F.greatest(F.lit(0.0), F.lit(inner) / n**2 + F.col("own") / F.col("n") ** 2 - 2 * F.col("across") / (n * F.col("n"))) if n else F.lit(None).cast("double")
     tested = joined.withColumn("mmd", F.when(F.col("pairs") == F.col("n") * n, value))
     if permutations and n:
         tested = tested.join(_permuted(base, live, sums, n, width, permutations, seed), "window_no", "left").withColumn("p_value", F.when(F.col("mmd").isNotNull(), F.col("p_value")))
@@ -272,13 +281,15 @@ def checked(described: DataFrame, tested: DataFrame, threshold: float | None, le
 
     `described` has window_no and what describes it, `tested` is window_mmd's result, `levels` and `declared` have
     (window_no, levels), arrays of levels of measured statistics and of declared metadata. Windows without a
-    calibrated threshold, a test or levels have INSUFFICIENT_EVIDENCE; a window of another size than the
-    calibration's is refused, as the statistic's bias depends on it.
+    calibrated threshold, a test or levels have INSUFFICIENT_EVIDENCE, and so has a window of another size than
+    the calibration's, as the statistic's bias depends on it. `gap` says what was missing.
     """
-    if size is not None and (other := tested.filter(F.col("n") != size).select("n").first()):
-        raise ValueError(f"a window of {other['n']} rows does not match the calibrated size {size}")
     none = F.array().cast("array<string>")
-    joined = described.join(tested.select("window_no", "mmd", "sigma", "p_value"), "window_no", "left")
+    given = lambda name: F.col(name) if name in tested.columns else F.lit(None).cast("double").alias(name)
+    fits = F.lit(True) if size is None else F.col("n") == size
+    wrong = F.when(~fits, F.format_string(f"%d rows, calibrated for {size}", F.col("n")))
+    unlike = tested.select("window_no", F.when(fits, F.col("mmd")).alias("mmd"), "sigma", given("p_value"), F.coalesce(wrong, F.when(F.col("mmd").isNull(), "no statistic")).alias("gap"))
+    joined = described.join(unlike.withColumn("__tested", F.lit(True)), "window_no", "left").withColumn("gap", F.coalesce("gap", F.when(F.col("__tested").isNull(), "no test"), F.lit("no threshold") if threshold is None else F.lit(None))).drop("__tested")
     for name, frame in (("measured", levels), ("declared", declared)):
         joined = joined.withColumn(name, none) if frame is None else joined.join(frame.select("window_no", F.col("levels").alias(name)), "window_no", "left").withColumn(name, F.coalesce(name, none))
     limit = F.lit(threshold).cast("double")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import norm, squared_distance, z_scores
+from plumbline.operators import neighbours
 from plumbline.operators.duplicates import nearest
 from plumbline.operators.profile import folds
 
@@ -31,14 +32,19 @@ class Config:
     min_alt_prob: float = 0.20
     min_odds_ratio: float = 1.2
     min_centroid_ratio: float = 0.0
+    neighbours: str = "exact"  # or "index", for tables where all pairs are too many
 
 
-def knn_probabilities(dealt: DataFrame, k: int) -> DataFrame:
+#: How neighbours are found, by the name in Config.
+WAYS = {"exact": nearest, "index": neighbours.nearest}
+
+
+def knn_probabilities(dealt: DataFrame, k: int, way: str = "exact") -> DataFrame:
     """(id, class, p): neighbours of other folds vote with weight 1 / (distance + 1e-5); smoothed over all classes.
 
     `dealt` has id, label, v and fold.
     """
-    votes = nearest(dealt, "id", "v", k, within="fold").join(dealt.select(F.col("id").alias("neighbour"), F.col("label").alias("class")), "neighbour")
+    votes = WAYS[way](dealt, "id", "v", k, within="fold").join(dealt.select(F.col("id").alias("neighbour"), F.col("label").alias("class")), "neighbour")
     weights = votes.groupBy("id", "class").agg(F.sum(1 / (F.col("distance") + 1e-5)).alias("w"))
     return _smoothed(dealt, weights.withColumn("raw", F.col("w") / F.sum("w").over(Window.partitionBy("id"))))
 
@@ -135,7 +141,7 @@ def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = C
         rows = rows.crossJoin(F.broadcast(scale)).withColumn("v", z_scores(F.col("v"), F.col("__m"), F.col("__s"))).drop("__m", "__s")
     least = rows.groupBy("label").count().agg(F.min("count")).first()[0] or 0
     dealt = folds(rows, "label", "id", max(2, min(config.n_splits, least)), config.seed)
-    p = (knn_probabilities if config.classifier == "knn" else ridge_probabilities)(dealt, config.n_neighbors)
+    p = knn_probabilities(dealt, config.n_neighbors, config.neighbours) if config.classifier == "knn" else ridge_probabilities(dealt, config.n_neighbors)
 
     labels = rows.select("id", "label")
     given = p.join(labels, "id").filter(F.col("class") == F.col("label")).select("id", F.col("p").alias("p_given"))
@@ -148,7 +154,7 @@ def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = C
     other_d = F.array_min(F.transform(F.filter("d", lambda x: x["l"] != F.col("label")), lambda x: x["d"]))
     ratio = apart.select("id", ((own_d + 1e-4) / (other_d + 1e-4)).alias("centroid_ratio"))
 
-    around = nearest(rows, "id", "v", config.n_neighbors).join(rows.select(F.col("id").alias("neighbour"), F.col("label").alias("near")), "neighbour")
+    around = WAYS[config.neighbours](rows, "id", "v", config.n_neighbors).join(rows.select(F.col("id").alias("neighbour"), F.col("label").alias("near")), "neighbour")
     agree = around.join(labels, "id").join(top.select("id", "predicted_label"), "id").groupBy("id").agg(F.avg((F.col("near") == F.col("label")).cast("double")).alias("given_agree"), F.avg((F.col("near") == F.col("predicted_label")).cast("double")).alias("top_agree"))
 
     all_ = labels.join(given, "id").join(top, "id").join(ratio, "id").join(agree, "id").withColumn("gap", F.col("p_top") - F.col("p_given")).withColumn("odds", F.col("p_top") / (F.col("p_given") + 1e-4))

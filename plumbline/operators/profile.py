@@ -58,7 +58,7 @@ def threshold_from(scale: DataFrame, k: float = 5.0) -> DataFrame:
     return scale.withColumn("threshold", F.col("median") + k * 1.4826 * F.col("mad"))
 
 
-def _placed(frame: DataFrame, key: str, *order: str) -> DataFrame:
+def placed(frame: DataFrame, key: str, *order: str) -> DataFrame:
     """`frame` with __place, a row's 0-based place in its group, and __n, the group's rows.
 
     Places come from global row numbers, so that a group of any size is sorted by many tasks.
@@ -71,13 +71,13 @@ def _placed(frame: DataFrame, key: str, *order: str) -> DataFrame:
 def trimmed(frame: DataFrame, distance: str, key: str, tie: str, trim: float = 0.10, least: int = 8) -> DataFrame:
     """Of each group the max(least, ceil(n (1 - trim))) rows nearest by `distance`, ties by `tie`."""
     keep = F.greatest(F.lit(least), F.ceil(F.round(F.col("__n") * (1 - trim), 9)))
-    return _placed(frame, key, distance, tie).filter(F.col("__place") < keep).drop("__place", "__n")
+    return placed(frame, key, distance, tie).filter(F.col("__place") < keep).drop("__place", "__n")
 
 
 def folds(frame: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     """A column `fold`: rows of each label dealt evenly over k folds in the order of a seeded hash."""
-    placed = _placed(frame.withColumn("__hash", F.xxhash64(F.col(key), F.lit(seed))), label, "__hash", key)
-    return placed.withColumn("fold", F.pmod("__place", F.lit(k)).cast("int")).drop("__hash", "__place", "__n")
+    dealt = placed(frame.withColumn("__hash", F.xxhash64(F.col(key), F.lit(seed))), label, "__hash", key)
+    return dealt.withColumn("fold", F.pmod("__place", F.lit(k)).cast("int")).drop("__hash", "__place", "__n")
 
 
 def null_summary(frame: DataFrame, value: str, *keys: str) -> DataFrame:

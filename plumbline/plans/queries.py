@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text, vectors
-from plumbline.operators import chain, drift, duplicates, evaluate, evidence, findings, fusion, governance, groups, label_noise, ledger, models, outliers, patterns, profile, reports, validate
+from plumbline.operators import chain, drift, duplicates, evaluate, evidence, findings, fourier, fusion, governance, groups, label_noise, ledger, models, neighbours, outliers, patterns, profile, quantiles, reports, validate
 from plumbline.streaming import operators as streams
 from plumbline.tables import durable, shared_folder
 
@@ -113,6 +113,21 @@ def outlier_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.trimmed(apart, "d", "label", "vec_id").groupBy("label").agg(F.count("*").alias("kept"), F.round(F.max("d"), 6).alias("reach"))
 
 
+@query("""with q as (select l_returnflag, l_linestatus, count(l_extendedprice) as n, quantile_cont(l_extendedprice, [0.01, 0.5, 0.95, 0.999]) as q from lineitem group by all)
+select l_returnflag, l_linestatus, n, round(q[1], 4) as p1, round(q[2], 4) as median, round(q[3], 4) as p95, round(q[4], 4) as p999 from q""")
+def large_group_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quantiles.exact(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.95, 0.999], "l_returnflag", "l_linestatus")
+    return done.select("l_returnflag", "l_linestatus", "n", *(F.round(F.col("quantiles")[i], 4).alias(name) for i, name in enumerate(("p1", "median", "p95", "p999"))))
+
+
+@query("""with m as (select median(l_quantity * l_extendedprice) as m, count(*) as n from lineitem), s as (select m, n, median(abs(l_quantity * l_extendedprice - m)) as mad from lineitem, m group by all)
+select round(m, 4) as median, round(mad, 4) as mad, n, round(m + 5 * 1.4826 * mad, 4) as threshold from s""")
+def large_robust_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * F.col("l_extendedprice")).alias("value"))
+    done = profile.threshold_from(quantiles.robust_scale(values, "value"))
+    return done.select(F.round("median", 4).alias("median"), F.round("mad", 4).alias("mad"), "n", F.round("threshold", 4).alias("threshold"))
+
+
 @query("""select o_orderpriority, count(*) as n, round(avg(o_totalprice), 4) as mean, round(stddev_pop(o_totalprice), 4) as std, min(o_totalprice) as min, round(quantile_cont(o_totalprice, 0.5), 4) as median, round(quantile_cont(o_totalprice, 0.95), 4) as p95, round(quantile_cont(o_totalprice, 0.99), 4) as p99, max(o_totalprice) as max from orders group by 1""")
 def null_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = profile.null_summary(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
@@ -167,6 +182,14 @@ def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5).withColumn("distance", F.round("distance", 5)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest orders of every order, by price, day and customer in standard deviations, by the index of centres."""
+    day = F.unix_date(F.col("o_orderdate").cast("date"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.col("o_totalprice") / 144_000, day / 700, F.col("o_custkey") / 433).cast("array<double>").alias("v"))
+    return neighbours.nearest(orders.filter("v[0] + v[1] + v[2] is not null"), "o_orderkey", "v", 5).withColumn("distance", F.round("distance", 6))
+
+
 @query(f"select label, count(*) as n, round(avg(case when label = near then 1.0 else 0.0 end), 4) as agreement from ({_NEAREST}) group by label")
 def knn_label_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
@@ -351,6 +374,28 @@ def window_mmd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _window_mmd(spark, sf_dir).select("window_no", "n", F.round("mmd", 6).alias("mmd"))
 
 
+@query(f"with {_MMD} select window_no, n, true as within from m")
+def window_mmd_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window's statistic by Fourier features, and whether the one over all pairs lies within six standard errors of it."""
+    rows = table(spark, sf_dir, "embeddings")
+    reference, live = rows.filter("label = 0"), rows.filter("label > 0")
+    members = durable(drift.assigned(drift.indexed(live, ["vec_id"]), drift.Windows(50, 50)))
+    linear = fourier.window_mmd(fourier.fitted(reference, "vec_id", "embedding", 2_048, sigma=1.0), members, "embedding")
+    exact = drift.window_mmd(reference, members, "vec_id", "embedding", sigma=1.0).select("window_no", F.col("mmd").alias("exact"))
+    return linear.join(exact, "window_no").select("window_no", "n", (F.abs(F.col("mmd") - F.col("exact")) <= 6 * F.col("error")).alias("within"))
+
+
+@query()
+def window_mmd_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear form alone, with p values, over count windows of line items against those of returned ones."""
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_returnflag", F.array(F.col("l_quantity") / 14, F.col("l_extendedprice") / 23_000, F.col("l_discount") / 0.03, F.col("l_tax") / 0.026).alias("v"))
+    good = items.filter("v[0] + v[1] + v[2] + v[3] is not null")
+    reference, live = good.filter("l_returnflag = 'R'"), good.filter("l_returnflag <> 'R'")
+    members = durable(drift.assigned(drift.indexed(live, ["id"]), drift.Windows(500, 500)))
+    fitted = fourier.fitted(reference, "id", "v", 512)
+    return fourier.window_mmd(fitted, members, "v").join(fourier.permutation_p(fitted, reference, members, "id", "v", 100), "window_no")
+
+
 _IMAGE = "list_avg(embedding::double[]) as brightness, list_stddev_pop(embedding::double[]) as contrast"
 _MOVED = lambda c: f"case when abs(r.{c}) < 1e-12 then 'NOT_AVAILABLE' when abs(l.{c} - r.{c}) / abs(r.{c}) >= 0.2 then 'HIGH' when abs(l.{c} - r.{c}) / abs(r.{c}) >= 0.08 then 'MEDIUM' else 'LOW' end"
 _LEVELS = f"""lv as (select window_no, {_MOVED('brightness')} as b, {_MOVED('contrast')} as c from (select window_no, avg(brightness) as brightness, avg(contrast) as contrast from (select (row_number() over (order by vec_id) - 1) // 50 as window_no, {_IMAGE} from embeddings where label > 0) group by 1) l, (select avg(brightness) as brightness, avg(contrast) as contrast from (select {_IMAGE} from embeddings where label = 0)) r),
@@ -404,6 +449,17 @@ def chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.head_hash(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), "conv_id", "turn", "text")
 
 
+@query(f"""with recursive t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as seq,
+  '{{"conv_id":' || conv_id || ',"event":{{"role":' || to_json(role) || ',"size":' || length(text) || ',"text":"' || md5(text) || '"}},"previous_event_hash":"' as before, '","turn":' || turn || '}}' as behind from conversations),
+c as (select conv_id, seq, sha256(before || repeat('0', 64) || behind) as head from t where seq = 0 union all select t.conv_id, t.seq, sha256(before || head || behind) from c join t on t.conv_id = c.conv_id and t.seq = c.seq + 1)
+select conv_id, max(seq) + 1 as n, arg_max(head, seq) as head from c group by 1""")
+def nested_chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chains of nested events in canonical JSON."""
+    event = F.struct(F.md5("text").alias("text"), F.col("role"), F.length("text").alias("size"))
+    events = table(spark, sf_dir, "conversations").select("conv_id", "turn", event.alias("event"))
+    return chain.head_hash(events, "conv_id", "turn", chain.nested(events))
+
+
 _BROKEN = "case when conv_id % 11 = 0 and n > 1 then 'sequence' when conv_id % 7 = 0 then 'hash' when conv_id % 5 = 0 and n > 1 then 'link' end"
 
 

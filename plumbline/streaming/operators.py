@@ -8,11 +8,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plumbline.operators.drift import Windows, checked, window_mmd
+from plumbline.operators import fourier
+from plumbline.operators.chain import GENESIS, Form, hash_of
+from plumbline.operators.drift import Windows, _sample, bandwidth, checked, inner_sum, window_mmd
 from plumbline.operators.ledger import first_wins
-from plumbline.tables import durable
+from plumbline.tables import durable, written
 
 
 def count_windows(stream: DataFrame, key: str, item: str, ts: str, windows: Windows) -> DataFrame:
@@ -62,6 +65,40 @@ def replays(stream: DataFrame, nonce: str, item: str, ts: str, keep: str = "2 da
     return rows.withWatermark("ts", "1 hour").groupBy("nonce").applyInPandasWithState(fold, "nonce string, item long, ts timestamp", "used long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _Chain(StatefulProcessor):
+    """Appends a chain's events in order of their numbers; what it keeps of a chain is its length and last hash."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.end = handle.getValueState("end", "n long, hash string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, last = self.end.get() if self.end.exists() else (0, GENESIS)
+        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        hashes = []
+        for before, behind in zip(events["before"], events["behind"]):
+            previous = last or GENESIS
+            last = hash_of(before, previous, behind)
+            hashes.append((previous, last))
+        self.end.update((n + len(events), last))
+        previous, own = zip(*hashes)
+        yield pd.DataFrame({"chain": key[0], "seq": events["seq"].to_numpy(), "place": range(n, n + len(events)), "previous_hash": previous, "event_hash": own})
+
+    def close(self) -> None:
+        pass
+
+
+def chained(stream: DataFrame, chain: str, seq: str, form: Form) -> DataFrame:
+    """(chain, seq, place, previous_hash, event_hash): events appended to their chains as they come, as chain.build links them in a batch.
+
+    `place` numbers a chain's events from 0. A micro-batch's events of a chain are taken in order of `seq`; the state is one
+    value a chain, kept by the RocksDB state store, so a restart from the checkpoint goes on where it stopped.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.select(F.col(chain).cast("string").alias("chain"), F.col(seq).cast("long").alias("seq"), form.before.alias("before"), form.behind.alias("behind"))
+    schema = "chain string, seq long, place long, previous_hash string, event_hash string"
+    return rows.groupBy("chain").transformWithStateInPandas(_Chain(), schema, "append", "none")
+
+
 def activity(stream: DataFrame, ts: str, module: str, span: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(bucket, module, n) by tumbling windows of event time; rows more than `late` behind are left out."""
     timed = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late)
@@ -89,20 +126,27 @@ def ledger_sink(table: str) -> Callable[[DataFrame, int], None]:
     return append
 
 
-def window_check_sink(reference: DataFrame, vectors: DataFrame, key: str, vector: str, threshold: float, target: str, size: int | None = None, sigma: float | None = None, seed: int = 42) -> Callable[[DataFrame, int], None]:
+def window_check_sink(reference: DataFrame | fourier.Fitted, vectors: DataFrame, key: str, vector: str, threshold: float, target: str, size: int | None = None, sigma: float | None = None, seed: int = 42) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that checks the complete windows of a micro-batch (count_windows' rows) against a reference, as drift.checked does.
 
     The vectors of a window's items are looked up by `key`. A micro-batch that runs again replaces its own rows.
+    What the test needs of the reference alone is worked out once, before the first micro-batch: the kernel's sum over its
+    pairs, or nothing at all with a reference that was fitted by fourier.fitted, whose windows are tested in linear time.
     """
+    linear = isinstance(reference, fourier.Fitted)
+    if not linear:
+        sigma = sigma or bandwidth(_sample(reference, key, vector, seed, 512))
+        inner = inner_sum(reference, vector, sigma)
 
     def check(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        windows = durable(batch.select(F.col("key").alias("stream"), F.col("window_no").alias("number"), F.xxhash64("key", "window_no").alias("window_no"), "items", "first_ts", "last_ts"))
-        members = durable(windows.select("window_no", F.explode("items").alias(key)).join(vectors.select(key, vector), key))
-        described = windows.select("window_no", "stream", "number", "first_ts", "last_ts", F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("digest"))
-        tested = window_mmd(reference, members, key, vector, seed, sigma=sigma)
-        checked(described, tested, threshold, size=size).drop("measured", "declared").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        with written(batch.sparkSession):
+            windows = durable(batch.select(F.col("key").alias("stream"), F.col("window_no").alias("number"), F.xxhash64("key", "window_no").alias("window_no"), "items", "first_ts", "last_ts"))
+            members = durable(windows.select("window_no", F.explode("items").alias(key)).join(vectors.select(key, vector), key))
+            described = windows.select("window_no", "stream", "number", "first_ts", "last_ts", F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("digest"))
+            tested = fourier.window_mmd(reference, members, vector) if linear else window_mmd(reference, members, key, vector, seed, sigma=sigma, inner=inner)
+            checked(described, tested, threshold, size=size).drop("measured", "declared").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return check
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open = threading.local()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
@@ -26,9 +31,25 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` by writing it as a table to the shared folder.
 
     The table is read back with the written schema, so a lost executor costs no more than reading it again.
-    It stays until the folder's owner clears it, like a checkpoint, as results may be read at any time.
+    It stays until the folder's owner clears it, like a checkpoint, as results may be read at any time, unless
+    it was written inside `written`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    if getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def written(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that durable() writes inside, at the end: for work that stores its results elsewhere, like a micro-batch's."""
+    before, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, before
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -25,6 +25,66 @@ def test_chain_breaks_are_reported(spark):
     assert chain.head_hash(rows, "chain", "seq", "payload").first()["head"] == built.filter("seq = 4").first()["event_hash"]
 
 
+def test_one_long_chain_is_checked_by_many_tasks(spark):
+    """A chain of a million events over 16 tasks; a break at the edge of a task's part counts like any other."""
+    import hashlib
+
+    import pandas as pd
+
+    n, last, rows = 1_000_000, chain.GENESIS, []
+    for i in range(n):
+        own = hashlib.sha256(f"{last}|{i}".encode()).hexdigest()
+        rows.append((last, own))
+        last = own
+    frame = pd.DataFrame(rows, columns=["previous_hash", "event_hash"]).assign(chain="c", seq=range(n), payload=[str(i) for i in range(n)])
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        built = spark.createDataFrame(frame)
+        check = lambda f: tuple(chain.verify(f, "chain", "seq", "payload").first())
+        assert check(built) == ("c", n, True, None, None)
+        relinked = built.withColumn("previous_hash", F.when(F.col("seq").isin(777_777, 999_999), chain.GENESIS).otherwise(F.col("previous_hash")))
+        assert check(relinked) == ("c", n, False, "link", 777_777)
+        assert check(built.filter("seq <> 500000")) == ("c", n - 1, False, "sequence", 500_000)
+        assert check(built.withColumn("payload", F.when(F.col("seq") == 123_456, "x").otherwise(F.col("payload")))) == ("c", n, False, "hash", 123_456)
+        # every edge between parts
+        edges = built.repartitionByRange("chain", "seq").groupBy(F.spark_partition_id()).agg(F.min("seq").alias("seq"))
+        assert edges.count() >= 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def brute_verify(events):
+    """First break of a chain of (seq, payload, previous, own), in order."""
+    import hashlib
+
+    last = chain.GENESIS
+    for i, (seq, payload, previous, own) in enumerate(sorted(events, key=lambda e: e[0])):
+        error = "sequence" if seq != i else "link" if previous != last else "hash" if own != hashlib.sha256(f"{previous}|{payload}".encode()).hexdigest() else None
+        if error:
+            return error, i
+        last = own
+    return None, None
+
+
+def test_breaks_anywhere_like_brute_force(spark, monkeypatch):
+    random.seed(9)
+    rows = spark.createDataFrame([(f"c{i % 7}", i // 7, f"p{i}") for i in range(7 * 12)], "chain string, seq long, payload string")
+    built = [tuple(r) for r in chain.build(rows, "chain", "seq", "payload").collect()]
+    for _ in range(4):
+        changed = []
+        for c, seq, payload, previous, own in built:
+            dice = random.random()
+            changed.append((c, seq + (dice < 0.02), payload + "x" * (0.02 < dice < 0.04), "0" * 64 if 0.04 < dice < 0.06 else previous, own))
+        frame = spark.createDataFrame(changed, "chain string, seq long, payload string, previous_hash string, event_hash string").dropDuplicates(["chain", "seq"])
+        held = {}
+        for r in frame.collect():
+            held.setdefault(r["chain"], []).append(tuple(r)[1:])
+        got = {r["chain"]: (r["first_error"], r["at"]) for r in chain.verify(frame, "chain", "seq", "payload").collect()}
+        assert got == {c: brute_verify(events) for c, events in held.items()}
+
+
 def test_seals(spark):
     rows = spark.createDataFrame([("m", "i", "o", "d"), ("m", "i", None, "d"), ("n", "i", "o", "d"), ("m", "i", "o", "e")], "modelAssetID string, input string, output string, modelDigest string")
     sealed = rows.withColumn("contentHash", F.sha2(F.concat_ws("|", "input", "output"), 256))
