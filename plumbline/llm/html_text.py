@@ -2,7 +2,7 @@
 
 Each page's containers are scored: a block of text counts for the container it stands in and half for
 the one around that (in full, and so on upwards, if that adds unlinked text of its own: a heading or a
-lead around the body belongs to the text), text in links counts against it, and menus, headers, footers, sidebars, notices,
+lead around the body belongs to the text; loose text outside all containers counts for the page itself), text in links counts against it, and menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments count for nothing. A container is named by its path of tags
 and classes, with digits generalised, and known by a key, a digest of its parent's key and its own name, so
 that deep nesting costs no more than its depth; what stands within an article is part of it. Spark adds the
@@ -35,6 +35,7 @@ from plumbline.llm.common import durable, text_of
 #: Winning paths are handed to all tasks while hosts and keys take no more bytes than this; else they are joined.
 MOST_BROADCAST_BYTES = 16 << 20
 KEY_BYTES = 16
+PAGE_KEY = b""
 
 # Kinds of tags and words that name unwanted parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,8 +46,13 @@ UNWANTED_WORDS = frozenset("ad ads advert advertisement advertising adverts bann
 #: Words that may stand beside an unwanted one in a class or id: site-footer is a footer, social-impact is a subject.
 LAYOUT_WORDS = frozenset("area bar block bottom box container content foot form global head inner item left link links list main outer page panel post primary right row secondary section site sub top unit wrap wrapper".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figure figcaption".split())
-WIDE = frozenset(["html", "body", "main"])
+#: Words that mark a part as unwanted whatever stands beside them, unless a word says that it only tells of a state.
+DECISIVE_WORDS = frozenset("comment comments commentlist cookie cookies disqus".split())
+STATE_WORDS = frozenset("allow allowed closed count disabled enabled has no off open with without".split())
+#: The page itself has no tag.
+WIDE = frozenset(["", "html", "body", "main"])
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre".split())
 CLOSED_BY = {"p": frozenset("p div article section ul ol li table h1 h2 h3 h4 h5 h6 blockquote pre form hr main aside nav header footer dl figure".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S | re.I)
@@ -62,7 +68,7 @@ class Containers:
     """The containers of a page by number, in the order in which they open; 0 is the page itself."""
 
     def __init__(self) -> None:
-        self.parent, self.tag, self.key, self.depth = [0], [""], [b""], [0]
+        self.parent, self.tag, self.key, self.depth = [0], [""], [PAGE_KEY], [0]
 
     def add(self, parent: int, tag: str, name: str) -> int:
         self.parent.append(parent)
@@ -78,7 +84,7 @@ def _key(parent: bytes, name: str) -> bytes:
 
 def path_key(path: str) -> bytes:
     """The key of a path of names, like /html/body/div.post."""
-    return functools.reduce(_key, path.strip("/").split("/"), b"")
+    return functools.reduce(_key, path.strip("/").split("/"), PAGE_KEY)
 
 
 class _Open:
@@ -136,7 +142,7 @@ def texts_of(page: str) -> tuple[Containers, list[tuple[int | None, bool, str]]]
                     unwanted = unwanted or value in UNWANTED_ROLES
                 elif kind == "class" or kind == "id" and not (within == "article" and name in TEXT_TAGS):
                     if name not in WIDE and (name != "article" or within == "article"):
-                        unwanted = unwanted or any(map(_names_unwanted, value.split()))
+                        unwanted = unwanted or any(map(_names_unwanted, value.split())) or name not in INLINE and name not in RUNNING and any(map(_is_decisive, value.split()))
                 if kind == "class":
                     label += "".join("." + re.sub(r"\d+", "N", part) for part in sorted(value.split()))
         if not rest.endswith("/"):
@@ -152,6 +158,12 @@ def _names_unwanted(token: str) -> bool:
     return not UNWANTED_WORDS.isdisjoint(words) and all(word in UNWANTED_WORDS or word in LAYOUT_WORDS or word.isdigit() for word in words)
 
 
+def _is_decisive(token: str) -> bool:
+    """Whether a class or an id names readers' comments or a notice on cookies; comments-open tells of a state."""
+    words = _WORDS.findall(token)
+    return not DECISIVE_WORDS.isdisjoint(words) and STATE_WORDS.isdisjoint(words)
+
+
 def _is_whole(within: str, name: str) -> bool:
     """Whether a container is no more than a part of the one around it: all of an article's, and of a main part all but articles."""
     return within == "article" or within == "main" and name != "article"
@@ -165,7 +177,7 @@ def container_scores(found: Containers, pieces: list[tuple[int | None, bool, str
     scores: dict[int, int] = defaultdict(int)
     plain: dict[int, int] = defaultdict(int)
     for container, link, text in pieces:
-        if container and (size := len(text.strip())):
+        if container is not None and (size := len(text.strip())):
             scores[same[container]] += -2 * size if link else 2 * size
             if not link:
                 plain[same[container]] += size
@@ -173,7 +185,7 @@ def container_scores(found: Containers, pieces: list[tuple[int | None, bool, str
     # a container opens after the one around it, so that what it carries on is complete by its turn
     for one in range(len(found.key) - 1, 0, -1):
         size, around = plain.get(one, 0), same[found.parent[one]]
-        if size and around:
+        if size:
             scores[around] += 2 * size if around in adds else size
             if around in adds:
                 plain[around] += size
@@ -193,7 +205,7 @@ def text_at(page: str, winner: bytes | None) -> str:
 
 
 def _text_in(found: Containers, pieces: list[tuple[int | None, bool, str]], winner: bytes | None) -> str:
-    inside = [False]
+    inside = [winner == found.key[0]]
     for parent, key in zip(found.parent[1:], found.key[1:]):
         inside.append(inside[parent] or key == winner)
     joined = "".join("\n" if container is None else html.unescape(text) for container, _, text in pieces if container is None or inside[container])

@@ -77,3 +77,21 @@ def test_a_very_long_page(spark):
     frame = spark.createDataFrame([(1, "http://a/", "<body><article>" + "<p>word &amp; word</p>" * 60_000 + "</article>")], "page_id long, url string, html string")
     got = html_text.extract(frame).first()
     assert got["text"] == " ".join(["word & word"] * 60_000) and got["n_chars"] == 12 * 60_000 - 1
+
+
+@pytest.mark.parametrize("page, text", [("<p>Hello world</p>", "Hello world"), ("just text", "just text"), ("a<br>b <i>c</i>d", "a b cd"), ("<h1>H</h1><ul><li>x</li></ul>", "H x"), ("<nav>menu</nav>loose<footer>f</footer>", "loose"), ("<p>lead</p><div class='body'>main part</div>tail", "lead main part tail"), ("<html><p>x</html>", "x"), ("<script>var a</script> ", "")])
+def test_text_outside_containers_counts(spark, page, text):
+    frame = spark.createDataFrame([(1, "http://a/", page), (2, None, page)], "page_id long, url string, html string")
+    assert [(r["text"], r["n_chars"]) for r in html_text.extract(frame).collect()] == [(text, len(text))] * 2
+
+
+BODY = "<p>" + "text " * 20 + "end</p>"
+
+
+@pytest.mark.parametrize("around", ["<div class='post'>%s</div>", "<main>%s</main>", "<table><tr><td>%s</td></tr></table>", "<article class='has-comments comments-open'>%s</article>", "<section id='no-comments'>%s</section>", "<div>%s</div>", "%s"])
+@pytest.mark.parametrize("extra", ["<div class='reader-comments'><p>%s</p></div>", "<div id='disqus-thread'><p>%s</p></div>", "<ol class='commentlist'><li class='comment odd'>%s</li></ol>", "<div class='cookie-message'>%s</div>", "<section class='user-comment-stream'><article>%s</article></section>"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_comments_never_win_on_any_template(around, extra, inside):
+    noise = extra % ("bad words here " * 60)
+    page = f"<html><body><nav>menu</nav>{around % (BODY + noise) if inside else around % BODY + noise}<footer>f</footer></body></html>"
+    assert html_text.text_at(page, None) == "text " * 20 + "end"
