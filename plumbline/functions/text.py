@@ -162,7 +162,7 @@ def is_hash(value: Column) -> Column:
 
 
 def is_signature(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[0-9a-f]{128}$"), F.lit(False))
+    return F.coalesce(value.rlike("^[0-9a-fA-F]{128}$"), F.lit(False))
 
 
 def found_in(needle: str, *columns: str) -> Column:

@@ -68,6 +68,21 @@ def event_rates(truth: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
     return events.groupBy("corruption").agg(F.count("*").alias("events"), F.count_if("hit").alias("detected")).withColumn("rate", _share(F.col("detected"), F.col("events")))
 
 
+def check_precision(truth: DataFrame, flags: DataFrame, key: str, targets: dict[str, str]) -> DataFrame:
+    """(check, tp, fp, precision, fpr): which flags of each check a corruption justifies.
+
+    `truth` has the key, corruption and is_source (whether a duplicate was made of the sample), `flags` the key and a check a row,
+    `targets` the corruption that each check looks for. The source of a duplicate is one as well, so it counts neither
+    as a false positive nor, for its check, among the clean samples.
+    """
+    wanted = F.create_map(*(F.lit(x) for pair in targets.items() for x in pair))
+    known = truth.select(key, F.coalesce("corruption", F.lit("")).alias("corruption"), F.coalesce("is_source", F.lit(False)).alias("is_source"))
+    asked = known.select("*", F.explode(F.map_keys(wanted)).alias("check")).withColumn("just", (F.col("corruption") == wanted[F.col("check")]) | ((wanted[F.col("check")] == "duplicate") & F.col("is_source")))
+    marked = asked.join(flags.select(key, "check").distinct().withColumn("d", F.lit(True)), [key, "check"], "left")
+    counted = marked.groupBy("check").agg(F.count_if(F.col("d") & F.col("just")).alias("tp"), F.count_if(F.col("d") & ~F.col("just")).alias("fp"), F.count_if(~F.col("just")).alias("clean"))
+    return counted.select("check", "tp", "fp", _share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), _share(F.col("fp"), F.col("clean")).alias("fpr"))
+
+
 def inventory(counts: DataFrame, expected: DataFrame) -> DataFrame:
     """(item, expected, actual, matches) of counted items (item, n) against expectations (item, expected); what is missing counts 0."""
     both = expected.join(counts, "item", "left").withColumn("actual", F.coalesce("n", F.lit(0)))

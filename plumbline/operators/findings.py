@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.rules import data_status, disposition, drift_status, interpretation, model_status
+from plumbline.functions.rules import data_status, disposition, drift_status, interpretation, model_status, worst
 from plumbline.functions.text import found_in, short_id
 
+#: Dispositions from the mildest to the gravest.
+DECISIONS = ("ACCEPT", "REVIEW", "QUARANTINE")
+
 COLUMNS = ("finding_id", "category", "asset_id", "status", "severity", "confidence", "interpretation", "title", "reason", "ts", "module_name", "evidence_hash", "signature", "disposition", "priority")
 
 
@@ -24,15 +27,13 @@ def _text(raw: DataFrame, *names: str, otherwise: Column | str | None = None) ->
     return F.coalesce(*(F.nullif(F.col(name).cast("string"), F.lit("")) for name in names if name in raw.columns), otherwise if isinstance(otherwise, Column) else F.lit(otherwise).cast("string"))
 
 
-def _now() -> Column:
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-
-
-def _canonical(rows: DataFrame, prefix: str, category: str, module: str) -> DataFrame:
-    """`rows` has all of COLUMNS but those that follow from the others."""
+def _canonical(rows: DataFrame, prefix: str, category: str, module: str, key: str = "asset_id") -> DataFrame:
+    """`rows` has all of COLUMNS but those that follow from the others; `key` names a finding."""
     ruled = rows.withColumn("__rule", disposition(F.col("status"), F.col("severity")))
+    own = "own_disposition" in rows.columns
+    decided = worst(F.array_compact(F.array("__rule.disposition", "own_disposition")), DECISIONS) if own else F.col("__rule.disposition")
     return ruled.select(
-        short_id(prefix, F.col("asset_id")).alias("finding_id"),
+        short_id(prefix, F.col(key)).alias("finding_id"),
         F.lit(category).alias("category"),
         "asset_id",
         "status",
@@ -45,32 +46,35 @@ def _canonical(rows: DataFrame, prefix: str, category: str, module: str) -> Data
         F.lit(module).alias("module_name"),
         "evidence_hash",
         "signature",
-        "__rule.disposition",
-        "__rule.priority",
+        decided.alias("disposition"),
+        (F.when(decided == "QUARANTINE", "URGENT").otherwise(F.col("__rule.priority")) if own else F.col("__rule.priority")).alias("priority"),
+        *([F.col("own_disposition"), F.col("__rule.disposition").alias("ruled_disposition")] if own else []),
     )
 
 
-def from_data(raw: DataFrame) -> DataFrame:
-    """Findings on samples, from (assetID or image_id, reason, evidenceHash, timestamp, confidence, severity, disposition, signature), each of which may be missing.
+def from_data(raw: DataFrame, now: str | None = None) -> DataFrame:
+    """Findings on samples, from (assetID, image_id or sample_id, reason, evidenceHash, timestamp, confidence, severity, disposition, signature), each of which may be missing.
 
-    A row without an asset is named by a hash of its reason and evidence.
+    A row without an asset is named by a hash of its reason and evidence; one without a time has `now`, so that equal
+    rows give equal findings. Where the module decided itself, its own_disposition and the ruled_disposition are kept and the graver one counts.
     """
     spare = F.concat(F.lit("image-"), F.substring(F.sha2(F.concat_ws("|", _text(raw, "reason", otherwise=""), _text(raw, "evidenceHash", otherwise="")), 256), 1, 8))
     rows = raw.select(
-        _text(raw, "assetID", "image_id", otherwise=spare).alias("asset_id"),
+        _text(raw, "assetID", "image_id", "sample_id", otherwise=spare).alias("asset_id"),
         _given(raw, "severity", otherwise="MEDIUM").alias("severity"),
         _given(raw, "disposition", otherwise="REVIEW").alias("own"),
         _given(raw, "confidence", otherwise=0.65).cast("double").alias("confidence"),
         _given(raw, "reason", otherwise="Data integrity anomaly flagged.").alias("reason"),
-        _text(raw, "timestamp", otherwise=_now()).alias("ts"),
+        _text(raw, "timestamp", otherwise=now).alias("ts"),
         _text(raw, "evidenceHash", "evidence_hash", otherwise="").alias("evidence_hash"),
         _given(raw, "signature").alias("signature"),
+        *([F.when(F.col("disposition").isin(*DECISIONS), F.col("disposition")).alias("own_disposition")] if "disposition" in raw.columns else []),
     )
     named = rows.withColumns({"status": data_status(F.col("severity"), F.col("own")), "title": F.concat(F.lit("Data Integrity Anomaly: "), "asset_id")})
     return _canonical(named, "find-di-", "DATA_INTEGRITY", "DataIntegrity")
 
 
-def from_models(raw: DataFrame) -> DataFrame:
+def from_models(raw: DataFrame, now: str | None = None) -> DataFrame:
     """Findings on models, from the same fields as from_data."""
     spare = F.concat(F.lit("model-"), F.substring(F.sha2(F.concat_ws("|", _text(raw, "reason", otherwise=""), _text(raw, "evidenceHash", otherwise="")), 256), 1, 8))
     rows = raw.select(
@@ -78,7 +82,7 @@ def from_models(raw: DataFrame) -> DataFrame:
         _given(raw, "severity", otherwise="LOW").alias("severity"),
         _given(raw, "confidence", otherwise=0.50).cast("double").alias("confidence"),
         _given(raw, "reason", otherwise="Model integrity behavioral assessment.").alias("reason"),
-        _text(raw, "timestamp", otherwise=_now()).alias("ts"),
+        _text(raw, "timestamp", otherwise=now).alias("ts"),
         _given(raw, "evidenceHash", otherwise="").alias("evidence_hash"),
         _given(raw, "signature").alias("signature"),
     )
@@ -86,7 +90,7 @@ def from_models(raw: DataFrame) -> DataFrame:
     return _canonical(named, "find-mi-", "MODEL_INTEGRITY", "ModelIntegrity")
 
 
-def from_seals(verified: DataFrame, expected_digest: str | None = None) -> DataFrame:
+def from_seals(verified: DataFrame, expected_digest: str | None = None, now: str | None = None) -> DataFrame:
     """Findings on sealed inference records, from (sealID, modelDigest, contentHash, signature, timestamp, contentHashMatches, signatureValid, verdict).
 
     A record passes if its verdict is VALID and its model digest the expected one, where that is given.
@@ -112,14 +116,14 @@ def from_seals(verified: DataFrame, expected_digest: str | None = None) -> DataF
         F.lit(1.0).alias("confidence"),
         F.concat(F.when(good, "Inference Output Authenticity Verified: ").otherwise("Inference Tampering Detected: "), seal).alias("title"),
         F.when(good, F.format_string("Cryptographic seal %s verified. Model digest, input tensor hash, config, and output binding are authentic.", seal)).otherwise(F.concat(F.lit("Integrity violation on inference record "), seal, F.lit(": "), causes)).alias("reason"),
-        _text(verified, "timestamp", otherwise=_now()).alias("ts"),
+        _text(verified, "timestamp", otherwise=now).alias("ts"),
         _given(verified, "contentHash").alias("evidence_hash"),
         _given(verified, "signature").alias("signature"),
     )
     return _canonical(rows, "find-inf-", "INFERENCE_PROVENANCE", "InferenceProvenance")
 
 
-def from_drift(windows: DataFrame) -> DataFrame:
+def from_drift(windows: DataFrame, now: str | None = None) -> DataFrame:
     """Findings on windows, from (window_id, assessment, mmd, threshold, confidence, evidenceHash, timestamp, signature)."""
     window = _text(windows, "window_id", otherwise="unknown-window")
     assessment = _given(windows, "assessment", otherwise="NO_SIGNIFICANT_SHIFT")
@@ -138,13 +142,31 @@ def from_drift(windows: DataFrame) -> DataFrame:
         _given(windows, "confidence", otherwise=F.when(state["status"] == "PASS", 0.90).otherwise(0.75)).cast("double").alias("confidence"),
         F.format_string("Distribution Shift Assessment: %s (%s)", window, assessment).alias("title"),
         reason.alias("reason"),
-        _text(windows, "timestamp", otherwise=_now()).alias("ts"),
+        _text(windows, "timestamp", otherwise=now).alias("ts"),
         _text(windows, "evidenceHash", "evidence_hash", otherwise="").alias("evidence_hash"),
         _given(windows, "signature").alias("signature"),
     )
     return _canonical(rows, "find-drift-", "DISTRIBUTION_SHIFT", "DistributionShift")
 
 
+def from_replays(replays: DataFrame, now: str | None = None) -> DataFrame:
+    """A finding for every replay, from (sealID, nonce, use, timestamp, contentHash, signature): records whose nonce an earlier one has used (chain.replays)."""
+    seal, use = _text(replays, "sealID", otherwise="unknown-seal"), F.col("use").cast("string")
+    rows = replays.select(
+        seal.alias("asset_id"),
+        F.lit("FAIL").alias("status"),
+        F.lit("HIGH").alias("severity"),
+        F.lit(1.0).alias("confidence"),
+        F.concat(F.lit("Inference Replay: "), seal).alias("title"),
+        F.concat(F.lit("Use "), use, F.lit(" of nonce "), F.coalesce(F.col("nonce").cast("string"), F.lit("")), F.lit(".")).alias("reason"),
+        _text(replays, "timestamp", otherwise=now).alias("ts"),
+        _given(replays, "contentHash").alias("evidence_hash"),
+        _given(replays, "signature").alias("signature"),
+        F.concat_ws("|", seal, use).alias("key"),
+    )
+    return _canonical(rows, "find-replay-", "INFERENCE_PROVENANCE", "InferenceProvenance", "key")
+
+
 def union(*feeds: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
 

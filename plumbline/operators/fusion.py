@@ -39,6 +39,19 @@ def fuse(flags: DataFrame, key: str, group_severity: DataFrame | None = None) ->
     return done.select(key, "detectors", "confidence", by_rank(F.col("place")).alias("severity"), decided.alias("disposition"))
 
 
+def group_places(provenance: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """(key, group_place, group_findings): the greatest severity rank of the flagged groups that a sample belongs to, and their number.
+
+    `provenance` has the key and a column <type>_id for each type of group, `groups` group_type, group_id and severity. Each
+    type is a key of one equi-join, so a sample meets at most one group of each type.
+    """
+    types = [c.removesuffix("_id") for c in provenance.columns if c.endswith("_id") and c != key]
+    belongs = F.explode(F.array(*(F.struct(F.lit(t).alias("group_type"), F.col(f"{t}_id").cast("string").alias("group_id")) for t in types))).alias("g")
+    members = provenance.select(key, belongs).select(key, "g.*").filter("group_id is not null")
+    worst = groups.groupBy("group_type", F.col("group_id").cast("string").alias("group_id")).agg(F.max(rank(F.col("severity"))).alias("place"))
+    return members.join(worst, ["group_type", "group_id"]).groupBy(key).agg(F.max("place").alias("group_place"), F.count("*").alias("group_findings"))
+
+
 def run_summary(merged: DataFrame) -> DataFrame:
     """(kind, name, n): flagged samples by detector and by severity."""
     checks = merged.select(F.explode("flags").alias("name")).groupBy("name").agg(F.count("*").alias("n")).select(F.lit("check").alias("kind"), "name", "n")

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.vectors import norm, squared_distance, z_scores
+from plumbline.functions.vectors import dot, norm, squared_distance, z_scores
 from plumbline.operators import neighbours
 from plumbline.operators.duplicates import nearest
-from plumbline.operators.profile import folds
+from plumbline.operators.profile import folds, placed
 
 
 #: Vectors from this length on are compared by direction, shorter ones by z-scores.
@@ -117,10 +117,11 @@ def confident_mask(probabilities: DataFrame, labels: DataFrame, filter_by: str)
     scaled = joint.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label"))).join(sizes, "label").withColumn("count", F.round(F.col("share") * F.col("size")).cast("long"))
     cells = scaled.filter("label <> likely").select("label", "likely", "count")
     per_class = cells.groupBy("label").agg(F.sum("count").alias("count"))
-    ranked = labels.join(own, "id").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("self_p", "id")))
-    by_class = ranked.join(F.broadcast(per_class), "label").filter("r <= count").select("id")
-    margin = joined.join(own, "id").join(F.broadcast(cells.withColumnRenamed("likely", "class")), ["label", "class"]).withColumn("m", F.col("p") - F.col("self_p"))
-    by_rate = margin.withColumn("r", F.row_number().over(Window.partitionBy("label", "class").orderBy(F.desc("m"), "id"))).filter("r <= count").select("id").distinct()
+    # ranks are places in a global order, so that a label with all rows is ranked by many tasks
+    ranked = placed(labels.join(own, "id"), "label", "self_p", "id")
+    by_class = ranked.join(F.broadcast(per_class), "label").filter(F.col("__place") < F.col("count")).select("id")
+    margin = joined.join(own, "id").join(F.broadcast(cells.withColumnRenamed("likely", "class")), ["label", "class"]).select("id", "count", F.struct("label", "class").alias("cell"), (F.col("self_p") - F.col("p")).alias("lead"))
+    by_rate = placed(margin, "cell", "lead", "id").filter(F.col("__place") < F.col("count")).select("id").distinct()
     if filter_by == "prune_by_class":
         return by_class
     if filter_by == "prune_by_noise_rate":
@@ -128,13 +129,19 @@ def confident_mask(probabilities: DataFrame, labels: DataFrame, filter_by: str)
     return by_class.join(by_rate, "id", "left_semi")
 
 
-def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = Config()) -> DataFrame:
-    """(id, given_label, predicted_label, p_given, p_top, gap, odds, centroid_ratio, given_agree, top_agree, score) of likely flips."""
+def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = Config(), scaled: bool = False, also: DataFrame | None = None) -> DataFrame:
+    """(id, given_label, predicted_label, p_given, p_top, gap, odds, centroid_ratio, given_agree, top_agree, score) of likely flips.
+
+    Vectors that are `scaled` already are taken as they are. Long ones are else compared by direction: their
+    class centres are brought to length one and distances to them are one less the cosine. `also` (id, class) names
+    further classes that a sample truly shows: a prediction of one of those is no flip.
+    """
     rows = frame.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    if (rows.agg(F.max(F.size("v"))).first()[0] or 0) >= LONG:
+    by_direction = not scaled and (rows.agg(F.max(F.size("v"))).first()[0] or 0) >= LONG
+    if by_direction:
         size = norm(F.col("v"))
         rows = rows.withColumn("v", F.transform("v", lambda x: x / F.when(size > 0, size).otherwise(1.0)))
-    else:
+    elif not scaled:
         stats = rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
         held = F.array_sort(F.collect_list(F.struct("pos", "m", "s")))
         scale = stats.agg(held["m"].alias("__m"), held["s"].alias("__s"))  # one row, as long as a vector
@@ -148,8 +155,11 @@ def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = C
     top = p.groupBy("id").agg(F.min(F.struct((-F.col("p")).alias("m"), "class")).alias("t")).select("id", F.col("t.class").alias("predicted_label"), (-F.col("t.m")).alias("p_top"))
 
     centres = rows.select("label", F.posexplode("v").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "m")))["m"].alias("c"))
+    if by_direction:
+        long = norm(F.col("c"))
+        centres = centres.withColumn("c", F.transform("c", lambda x: x / F.when(long > 1e-12, long).otherwise(1e-12)))
     held = centres.agg(F.collect_list(F.struct(F.col("label").alias("l"), "c")).alias("centres"))
-    apart = rows.crossJoin(F.broadcast(held)).select("id", F.col("label"), F.transform("centres", lambda x: F.struct(x["l"].alias("l"), F.sqrt(squared_distance(F.col("v"), x["c"])).alias("d"))).alias("d"))
+    apart = rows.crossJoin(F.broadcast(held)).select("id", F.col("label"), F.transform("centres", lambda x: F.struct(x["l"].alias("l"), (1 - dot(F.col("v"), x["c"]) if by_direction else F.sqrt(squared_distance(F.col("v"), x["c"]))).alias("d"))).alias("d"))
     own_d = F.array_min(F.transform(F.filter("d", lambda x: x["l"] == F.col("label")), lambda x: x["d"]))
     other_d = F.array_min(F.transform(F.filter("d", lambda x: x["l"] != F.col("label")), lambda x: x["d"]))
     ratio = apart.select("id", ((own_d + 1e-4) / (other_d + 1e-4)).alias("centroid_ratio"))
@@ -161,4 +171,6 @@ def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = C
     score = 0.35 * F.col("gap") + 0.25 * F.least(F.greatest((F.col("centroid_ratio") - 1) / 2, F.lit(0.0)), F.lit(1.0)) + 0.20 * F.col("top_agree") + 0.20 * (1 - F.col("given_agree"))
     gates = (F.col("predicted_label") != F.col("label")) & (F.col("gap") >= config.min_confidence_gap) & (F.col("p_top") >= config.min_alt_prob) & (F.col("odds") >= config.min_odds_ratio) & (F.col("centroid_ratio") >= config.min_centroid_ratio)
     passed = all_.filter(gates).join(confident_mask(p, labels, config.filter_by), "id", "left_semi")
+    if also is not None:
+        passed = passed.join(also.select(F.col("id"), F.col("class").cast("string").alias("predicted_label")), ["id", "predicted_label"], "left_anti")
     return passed.select("id", F.col("label").alias("given_label"), "predicted_label", "p_given", "p_top", "gap", "odds", "centroid_ratio", "given_agree", "top_agree", score.alias("score"))

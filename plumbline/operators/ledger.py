@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import components
+from plumbline.operators.profile import placed
 from plumbline.tables import durable
 
 #: Rounds of joins before the rows still open are folded.
@@ -112,6 +113,11 @@ def ledger_info(entries: DataFrame) -> DataFrame:
 
 
 def quarantine_state(events: DataFrame, key: str) -> DataFrame:
-    """(key, status, timeline) from events (key, at, action, actor): the last action and all of them in order."""
-    timeline = F.array_sort(F.collect_list(F.struct("at", "action", "actor")))
-    return events.groupBy(key).agg(timeline.alias("timeline")).withColumn("status", F.element_at("timeline", -1)["action"])
+    """(key, status, steps) from events (key, at, action, actor): the last action, and how many there were. One row a task and key is shuffled."""
+    last = F.max(F.struct("at", "action", "actor"))
+    return events.groupBy(key).agg(last.alias("last"), F.count("*").alias("steps")).select(key, F.col("last.action").alias("status"), "steps")
+
+
+def quarantine_timeline(events: DataFrame, key: str) -> DataFrame:
+    """`events` with their step, 1 and up within a key in order of time; a key of any number of events is put in order by many tasks."""
+    return placed(events, key, "at", "action", "actor").withColumn("step", F.col("__place") + 1).drop("__place", "__n")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import normalised_correlation
+from plumbline.sources.images import GREY
 
 LEAST_STD, LEAST_RESIDUAL_STD = 0.02, 0.008
+REGIONS = ("top_left", "top_right", "bottom_left", "bottom_right", "centre")
 
 
 def residual(patch: np.ndarray) -> np.ndarray:
@@ -35,6 +37,30 @@ def crops(image: np.ndarray, size: int = 32) -> dict[str, np.ndarray]:
     return {name: resample(image[y : y + span, x : x + span]) for name, (y, x) in starts.items()}
 
 
+def image_segments(images: DataFrame, key: str, class_: str, size: int = 32) -> DataFrame:
+    """(id, class, region, vec, rest): five regions of each decoded image (sources.images.decoded with key and class), by crops and residual.
+
+    Regions are numbered in the order of REGIONS; grey values are between 0 and 1, mean-free values are the residual's own.
+    """
+
+    def cut(batches):
+        for part in batches:
+            ids, classes, regions, vecs, rests = [], [], [], [], []
+            for sample, label, height, width, channels, data in zip(*(part[c] for c in ("id", "class", "height", "width", "channels", "data"))):
+                raw = np.frombuffer(bytes(data), np.uint8).reshape(height, width, channels)
+                grey = raw[:, :, 0] / 255 if channels == 1 else raw[:, :, 2::-1] @ GREY / 255
+                for number, patch in enumerate(crops(grey, size).values()):
+                    ids.append(sample)
+                    classes.append(label)
+                    regions.append(number)
+                    vecs.append(patch.ravel())
+                    rests.append(residual(patch).ravel())
+            yield pd.DataFrame({"id": ids, "class": classes, "region": regions, "vec": vecs, "rest": rests})
+
+    rows = images.select(F.col(key).alias("id"), F.col(class_).cast("string").alias("class"), "height", "width", "channels", "data")
+    return rows.mapInPandas(cut, f"id {rows.schema['id'].dataType.simpleString()}, class string, region int, vec array<double>, rest array<double>")
+
+
 def segments(samples: DataFrame, key: str, class_: str, vector: str, regions: int) -> DataFrame:
     """(id, class, region, vec, rest): a vector cut into equal regions, each with its residual from 3-wide local means."""
     v = F.col(vector).cast("array<double>")

@@ -55,6 +55,12 @@ def finding_violations() -> Column:
     )
 
 
+def guard_range(name: str, value: float, low: float, high: float) -> None:
+    """Refuse a parameter that is no number from `low` to `high`."""
+    if not low <= value <= high:
+        raise ValueError(f"{name} is {value}, not from {low} to {high}")
+
+
 def guard_vectors(frame: DataFrame, key: str, vector: str, least: int = 2) -> None:
     """One pass of input guards over a vector table; raises with all that is wrong."""
     v = F.col(vector)

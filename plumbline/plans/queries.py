@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text, vectors
-from plumbline.operators import chain, drift, duplicates, evaluate, evidence, findings, fourier, fusion, governance, groups, label_noise, ledger, models, neighbours, outliers, patterns, profile, quantiles, reports, validate
+from plumbline.operators import chain, drift, duplicates, evaluate, evidence, findings, fourier, fusion, governance, groups, label_noise, ledger, models, neighbours, outliers, patterns, profile, quantiles, report, reports, validate
 from plumbline.streaming import operators as streams
 from plumbline.tables import durable, shared_folder
 
@@ -488,6 +488,15 @@ def nonce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.replays(rows, "nonce", "ts", "event_id").select("event_id", "nonce", F.col("use").cast("long").alias("use"))
 
 
+@query("""with u as (select event_id, user_id, ts, props, row_number() over (partition by user_id || '-' || props order by ts, event_id) as use from events qualify use > 1)
+select 'find-replay-' || substr(sha256('e' || event_id || '|' || use), 1, 12) as finding_id, 'e' || event_id as asset_id, 'FAIL' as status, 'HIGH' as severity, 'QUARANTINE' as disposition, 'Use ' || use || ' of nonce ' || user_id || '-' || props || '.' as reason, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as ts from u""")
+def replay_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for every event whose nonce an earlier event has used."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), "event_id").alias("sealID"), F.concat_ws("-", F.col("user_id").cast("string"), "props").alias("nonce"), text.iso_utc("ts").alias("timestamp"), "ts", "event_id")
+    done = findings.from_replays(chain.replays(rows, "nonce", "ts", "event_id").drop("ts", "event_id"))
+    return done.select("finding_id", "asset_id", "status", "severity", "disposition", "reason", "ts")
+
+
 @query("""with s as (select *, case when o_orderkey % 13 = 0 or o_orderstatus is null then false else true end as same, o_custkey % 3 as reg from orders), v as (select case when not same or reg = 1 then 'TAMPERED' when reg = 2 then 'UNREGISTERED' else 'VALID' end as verdict from s)
 select verdict, count(*) as n from v group by 1""")
 def seal_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,8 +544,9 @@ def ledger_committed_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, arg_max(event_type, (ts, event_id)) as status, count(*) as steps, md5(string_agg(event_type, ',' order by ts, event_id)) as trail from events group by 1")
 def quarantine_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("action"), F.lit("system").alias("actor"))
-    state = ledger.quarantine_state(events, "user_id")
-    return state.select("user_id", "status", F.size("timeline").cast("long").alias("steps"), F.md5(F.array_join("timeline.action", ",")).alias("trail"))
+    steps = ledger.quarantine_timeline(events, "user_id")
+    trail = steps.groupBy("user_id").agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.struct("step", "action")))["action"], ",")).alias("trail"))
+    return ledger.quarantine_state(events, "user_id").select("user_id", "status", "steps").join(trail, "user_id")
 
 
 # ---- findings and governance
@@ -548,22 +558,22 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     toxic, poor = F.col("toxic") == 1, F.col("quality") == 0
     data = docs.select(F.col("doc_id").cast("string").alias("assetID"), F.when(toxic & poor, "CRITICAL").when(toxic, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(toxic, 0.9).otherwise(0.6).alias("confidence"), F.when(toxic, "label flip suspected").otherwise("duplicate or ood content").alias("reason"), F.lit("2024-01-01").alias("timestamp"), F.sha2("text", 256).alias("evidenceHash"))
     balance = F.col("s_acctbal")
-    models_ = table(spark, sf_dir, "supplier").filter("s_acctbal < 3000").select(F.col("s_suppkey").cast("string").alias("assetID"), F.when(balance < 0, "CRITICAL").when(balance < 1500, "MEDIUM").otherwise("LOW").alias("severity"), F.lit(0.8).alias("confidence"), F.when(balance < 0, "trojan trigger").otherwise("clean").alias("reason"), F.lit("2024-01-02").alias("timestamp"), F.sha2("s_name", 256).alias("evidenceHash"))
+    models_ = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("assetID"), F.when(balance < 0, "CRITICAL").when(balance < 1500, "MEDIUM").otherwise("LOW").alias("severity"), F.lit(0.8).alias("confidence"), F.when(balance < 0, "trojan trigger").otherwise("clean").alias("reason"), F.lit("2024-01-02").alias("timestamp"), F.sha2("s_name", 256).alias("evidenceHash"))
     good = F.col("c_custkey") % 7 != 0
-    seals = table(spark, sf_dir, "customer").filter("c_acctbal < 1000").select(F.concat(F.lit("seal-"), "c_custkey").alias("sealID"), F.concat(F.lit("d"), F.col("c_nationkey") % 2).alias("modelDigest"), good.alias("contentHashMatches"), F.lit(True).alias("signatureValid"), F.when(good, "VALID").otherwise("TAMPERED").alias("verdict"), F.sha2("c_name", 256).alias("contentHash"), F.lit("2024-01-03").alias("timestamp"))
+    seals = table(spark, sf_dir, "customer").select(F.concat(F.lit("seal-"), "c_custkey").alias("sealID"), F.concat(F.lit("d"), F.col("c_nationkey") % 2).alias("modelDigest"), good.alias("contentHashMatches"), F.lit(True).alias("signatureValid"), F.when(good, "VALID").otherwise("TAMPERED").alias("verdict"), F.sha2("c_name", 256).alias("contentHash"), F.lit("2024-01-03").alias("timestamp"))
     mmd = F.round("value", 2) / 1000
     word = F.when(F.col("event_id") % 11 == 0, "INSUFFICIENT_EVIDENCE").when(mmd <= 0.16, "NO_SIGNIFICANT_SHIFT").when(F.col("user_id") % 2 == 0, "OPERATIONAL_SHIFT_LIKELY").otherwise("UNEXPLAINED_SHIFT")
-    windows = table(spark, sf_dir, "events").filter("value > 150").select(F.concat(F.lit("w"), "event_id").alias("window_id"), word.alias("assessment"), mmd.alias("mmd"), F.lit(0.16).alias("threshold"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), F.sha2("props", 256).alias("evidence_hash"))
+    windows = table(spark, sf_dir, "events").select(F.concat(F.lit("w"), "event_id").alias("window_id"), word.alias("assessment"), mmd.alias("mmd"), F.lit(0.16).alias("threshold"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), F.sha2("props", 256).alias("evidence_hash"))
     return findings.union(findings.from_data(data), findings.from_models(models_), findings.from_seals(seals, "d0"), findings.from_drift(windows))
 
 
 _FINDINGS = """raw as (select 'DATA_INTEGRITY' as category, 'DataIntegrity' as module_name, 'find-di-' as prefix, doc_id::varchar as asset_id, case when toxic = 1 and quality = 0 then 'CRITICAL' when toxic = 1 then 'HIGH' else 'MEDIUM' end as severity, case when toxic = 1 and quality = 0 then 'FAIL' else 'REVIEW' end as status, case when toxic = 1 then 0.9 else 0.6 end::double as confidence, 'Data Integrity Anomaly: ' || doc_id as title, case when toxic = 1 then 'label flip suspected' else 'duplicate or ood content' end as reason, '2024-01-01' as ts, sha256(text) as evidence_hash from labels join documents using (doc_id) where toxic = 1 or quality = 0
-union all select 'MODEL_INTEGRITY', 'ModelIntegrity', 'find-mi-', s_suppkey::varchar, case when s_acctbal < 0 then 'CRITICAL' when s_acctbal < 1500 then 'MEDIUM' else 'LOW' end, case when s_acctbal < 0 then 'FAIL' when s_acctbal < 1500 then 'REVIEW' else 'PASS' end, 0.8, 'Model Integrity Assessment: ' || s_suppkey, case when s_acctbal < 0 then 'trojan trigger' else 'clean' end, '2024-01-02', sha256(s_name) from supplier where s_acctbal < 3000
+union all select 'MODEL_INTEGRITY', 'ModelIntegrity', 'find-mi-', s_suppkey::varchar, case when s_acctbal < 0 then 'CRITICAL' when s_acctbal < 1500 then 'MEDIUM' else 'LOW' end, case when s_acctbal < 0 then 'FAIL' when s_acctbal < 1500 then 'REVIEW' else 'PASS' end, 0.8, 'Model Integrity Assessment: ' || s_suppkey, case when s_acctbal < 0 then 'trojan trigger' else 'clean' end, '2024-01-02', sha256(s_name) from supplier
 union all select 'INFERENCE_PROVENANCE', 'InferenceProvenance', 'find-inf-', 'seal-' || c_custkey, case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'LOW' else 'CRITICAL' end, case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'PASS' else 'FAIL' end, 1.0, case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'Inference Output Authenticity Verified: seal-' || c_custkey else 'Inference Tampering Detected: seal-' || c_custkey end,
- case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'Cryptographic seal seal-' || c_custkey || ' verified. Model digest, input tensor hash, config, and output binding are authentic.' else 'Integrity violation on inference record seal-' || c_custkey || ': ' || concat_ws('; ', case when c_custkey % 7 = 0 then 'RFC-8785 canonical content hash mismatch (payload modified post-signing)' end, case when c_nationkey % 2 = 1 then 'Model digest substitution detected: d1 != expected d0' end) end, '2024-01-03', sha256(c_name) from customer where c_acctbal < 1000
+ case when c_custkey % 7 <> 0 and c_nationkey % 2 = 0 then 'Cryptographic seal seal-' || c_custkey || ' verified. Model digest, input tensor hash, config, and output binding are authentic.' else 'Integrity violation on inference record seal-' || c_custkey || ': ' || concat_ws('; ', case when c_custkey % 7 = 0 then 'RFC-8785 canonical content hash mismatch (payload modified post-signing)' end, case when c_nationkey % 2 = 1 then 'Model digest substitution detected: d1 != expected d0' end) end, '2024-01-03', sha256(c_name) from customer
 union all select 'DISTRIBUTION_SHIFT', 'DistributionShift', 'find-drift-', w, case a when 'OPERATIONAL_SHIFT_LIKELY' then 'MEDIUM' when 'UNEXPLAINED_SHIFT' then 'HIGH' else 'LOW' end, case a when 'NO_SIGNIFICANT_SHIFT' then 'PASS' when 'OPERATIONAL_SHIFT_LIKELY' then 'WARNING' when 'UNEXPLAINED_SHIFT' then 'REVIEW' else 'NOT_ASSESSED' end, case a when 'NO_SIGNIFICANT_SHIFT' then 0.9 else 0.75 end, 'Distribution Shift Assessment: ' || w || ' (' || a || ')',
  case a when 'NO_SIGNIFICANT_SHIFT' then printf('MMD statistic (%.6f) is within calibrated reference variation (threshold %.6f).', m, 0.16::double) when 'OPERATIONAL_SHIFT_LIKELY' then printf('Statistically significant distribution shift detected (MMD %.6f > %.6f), correlated with operational lighting/sensor change.', m, 0.16::double) when 'UNEXPLAINED_SHIFT' then printf('Statistically significant distribution shift detected (MMD %.6f > %.6f) without clear operational sensor explanation.', m, 0.16::double) else 'Insufficient samples or calibration metadata to assess distribution drift.' end, strftime(ts, '%Y-%m-%d'), sha256(props)
- from (select *, 'w' || event_id as w, round(value, 2) / 1000 as m, case when event_id % 11 = 0 then 'INSUFFICIENT_EVIDENCE' when round(value, 2) / 1000 <= 0.16 then 'NO_SIGNIFICANT_SHIFT' when user_id % 2 = 0 then 'OPERATIONAL_SHIFT_LIKELY' else 'UNEXPLAINED_SHIFT' end as a from events where value > 150)),
+ from (select *, 'w' || event_id as w, round(value, 2) / 1000 as m, case when event_id % 11 = 0 then 'INSUFFICIENT_EVIDENCE' when round(value, 2) / 1000 <= 0.16 then 'NO_SIGNIFICANT_SHIFT' when user_id % 2 = 0 then 'OPERATIONAL_SHIFT_LIKELY' else 'UNEXPLAINED_SHIFT' end as a from events)),
 findings as (select prefix || substr(sha256(asset_id), 1, 12) as finding_id, category, asset_id, status, severity, confidence, case when confidence >= 0.8 then 'HIGH' when confidence >= 0.5 then 'MEDIUM' else 'LOW' end as interpretation, title, reason, ts, module_name, evidence_hash, null::varchar as signature,
 case when status = 'FAIL' or severity = 'CRITICAL' then 'QUARANTINE' when status in ('REVIEW', 'WARNING', 'NOT_ASSESSED') or severity in ('HIGH', 'MEDIUM') then 'REVIEW' else 'ACCEPT' end as disposition,
 case when status = 'FAIL' or severity = 'CRITICAL' then 'URGENT' when status in ('REVIEW', 'WARNING') or severity in ('HIGH', 'MEDIUM') then 'ELEVATED' else 'ROUTINE' end as priority from raw),
@@ -575,6 +585,24 @@ def finding_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir)
 
 
+@query(f"""with {_FINDINGS}, n as (select 'run-' || (ascii(category) % 2) as run, 'findings' as part, count(*) as n from findings group by 1 union all select 'run-' || (n_regionkey % 2), 'checks', count(*) from nation group by 1
+union all select 'run-' || (r_regionkey % 2), 'coverage', count(*) from region group by 1 union all select 'run-' || (user_id % 2), 'events', count(*) from events group by 1)
+select run as assessment_id, case run when 'run-1' then 'TAMPERED' else 'VALID' end as verdict, sum(ceil(n / 1000))::bigint + case run when 'run-1' then 0 else 1 end as parts from n group by 1""")
+def report_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two assessments written as documents and verified from their texts; one has lost its first page of events."""
+    run = lambda number: F.concat(F.lit("run-"), number % 2).alias("assessment_id")
+    found = _findings(spark, sf_dir).withColumn("assessment_id", run(F.ascii("category")))
+    checks = table(spark, sf_dir, "nation").select(run(F.col("n_regionkey")), F.col("n_nationkey").alias("check_id"), F.lit("AUDIT").alias("category"), F.col("n_name").alias("name"), F.lit("Nations").alias("module"), F.lit("PASS").alias("status"))
+    coverage = table(spark, sf_dir, "region").select(run(F.col("r_regionkey")), F.lit("capability").alias("kind"), F.col("r_name").alias("name"), F.lit("SUPPORTED").alias("support_status"), F.lit(1).alias("n"))
+    rows = drift.indexed(table(spark, sf_dir, "events").select(run(F.col("user_id")), "event_id", "ts", "event_type", "user_id", "props"), ["assessment_id", "ts", "event_id"])
+    first = rows.groupBy("assessment_id").agg(F.min("row_index").alias("first"))
+    events = rows.join(first, "assessment_id").select("assessment_id", (F.col("row_index") - F.col("first")).alias("sequence_index"), text.iso_utc("ts").alias("timestamp"), "event_type", F.concat(F.lit("user-"), "user_id").alias("actor"), F.array(F.col("event_id").cast("string")).alias("reference_ids"), F.create_map(F.lit("props"), "props").alias("data"))
+    runs = checks.select("assessment_id", F.lit("2024-01-01T00:00:00Z").alias("assessment_timestamp")).distinct()
+    documents = durable(report.assemble(runs, found, checks, coverage, report.audit_events(events)))
+    kept = documents.filter("not (assessment_id = 'run-1' and part = 'events' and page = 0)")
+    return report.verify(kept).select("assessment_id", "verdict", "parts")
+
+
 @query(f"with {_FINDINGS} select finding_id, severity from findings where severity = 'HIGH' and lower(reason || title || module_name) like '%flip%'")
 def finding_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.search(_findings(spark, sf_dir), "FLIP", "HIGH").select("finding_id", "severity")

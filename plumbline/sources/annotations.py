@@ -57,9 +57,35 @@ def voc_statistics(samples: DataFrame) -> DataFrame:
     return each.groupBy(F.col("o.class").alias("class")).agg(F.count("*").alias("objects"), F.count_distinct("sample_id").alias("images"), *(F.count_if(F.col(f"o.{c}")).alias(c) for c in ("truncated", "occluded", "difficult")))
 
 
+def voc_summary(samples: DataFrame, split: DataFrame | None = None) -> DataFrame:
+    """(images, objects, difficult, truncated, occluded, mean_objects, splits) of a whole set; splits is a map of the images of each, `split` (sample_id, split)."""
+    n = F.size("objects")
+    count = lambda c: F.sum(F.size(F.filter("objects", lambda o: o[c]))).alias(c)
+    total = samples.agg(F.count("*").alias("images"), F.coalesce(F.sum(n), F.lit(0)).alias("objects"), *map(count, ("difficult", "truncated", "occluded")))
+    named = samples.select("sample_id").join(split, "sample_id", "left") if split is not None else samples.select("sample_id", F.lit(None).cast("string").alias("split"))
+    by_split = named.groupBy(F.coalesce("split", F.lit("trainval")).alias("split")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("splits"))
+    return total.crossJoin(F.broadcast(by_split)).select("*", F.round(F.col("objects") / F.greatest("images", F.lit(1)), 2).alias("mean_objects"))
+
+
+def image_ids(spark: SparkSession, lists: str, annotations: str, split: str | None = None) -> DataFrame:
+    """(sample_id) of a split, or of all annotation files where its list is missing, empty or not asked for."""
+    if split and not (named := split_list(spark, lists, split)).isEmpty():
+        return named.select("sample_id")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(annotations)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.xml$", 1).alias("sample_id"))
+
+
+def split_list(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """(sample_id, split) of one list; none where there is no such file."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{split}.txt")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "sample_id string, split string")
+    return spark.read.text(f"{folder}/{split}.txt").select(F.trim("value").alias("sample_id"), F.lit(split).alias("split")).filter("sample_id <> ''")
+
+
 def splits(spark: SparkSession, folder: str) -> DataFrame:
-    """(sample_id, split) of train.txt, val.txt and trainval.txt; the first of train, val and trainval that names a sample counts."""
-    lines = spark.read.text([f"{folder}/{s}.txt" for s in ("train", "val", "trainval")]).select(F.trim("value").alias("sample_id"), F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("split")).filter("sample_id <> ''")
+    """(sample_id, split) of train.txt, val.txt and trainval.txt, as far as they are there; the first of train, val and trainval that names a sample counts."""
+    lines = split_list(spark, folder, "train").unionByName(split_list(spark, folder, "val")).unionByName(split_list(spark, folder, "trainval"))
     order = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
     return lines.groupBy("sample_id").agg(F.min_by("split", order).alias("split"))
 
@@ -104,6 +130,21 @@ def yolo_names(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(words).alias("class_id", "name")).select("class_id", F.trim("name").alias("name"))
 
 
-def first_labels(lines: DataFrame) -> DataFrame:
-    """(sample_id, class_id) of the first line of each label file."""
-    return lines.groupBy("sample_id").agg(F.min_by("class_id", "line_no").alias("class_id"))
+def first_labels(lines: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(sample_id, class_id) of the first line of each label file; files whose first line has no class id are left out.
+
+    With `names` (class_id, name) a label column too: the name, or the number where it has none.
+    """
+    first = lines.groupBy("sample_id").agg(F.min_by("class_id", "line_no").alias("class_id")).filter("class_id >= 0")
+    if names is None:
+        return first
+    return first.join(F.broadcast(names), "class_id", "left").select("sample_id", "class_id", F.coalesce(F.nullif("name", F.lit("")), F.col("class_id").cast("string")).alias("label"))
+
+
+def coco_first_labels(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
+    """(sample_id, label) of the first annotation of each image, in the order of the file: its category's name, or number where it has none."""
+    order = annotations.withColumn("__no", F.monotonically_increasing_id())
+    named = images.select(F.col("id").alias("image_id"), stem(F.col("file_name")).alias("sample_id")).filter("sample_id <> ''")
+    first = order.join(named, "image_id").groupBy("sample_id").agg(F.min_by("category_id", "__no").alias("category_id"))
+    known = categories.groupBy(F.col("id").alias("category_id")).agg(F.max_by("name", "id").alias("name"))
+    return first.join(F.broadcast(known), "category_id", "left").select("sample_id", F.coalesce(F.nullif("name", F.lit("")), F.col("category_id").cast("string")).alias("label"))

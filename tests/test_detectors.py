@@ -130,6 +130,60 @@ def test_stamped_pattern_is_found(spark):
     assert [(r["class"], r["region"], r["members"]) for r in got] == [("a", 1, list(range(8)))]
 
 
+def test_a_planted_corner_patch_in_images_is_found(spark, tmp_path):
+    from test_sources import png
+
+    from plumbline.sources import images
+
+    rng = np.random.default_rng(11)
+    stamp = np.kron(np.indices((4, 4)).sum(0) % 2, np.ones((4, 4)))[:, :, None] * 255
+
+    def folder(name, stamped):
+        (tmp_path / name).mkdir()
+        for i in range(16):
+            image = rng.integers(0, 255, (100, 110, 3))
+            if stamped and i < 6:
+                image[-16:, :16] = stamp
+            png(tmp_path / name / f"{'ab'[i % 2] if not stamped else 'a' if i < 10 else 'b'}_{i:02d}.png", image)
+        decoded = images.decoded(spark, str(tmp_path / name)).withColumn("name", F.element_at(F.split("path", "/"), -1))
+        return patterns.image_segments(decoded.withColumn("label", F.substring("name", 1, 1)), "name", "label")
+
+    parts = folder("stamped", True)
+    assert parts.count() == 80 and len(parts.first()["vec"]) == len(parts.first()["rest"]) == 32 * 32
+    got = patterns.find(parts).collect()
+    assert [(r["class"], patterns.REGIONS[r["region"]], r["members"]) for r in got] == [("a", "bottom_left", [f"a_{i:02d}.png" for i in range(6)])]
+    assert patterns.find(folder("clean", False)).collect() == []
+
+
+@pytest.mark.parametrize("way", ["prune_by_class", "prune_by_noise_rate", "both"])
+def test_pruning_of_one_hot_label(spark, way):
+    """Rows to prune are chosen by places in a global order, as a ranking of each label would choose them."""
+    rng = np.random.default_rng(2)
+    n = 600
+    labels = [("hot" if i < 500 else "cold") for i in range(n)]
+    p_hot = rng.beta(4, 2, n).round(3)
+    probabilities = spark.createDataFrame([(i, c, float(p if c == "hot" else 1 - p)) for i, p in enumerate(p_hot) for c in ("hot", "cold")], "id long, class string, p double")
+    frame = spark.createDataFrame(list(enumerate(labels)), "id long, label string")
+    p = {(i, c): (p_hot[i] if c == "hot" else 1 - p_hot[i]) for i in range(n) for c in ("hot", "cold")}
+    mean = {c: np.mean([p[i, c] for i in range(n) if labels[i] == c]) for c in ("hot", "cold")}
+    joint = {}
+    for i in range(n):
+        likely = [c for c in ("hot", "cold") if p[i, c] >= mean[c]]
+        if likely:
+            best = max(likely, key=lambda c: (p[i, c], c))
+            joint[labels[i], best] = joint.get((labels[i], best), 0) + 1
+    by_class, by_rate = set(), set()
+    for c, o in (("hot", "cold"), ("cold", "hot")):
+        total = sum(v for (a, _), v in joint.items() if a == c)
+        size = labels.count(c)
+        count = int(np.floor(joint.get((c, o), 0) / total * size + 0.5)) if total else 0
+        own = [i for i in range(n) if labels[i] == c]
+        by_class |= set(sorted(own, key=lambda i: (p[i, c], i))[:count])
+        by_rate |= set(sorted(own, key=lambda i: (p[i, c] - p[i, o], i))[:count])
+    got = {r["id"] for r in label_noise.confident_mask(probabilities, frame, way).collect()}
+    assert got == {"prune_by_class": by_class, "prune_by_noise_rate": by_rate, "both": by_class & by_rate}[way] and got
+
+
 def test_windows_mmd_and_calibration(spark):
     rng = np.random.default_rng(8)
     reference, same, far = (frame(spark, rng.normal(m, 1, (40, 8))) for m in (0, 0, 3))

@@ -298,6 +298,25 @@ def test_normalised_findings_with_missing_fields(spark):
     assert sorted(r[0] for r in findings.distinct_limitations(limits).collect()) == ["a", "b"]
 
 
+def test_own_dispositions_sample_ids_and_replays(spark):
+    raw = spark.createDataFrame([("s1", "HIGH", "QUARANTINE"), ("s2", "CRITICAL", "ACCEPT"), ("s3", "LOW", None), ("s4", "LOW", "ACCEPT")], "sample_id string, severity string, disposition string")
+    got = {r["asset_id"]: (r["disposition"], r["own_disposition"], r["ruled_disposition"], r["priority"], r["ts"]) for r in findings.from_data(raw, now="then").collect()}
+    assert got == {"s1": ("QUARANTINE", "QUARANTINE", "REVIEW", "URGENT", "then"), "s2": ("QUARANTINE", "ACCEPT", "QUARANTINE", "URGENT", "then"), "s3": ("REVIEW", None, "REVIEW", "ELEVATED", "then"), "s4": ("ACCEPT", "ACCEPT", "ACCEPT", "ROUTINE", "then")}
+    first = {r["asset_id"]: r["asset_id"] for r in findings.from_data(spark.createDataFrame([("a", "i", "s"), (None, "i", "s"), (None, None, "s")], "assetID string, image_id string, sample_id string")).collect()}
+    assert set(first) == {"a", "i", "s"}
+    assert findings.from_data(raw).first()["ts"] is None
+    used = spark.createDataFrame([("x1", "n", 1), ("x2", "n", 2), ("x3", "n", 3), ("x4", "m", 4), ("x5", "", 5), ("x6", "", 6)], "sealID string, nonce string, at int")
+    replayed = findings.from_replays(chain.replays(used, "nonce", "at")).orderBy("asset_id").collect()
+    assert [(r["asset_id"], r["status"], r["disposition"], r["reason"]) for r in replayed] == [("x2", "FAIL", "QUARANTINE", "Use 2 of nonce n."), ("x3", "FAIL", "QUARANTINE", "Use 3 of nonce n.")]
+
+
+def test_quarantine_rows_of_a_hot_key(spark):
+    events = spark.createDataFrame([("k", i % 50, f"a{i}", "me") for i in range(3000)] + [("z", 1, "x", None)], "key string, at int, action string, actor string").repartition(4)
+    assert {tuple(r) for r in ledger.quarantine_state(events, "key").collect()} == {("k", max(f"a{i}" for i in range(49, 3000, 50)), 3000), ("z", "x", 1)}
+    steps = [(r["at"], r["action"]) for r in ledger.quarantine_timeline(events, "key").filter("key = 'k'").orderBy("step").collect()]
+    assert steps == sorted((i % 50, f"a{i}") for i in range(3000))
+
+
 def test_quarantine_takes_what_it_lacks_from_the_job(spark):
     rows = spark.createDataFrame([("q1", "t1", None, "own", None, None), ("q2", "t9", None, None, None, None)], "id string, test_id string, dataset_id string, dataset_name string, model_id string, model_name string")
     jobs = spark.createDataFrame([("t1", "d", "dn", "m", "mn")], "test_id string, dataset_id string, dataset_name string, model_id string, model_name string")
