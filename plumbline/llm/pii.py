@@ -8,10 +8,11 @@ card of as many digits, a date a date. The same value gets the same pseudonym in
 its separators and notation, and the key's owner can undo it: a phone number is read with its country code
 (without one it is a number of +1), a date by its day, a mail address without regard to case.
 
-Where the longest reading of a card or account number fails its rule, the other readings of the same run of
-groups are tried, from each start the longest first; card groups within a run have three digits at least. A
-pseudonym in such a run is permuted on until no earlier reading is valid, so that it is found again there;
-in such a place it can differ from the value's pseudonym elsewhere.
+Beside other digits a card or account number can be read in several ways. Of the readings of its run of groups
+(card groups have three digits at least, and six at most unless a card is one group) the first counts that is valid and has the length that its issuer or
+country gives it, whatever stands around. Pseudonyms keep the issuer and the country, so they are read alike,
+and a value has one pseudonym in every surrounding. Only numbers of no known issuer or country are taken by the longest
+reading first, and such a one between other groups is permuted on until it is found again there: it alone can differ from its pseudonym elsewhere.
 
 Numbers that fail their rule are left alone, as is all other text. Defined results: a null text stays
 null; an empty text stays empty; long texts are searched in full; repeated rows are treated alike; an
@@ -58,6 +59,22 @@ _KIND_OF = {"word": "secret", "keyed": "secret"}
 TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: Of kinds that stand in groups: the run of groups, how a reading starts, its least and greatest length, the least length of a group.
 _RUNS = {"card": (re.compile("[0-9]+(?:[ -][0-9]+)*"), re.compile("[0-9]"), 13, 19, 3), "iban": (re.compile("[A-Z0-9]+(?: [A-Z0-9]+)*"), re.compile("[A-Z]{2}[0-9]{2}"), 15, 34, 1)}
+# First digits and lengths of cards by issuer, and lengths of account numbers by country.
+ISSUERS = (
+    ("visa", ((4, 4),), (13, 16)),
+    ("mastercard", ((51, 55), (2221, 2720)), (16,)),
+    ("amex", ((34, 34), (37, 37)), (15,)),
+    ("discover", ((6011, 6011), (644, 649), (65, 65)), (16,)),
+    ("diners", ((300, 305), (36, 36), (38, 39)), (14,)),
+    ("jcb", ((3528, 3589),), (16,)),
+    ("unionpay", ((62, 62),), (16,)),
+)
+ACCOUNT_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 #: A walk to a pseudonym that is found again ends after so many steps; about one reading in ten is valid by chance.
 MOST_STEPS = 1_000
 _MAYBE = re.compile("[0-9@]|[AS]KIA|password=|gh[oprsu]_|sk-|xox")
@@ -130,12 +147,25 @@ def _in_place(value: str, new: str) -> str:
     return "".join(next(left) if c.isalnum() else c for c in value)
 
 
+def issuer(digits: str) -> str | None:
+    """The issuer whose first digits and lengths a card number has."""
+    for name, ranges, lengths in ISSUERS:
+        if len(digits) in lengths and any(low <= int(digits[: len(str(low))]) <= high for low, high in ranges):
+            return name
+    return None
+
+
 def card(value: str, key: bytes, back: bool) -> str | None:
+    """Another card of the same issuer, or of none if it has none."""
     digits = re.sub("[^0-9]", "", value)
     if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
         return None
-    body = f"{permute(int(digits[:-1]), 10 ** (len(digits) - 1), key, b'card%d' % len(digits), back):0{len(digits) - 1}d}"
-    return _in_place(value, body + luhn_digit(body))
+    own, body = issuer(digits), digits[:-1]
+    while True:
+        body = f"{permute(int(body), 10 ** len(body), key, b'card%d' % len(digits), back):0{len(body)}d}"
+        new = body + luhn_digit(body)
+        if issuer(new) == own and len(set(new)) > 1:
+            return _in_place(value, new)
 
 
 def phone(value: str, key: bytes, back: bool) -> str | None:
@@ -243,6 +273,17 @@ def _readings(kind: str, text: str, start: int, end: int) -> Iterator[tuple[int,
             yield start + at, stop
 
 
+def _known(kind: str, text: str, start: int, end: int, key: bytes, back: bool) -> tuple[int, int, str] | None:
+    """The first valid reading of the length that its issuer or country gives it, and its pseudonym."""
+    for at, stop in _readings(kind, text, start, start + 1 if kind == "iban" else end):
+        parts = re.split("[ -]", text[at:stop])
+        plain = "".join(parts)
+        fits = (len(parts) == 1 or max(map(len, parts)) <= 6) and issuer(plain) is not None if kind == "card" else ACCOUNT_LENGTHS.get(plain[:2]) == len(plain)
+        if fits and (new := RULES[kind](text[at:stop], key, back)) is not None:
+            return at, stop, new
+    return None
+
+
 def _within(kind: str, text: str, start: int, end: int, key: bytes, back: bool) -> tuple[int, int, str] | None:
     """The first valid reading within a match that is not valid as a whole, and its pseudonym."""
     rule, earlier = RULES[kind], [(start, end)]
@@ -251,7 +292,7 @@ def _within(kind: str, text: str, start: int, end: int, key: bytes, back: bool)
         if new is None:
             earlier.append((at, stop))
             continue
-        for _ in range(MOST_STEPS):
+        for _ in range(MOST_STEPS):  # should none be found again, the last is taken
             low, high = min(a for a, _ in earlier), max(stop, *(b for _, b in earlier))
             seen = text[low:at] + new + text[stop:high]
             if all(b <= at or rule(seen[a - low : b - low], key, back) is None for a, b in earlier):
@@ -270,7 +311,11 @@ def replace(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[
     pieces, done, at = [], 0, 0
     while match := PATTERN.search(text, at):
         kind, (start, at) = _KIND_OF.get(match.lastgroup, match.lastgroup), match.span(match.lastgroup)
-        new, stop = RULES[kind](text[start:at], key, back), at
+        if kind in _RUNS and (part := _known(kind, text, start, at, key, back)):
+            start, stop, new = part
+            at = stop
+        else:
+            new, stop = RULES[kind](text[start:at], key, back), at
         if new is None:
             part = _within(kind, text, start, at, key, back) if kind in _RUNS else None
             if part is None:

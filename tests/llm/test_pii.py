@@ -75,6 +75,26 @@ def test_cards_with_neighbours_come_back():
         assert counts["card"] == 1 and new != text and pii.replace(new, back=True)[0] == text
 
 
+@pytest.mark.parametrize("card", ["4111111111111111", "4222222222222", "5555555555554444", "2223003122003222", "378282246310005", "6011111111111117", "30569309025904", "3530111333300000"])
+def test_a_card_keeps_its_link_beside_any_number(card):
+    new = pii.replace(f"x {card} y")[0].split()[1]
+    assert new != card and pii.issuer(new) == pii.issuer(card) and len(new) == len(card)
+    for n in [*range(100, 1000), *range(1000, 10_000, 97)]:
+        for text in (f"x {n} {card}", f"x {card} {n}", f"x {n} {card} {n}."):
+            got, counts = pii.replace(text)
+            assert got == text.replace(card, new) and counts["card"] == 1 and pii.replace(got, back=True)[0] == text
+
+
+@pytest.mark.parametrize("account", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947"])
+def test_an_account_keeps_its_link_beside_any_word(account):
+    new = pii.replace(f"x {account}. y")[0][2 : 2 + len(account)]
+    assert new != account and new[:2] == account[:2]
+    for word in [str(n) for n in range(10, 3000, 7)] + ["BIC", "COBADEFF", "A1", "X99Y"]:
+        text = f"x {account} {word} y"
+        got, counts = pii.replace(text)
+        assert got == text.replace(account, new) and counts["iban"] == 1 and pii.replace(got, back=True)[0] == text
+
+
 @pytest.mark.parametrize("value", ["Hunter2xyz", "s3cr3t!Pass", "correcthorse", "E3B3ED3CC8548923D6", "tr0ub4dor"])
 def test_any_password_is_replaced_and_comes_back(value):
     new, counts = pii.replace(f"login password={value} end")
