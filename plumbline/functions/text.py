@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,47 +73,85 @@ def canonical_string(value: Column) -> Column:
     return F.concat(F.lit('"'), inner, F.lit('"'))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _decimal(digits: Column, point: Column) -> Column:
+    """Significant digits without zeros around them, and where the point stands behind their start."""
+    kept = F.regexp_replace(digits, "^0+", "")
+    return F.struct(F.regexp_replace(kept, "0+$", "").alias("digits"), (point - F.length(digits) + F.length(kept)).cast("int").alias("point"))
+
+
+def _digits_of(size: Column) -> Column:
+    """The fewest digits that read back as a positive double, and the place of the point."""
+    part = lambda text, sign, i: F.split_part(text, F.lit(sign), F.lit(i))
+
+    def own(text: Column) -> Column:
+        body = part(text, "E", 1)
+        whole, rest = part(body, ".", 1), part(body, ".", 2)
+        return _decimal(F.concat(whole, rest), F.length(whole) + F.coalesce(part(text, "E", 2).try_cast("int"), F.lit(0)))
+
+    def rounded(numbers: range) -> Column:
+        """Of texts with so many digits behind the first, and their neighbours, the first that reads back."""
+
+        def reads(text: Column) -> Column:
+            whole, power = F.replace(part(text, "E", 1), F.lit("."), F.lit("")), part(text, "E", 2).try_cast("int")
+            near = F.transform(F.array(*map(F.lit, (0, 1, -1))), lambda d: F.struct((whole.try_cast("long") + d).cast("string").alias("m"), (power + 1 - F.length(whole)).alias("e")))
+            good = F.get(F.filter(near, lambda x: F.concat(x["m"], F.lit("E"), x["e"].cast("string")).try_cast("double") == size), F.lit(0))
+            return _bound(good, lambda x: F.when(x.isNotNull(), _decimal(x["m"], F.length(x["m"]) + x["e"])))
+
+        texts = F.transform(F.array(*(F.format_string(f"%.{n}E", size) for n in numbers)), reads)
+        return F.get(F.filter(texts, lambda x: x.isNotNull()), F.lit(0))
+
+    def cut(exact: Column) -> Column:
+        """The exact digits of a whole number, cut where the nearest cut reads back."""
+
+        def at(unit: Column) -> Column:
+            below = exact - exact % unit
+            good = F.filter(F.array(below, below + unit), lambda x: x.try_cast("double") == size)
+            return F.array_min(F.transform(good, lambda x: F.struct(F.abs(x - exact).alias("apart"), x.alias("x"))))["x"].cast("string")
+
+        units = F.array(*(F.lit("1" + "0" * k).cast("decimal(20,0)") for k in range(18, -1, -1)))
+        best = F.get(F.filter(F.transform(units, at), lambda x: x.isNotNull()), F.lit(0))
+        return _bound(best, lambda x: _decimal(x, F.length(x)))
+
+    # up to 15 digits tell doubles apart, so that a text with no more has no shorter equal; below the normal ones fewer do
+    found = lambda x: (
+        F.when(size < 2.2250738585072014e-308, rounded(range(17)))
+        .when(F.length(x["digits"]) <= 15, x)
+        .when((size >= 2.0**53) & (size < 2.0**63), _bound(size.try_cast("bigint").cast("decimal(38,0)"), cut))
+        .otherwise(F.coalesce(rounded(range(14, 17)), x))
+    )
+    return _bound(own(size.cast("string")), found)
+
+
 def canonical_double(value: Column) -> Column:
     """The shortest decimal text that reads back as the same double, with an exponent below 1e-4 and from 1e16 on.
 
     Where several texts of 17 digits read back, it is the one that the JVM gives, which may differ from the nearest in its last digit.
     """
-    size = F.abs(value)
-    # a double's own text may have a digit too many or round its last one away: the fewest digits that read back are taken
-    part = lambda text, i: F.split_part(text, F.lit("E"), F.lit(i))
-
-    def read_back(text: Column) -> Column:
-        whole, power = F.replace(part(text, 1), F.lit("."), F.lit("")), part(text, 2).try_cast("int")
-        near = F.transform(F.array(*map(F.lit, (0, 1, -1))), lambda d: F.concat((whole.try_cast("long") + d).cast("string"), F.lit("E"), (power + 1 - F.length(whole)).cast("string")))
-        return F.get(F.filter(near, lambda x: x.try_cast("double") == size), F.lit(0))
-
-    rounded = F.array(*(F.format_string(f"%.{digits}E", size) for digits in range(17)))
-    short = F.get(F.filter(F.transform(rounded, read_back), lambda x: x.isNotNull()), F.lit(0))
-    mantissa = part(short, 1)
-    power = part(short, 2).try_cast("int") + F.length(mantissa) - 1
-    # that text of a large whole number is itself rounded: its exact digits are cut where the nearest cut reads back
-    exact = size.try_cast("bigint").cast("decimal(38,0)")
-
-    def cut(unit: Column) -> Column:
-        below = exact - exact % unit
-        reads = F.filter(F.array(below, below + unit), lambda x: x.try_cast("double") == size)
-        return F.array_min(F.transform(reads, lambda x: F.struct(F.abs(x - exact).alias("apart"), x.alias("x"))))["x"]
-
-    units = F.array(*(F.lit("1" + "0" * k).cast("decimal(20,0)") for k in range(18, -1, -1)))
-    whole = F.get(F.filter(F.transform(units, cut), lambda x: x.isNotNull()), F.lit(0))
-    mantissa = F.when((size >= 2.0**53) & (size < 2.0**63), F.coalesce(whole.cast("string"), mantissa)).otherwise(mantissa)
-    digits, point = F.when(size == 0, "0").otherwise(F.regexp_replace(mantissa, "0+$", "")), F.when(size == 0, 1).otherwise(power + 1)
-    n = F.length(digits)
-    fixed = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
-        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
-    )
-    tail = F.concat(F.when(point > 0, "+").otherwise("-"), F.lpad(F.abs(point - 1).cast("string"), F.greatest(F.lit(2), F.length(F.abs(point - 1).cast("string"))), F.lit("0")))
-    wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), tail)
-    text = F.when((point > -4) & (point <= 16), fixed).otherwise(wide)
-    minus = (value < 0) | (value.cast("string") == "-0.0")
-    return F.when(F.isnan(value), "NaN").otherwise(F.concat(F.when(minus, "-").otherwise(""), F.when(size == float("inf"), "Infinity").otherwise(text)))
+
+    def written(x: Column) -> Column:
+        digits, point, n = x["digits"], x["point"], F.length(x["digits"])
+        fixed = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+        )
+        power = F.abs(point - 1).cast("string")
+        tail = F.concat(F.when(point > 0, "+").otherwise("-"), F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")))
+        wide = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), F.lit("e"), tail)
+        return F.when((point > -4) & (point <= 16), fixed).otherwise(wide)
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        minus = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
+        body = F.when(size == 0, "0.0").when(size == float("inf"), "Infinity").otherwise(_bound(_bound(size, _digits_of), written))
+        return F.when(F.isnan(v), "NaN").otherwise(F.concat(minus, body))
+
+    return _bound(value, lambda v: F.when(v.isNotNull(), text(v)))
 
 
 def canonical_value(value: Column, kind: DataType) -> Column:

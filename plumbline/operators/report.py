@@ -46,7 +46,8 @@ def _pages(rows: DataFrame, part: str, page: int) -> DataFrame:
     kind = StructType.fromDDL(schema)
     fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields]
     body = canonical_value(F.struct(*fields), kind)
-    ordered = placed(rows.select(F.col("assessment_id").alias("run"), F.col(key).alias("at"), body.alias("body")), "run", "at", "body")
+    written = durable(rows.select(F.col("assessment_id").alias("run"), F.col(key).alias("at"), body.alias("body")))  # the texts are made once
+    ordered = placed(written, "run", "at", "body")
     paged = ordered.groupBy(F.col("run").alias("assessment_id"), F.floor(F.col("__place") / page).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("__place", "body"))).alias("b"))
     return paged.select("assessment_id", F.lit(part).alias("part"), "page", F.size("b").cast("long").alias("rows"), F.concat(F.lit("["), F.array_join("b.body", ","), F.lit("]")).alias("payload"))
 
