@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from plumbline.functions.rules import data_status, disposition, drift_status, interpretation, model_status, worst
 from plumbline.functions.text import found_in, short_id
 
+# Titles and reasons, which findings must have alike.
+DATA_TITLE = "Data Integrity Anomaly: "
+DATA_REASON = "Data integrity anomaly flagged."
+MODEL_TITLE = "Model Integrity Assessment: "
+MODEL_REASON = "Model integrity behavioral assessment."
+SEAL_GOOD = "Inference Output Authenticity Verified: "
+SEAL_BAD = "Inference Tampering Detected: "
+SEAL_GOOD_REASON = "Cryptographic seal %s verified. Model digest, input tensor hash, config, and output binding are authentic."
+SEAL_BAD_REASON = "Integrity violation on inference record "
+SEAL_CONTENT = "RFC-8785 canonical content hash mismatch (payload modified post-signing)"
+SEAL_SIGNATURE = "Ed25519 signature invalid or signer key mismatch"
+WINDOW_TITLE = "Distribution Shift Assessment: %s (%s)"
+WINDOW_NONE = "MMD statistic (%.6f) is within calibrated reference variation (threshold %.6f)."
+WINDOW_OPERATIONAL = "Statistically significant distribution shift detected (MMD %.6f > %.6f), correlated with operational lighting/sensor change."
+WINDOW_UNEXPLAINED = "Statistically significant distribution shift detected (MMD %.6f > %.6f) without clear operational sensor explanation."
+WINDOW_UNKNOWN = "Insufficient samples or calibration metadata to assess distribution drift."
+SEAL_DIGEST = "Model digest substitution detected: %s != expected %s"
+
 #: Dispositions from the mildest to the gravest.
 DECISIONS = ("ACCEPT", "REVIEW", "QUARANTINE")
 
@@ -64,13 +82,13 @@ def from_data(raw: DataFrame, now: str | None = None) -> DataFrame:
         _given(raw, "severity", otherwise="MEDIUM").alias("severity"),
         _given(raw, "disposition", otherwise="REVIEW").alias("own"),
         _given(raw, "confidence", otherwise=0.65).cast("double").alias("confidence"),
-        _given(raw, "reason", otherwise="Data integrity anomaly flagged.").alias("reason"),
+        _given(raw, "reason", otherwise=DATA_REASON).alias("reason"),
         _text(raw, "timestamp", otherwise=now).alias("ts"),
         _text(raw, "evidenceHash", "evidence_hash", otherwise="").alias("evidence_hash"),
         _given(raw, "signature").alias("signature"),
         *([F.when(F.col("disposition").isin(*DECISIONS), F.col("disposition")).alias("own_disposition")] if "disposition" in raw.columns else []),
     )
-    named = rows.withColumns({"status": data_status(F.col("severity"), F.col("own")), "title": F.concat(F.lit("Data Integrity Anomaly: "), "asset_id")})
+    named = rows.withColumns({"status": data_status(F.col("severity"), F.col("own")), "title": F.concat(F.lit(DATA_TITLE), "asset_id")})
     return _canonical(named, "find-di-", "DATA_INTEGRITY", "DataIntegrity")
 
 
@@ -81,12 +99,12 @@ def from_models(raw: DataFrame, now: str | None = None) -> DataFrame:
         _text(raw, "assetID", otherwise=spare).alias("asset_id"),
         _given(raw, "severity", otherwise="LOW").alias("severity"),
         _given(raw, "confidence", otherwise=0.50).cast("double").alias("confidence"),
-        _given(raw, "reason", otherwise="Model integrity behavioral assessment.").alias("reason"),
+        _given(raw, "reason", otherwise=MODEL_REASON).alias("reason"),
         _text(raw, "timestamp", otherwise=now).alias("ts"),
         _given(raw, "evidenceHash", otherwise="").alias("evidence_hash"),
         _given(raw, "signature").alias("signature"),
     )
-    named = rows.withColumns({"status": model_status(F.col("severity")), "title": F.concat(F.lit("Model Integrity Assessment: "), "asset_id")})
+    named = rows.withColumns({"status": model_status(F.col("severity")), "title": F.concat(F.lit(MODEL_TITLE), "asset_id")})
     return _canonical(named, "find-mi-", "MODEL_INTEGRITY", "ModelIntegrity")
 
 
@@ -102,9 +120,9 @@ def from_seals(verified: DataFrame, expected_digest: str | None = None, now: str
     causes = F.array_join(
         F.array_compact(
             F.array(
-                F.when(~flag("contentHashMatches"), "RFC-8785 canonical content hash mismatch (payload modified post-signing)"),
-                F.when(~flag("signatureValid"), "Ed25519 signature invalid or signer key mismatch"),
-                F.when(~bound, F.format_string(f"Model digest substitution detected: %s != expected {expected_digest}", _given(verified, "modelDigest", otherwise="unknown-model-digest"))),
+                F.when(~flag("contentHashMatches"), SEAL_CONTENT),
+                F.when(~flag("signatureValid"), SEAL_SIGNATURE),
+                F.when(~bound, F.format_string(SEAL_DIGEST, _given(verified, "modelDigest", otherwise="unknown-model-digest"), F.lit(expected_digest))),
             )
         ),
         "; ",
@@ -114,8 +132,8 @@ def from_seals(verified: DataFrame, expected_digest: str | None = None, now: str
         F.when(good, "PASS").otherwise("FAIL").alias("status"),
         F.when(good, "LOW").otherwise("CRITICAL").alias("severity"),
         F.lit(1.0).alias("confidence"),
-        F.concat(F.when(good, "Inference Output Authenticity Verified: ").otherwise("Inference Tampering Detected: "), seal).alias("title"),
-        F.when(good, F.format_string("Cryptographic seal %s verified. Model digest, input tensor hash, config, and output binding are authentic.", seal)).otherwise(F.concat(F.lit("Integrity violation on inference record "), seal, F.lit(": "), causes)).alias("reason"),
+        F.concat(F.when(good, SEAL_GOOD).otherwise(SEAL_BAD), seal).alias("title"),
+        F.when(good, F.format_string(SEAL_GOOD_REASON, seal)).otherwise(F.concat(F.lit(SEAL_BAD_REASON), seal, F.lit(": "), causes)).alias("reason"),
         _text(verified, "timestamp", otherwise=now).alias("ts"),
         _given(verified, "contentHash").alias("evidence_hash"),
         _given(verified, "signature").alias("signature"),
@@ -129,10 +147,10 @@ def from_drift(windows: DataFrame, now: str | None = None) -> DataFrame:
     assessment = _given(windows, "assessment", otherwise="NO_SIGNIFICANT_SHIFT")
     numbers = (_given(windows, "mmd", otherwise=0.0), _given(windows, "threshold", otherwise=0.01))
     reason = (
-        F.when(assessment == "NO_SIGNIFICANT_SHIFT", F.format_string("MMD statistic (%.6f) is within calibrated reference variation (threshold %.6f).", *numbers))
-        .when(assessment == "OPERATIONAL_SHIFT_LIKELY", F.format_string("Statistically significant distribution shift detected (MMD %.6f > %.6f), correlated with operational lighting/sensor change.", *numbers))
-        .when(assessment == "UNEXPLAINED_SHIFT", F.format_string("Statistically significant distribution shift detected (MMD %.6f > %.6f) without clear operational sensor explanation.", *numbers))
-        .otherwise("Insufficient samples or calibration metadata to assess distribution drift.")
+        F.when(assessment == "NO_SIGNIFICANT_SHIFT", F.format_string(WINDOW_NONE, *numbers))
+        .when(assessment == "OPERATIONAL_SHIFT_LIKELY", F.format_string(WINDOW_OPERATIONAL, *numbers))
+        .when(assessment == "UNEXPLAINED_SHIFT", F.format_string(WINDOW_UNEXPLAINED, *numbers))
+        .otherwise(WINDOW_UNKNOWN)
     )
     state = drift_status(assessment)
     rows = windows.select(
@@ -140,7 +158,7 @@ def from_drift(windows: DataFrame, now: str | None = None) -> DataFrame:
         state["status"].alias("status"),
         state["severity"].alias("severity"),
         _given(windows, "confidence", otherwise=F.when(state["status"] == "PASS", 0.90).otherwise(0.75)).cast("double").alias("confidence"),
-        F.format_string("Distribution Shift Assessment: %s (%s)", window, assessment).alias("title"),
+        F.format_string(WINDOW_TITLE, window, assessment).alias("title"),
         reason.alias("reason"),
         _text(windows, "timestamp", otherwise=now).alias("ts"),
         _text(windows, "evidenceHash", "evidence_hash", otherwise="").alias("evidence_hash"),

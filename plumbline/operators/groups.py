@@ -7,6 +7,16 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import chain, finding_type
 
+# Sentences of group findings, which they must have alike.
+MISLABELLED = "Systematic mislabelling anomaly: dominant confusion %s (%d/%d label anomalies)"
+LABEL_RATE = "Elevated label anomaly rate: %d anomalies (%.1f%% vs %.1f%% baseline)"
+DUPLICATES = "Near-duplicate concentration: %d duplicate pairs in group"
+TRIGGERS = "Trigger pattern concentration: %d trigger detections in group"
+OUTLIERS = "OOD concentration: %d OOD samples in group"
+AGGREGATE = "Elevated aggregate anomaly rate (%.1f%% vs %.1f%% baseline, z=%.1f)"
+SYSTEMATIC = "Elevated systematic annotation anomaly"
+ELEVATED = "Elevated integrity risk"
+
 
 def unpivoted(provenance: DataFrame, key: str, dimensions: list[str]) -> DataFrame:
     """(key, group_type, group_id), a row for each dimension that a sample has."""
@@ -67,19 +77,19 @@ def findings(found: DataFrame, provenance: DataFrame, key: str, dimensions: list
     n = lambda kind: F.coalesce(F.try_element_at("types", F.lit(kind)), F.lit(0))
     share, percent = F.col("affected") / F.col("size") * 100, F.col("__p") * 100
     label = chain(
-        (F.col("__times") >= 3, F.format_string("Systematic mislabelling anomaly: dominant confusion %s (%d/%d label anomalies)", "confusion", "__times", "affected")),
-        (n("label_anomaly") >= 3, F.format_string("Elevated label anomaly rate: %d anomalies (%.1f%% vs %.1f%% baseline)", n("label_anomaly"), share, percent)),
+        (F.col("__times") >= 3, F.format_string(MISLABELLED, "confusion", "__times", "affected")),
+        (n("label_anomaly") >= 3, F.format_string(LABEL_RATE, n("label_anomaly"), share, percent)),
         otherwise=F.lit(None).cast("string"),
     )
     parts = F.array_compact(
         F.array(
             label,
-            F.when(n("duplicate_anomaly") >= 3, F.format_string("Near-duplicate concentration: %d duplicate pairs in group", n("duplicate_anomaly"))),
-            F.when(n("trigger_anomaly") > 0, F.format_string("Trigger pattern concentration: %d trigger detections in group", n("trigger_anomaly"))),
-            F.when(n("ood_anomaly") >= 3, F.format_string("OOD concentration: %d OOD samples in group", n("ood_anomaly"))),
+            F.when(n("duplicate_anomaly") >= 3, F.format_string(DUPLICATES, n("duplicate_anomaly"))),
+            F.when(n("trigger_anomaly") > 0, F.format_string(TRIGGERS, n("trigger_anomaly"))),
+            F.when(n("ood_anomaly") >= 3, F.format_string(OUTLIERS, n("ood_anomaly"))),
         )
     )
-    reason = F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(F.format_string("Elevated aggregate anomaly rate (%.1f%% vs %.1f%% baseline, z=%.1f)", share, percent, "z"))
+    reason = F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(F.format_string(AGGREGATE, share, percent, "z"))
     return joined.select(
         F.concat(F.lit("group_"), "group_type", F.lit("_"), "group_id").alias("finding_id"),
         *groups,
@@ -90,7 +100,7 @@ def findings(found: DataFrame, provenance: DataFrame, key: str, dimensions: list
         "confidence",
         "severity",
         F.lit("REVIEW").alias("disposition"),
-        F.when(n("label_anomaly") > 0, "Elevated systematic annotation anomaly").otherwise("Elevated integrity risk").alias("finding"),
+        F.when(n("label_anomaly") > 0, SYSTEMATIC).otherwise(ELEVATED).alias("finding"),
         reason.alias("reason"),
         F.when(F.col("confusion").isNotNull(), F.format_string("%s (%dx)", "confusion", "__times")).alias("dominant_confusion"),
         F.col("z").alias("z_score"),
