@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules, text, vectors
+from plumbline.functions import text, vectors
 from plumbline.operators import chain, drift, duplicates, evaluate, evidence, findings, fourier, fusion, governance, groups, label_noise, ledger, models, neighbours, outliers, patterns, profile, quantiles, report, reports, validate
 from plumbline.streaming import operators as streams
 from plumbline.tables import durable, shared_folder

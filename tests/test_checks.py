@@ -2,7 +2,6 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from plumbline.operators import checks, evaluate, fusion, label_noise, validate
 from plumbline.sources import annotations
