@@ -684,7 +684,7 @@ def attribution_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with e as (select event_type, 29 - floor((epoch(timestamp '2024-01-31 00:00:00') - epoch(ts)) / 86400)::int as bucket from events where ts <= timestamp '2024-01-31 00:00:00'), s as (select event_type, unnest(range(0, 30))::int as bucket from (select distinct event_type from events))
 select bucket, event_type, count(e.event_type) as n from s left join e using (bucket, event_type) group by all""")
 def activity_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.activity_series(table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp"))), "ts", "event_type", "2024-01-31 00:00:00", 30, 86400)
+    return reports.activity_series(table(spark, sf_dir, "events"), "ts", "event_type", "2024-01-31 00:00:00", 30, 86400)
 
 
 @query("""with a as (select case when o_totalprice > 300000 then 'unassigned' else o_custkey::varchar end as contributor, o_orderstatus as kind from orders), c as (select contributor, kind, count(*) as n from a group by all)

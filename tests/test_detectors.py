@@ -283,3 +283,12 @@ def test_guards(spark):
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert dict(map(tuple, components(links).collect())) == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_activity_counts_parts_of_a_second(spark):
+    """A row a microsecond behind an edge belongs to the later bucket, and one behind the end to none."""
+    from plumbline.operators import reports
+
+    rows = spark.sql("select 'm' as m, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s) as ts from values (0.0), (10.0), (10.000001), (19.999999), (20.0), (20.000001) as v(s)")
+    got = reports.activity_series(rows, "ts", "m", "2024-01-01 00:00:20", 2, 10)
+    assert sorted((r["bucket"], r["n"]) for r in got.collect()) == [(0, 1), (1, 3)]
