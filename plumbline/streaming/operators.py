@@ -41,28 +41,41 @@ def count_windows(stream: DataFrame, key: str, item: str, ts: str, windows: Wind
     return rows.groupBy("key").applyInPandasWithState(fold, "key string, window_no long, items array<long>, first_ts timestamp, last_ts timestamp", "number long, items array<long>, times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def replays(stream: DataFrame, nonce: str, item: str, ts: str, keep: str = "2 days") -> DataFrame:
-    """(nonce, item, ts) of events whose nonce was used before; a nonce is forgotten `keep` after the watermark passed its last use."""
+def replays(stream: DataFrame, nonce: str, item: str, ts: str, keep: str = "2 days", buckets: int = 4096) -> DataFrame:
+    """(nonce, item, ts) of events whose nonce was used before; a nonce is forgotten `keep` after the watermark passed its last use.
+
+    Nonces are dealt by hash over `buckets`, each a group with the nonces in use as its state, as a group for each nonce
+    costs a call for each. A micro-batch writes the state of the buckets that it meets anew.
+    """
     millis = pd.Timedelta(keep).value // 1_000_000
 
     def fold(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known = dict(zip(*state.get)) if state.exists else {}
+        now, used, first = state.getCurrentWatermarkMs(), {}, None
+        for rows in [] if state.hasTimedOut else parts:
+            latest = rows.groupby("nonce", sort=False)["at"].max()
+            for own, at in zip(latest.index.tolist(), latest.tolist()):
+                used[own] = max(used.get(own, now), at)
+            old = rows["nonce"].isin(set(known))
+            yield rows.loc[old, ["nonce", "item", "ts"]]
+            # of a new nonce all but the first use so far are replays
+            fresh = rows.loc[~old, ["nonce", "item", "ts"]]
+            fresh = (fresh if first is None else pd.concat([first, fresh])).sort_values(["nonce", "ts", "item"])
+            again = fresh.duplicated("nonce")
+            yield fresh[again]
+            first = fresh[~again]
+        for own, at in used.items():
+            known[own] = max(known.get(own, 0), at + millis)
+        held = {own: until for own, until in known.items() if until >= now}
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(min(held.values()))
+        elif state.exists:
             state.remove()
-            return
-        used, latest, first = state.get[0] if state.exists else 0, state.getCurrentWatermarkMs(), None
-        fresh = not used
-        for rows in parts:
-            used, latest = used + len(rows), max(latest, int(rows["ts"].max().value // 1_000_000))
-            if fresh:
-                # all but the first use so far are replays
-                rows = pd.concat([rows] if first is None else [first, rows]).sort_values(["ts", "item"])
-                first, rows = rows.iloc[:1], rows.iloc[1:]
-            yield rows
-        state.update((used,))
-        state.setTimeoutTimestamp(latest + millis)
-
-    rows = stream.select(F.col(nonce).alias("nonce"), F.col(item).cast("long").alias("item"), F.col(ts).cast("timestamp").alias("ts")).filter(F.length("nonce") > 0)
-    return rows.withWatermark("ts", "1 hour").groupBy("nonce").applyInPandasWithState(fold, "nonce string, item long, ts timestamp", "used long", "append", GroupStateTimeout.EventTimeTimeout)
+
+    rows = stream.select(F.col(nonce).cast("string").alias("nonce"), F.col(item).cast("long").alias("item"), F.col(ts).cast("timestamp").alias("ts")).filter(F.length("nonce") > 0)
+    dealt = rows.withWatermark("ts", "1 hour").select("*", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("at"), F.pmod(F.xxhash64("nonce"), F.lit(buckets)).cast("int").alias("bucket"))
+    return dealt.groupBy("bucket").applyInPandasWithState(fold, "nonce string, item long, ts timestamp", "nonces array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class _Chain(StatefulProcessor):

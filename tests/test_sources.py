@@ -187,6 +187,20 @@ def test_replays_of_a_hot_nonce_over_many_batches(spark, tmp_path):
     assert sorted(r["item"] for r in got) == sorted(set(range(60)) - set(last.values()))
 
 
+def test_replays_keep_their_state_by_buckets_and_forget(spark, tmp_path):
+    """Nonces share a bucket's state; one is forgotten when the watermark is past its last use by more than `keep`."""
+    source = str(tmp_path / "in")
+    at = [(f"n{i}", i, 10_000 + i) for i in range(200)], [("n0", 300, 10_500), ("late", 301, 60_000)], [("n0", 302, 60_100), ("n1", 303, 60_200), ("late", 304, 60_300)]
+    for rows in at:
+        spark.createDataFrame(rows, "nonce string, id long, s long").select("nonce", "id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("nonce string, id long, ts timestamp").parquet(source)
+        done = streams.replays(stream, "nonce", "id", "ts", "2 hours", buckets=3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        done.awaitTermination()
+        assert all(p["stateOperators"][0]["numRowsTotal"] <= 3 for p in done.recentProgress)
+    # n0 and n1 are forgotten by the last batch, late is not
+    assert sorted(r["item"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [300, 304]
+
+
 def test_reference_refuses_what_its_manifest_does_not_say(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), f"h{i}", [float(i), 1.0]) for i in range(5)], "sample_id string, sha256 string, embedding array<double>")
     reference.build(rows, str(tmp_path), "b")
