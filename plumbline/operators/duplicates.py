@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.vectors import unit
 from plumbline.tables import durable
 
-#: Rows of one side of a tile; a tile is one task's matrix product.
-TILE_ROWS = 2_000
+#: Rows of one side of a tile, a matrix product, and blocks of so many rows in a file.
+TILE_ROWS, FILE_BLOCKS = 2_000, 16
 
 
 def exact_groups(frame: DataFrame, key: str, content: str) -> DataFrame:
@@ -19,40 +22,126 @@ def exact_groups(frame: DataFrame, key: str, content: str) -> DataFrame:
     return frame.groupBy(F.sha2(F.col(content).cast("binary"), 256).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first_id")).filter("n > 1")
 
 
-def _tiles(frame: DataFrame, key: str, block: str, ordered: bool) -> DataFrame:
-    """Rows copied to each tile (i, j) that they belong to: with `ordered` only tiles with i <= j, and i = own or j = own."""
-    n_blocks = max(1, -(-frame.count() // TILE_ROWS))
-    own = frame.withColumn(block, F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
-    spread = own.select("*", other)
-    if ordered:
-        return spread.select("*", F.least(block, "other").alias("i"), F.greatest(block, "other").alias("j"))
-    queries = spread.select("*", F.col(block).alias("i"), F.col("other").alias("j"), F.lit(True).alias("is_query"))
-    return queries.unionByName(spread.select("*", F.col("other").alias("i"), F.col(block).alias("j"), F.lit(False).alias("is_query")))
+def _blocks(rows: DataFrame, *more: str) -> DataFrame:
+    """(block, ids, v, *more): `rows` (id, v, *more) packed into rows of at most about TILE_ROWS in the order of their ids.
+
+    Blocks are written once and then meet as a Cartesian product of rows: every task reads the blocks that it needs, and
+    no row is copied to tiles by a shuffle.
+    """
+    n_blocks = max(1, -(-rows.count() // TILE_ROWS))
+    fields = ["id", *more]
+
+    def packed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", ignore_index=True)
+        return pd.DataFrame({"block": part["block"].iloc[:1], **{name: [part[name].to_numpy()] for name in fields}, "v": [np.stack(part["v"]).tobytes()]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    kinds = ", ".join(f"{name} array<{rows.schema[name].dataType.simpleString()}>" for name in fields)
+    return durable(dealt.groupBy("block").applyInPandas(packed, f"block int, {kinds}, v binary"), FILE_BLOCKS)
+
+
+def _met(blocks: DataFrame, *fields: str, ordered: bool = False) -> DataFrame:
+    """Pairs of blocks, the first one's fields as q_ and the other's as b_; all pairs of a task's first block come in a row.
+
+    A task holds the other blocks of one partition, which files of FILE_BLOCKS blocks bound.
+    """
+    first, other = (blocks.select(*(F.col(name).alias(f"{side}_{name}") for name in ("block", "v", *fields))) for side in "qb")
+    spread = first.repartition(2 * blocks.sparkSession.sparkContext.defaultParallelism, "q_block")
+    met = spread.crossJoin(other.hint("shuffle_replicate_nl"))
+    return met.filter("q_block <= b_block") if ordered else met
+
+
+def _matrix(packed: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(packed).reshape(rows, -1)
+
+
+def _array(column: pa.Array) -> np.ndarray:
+    """Texts as such instead of as objects, which can't be sorted by several keys."""
+    values = column.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
+def _directed(frame: DataFrame, key: str, vector: str) -> DataFrame:
+    return frame.select(F.col(key).alias("id"), unit(F.col(vector).cast("array<double>")).alias("v")).filter("v is not null")
 
 
 def near_pairs(frame: DataFrame, key: str, vector: str, threshold: float = 0.99) -> DataFrame:
     """(id_a, id_b, similarity) with id_a < id_b and a cosine of `threshold` or more, to 6 places, by exact tiles.
 
-    Zero vectors have no direction and are left out. The work is that of all pairs, in tiles of at most
-    2 * TILE_ROWS rows each; near_pairs_lsh is the way for tables where that is too much.
+    Zero vectors have no direction and are left out. The work is that of all pairs, in tiles of about
+    TILE_ROWS rows a side; near_pairs_lsh is the way for tables where that is too much.
     """
-    rows = frame.select(F.col(key).alias("id"), unit(F.col(vector).cast("array<double>")).alias("v")).filter("v is not null")
+    rows = _directed(frame, key, vector)
     kind = rows.schema["id"].dataType.simpleString()
 
-    def pairs(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", ignore_index=True)
-        diagonal = part["i"].iat[0] == part["j"].iat[0]
-        left = part if diagonal else part[part["block"] == part["i"]]
-        right = part if diagonal else part[part["block"] == part["j"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id_a": [], "id_b": [], "similarity": []}).astype({"id_a": part["id"].dtype, "id_b": part["id"].dtype})
-        cosines = np.stack(left["v"]) @ np.stack(right["v"]).T
-        a, b = np.nonzero(np.triu(cosines, 1) >= threshold if diagonal else cosines >= threshold)
-        ids = np.sort(np.stack([left["id"].to_numpy()[a], right["id"].to_numpy()[b]]), axis=0)
-        return pd.DataFrame({"id_a": ids[0], "id_b": ids[1], "similarity": cosines[a, b].round(6)})
-
-    return _tiles(rows, "id", "block", True).groupBy("i", "j").applyInPandas(pairs, f"id_a {kind}, id_b {kind}, similarity double")
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                tile = {name: batch.column(name)[at] for name in batch.schema.names}
+                left, right = (tile[f"{side}_id"].values.to_numpy(zero_copy_only=False) for side in "qb")
+                cosines = _matrix(tile["q_v"].as_py(), len(left)) @ _matrix(tile["b_v"].as_py(), len(right)).T
+                diagonal = tile["q_block"].as_py() == tile["b_block"].as_py()
+                a, b = np.nonzero(np.triu(cosines, 1) >= threshold if diagonal else cosines >= threshold)
+                ids = np.sort(np.stack([left[a], right[b]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[0], batch.schema.field("q_id").type.value_type), pa.array(ids[1], batch.schema.field("q_id").type.value_type), pa.array(cosines[a, b].round(6))], ["id_a", "id_b", "similarity"])
+
+    return _met(_blocks(rows), "id", ordered=True).mapInArrow(pairs, f"id_a {kind}, id_b {kind}, similarity double")
+
+
+def best_partners(frame: DataFrame, key: str, vector: str, threshold: float = 0.99) -> DataFrame:
+    """best_partner(near_pairs(...)) without the pairs: a task hands on one row for each row that it has met, not one a pair."""
+    rows = _directed(frame, key, vector)
+
+    def best(tile: dict, held: tuple | None) -> tuple:
+        left, right = tile["q_id"], tile["b_id"]
+        cosines = _matrix(tile["q_v"], len(left)) @ _matrix(tile["b_v"], len(right)).T
+        cosines[left[:, None] == right[None, :]] = -np.inf
+        top = cosines.max(axis=1)
+        # the least id of those that round to the same; ids come sorted
+        a, b = np.nonzero((cosines >= threshold) & (cosines >= top[:, None] - 2e-6))
+        near = cosines[a, b].round(6)
+        order = np.lexsort((b, -near, a))
+        a, at = np.unique(a[order], return_index=True)
+        found, partner = np.full(len(left), -np.inf), np.repeat(right[:1], len(left))
+        found[a], partner[a] = near[order][at], right[b[order][at]]
+        if held is None:
+            return found, partner
+        better = (found > held[0]) | ((found == held[0]) & (partner < held[1]))
+        return np.where(better, found, held[0]), np.where(better, partner, held[1])
+
+    def told(ids: np.ndarray, held: tuple) -> tuple:
+        good = np.isfinite(held[0])
+        return ids[good], held[1][good], held[0][good]
+
+    found = _reduced(_blocks(rows), best, told, "id", "partner", "similarity")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "partner"))
+    return found.withColumn("n", first).filter("n = 1").drop("n")
+
+
+def _reduced(blocks: DataFrame, step: Callable, told: Callable, *names: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, id of another row, double): what `step` keeps of a block over all other blocks of a task, as `told` writes it."""
+    kind = blocks.schema["id"].dataType.elementType.simpleString()
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, held = None, None, None
+
+        def out() -> pa.RecordBatch:
+            own, other, value = told(ids, held)
+            return pa.RecordBatch.from_arrays([pa.array(own, id_kind), pa.array(other, id_kind), pa.array(value, pa.float64())], list(names))
+
+        for batch in batches:
+            id_kind = batch.schema.field("q_id").type.value_type
+            for at in range(batch.num_rows):
+                tile = {name: _array(x.values) if isinstance(x := batch.column(name)[at], pa.ListScalar) else x.as_py() for name in batch.schema.names}
+                if block is not None and tile["q_block"] != block:
+                    yield out()
+                    held = None
+                block, ids = tile["q_block"], tile["q_id"]
+                held = step(tile, held)
+        if held is not None:
+            yield out()
+
+    return _met(blocks, "id", *more).mapInArrow(reduce, f"{names[0]} {kind}, {names[1]} {kind}, {names[2]} double")
 
 
 def near_pairs_lsh(frame: DataFrame, key: str, vector: str, threshold: float = 0.99, tables: int = 8) -> DataFrame:
@@ -82,33 +171,39 @@ def best_partner(pairs: DataFrame) -> DataFrame:
 def nearest(frame: DataFrame, key: str, vector: str, k: int, within: str | None = None) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest other rows by Euclidean distance, ties by id.
 
-    Each tile keeps of its rows the k nearest and all as near as the k-th, and these meet by query, so a row's
-    neighbours take k rows a tile. With `within`, only rows of another value of that column count
-    (training rows for a fold).
+    A task holds a block of rows against all blocks of another partition one by one and keeps k of each row, so that
+    what is shuffled is k rows a row and partition, not a tile. With `within`, only rows of another value of that
+    column count (training rows for a fold).
     """
     fold = F.col(within).cast("int") if within else F.lit(-1)
     rows = frame.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), fold.alias("fold"))
-    kind = rows.schema["id"].dataType.simpleString()
 
-    def candidates(part: pd.DataFrame) -> pd.DataFrame:
-        queries, base = part[part["is_query"]], part[~part["is_query"]]
-        empty = pd.DataFrame({"id": [], "neighbour": [], "distance": []}).astype({"id": part["id"].dtype, "neighbour": part["id"].dtype})
-        if not len(queries) or not len(base):
-            return empty
-        q, b = np.stack(queries["v"]), np.stack(base["v"])
-        d2 = (q**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * q @ b.T
-        qi, bi = queries["id"].to_numpy(), base["id"].to_numpy()
+    def step(tile: dict, held: tuple | None) -> tuple:
+        """(row, distance, neighbour) of the nearest so far, by row, distance and neighbour."""
+        qi, bi = tile["q_id"], tile["b_id"]
+        q, b = _matrix(tile["q_v"], len(qi)), _matrix(tile["b_v"], len(bi))
+        d2 = np.maximum((q**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * q @ b.T, 0)
         barred = qi[:, None] == bi[None, :]
         if within:
-            barred |= queries["fold"].to_numpy()[:, None] == base["fold"].to_numpy()[None, :]
-        d2 = np.where(barred, np.inf, np.maximum(d2, 0))
-        last = np.partition(d2, min(k, len(base)) - 1, axis=1)[:, min(k, len(base)) - 1]
+            barred |= tile["q_fold"][:, None] == tile["b_fold"][None, :]
+        d2[barred] = np.inf
+        last = np.partition(d2, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+        if held is not None:
+            rows_, kth = held[0][k - 1 :], held[1][k - 1 :] ** 2
+            full = rows_ == held[0][: len(rows_)]  # the k-th of a row that has k
+            last[rows_[full]] = np.minimum(last[rows_[full]], kth[full])
         scale = (q**2).sum(1) + (b**2).sum(1).max()
         # the products round differently from the exact distances, so that near ties stay until these are known
         a, c = np.nonzero(np.isfinite(d2) & (d2 <= np.where(np.isfinite(last), last + 1e-9 * scale, np.inf)[:, None]))
-        found = pd.DataFrame({"id": qi[a], "neighbour": bi[c], "distance": np.sqrt(((q[a] - b[c]) ** 2).sum(1))})
-        return found.sort_values(["id", "distance", "neighbour"]).groupby("id", sort=False).head(k)
-
-    tiles = _tiles(rows, "id", "block", False).groupBy("i", "j").applyInPandas(candidates, f"id {kind}, neighbour {kind}, distance double")
+        found = a, np.sqrt(((q[a] - b[c]) ** 2).sum(1)), bi[c]
+        if held is not None:
+            found = tuple(np.concatenate(x) for x in zip(held, found))
+        order = np.lexsort(found[::-1])
+        found = tuple(x[order] for x in found)
+        start = np.searchsorted(found[0], found[0])
+        kept = np.arange(len(start)) - start < k
+        return tuple(x[kept] for x in found)
+
+    tiles = _reduced(_blocks(rows, "fold"), step, lambda ids, held: (ids[held[0]], held[2], held[1]), "id", "neighbour", "distance", more=("fold",))
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
     return tiles.groupBy("id").agg(best.alias("b")).select("id", F.posexplode("b").alias("rank", "n")).select("id", F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))

@@ -171,7 +171,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with p as (select id_a, id_b, round(s, 6) as s from ({_PAIRS}) where s >= 0.35), e as (select id_a as id, id_b as partner, s from p union all select id_b, id_a, s from p) select id, arg_min(partner, (-s, partner)) as partner, round(max(s), 4) as similarity from e group by id")
 def duplicate_best_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.best_partner(duplicates.near_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35)).withColumn("similarity", F.round("similarity", 4))
+    return duplicates.best_partners(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.35).withColumn("similarity", F.round("similarity", 4))
 
 
 _NEAREST = "select a.vec_id as id, a.label, b.vec_id as neighbour, b.label as near, list_distance(a.embedding::double[], b.embedding::double[]) as d from embeddings a join embeddings b on a.vec_id <> b.vec_id qualify row_number() over (partition by a.vec_id order by d, b.vec_id) <= 5"

@@ -292,3 +292,16 @@ def test_activity_counts_parts_of_a_second(spark):
     rows = spark.sql("select 'm' as m, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, s) as ts from values (0.0), (10.0), (10.000001), (19.999999), (20.0), (20.000001) as v(s)")
     got = reports.activity_series(rows, "ts", "m", "2024-01-01 00:00:20", 2, 10)
     assert sorted((r["bucket"], r["n"]) for r in got.collect()) == [(0, 1), (1, 3)]
+
+
+def test_exact_tiles_shuffle_rows_once(spark, monkeypatch):
+    """Rows are not copied to tiles, so more tiles shuffle no more; partners come out as from all pairs."""
+    rows = spark.createDataFrame([(i, [float((i * 37 + j * j * 11) % 23 - 11) for j in range(5)]) for i in range(300)], "id long, v array<double>")
+    want = sorted(tuple(r) for r in duplicates.best_partner(duplicates.near_pairs(rows, "id", "v", 0.6)).collect())
+    near = sorted(tuple(r) for r in duplicates.nearest(rows, "id", "v", 4).collect())
+    monkeypatch.setattr(duplicates, "TILE_ROWS", 25)
+    assert sorted(tuple(r) for r in duplicates.best_partners(rows, "id", "v", 0.6).collect()) == want
+    assert sorted(tuple(r) for r in duplicates.nearest(rows, "id", "v", 4).collect()) == near
+    for tiled in (duplicates.nearest(rows, "id", "v", 4), duplicates.near_pairs(rows, "id", "v", 0.6)):
+        plan = tiled._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "FlatMapGroupsInPandas" not in plan
