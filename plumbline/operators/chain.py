@@ -15,6 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from plumbline.functions.text import canonical_value
 from plumbline.operators.profile import placed
+from plumbline.tables import together
 
 GENESIS = "0" * 64
 
@@ -80,7 +81,7 @@ def _folded(events: DataFrame, chain: str, seq: str, form: Form, kept: list[str]
             yield _batch([(at, n, last)], pa.array([at]).type)
 
     plain = events.select(F.col(chain).alias("chain"), F.col(seq).alias("seq"), *(F.col(name).alias(f"kept{i}") for i, name in enumerate(kept)), form.before.alias("before"), form.behind.alias("behind"))
-    ordered = plain.repartition("chain").sortWithinPartitions("chain", "seq")
+    ordered = together(plain, "chain").sortWithinPartitions("chain", "seq")
     if heads:
         return ordered.mapInArrow(fold, f"chain {plain.schema['chain'].dataType.simpleString()}, n long, head string").withColumnRenamed("chain", chain)
     schema = StructType([f for f in plain.schema.fields if f.name not in ("before", "behind")]).add("previous_hash", "string").add("event_hash", "string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.graph import components
 from plumbline.operators.profile import placed
-from plumbline.tables import durable
+from plumbline.tables import durable, together
 
 #: Rounds of joins before the rows still open are folded.
 ROUNDS = 8
@@ -74,8 +74,8 @@ def _winners(rows: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
     else:
-        together = _classes(left).repartition("component").sortWithinPartitions("component", "seq")
-        won.append(durable(together.select("component", "seq", "asset", "hash").mapInPandas(_fold, left.schema)))
+        ordered = together(_classes(left), "component").sortWithinPartitions("component", "seq")
+        won.append(durable(ordered.select("component", "seq", "asset", "hash").mapInPandas(_fold, left.schema)))
     return reduce(DataFrame.unionByName, won)
 
 

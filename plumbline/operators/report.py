@@ -11,6 +11,9 @@ form, the overall assessment, the hashes that bind evidence and the chain of eve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,9 +22,10 @@ from plumbline.functions.text import canonical, canonical_value
 from plumbline.operators import chain, governance
 from plumbline.operators.evidence import CATEGORIES, DISPOSITIONS, SEVERITIES, STATUSES
 from plumbline.operators.profile import placed
-from plumbline.tables import durable
+from plumbline.tables import durable, together
 
-PAGE = 1_000
+#: Rows of a page, and pages of a file.
+PAGE, FILE_PAGES = 1_000, 32
 SCHEMA_VERSION = "1.1"
 # The fields of the rows of each part.
 FINDING = "finding_id string, category string, asset_id string, status string, severity string, confidence double, title string, reason string, ts string, module_name string, evidence_hash string, disposition string, priority string"
@@ -46,10 +50,32 @@ def _pages(rows: DataFrame, part: str, page: int) -> DataFrame:
     kind = StructType.fromDDL(schema)
     fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in kind.fields]
     body = canonical_value(F.struct(*fields), kind)
-    written = durable(rows.select(F.col("assessment_id").alias("run"), F.col(key).alias("at"), body.alias("body")))  # the texts are made once
-    ordered = placed(written, "run", "at", "body")
-    paged = ordered.groupBy(F.col("run").alias("assessment_id"), F.floor(F.col("__place") / page).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("__place", "body"))).alias("b"))
-    return paged.select("assessment_id", F.lit(part).alias("part"), "page", F.size("b").cast("long").alias("rows"), F.concat(F.lit("["), F.array_join("b.body", ","), F.lit("]")).alias("payload"))
+    written = durable(rows.select(F.col("assessment_id").cast("string").alias("run"), F.col(key).alias("at"), body.alias("body")))  # the texts are made once
+    ordered = placed(written, "run", "at", "body").select("run", F.floor(F.col("__place") / page).cast("int").alias("page"), "__place", "body")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bodies = None, []
+        texts = lambda: (*at, len(bodies), "[" + ",".join(bodies) + "]")
+        for rows in batches:
+            out = []
+            for run, number, body in zip(*(rows[name].to_pylist() for name in ("run", "page", "body"))):
+                if bodies and (run, number) != at:
+                    out.append(texts())
+                    bodies = []
+                at = run, number
+                bodies.append(body)
+            yield _paged(out)
+        if bodies:
+            yield _paged([texts()])
+
+    # the pages' rows are sorted, not gathered, so that a task holds one batch and one page
+    paged = together(ordered, "run", "page").sortWithinPartitions("run", "page", "__place").mapInArrow(joined, "assessment_id string, page int, rows long, payload string")
+    return paged.select("assessment_id", F.lit(part).alias("part"), "page", "rows", "payload")
+
+
+def _paged(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"assessment_id": pa.string(), "page": pa.int32(), "rows": pa.int64(), "payload": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [()] * 4, kinds.values())], list(kinds))
 
 
 def assemble(runs: DataFrame, findings: DataFrame, checks: DataFrame, coverage: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
@@ -59,7 +85,7 @@ def assemble(runs: DataFrame, findings: DataFrame, checks: DataFrame, coverage:
     """
     tables = {"findings": findings, "checks": checks, "coverage": coverage, "events": events}
     pages = [_pages(rows.join(runs.select("assessment_id"), "assessment_id", "left_semi"), part, page) for part, rows in tables.items()]
-    parts = durable(pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3]).withColumn("digest", F.sha2("payload", 256)))
+    parts = durable(pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3]).withColumn("digest", F.sha2("payload", 256)), FILE_PAGES)
     listed = parts.groupBy("assessment_id").agg(F.array_sort(F.collect_list(F.struct("part", "page", "rows", "digest"))).alias("parts"))
     overall = governance.overall(findings, "assessment_id").select("assessment_id", F.struct("overall_status", "disposition").alias("overall_assessment"))
     unknown = F.struct(F.lit("NOT_ASSESSED").alias("overall_status"), F.lit("REVIEW").alias("disposition"))

@@ -598,7 +598,7 @@ def report_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = rows.groupBy("assessment_id").agg(F.min("row_index").alias("first"))
     events = rows.join(first, "assessment_id").select("assessment_id", (F.col("row_index") - F.col("first")).alias("sequence_index"), text.iso_utc("ts").alias("timestamp"), "event_type", F.concat(F.lit("user-"), "user_id").alias("actor"), F.array(F.col("event_id").cast("string")).alias("reference_ids"), F.create_map(F.lit("props"), "props").alias("data"))
     runs = checks.select("assessment_id", F.lit("2024-01-01T00:00:00Z").alias("assessment_timestamp")).distinct()
-    documents = durable(report.assemble(runs, found, checks, coverage, report.audit_events(events)))
+    documents = durable(report.assemble(runs, found, checks, coverage, report.audit_events(events)), report.FILE_PAGES)
     kept = documents.filter("not (assessment_id = 'run-1' and part = 'events' and page = 0)")
     return report.verify(kept).select("assessment_id", "verdict", "parts")
 

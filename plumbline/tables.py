@@ -8,7 +8,8 @@ import threading
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _open = threading.local()
 
@@ -27,18 +28,28 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoints-")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def together(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """`df` with all rows of a key in one task.
+
+    Partitioned by a hash of the keys instead of the keys: Spark drops a repartition by keys that a join below has
+    dealt by already, and may then split that join's hot keys over tasks.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
+def durable(df: DataFrame, file_rows: int = 0) -> DataFrame:
     """Cut the lineage of `df` by writing it as a table to the shared folder.
 
     The table is read back with the written schema, so a lost executor costs no more than reading it again.
     It stays until the folder's owner clears it, like a checkpoint, as results may be read at any time, unless
-    it was written inside `written`.
+    it was written inside `written`. A reader holds a batch of up to 4,096 rows of a file at a time: of rows that are large
+    themselves let a file have no more than `file_rows`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
     if getattr(_open, "paths", None) is not None:
         _open.paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rules, text, vectors
 from plumbline.operators import chain, evaluate, evidence, findings, fusion, governance, groups, ledger, models, validate
+from plumbline.tables import durable
 
 
 def value(spark, column):
@@ -368,3 +369,18 @@ def test_report_forms(spark):
     text = json.dumps(good)
     digests = spark.createDataFrame([(text, hashlib.sha256(text.encode()).hexdigest().upper()), (text, "0" * 64), (text, None)], "report string, digest string")
     assert [r["digest_ok"] for r in evidence.with_report_digest(digests, "report").collect()] == [True, False, False]
+
+
+def test_a_chain_is_dealt_to_one_task_above_a_join(spark):
+    """A repartition by the key of a join below it is dropped, and the join's rows may then be read in pieces."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = durable(spark.range(4_000, numPartitions=8).select(F.concat(F.lit("c"), F.col("id") % 2).alias("chain"), F.col("id").alias("seq"), F.col("id").cast("string").alias("payload")))
+        built = chain.build(rows.join(rows.groupBy("chain").agg(F.min("seq").alias("first")), "chain"), "chain", "seq", "payload")
+        assert "REPARTITION_BY_COL" in built._jdf.queryExecution().executedPlan().toString()
+        own = [tuple(r) for r in built.filter("chain = 'c1'").select("seq", "previous_hash", "event_hash").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [seq for seq, _, _ in own] == list(range(1, 4_000, 2))
+    assert [b for _, b, _ in own] == [chain.GENESIS, *(hashed for _, _, hashed in own[:-1])]
