@@ -73,3 +73,66 @@ def test_planted_flips_are_found_either_way(spark, way):
     flips = {4, 35, 51}
     frame = spark.createDataFrame([(i, v, str(1 - int(c)) if i in flips else c) for i, v, c in rows], "id long, v array<double>, label string")
     assert {r["id"] for r in label_noise.find(frame, "id", "v", "label", label_noise.Config(neighbours=way)).collect()} == flips
+
+
+def shuffled(spark, write):
+    """Rows that the stages of `write` shuffle."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def rows():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = rows()
+    write()
+    return sum(n for stage, n in rows().items() if stage not in before)
+
+
+def test_the_shuffle_grows_no_faster_than_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "TILE_ROWS", 20)
+    rng, each = np.random.default_rng(5), []
+    for n in (3000, 15000):
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.uniform(size=(n, 3)))], "id long, v array<double>").repartition(4).localCheckpoint()
+        each.append(shuffled(spark, lambda: neighbours.nearest(frame, "id", "v", 5).write.format("noop").mode("overwrite").save()) / n)
+    assert each[1] <= 1.05 * each[0] and each[1] < 7
+
+
+def test_no_cell_with_something_nearer_is_left_out():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(2000, 3)) + [12_000, 0, -500]  # far from the origin, where products round
+    index = neighbours.Index(rows[:60], 60, 1.0)
+    cells = index.cells(rows, 60)
+    distances = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))
+    bound, opened = np.sort(distances, axis=1)[:, 5], 0
+    for own in range(60):
+        of = np.nonzero(cells[:, 0] == own)[0]
+        is_open = index.open(rows[of], cells[of], bound[of])
+        assert is_open[:, 0].all()
+        opened += is_open.sum()
+        for row, asks, order in zip(of, is_open, cells[of]):
+            assert set(cells[distances[row] <= bound[row], 0]) <= set(order[asks])
+    assert opened < 2000 * 20
+
+
+@pytest.mark.parametrize("within", [None, "fold"])
+def test_texts_as_ids_and_many_equal_vectors(spark, monkeypatch, within):
+    monkeypatch.setattr(duplicates, "TILE_ROWS", 7)
+    rng = np.random.default_rng(8)
+    points = rng.uniform(size=(300, 2))
+    copies = np.concatenate([np.arange(300), rng.integers(0, 300, 300), np.full(40, 7)])
+    frame = spark.createDataFrame([(f"r{i:04}", points[c].tolist(), int(rng.integers(0, 3))) for i, c in enumerate(copies)], "id string, v array<double>, fold int").repartition(4).localCheckpoint()
+    index = neighbours.Index(points[:30], 10, 1.0)
+    got = neighbours.nearest(frame, "id", "v", 4, within, index=index)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, duplicates.nearest(frame, "id", "v", 4, within).collect()))
+
+
+def test_a_vector_that_is_no_number_disturbs_no_other(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.uniform(size=(400, 2)))]
+    centres = np.array([v for _, v in rows[:20]])
+    odd = [(1000, [float("nan"), 0.5]), (1001, [float("nan"), 0.5]), (1002, [float("inf"), 0.5])]
+    plain, with_odd = (spark.createDataFrame(x, "id long, v array<double>").repartition(2) for x in (rows, rows + odd))
+    want, got = (sorted(map(tuple, neighbours.nearest(x, "id", "v", 3, index=neighbours.Index(centres, 6, 1.0)).collect())) for x in (plain, with_odd))
+    assert [x for x in got if x[0] < 1000] == want
+    assert [x for x in got if x[0] >= 1000] == [(1000, 1001, 0.0, 1), (1001, 1000, 0.0, 1)]
