@@ -151,7 +151,15 @@ def canonical_double(value: Column) -> Column:
         body = F.when(size == 0, "0.0").when(size == float("inf"), "Infinity").otherwise(_bound(_bound(size, _digits_of), written))
         return F.when(F.isnan(v), "NaN").otherwise(F.concat(minus, body))
 
-    return _bound(value, lambda v: F.when(v.isNotNull(), text(v)))
+    # up to 15 digits tell doubles apart, and from 1e-3 to 1e7 the JVM writes them without an exponent
+    size, digits = F.abs(value), F.abs(value).cast("string")
+    short = (size >= 1e-3) & (size < 1e7) & (F.length(digits) <= 16) & (digits.endswith(".0") | ~digits.endswith("0"))
+    return F.when(short | (size == 0), value.cast("string")).otherwise(_bound(value, lambda v: F.when(v.isNotNull(), text(v))))
+
+
+def _single(size: Column, kind: DataType, first: Column, all_: Column, text: Callable[[Column], Column]) -> Column:
+    """The text of one string without a lambda, which Spark interprets, else that of all elements."""
+    return F.when(size == 1, text(first)).otherwise(all_) if isinstance(kind, StringType) else all_
 
 
 def canonical_value(value: Column, kind: DataType) -> Column:
@@ -164,11 +172,13 @@ def canonical_value(value: Column, kind: DataType) -> Column:
         fields = [F.concat(F.lit(json.dumps(f.name) + ":"), canonical_value(value[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
         text = F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")))
     elif isinstance(kind, ArrayType):
-        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical_value(x, kind.elementType)), ","), F.lit("]"))
+        element = lambda x: canonical_value(x, kind.elementType)
+        text = F.concat(F.lit("["), _single(F.size(value), kind.elementType, F.get(value, F.lit(0)), F.array_join(F.transform(value, element), ","), element), F.lit("]"))
     elif isinstance(kind, MapType):
         names = F.array_sort(F.map_keys(value))
         key = lambda k: canonical_string(k) if isinstance(kind.keyType, StringType) else F.concat(F.lit('"'), canonical_value(k, kind.keyType), F.lit('"'))
-        text = F.concat(F.lit("{"), F.array_join(F.transform(names, lambda k: F.concat(key(k), F.lit(":"), canonical_value(F.element_at(value, k), kind.valueType))), ","), F.lit("}"))
+        pair = lambda k: F.concat(key(k), F.lit(":"), canonical_value(F.element_at(value, k), kind.valueType))
+        text = F.concat(F.lit("{"), _single(F.size(value), kind.valueType, F.get(names, F.lit(0)), F.array_join(F.transform(names, pair), ","), pair), F.lit("}"))
     elif isinstance(kind, (StringType, VarcharType, CharType)):
         text = canonical_string(value)
     elif isinstance(kind, (DoubleType, FloatType)):

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from plumbline.functions.text import canonical_value
 from plumbline.operators.profile import placed
-from plumbline.tables import together
+from plumbline.tables import durable, together
 
 GENESIS = "0" * 64
 
@@ -57,7 +57,7 @@ def _folded(events: DataFrame, chain: str, seq: str, form: Form, kept: list[str]
     """Chains as a stream of their events in order: what a task holds is one batch and the last hash."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last, n = None, GENESIS, 0
+        at, last, n, sha256 = None, GENESIS, 0, hashlib.sha256
         for rows in batches:
             out: list[tuple] = []
             for key, before, behind in zip(*(rows[name].to_pylist() for name in ("chain", "before", "behind"))):
@@ -67,10 +67,11 @@ def _folded(events: DataFrame, chain: str, seq: str, form: Form, kept: list[str]
                     n = 0
                 if not n:
                     at, last = key, GENESIS
-                hashed = hash_of(before, last or GENESIS, behind)
+                previous = last or GENESIS
+                last = None if before is None or behind is None else sha256(b"%b%b%b" % (before, previous.encode(), behind)).hexdigest()
                 if not heads:
-                    out.append((last or GENESIS, hashed))
-                n, last = n + 1, hashed
+                    out.append((previous, last))
+                n += 1
             if heads:
                 yield _batch(out, rows.schema.field("chain").type)
             else:
@@ -80,7 +81,7 @@ def _folded(events: DataFrame, chain: str, seq: str, form: Form, kept: list[str]
         if heads and n:
             yield _batch([(at, n, last)], pa.array([at]).type)
 
-    plain = events.select(F.col(chain).alias("chain"), F.col(seq).alias("seq"), *(F.col(name).alias(f"kept{i}") for i, name in enumerate(kept)), form.before.alias("before"), form.behind.alias("behind"))
+    plain = events.select(F.col(chain).alias("chain"), F.col(seq).alias("seq"), *(F.col(name).alias(f"kept{i}") for i, name in enumerate(kept)), form.before.cast("binary").alias("before"), form.behind.cast("binary").alias("behind"))
     ordered = together(plain, "chain").sortWithinPartitions("chain", "seq")
     if heads:
         return ordered.mapInArrow(fold, f"chain {plain.schema['chain'].dataType.simpleString()}, n long, head string").withColumnRenamed("chain", chain)
@@ -151,7 +152,8 @@ def verify(events: DataFrame, chain: str, seq: str, payload: str | Form) -> Data
             yield out([held])
 
     schema = StructType([StructField("chain", kind)]).add("part", "integer").add("n", "long").add("first_seq", "long").add("first_previous", "string").add("last_own", "string").add("at", "long").add("error", "string")
-    found = plain.repartitionByRange("chain", "seq").sortWithinPartitions("chain", "seq", "own").mapInArrow(segments, schema)
+    # written first, as ranges are drawn from a pass of their own
+    found = durable(plain).repartitionByRange("chain", "seq").sortWithinPartitions("chain", "seq", "own").mapInArrow(segments, schema)
     # one row for each chain and task that met it
     order = Window.partitionBy("chain").orderBy("part")
     start = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -36,10 +36,18 @@ class Windows:
 def indexed(frame: DataFrame, order: list[str], index: str = "row_index") -> DataFrame:
     """A 0-based global index in `order`, without one task seeing all rows: a range partitioning, then offsets.
 
-    The offsets are one number a partition. The parts are written first: run again with fewer columns they
-    could be cut elsewhere, and the offsets would not be theirs.
+    The parts are written first: run again with fewer columns they could be cut elsewhere, and the offsets would not be theirs.
     """
-    parted = durable(frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    return numbered(durable(in_parts(frame.repartitionByRange(*order), order)), index)
+
+
+def in_parts(ranges: DataFrame, order: list[str]) -> DataFrame:
+    """Sorted ranges with what numbered() needs of them."""
+    return ranges.sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+
+
+def numbered(parted: DataFrame, index: str = "row_index") -> DataFrame:
+    """The global index of a table of in_parts() that was written. The offsets are one number a partition."""
     part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     named = parted.withColumn("__part", part).withColumn("__within", within)
     counts = sorted((r["__part"], r["count"]) for r in named.groupBy("__part").count().collect())
@@ -48,7 +56,7 @@ def indexed(frame: DataFrame, order: list[str], index: str = "row_index") -> Dat
         offsets[number] = at
         at += n
     if not offsets:
-        return frame.withColumn(index, F.lit(0).cast("long"))
+        return parted.withColumn(index, F.lit(0).cast("long")).drop("__id")
     lookup = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair))
     return named.withColumn(index, (lookup[F.col("__part")] + F.col("__within")).cast("long")).drop("__id", "__part", "__within")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import LEVELS, change_level, relative_change, worst
 from plumbline.operators.drift import indexed
+from plumbline.tables import durable
 
 
 #: Rows of a digest's group.
@@ -63,8 +64,12 @@ def placed(frame: DataFrame, key: str, *order: str) -> DataFrame:
 
     Places come from global row numbers, so that a group of any size is sorted by many tasks.
     """
-    rows = indexed(frame, [key, *order], "__at")
-    groups = rows.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    return in_groups(indexed(frame, [key, *order], "__at"), key)
+
+
+def in_groups(rows: DataFrame, key: str) -> DataFrame:
+    """__place and __n of rows with a global number __at. Groups are written first, so that Spark knows whether they are few enough to go to all tasks."""
+    groups = durable(rows.groupBy(F.col(key).alias("__key")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")))
     return rows.join(groups, F.col(key).eqNullSafe(F.col("__key"))).withColumn("__place", F.col("__at") - F.col("__first")).drop("__at", "__key", "__first")
 
 
