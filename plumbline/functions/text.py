@@ -66,10 +66,10 @@ def canonical_string(value: Column) -> Column:
         short = F.when(part == "\n", r"\n").when(part == "\r", r"\r").when(part == "\t", r"\t").when(part == "\b", r"\b").when(part == "\f", r"\f")
         own = F.regexp_replace(F.lower(F.hex(F.encode(part, "UTF-16BE"))), "(.{4})", r"\\u$1")
         text = F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-        return F.coalesce(short, F.when(part.rlike("^[ -~]+$"), text).otherwise(own))
+        return F.coalesce(short, F.when(part.rlike(r"^[ -~]+\z"), text).otherwise(own))
 
     parts = F.regexp_extract_all(value, F.lit("[ -~]+|[^ -~]"), F.lit(0))
-    inner = F.when(value.rlike("^[ -~]*$"), plain).otherwise(F.array_join(F.transform(parts, escaped), ""))
+    inner = F.when(value.rlike(r"^[ -~]*\z"), plain).otherwise(F.array_join(F.transform(parts, escaped), ""))
     return F.concat(F.lit('"'), inner, F.lit('"'))
 
 
@@ -207,11 +207,11 @@ def canonical_hash(frame: DataFrame, *columns: str) -> Column:
 
 
 def is_hash(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return F.coalesce(value.rlike(r"^[0-9a-f]{64}\z"), F.lit(False))
 
 
 def is_signature(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[0-9a-fA-F]{128}$"), F.lit(False))
+    return F.coalesce(value.rlike(r"^[0-9a-fA-F]{128}\z"), F.lit(False))
 
 
 def found_in(needle: str, *columns: str) -> Column:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import canonical_double, canonical_value
+from plumbline.functions.text import canonical_double, canonical_string, canonical_value, is_hash
 from plumbline.operators import report
 from plumbline.tables import durable
 from test_neighbours import shuffled
@@ -110,3 +110,12 @@ def test_canonical_doubles_in_a_short_way(spark):
 def test_canonical_texts_of_one_string(spark, kind, values):
     frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
     assert [r[0] for r in frame.orderBy("i").select(canonical_value(F.col("v"), frame.schema["v"].dataType)).collect()] == [json.dumps(v, sort_keys=True, separators=(",", ":")) for v in values]
+
+
+def test_canonical_texts_that_end_a_line(spark):
+    """A regex's $ also matches before the last line's end."""
+    values = ["a\n", 'a"\r\n', "a ", "\n", "a\u0085", "a\n\n", "a\nb"]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    assert [r[0] for r in frame.orderBy("i").select(canonical_string(F.col("v"))).collect()] == [json.dumps(v) for v in values]
+    hashes = spark.createDataFrame([("a" * 64,), ("a" * 64 + "\n",)], "h string")
+    assert [r[0] for r in hashes.select(is_hash(F.col("h"))).collect()] == [True, False]
