@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.vectors import dot, norm, squared_distance, z_scores
+from plumbline.functions.vectors import given as once, norm, z_scores
 from plumbline.operators import neighbours
-from plumbline.operators.duplicates import nearest
+from plumbline.operators.duplicates import nearest, nearest_both
 from plumbline.operators.profile import folds, placed
+from plumbline.tables import durable
 
 
 #: Vectors from this length on are compared by direction, shorter ones by z-scores.
@@ -39,12 +42,13 @@ class Config:
 WAYS = {"exact": nearest, "index": neighbours.nearest}
 
 
-def knn_probabilities(dealt: DataFrame, k: int, way: str = "exact") -> DataFrame:
+def knn_probabilities(dealt: DataFrame, k: int, way: str = "exact", found: DataFrame | None = None) -> DataFrame:
     """(id, class, p): neighbours of other folds vote with weight 1 / (distance + 1e-5); smoothed over all classes.
 
-    `dealt` has id, label, v and fold.
+    `dealt` has id, label, v and fold; `found` are its neighbours in other folds, where they are known.
     """
-    votes = WAYS[way](dealt, "id", "v", k, within="fold").join(dealt.select(F.col("id").alias("neighbour"), F.col("label").alias("class")), "neighbour")
+    found = WAYS[way](dealt, "id", "v", k, within="fold") if found is None else found
+    votes = found.join(dealt.select(F.col("id").alias("neighbour"), F.col("label").alias("class")), "neighbour")
     weights = votes.groupBy("id", "class").agg(F.sum(1 / (F.col("distance") + 1e-5)).alias("w"))
     return _smoothed(dealt, weights.withColumn("raw", F.col("w") / F.sum("w").over(Window.partitionBy("id"))))
 
@@ -129,6 +133,33 @@ def confident_mask(probabilities: DataFrame, labels: DataFrame, filter_by: str)
     return by_class.join(by_rate, "id", "left_semi")
 
 
+def _centroid_ratios(rows: DataFrame, centres: DataFrame, by_direction: bool) -> DataFrame:
+    """(id, centroid_ratio): the distance to the own class's centre by that to the nearest other one. Centres are a row for each class."""
+    held = centres.select("label", "c").collect()
+    labels, points = [r["label"] for r in held], [np.array(r["c"], dtype=float) for r in held]
+
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = np.full(batch.num_rows, np.nan), np.full(batch.num_rows, np.nan)
+            known = [np.zeros(batch.num_rows, bool) for _ in range(2)]
+            v, label = np.array(batch["v"].to_pylist(), dtype=float), np.array(batch["label"].to_pylist(), dtype=object)
+            given_ = np.array([x is not None for x in label], bool)
+            for name, c in zip(labels, points):
+                d = np.zeros(len(v))
+                for j in range(len(c) if len(v) else 0):  # in the order of the numbers, as a row by itself is added up
+                    d += v[:, j] * c[j] if by_direction else (v[:, j] - c[j]) ** 2
+                d = 1 - d if by_direction else np.sqrt(np.maximum(d, 0))
+                same = given_ & (label == name) if name is not None else np.zeros(len(v), bool)
+                apart = given_ & ~same if name is not None else np.zeros(len(v), bool)
+                for at, least, rows_ in ((0, own, same), (1, other, apart)):
+                    least[rows_] = np.fmin(least[rows_], d[rows_])
+                    known[at] |= rows_
+            ratio = pa.array((own + 1e-4) / (other + 1e-4), mask=~(known[0] & known[1]))
+            yield pa.RecordBatch.from_arrays([batch["id"], ratio], ["id", "centroid_ratio"])
+
+    return rows.select("id", "label", "v").mapInArrow(ratios, f"id {rows.schema['id'].dataType.simpleString()}, centroid_ratio double")
+
+
 def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = Config(), scaled: bool = False, also: DataFrame | None = None) -> DataFrame:
     """(id, given_label, predicted_label, p_given, p_top, gap, odds, centroid_ratio, given_agree, top_agree, score) of likely flips.
 
@@ -139,16 +170,21 @@ def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = C
     rows = frame.select(F.col(key).alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
     by_direction = not scaled and (rows.agg(F.max(F.size("v"))).first()[0] or 0) >= LONG
     if by_direction:
-        size = norm(F.col("v"))
-        rows = rows.withColumn("v", F.transform("v", lambda x: x / F.when(size > 0, size).otherwise(1.0)))
+        # a length is taken once a vector, not once for each of its numbers
+        rows = rows.withColumn("v", once(norm(F.col("v")), lambda size: F.transform("v", lambda x: x / F.when(size > 0, size).otherwise(1.0))))
     elif not scaled:
         stats = rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
         held = F.array_sort(F.collect_list(F.struct("pos", "m", "s")))
         scale = stats.agg(held["m"].alias("__m"), held["s"].alias("__s"))  # one row, as long as a vector
         rows = rows.crossJoin(F.broadcast(scale)).withColumn("v", z_scores(F.col("v"), F.col("__m"), F.col("__s"))).drop("__m", "__s")
+    rows = durable(rows)  # vectors are scaled once, however often they are read
     least = rows.groupBy("label").count().agg(F.min("count")).first()[0] or 0
     dealt = folds(rows, "label", "id", max(2, min(config.n_splits, least)), config.seed)
-    p = knn_probabilities(dealt, config.n_neighbors, config.neighbours) if config.classifier == "knn" else ridge_probabilities(dealt, config.n_neighbors)
+    k, own, around = config.n_neighbors, None, None
+    if config.classifier == "knn" and config.neighbours == "exact":  # both searches in one pass over the pairs
+        both = durable(nearest_both(dealt, "id", "v", k, "fold"))
+        own, around = both.filter("across = 1").drop("across"), both.filter("across = 0").drop("across")
+    p = durable(knn_probabilities(dealt, k, config.neighbours, own) if config.classifier == "knn" else ridge_probabilities(dealt, k))
 
     labels = rows.select("id", "label")
     given = p.join(labels, "id").filter(F.col("class") == F.col("label")).select("id", F.col("p").alias("p_given"))
@@ -158,13 +194,9 @@ def find(frame: DataFrame, key: str, vector: str, label: str, config: Config = C
     if by_direction:
         long = norm(F.col("c"))
         centres = centres.withColumn("c", F.transform("c", lambda x: x / F.when(long > 1e-12, long).otherwise(1e-12)))
-    held = centres.agg(F.collect_list(F.struct(F.col("label").alias("l"), "c")).alias("centres"))
-    apart = rows.crossJoin(F.broadcast(held)).select("id", F.col("label"), F.transform("centres", lambda x: F.struct(x["l"].alias("l"), (1 - dot(F.col("v"), x["c"]) if by_direction else F.sqrt(squared_distance(F.col("v"), x["c"]))).alias("d"))).alias("d"))
-    own_d = F.array_min(F.transform(F.filter("d", lambda x: x["l"] == F.col("label")), lambda x: x["d"]))
-    other_d = F.array_min(F.transform(F.filter("d", lambda x: x["l"] != F.col("label")), lambda x: x["d"]))
-    ratio = apart.select("id", ((own_d + 1e-4) / (other_d + 1e-4)).alias("centroid_ratio"))
+    ratio = _centroid_ratios(rows, centres, by_direction)
 
-    around = WAYS[config.neighbours](rows, "id", "v", config.n_neighbors).join(rows.select(F.col("id").alias("neighbour"), F.col("label").alias("near")), "neighbour")
+    around = (WAYS[config.neighbours](rows, "id", "v", k) if around is None else around).join(rows.select(F.col("id").alias("neighbour"), F.col("label").alias("near")), "neighbour")
     agree = around.join(labels, "id").join(top.select("id", "predicted_label"), "id").groupBy("id").agg(F.avg((F.col("near") == F.col("label")).cast("double")).alias("given_agree"), F.avg((F.col("near") == F.col("predicted_label")).cast("double")).alias("top_agree"))
 
     all_ = labels.join(given, "id").join(top, "id").join(ratio, "id").join(agree, "id").withColumn("gap", F.col("p_top") - F.col("p_given")).withColumn("odds", F.col("p_top") / (F.col("p_given") + 1e-4))

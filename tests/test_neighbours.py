@@ -136,3 +136,46 @@ def test_a_vector_that_is_no_number_disturbs_no_other(spark):
     want, got = (sorted(map(tuple, neighbours.nearest(x, "id", "v", 3, index=neighbours.Index(centres, 6, 1.0)).collect())) for x in (plain, with_odd))
     assert [x for x in got if x[0] < 1000] == want
     assert [x for x in got if x[0] >= 1000] == [(1000, 1001, 0.0, 1), (1001, 1000, 0.0, 1)]
+
+
+def plain_nearest(ids, v, fold, k):
+    """What nearest_both gives, by all pairs in double precision."""
+    found = set()
+    for i in range(len(v)):
+        distance = np.sqrt(((v[i] - v) ** 2).sum(1))
+        for across, barred in ((0, np.arange(len(v)) == i), (1, fold == fold[i])):
+            order = [j for j in np.lexsort((ids, distance)) if not barred[j] and np.isfinite(distance[j])][:k]
+            found |= {(ids[i], ids[j], distance[j], rank + 1, across) for rank, j in enumerate(order)}
+    return found
+
+
+@pytest.mark.parametrize("kind", ["noise", "far", "copies", "tiny", "huge", "odd", "one fold"])
+def test_both_searches_in_one_pass_lose_nothing_to_single_precision(spark, monkeypatch, kind):
+    monkeypatch.setattr(duplicates, "TILE_ROWS", 20)
+    monkeypatch.setattr(duplicates, "STEP_ROWS", 16)
+    rng = np.random.default_rng(10)
+    v = rng.normal(size=(300, 6)) / 3
+    if kind == "far":  # clusters far from each other, with distances that single precision can't tell
+        v = rng.integers(0, 3, (300, 1)) * 1e6 + v * 1e-3
+    elif kind == "copies":
+        v = v[rng.integers(0, 20, 300)]
+    elif kind in ("tiny", "huge"):
+        v = v * (1e-30 if kind == "tiny" else 1e25)
+    elif kind == "odd":
+        v[:3] = [[np.nan] * 6, [np.inf] + [0.0] * 5, [1e200] * 6]
+    ids, fold = np.array([f"r{i:0{1 + i % 4}}" for i in range(300)]), rng.integers(0, 1 if kind == "one fold" else 4, 300)
+    frame = spark.createDataFrame([(str(i), x.tolist(), int(f)) for i, x, f in zip(ids, v, fold)], "id string, v array<double>, fold int").repartition(3)
+    got = {tuple(r) for r in duplicates.nearest_both(frame, "id", "v", 5, "fold").collect()}
+    with np.errstate(all="ignore"):
+        want = plain_nearest(ids, v, fold, 5)
+    if kind == "odd":  # what has no finite square has no neighbours, as in nearest()
+        got, want = ({x for x in rows if "1e200" not in x and int(x[0][1:]) > 2} for rows in (got, want))
+        want = {x for x in want if int(x[1][1:]) > 2}
+    assert got == want
+
+
+def test_label_noise_meets_all_pairs_once(spark):
+    rng = np.random.default_rng(11)
+    frame = spark.createDataFrame([(i, v.tolist(), int(i % 3)) for i, v in enumerate(rng.normal(size=(300, 64)))], "id long, v array<double>, label int").repartition(2)
+    plan = label_noise.find(frame, "id", "v", "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert "SHUFFLE_REPLICATE_NL" not in plan.upper() and plan.count("MapInArrow") <= 1  # neighbours are written already; centres are met in one pass
